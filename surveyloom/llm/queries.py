@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, pieces, secrets, simhash, tiling
+from . import chat, hmm, language, lines, pieces, secrets, simhash, tiling
 from .common import table
 
 
+def op1_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.lit("\\### Assistant: </turn> ok")
     own = spark.range(2).select(
@@ -19,6 +23,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.expand(rows.unionByName(own)))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -42,7 +50,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_hmm": op1_hmm,
     "op2_chat_format": op2_chat_format,
+    "op3_language": op3_language,
     "op5_secrets": op5_secrets,
     "op4_sentencepiece": op4_sentencepiece,
     "op7_line_dedup": op7_line_dedup,

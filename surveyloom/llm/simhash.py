@@ -102,3 +102,15 @@ def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3, seed: in
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = named.join(least, "root").select("fp", "component_id")
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, distance: int = 3) -> DataFrame:
+    """The rows of ``docs`` that stand for their group of near duplicates.
+
+    That is the row whose doc_id is the component's; rows with one doc_id and
+    one text are one document, of which one row stays.
+    """
+    groups = near_duplicates(docs, distance)
+    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
+    kept = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stays")), "left_semi")
+    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")

@@ -14,6 +14,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,6 +129,14 @@ def _blocks(benchmark: DataFrame, most_bytes: int):
         yield block, held
 
 
+def _shared_blocks(docs: DataFrame, benchmark: DataFrame, block_bytes: int):
+    """Broadcasts block after block; a block is over its bound only if one item is."""
+    ship(docs.sparkSession)
+    for items, size in _blocks(benchmark, block_bytes):
+        bound = size if len(items) == 1 else block_bytes
+        yield broadcast_value(docs.sparkSession, items, size, bound, "benchmark block")
+
+
 OUT = "doc_id long, item_id long, tiled_words long, item_words long, n_tiles long, longest_tile long, coverage double"
 
 
@@ -143,12 +152,9 @@ def contaminated(
     repeated rows give repeated results; with no items or documents there are
     no rows.
     """
-    spark = docs.sparkSession
-    ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = []
-    for items, size in _blocks(benchmark, block_bytes):
-        shared = broadcast_value(spark, items, size, max(block_bytes, size if len(items) == 1 else 0), "benchmark block")
+    for shared in _shared_blocks(docs, benchmark, block_bytes):
 
         def run(batches, shared=shared):
             index = Index(shared.value, shortest)
@@ -164,8 +170,32 @@ def contaminated(
 
         parts.append(rows.mapInPandas(run, OUT))
     if not parts:
-        return spark.createDataFrame([], OUT)
+        return docs.sparkSession.createDataFrame([], OUT)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
     return out
+
+
+def keep_clean(
+    docs: DataFrame, benchmark: DataFrame, shortest: int = 5, least: float = 0.4, block_bytes: int = 16_000_000
+) -> DataFrame:
+    """The rows of ``docs`` that ``contaminated`` would not report.
+
+    Whole rows pass through in their batches, so nothing is shuffled.
+    """
+    at = docs.columns.index("text")
+    for shared in _shared_blocks(docs, benchmark, block_bytes):
+
+        def run(batches, shared=shared):
+            index = Index(shared.value, shortest)
+            for b in batches:
+                clean = [all(sum(t[0] for t in tiles) < least * n for _, n, tiles in index.search(x)) for x in map(_py, b.column(at))]
+                yield b.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
+def _py(x):
+    return x.as_py()
