@@ -1,4 +1,56 @@
-"""placeholder until the stages exist"""
-STAGES = []
+"""A training corpus from ``documents``: five stages, each over all that its
+predecessor kept and each written before the next one reads it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from surveyloom.llm import language, lines, pieces, simhash, tiling
+from surveyloom.llm.common import table, written
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an identifiable language go."""
+    return language.keep_identified(docs)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal or near-equal lines one stays; n_chars follows the text."""
+    kept = lines.dedup_lines(docs).drop("n_lines", "n_dropped")
+    size = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return kept.withColumn("n_chars", size).select(*docs.columns)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates one document stays."""
+    return simhash.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items go."""
+    return tiling.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of each document, and its text decoded from them."""
+    return pieces.encode_decode(docs)
+
+
+STAGES = [
+    ("language", identify_language),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", dedup_documents),
+    ("decontamination", decontaminate),
+    ("sentencepiece", encode),
+]
+
+#: No stage can be told in SQL; tests hold each against a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
