@@ -103,7 +103,7 @@ def read_model(data: bytes) -> Model:
 
 
 class Transducer:
-    def __init__(self, data: bytes, cache: int = 200_000):
+    def __init__(self, data: bytes, cache: int = 400_000):
         self.model = m = read_model(data)
         self.text = [p for p, _, _ in m.pieces]
         self.kinds = [k for _, _, k in m.pieces]
@@ -120,7 +120,9 @@ class Transducer:
         inside = set("".join(self.ids))
         self.loose = [c for c in "\n\t\r" if c not in inside]
         loose = "".join(map(re.escape, self.loose))
-        self.parts = re.compile(f"{SPACE}+[^{SPACE}{loose}]*|[^{SPACE}{loose}]+" + (f"|[{loose}]" if loose else "")).findall
+        # Nor does one span a letter and a full stop or comma, if so compiled.
+        stop = "" if any(re.search("[A-Za-zÀ-ÿ][,.]", p) for p in self.ids) else f"{SPACE}*+[A-Za-zÀ-ÿ]++(?=[,.])|"
+        self.parts = re.compile(f"{stop}{SPACE}+[^{SPACE}{loose}]*|[^{SPACE}{loose}]+" + (f"|[{loose}]" if loose else "")).findall
         #: Two generations, so that frequent parts outlive a full cache.
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -170,7 +172,7 @@ class Transducer:
             last = self.heads.get(word[:known])
             if last is None:
                 last = self._states(word[:known])
-                if len(self.heads) >= self.cache_limit:
+                if len(self.heads) >= self.cache_limit // 2:
                     self.heads.clear()
                 self.heads[word[:known]] = last
             last = last.copy()
