@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, hmm, language, lines, pieces, secrets, simhash, tiling
+from . import chat, hmm, language, lines, neighbours, pieces, secrets, simhash, tiling, toxicity
 from .common import table
 
 
@@ -35,6 +35,14 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "text", "n_lines", "n_dropped")
@@ -55,6 +63,8 @@ QUERIES = {
     "op3_language": op3_language,
     "op5_secrets": op5_secrets,
     "op4_sentencepiece": op4_sentencepiece,
+    "op6_toxicity": op6_toxicity,
+    "op8_neighbours": op8_neighbours,
     "op7_line_dedup": op7_line_dedup,
     "op9_simhash": op9_simhash,
     "op10_decontamination": op10_decontamination,
