@@ -1,0 +1,29 @@
+"""Merging what several parsers found about one survey (PAR-20)."""
+
+from __future__ import annotations
+
+from ..model import CODE_FIELDS, VARIABLE_FIELDS, Code, Metadata, Variable
+
+# Fixed order of trust.
+PRIORITY = ("spss_mono", "spss_split", "sas_cards", "spss_sav", "lfs_csv", "cpss_csv", "sas_labels", "pdf_dict", "pdf_codebook")
+
+
+def merged(found: dict[str, Metadata]) -> Metadata:
+    """Per row and column the first non-null value by PRIORITY; rows in the order
+    of the most trusted source that has them. The layout is the first there is."""
+    sources = [found[k] for k in PRIORITY if k in found] + [m for k, m in found.items() if k not in PRIORITY]
+    if len(sources) == 1:
+        return sources[0]
+
+    def rows(lists, fields, key, make):
+        out: dict = {}
+        for row in (r for rows in lists for r in rows):
+            kept = out.setdefault(key(row), dict.fromkeys(fields))
+            for f in fields:
+                if kept[f] is None:
+                    kept[f] = getattr(row, f)
+        return tuple(make(**v) for v in out.values())
+
+    variables = rows([m.variables for m in sources], VARIABLE_FIELDS, lambda v: v.name, Variable)
+    codes = rows([m.codes for m in sources], CODE_FIELDS, lambda c: (c.name, c.val), Code)
+    return Metadata(variables, codes, next((m.layout for m in sources if m.layout is not None), None))
