@@ -107,22 +107,22 @@ def _bare(word: str) -> str:
 
 
 def learn_lexicon(texts: list[tuple[str, int]], support: int = 6, share: float = 0.85):
-    """Words and stems that hold to toxic texts; lines are counted once, so that
-    copies of one text are no further evidence."""
+    """Words and stems that hold to toxic texts. A text counts once, and only for
+    lines not seen before, so that copies of one text are no further evidence."""
     seen: set[str] = set()
     toxic, total = Counter(), Counter()
     for text, label in texts:
+        found = set()
         for line in text.lower().split("\n"):
             if line in seen:
                 continue
             seen.add(line)
-            found = set()
             for w in {_bare(x) for x in line.split()}:
                 found.add(w)
                 found.update(w[:n] + "*" for n in STEMS if len(w) >= n)
-            total.update(found)
-            if label:
-                toxic.update(found)
+        total.update(found)
+        if label:
+            toxic.update(found)
     good = lambda f: toxic[f] >= support and (toxic[f] + 0.5) / (total[f] + 1) >= share
     weight = lambda f: math.log((toxic[f] + 0.5) / (total[f] - toxic[f] + 0.5))
     words = {w: (c, 1.0) for c, ws in WORDS.items() for w in ws.split()}
