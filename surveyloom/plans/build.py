@@ -58,11 +58,12 @@ def prepared(metadata: Metadata, fix: Fixups) -> Metadata:
     return Metadata(variables, tuple(codes), m.layout)
 
 
-def typed(raw: DataFrame, metadata: Metadata, fix: Fixups | None = None, lang: str = "eng") -> DataFrame:
+def typed(raw: DataFrame, metadata: Metadata, fix: Fixups | None = None, lang: str | None = "eng") -> DataFrame:
     """The labelled table of a raw one, as a single projection.
 
     A labelled column carries its complete, ordered levels in its metadata.
-    Columns without metadata stay strings.
+    Columns without metadata stay strings. With ``lang`` None codes stay codes:
+    what is stored, and labelled in either language when it is read.
     """
     fix = fix or Fixups()
     m = prepared(metadata, fix)
@@ -81,7 +82,7 @@ def typed(raw: DataFrame, metadata: Metadata, fix: Fixups | None = None, lang: s
             out.append(col.cast("int" if c in integers else "bigint").alias(c))
         elif v is not None and v.type == "numeric":
             out.append(convert.numeric_value(col, v.missing_low, v.missing_high, fix.na_values).alias(c))
-        elif v is not None and (codes := m.codes_of(c)):
+        elif v is not None and lang is not None and (codes := m.codes_of(c)):
             label = convert.labelled(col, codes, lang, fix.na_values)
             out.append(label.alias(c, metadata={"levels": convert.levels(codes, lang)}))
         else:
@@ -89,6 +90,18 @@ def typed(raw: DataFrame, metadata: Metadata, fix: Fixups | None = None, lang: s
     return df.select(*out)
 
 
+def labelled(coded: DataFrame, metadata: Metadata, fix: Fixups | None = None, lang: str = "eng") -> DataFrame:
+    """A stored, coded table with labels: one projection over its string columns."""
+    fix = fix or Fixups()
+    m = prepared(metadata, fix)
+    out = []
+    for c, kind in coded.dtypes:
+        codes = m.codes_of(c) if kind == "string" else []
+        label = convert.labelled(F.col(f"`{c}`"), codes, lang, fix.na_values) if codes else None
+        out.append(F.col(f"`{c}`") if label is None else label.alias(c, metadata={"levels": convert.levels(codes, lang)}))
+    return coded.select(*out)
+
+
 def unmatched_values(raw: DataFrame, metadata: Metadata, fix: Fixups | None = None, most: int = 5) -> dict[str, list[str]]:
     """Codes in the data that the metadata lacks, for all columns in one pass."""
     fix = fix or Fixups()
