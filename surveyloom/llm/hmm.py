@@ -16,19 +16,18 @@ from array import array
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_value, fold, ship, words_of, written
+from .common import UPPER, broadcast_value, fold, ship, words_of, written
 
 #: Stands for the end in counts; white space, so no word.
 END = "\n"
-SHARE = 2.0**-17
+SHARE = 2.0**-19
 CLASSES = 256
 STATES = 8
-MODEL_BYTES = 64_000_000
+MODEL_BYTES = 128_000_000
 
 
 class Symbols(NamedTuple):
@@ -65,7 +64,7 @@ def rows_of(docs: DataFrame) -> DataFrame:
 
 def tokens_of(rows: DataFrame) -> DataFrame:
     """Rows of (doc_id, k, w) for all words, without ends."""
-    words = F.split(ascii_lower(F.col("text")), r"[\x20\x09-\x0D]+", -1)
+    words = F.split(F.translate(F.col("text"), UPPER + "\t\n\x0b\f\r", UPPER.lower() + " " * 5), " ", -1)
     return rows.select("doc_id", "k", F.explode(words).alias("w")).filter("w <> ''")
 
 
@@ -132,13 +131,13 @@ def encode(rows: DataFrame, symbols: Symbols) -> DataFrame:
 # -- the recursions -------------------------------------------------------------
 
 
-def _padded(texts: list[np.ndarray], cells: int = 250_000):
+def _padded(texts: list[np.ndarray], cells: int = 800_000):
     """Texts of like length side by side: (their places, ids (T, B), lengths)."""
     order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
     at = 0
     while at < len(order):
         longest = max(1, len(texts[order[at]]))
-        part = order[at : at + max(1, min(512, cells // longest))]
+        part = order[at : at + max(1, min(2048, cells // longest))]
         at += len(part)
         lengths = np.array([len(texts[k]) for k in part])
         ids = np.zeros((longest, len(part)), dtype=np.int32)
@@ -154,7 +153,7 @@ def forward(m: Model, ids: np.ndarray, lengths: np.ndarray, keep: bool = False):
     log = np.zeros(width)
     open_at = np.searchsorted(-lengths, -np.arange(steps), side="left")
     alphas = np.zeros((steps, width, len(m.start)), dtype=np.float32) if keep else None
-    a = np.broadcast_to(m.start, (width, len(m.start)))
+    a = np.broadcast_to(m.start, (width, len(m.start)))  # of the model's own precision
     for t in range(steps):
         n = open_at[t]
         a = (a[:n] if t == 0 else a[:n] @ m.move) * emit[ids[t, :n]]
@@ -172,7 +171,7 @@ def expected(m: Model, ids: np.ndarray, lengths: np.ndarray, start: np.ndarray,
     steps, width = ids.shape
     by_symbol = np.ascontiguousarray(m.emit.T)
     open_at = np.searchsorted(-lengths, -np.arange(steps), side="left")
-    beta = np.ones((width, len(m.start)))
+    beta = np.ones((width, len(m.start)), dtype=m.move.dtype)
     gammas = alphas
     for t in range(steps - 1, -1, -1):
         n = open_at[t]
@@ -225,7 +224,7 @@ def _texts(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [flat[off[k] : off[k + 1]] for k in range(len(off) - 1)]
 
 
-def _slices(whole: pa.RecordBatch, ids: int = 400_000):
+def _slices(whole: pa.RecordBatch, ids: int = 1_500_000):
     lists = whole.column("ids")
     total = len(lists.flatten())
     step = max(1, min(max(1, whole.num_rows), ids * whole.num_rows // max(1, total)))
@@ -241,7 +240,7 @@ def baum_welch(encoded: DataFrame, m: Model, base: np.ndarray) -> Model:
     shared = broadcast_value(spark, m, m.emit.nbytes + m.move.nbytes, MODEL_BYTES, "hidden Markov model")
 
     def run(batches):
-        m = shared.value
+        m = Model(*(x.astype(np.float32) for x in shared.value))  # counts need no more
         start, move, emit = _zero(states, symbols)
         for whole in batches:
             for b in _slices(whole):
@@ -273,20 +272,28 @@ def train(encoded: DataFrame, symbols: Symbols, passes: int = 2, sample: int = 1
     return m
 
 
-def _likelihoods(encoded: DataFrame, m: Model) -> DataFrame:
-    shared = broadcast_value(encoded.sparkSession, m, m.emit.nbytes + m.move.nbytes, MODEL_BYTES, "hidden Markov model")
+def _likelihoods(encoded: DataFrame, m: Model, symbols: Symbols) -> DataFrame:
+    """The texts' likelihoods over symbols, and the base sum over word symbols."""
+    # Classes count nothing here: their words' counts come from the join.
+    log = np.r_[np.log10(symbols.counts + 1), np.zeros(CLASSES)]
+    size = m.emit.nbytes + m.move.nbytes + log.nbytes
+    shared = broadcast_value(encoded.sparkSession, (m, log, len(symbols.counts)), size, MODEL_BYTES, "hidden Markov model")
 
     def run(batches):
+        m, log, first = shared.value
         for whole in batches:
             for b in _slices(whole):
                 texts = _texts(b)
                 out = np.zeros(len(texts))
                 for part, ids, lengths in _padded(texts):
-                    out[part] = forward(shared.value, ids, lengths)[0]
-                frame = pd.DataFrame({"n_tokens": [len(x) for x in texts], "lik": out})
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k"), b.column("held_out"), pa.array(frame["n_tokens"]), pa.array(frame["lik"])], ["doc_id", "k", "held_out", "n_tokens", "lik"])
+                    out[part] = forward(m, ids, lengths)[0]
+                columns = {
+                    "n_tokens": [len(x) for x in texts], "lik": out,
+                    "often": [log[x].sum() for x in texts], "n_often": [int((x < first).sum()) for x in texts],
+                }
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k"), b.column("held_out"), *map(pa.array, columns.values())], ["doc_id", "k", "held_out", *columns])
 
-    return encoded.mapInArrow(run, "doc_id long, k int, held_out boolean, n_tokens long, lik double")
+    return encoded.mapInArrow(run, "doc_id long, k int, held_out boolean, n_tokens long, lik double, often double, n_often long")
 
 
 # -- the operator -----------------------------------------------------------------
@@ -306,32 +313,29 @@ def score(docs: DataFrame, passes: int = 2) -> DataFrame:
     symbols = symbols_of(counts)
     encoded = written(encode(rows, symbols), "symbols")
     model = train(encoded, symbols, passes)
-    scored = _likelihoods(encoded, model)
+    scored = _likelihoods(encoded, model, symbols)
 
-    # Counts of frequent words are looked up in a broadcast (at most 1/SHARE
-    # rows); the other tokens meet the counts in a join.
+    # Frequent words' counts are in the symbols; the other tokens, told by a
+    # broadcast of at most 1/SHARE words, meet the counts in a join.
     floor = max(2, symbols.total * SHARE)
-    frequent = counts.filter((F.col("c") >= floor) & (F.col("w") != END))
-    tokens = tokens_of(rows).join(F.broadcast(frequent.withColumnRenamed("c", "cf")), "w", "left")
-    often = tokens.filter("cf is not null").select("doc_id", "k", F.log10(F.col("cf") + 1).alias("base"), F.lit(0.0).alias("within"), F.lit(1).alias("known"))
+    frequent = counts.filter((F.col("c") >= floor) & (F.col("w") != END)).select("w")
     mass = F.array(*[F.lit(float(x)) for x in np.log10(symbols.mass)])
     rare = counts.filter((F.col("c") < floor) & (F.col("w") != END))
-    met = tokens.filter("cf is null").drop("cf").join(rare, "w", "left")
+    met = tokens_of(rows).join(F.broadcast(frequent), "w", "left_anti").join(rare, "w", "left")
     log = F.log10(F.coalesce("c", F.lit(0)) + 1)
     seldom = met.select("doc_id", "k", log.alias("base"), (log - F.get(mass, _class(F.col("w")))).alias("within"), F.col("c").isNotNull().cast("int").alias("known"))
-    sums = [F.sum(x).alias(x) for x in ("base", "within", "known")]
-    # One sum within the scan's tasks, and one where the join's tasks end.
-    by_doc = often.groupBy("doc_id", "k").agg(*sums).unionAll(seldom.groupBy("doc_id", "k").agg(*sums)).groupBy("doc_id", "k").agg(*sums)
+    by_doc = seldom.groupBy("doc_id", "k").agg(*[F.sum(x).alias(x) for x in ("base", "within", "known")])
 
-    one = scored.groupBy("doc_id", "k").agg(F.first("held_out").alias("held_out"), F.first("n_tokens").alias("n_tokens"), F.first("lik").alias("lik"), F.count(F.lit(1)).alias("copies"))
+    one = scored.groupBy("doc_id", "k").agg(F.first("held_out").alias("held_out"), F.first("n_tokens").alias("n_tokens"), *[F.first(x).alias(x) for x in ("lik", "often", "n_often")], F.count(F.lit(1)).alias("copies"))
     b = by_doc.select(F.col("doc_id").alias("_doc"), F.col("k").alias("_k"), *[(F.col(x)).alias(x) for x in ("base", "within", "known")])
     both = one.join(b, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("k") == F.col("_k")), "left")
     part = lambda x: F.coalesce(F.col(x) / F.col("copies"), F.lit(0.0))
-    end, n, v = float(np.log10(symbols.counts[0] + 1)), symbols.total, symbols.distinct
+    n, v = symbols.total, symbols.distinct
+    no_end = 0 if symbols.counts[0] else 1
     return both.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(
         "doc_id", "held_out", "n_tokens",
-        (part("known").cast("long") + (1 if symbols.counts[0] else 0)).alias("n_known"),
+        (part("known").cast("long") + F.col("n_often") - no_end).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (part("base") + end - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"),
+        (part("base") + F.col("often") - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"),
         (F.col("lik") + part("within")).alias("score"),
     )
