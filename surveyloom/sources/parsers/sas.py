@@ -46,3 +46,27 @@ def parse_cards(layout: str, labels_en: str, codes_en: str = "", missing: str =
     english.missing = missing_items(re.sub(r"(?i)MISSING\s+VALUES", "", missing))
     french = facts(labels_fr, codes_fr) if labels_fr or codes_fr else None
     return resolve(english, french)
+
+
+def parse_labels(english: str, french: str = "") -> Metadata:
+    """PAR-13: ``LABEL name = "..."`` statements, and VALUE blocks whose variables
+    the comment before them names (``... format applies to: A B``)."""
+    from ...model import Code, Variable
+
+    def read(text: str):
+        labels = {n.upper(): x for n, x in re.findall(r'(?im)^\s*LABEL\s+([A-Za-z]\w*)\s*=\s*"([^"]+)"', text)}
+        codes: dict[tuple[str, str], str] = {}
+        users = {f.upper(): names.upper().split() for f, names in re.findall(r"(?is)/\*\s*(\S+)\s+format applies to:(.*?)\*/", text)}
+        for name, body in re.findall(r"(?is)\bVALUE\s+\$?(\w+)\s+(.*?);", text):
+            for value, label in re.findall(r"""["']?([^\s"'=]+)["']?\s*=\s*"([^"]*)\"""", body):
+                for v in users.get(name.upper(), []):
+                    if value.lower() != "other":
+                        codes.setdefault((v, value), label.strip())
+        return labels, codes
+
+    labels, codes = read(english)
+    fr_labels, fr_codes = read(french)
+    names = dict.fromkeys([*labels, *(v for v, _ in codes)])
+    coded = {v for v, _ in codes}
+    variables = tuple(Variable(n, labels.get(n), fr_labels.get(n), "character" if n in coded else "numeric") for n in names)
+    return Metadata(variables, tuple(Code(v, x, label, fr_codes.get((v, x))) for (v, x), label in codes.items()))
