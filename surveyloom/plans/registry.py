@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field, fields, replace
 
-from ..model import Fixups
+from ..model import Code, Fixups
 
 
 @dataclass(frozen=True)
@@ -19,6 +19,7 @@ class Entry:
     data_encoding: str = "CP1252"
     metadata_encoding: str = "CP1252"
     bsw_mask: str | None = None
+    bsw_file_mask: str | None = None
     bsw_join_key: str | None = None
     bsw_drop: tuple[str, ...] = ()
     bsw_strata: tuple[str, ...] = ()
@@ -83,33 +84,109 @@ class Registry:
         ]
 
 
+# Names under which cycles of the GSS are known besides their numbers.
+THEMES = {
+    "Cycle 8 (1993)": ("safety", "personal risk", "victimization"),
+    "Cycle 9 (1994)": ("education",),
+    "Cycle 10 (1995)": ("family",),
+    "Cycle 12 (1998)": ("time use",),
+    "Cycle 13 (1999)": ("safety", "victimization"),
+    "Cycle 15 (2001)": ("family",),
+    "Cycle 16 (2002)": ("aging and social support",),
+    "Cycle 17 (2003)": ("social identity", "social engagement"),
+    "Cycle 21 (2007)": ("education", "family"),
+    "Cycle 24 (2010)": ("time use",),
+    "Cycle 25 (2011)": ("family",),
+    "Cycle 26 (2012)": ("caregiving",),
+    "Cycle 27 (2013)": ("social identity",),
+    "Cycle 28 (2014)": ("safety", "victimization"),
+    "Cycle 29 (2015)": ("time use",),
+    "Cycle 31 (2017)": ("family",),
+    "Cycle 32 (2018)": ("caregiving",),
+    "Cycle 34 (2019)": ("safety", "victimization"),
+    "Cycle 35 (2020)": ("social identity",),
+    "Cycle 36 (2022)": ("time use",),
+}
+CENSUS_TYPES = ("hierarchical", "household", "famil")
+CENSUS_NAMES = {"hierarchical": "hierarchical", "household": "households", "famil": "families"}
+
+
+def _words(text: str) -> tuple[str, ...]:
+    """Lower-case words, numbers apart from the letters before them."""
+    return tuple(re.findall(r"[a-z]+|\d+", text.lower()))
+
+
 def resolve_version(series: str, version: str, known: list[str]) -> str:
-    """REG-05: an alias to a known version: exact, else a cycle number, a year or a
-    reference year in brackets; several matches are an error."""
+    """REG-05: an alias to a known version; several matches are an error, and what
+    is no alias stays as it is.
+
+    A cycle goes by its number, its year, both, or its theme and year; the
+    bare-numbered series by ``Cycle N``, ``Series N`` or their acronym and N; a
+    census by its year and the kind of file.
+    """
     if version in known:
         return version
-    text = version.strip().lower()
-    n = re.fullmatch(r"(?:cycle\s*|c)?(\d{1,2})", text)
-    if n:
-        hits = [v for v in known if re.fullmatch(rf"(?i)cycle {n[1]}( \(.*\))?", v)]
-    elif re.fullmatch(r"\d{4}", text):
-        hits = [v for v in known if f"({text})" in v or v.startswith(f"{text} ") or v.startswith(f"{text}/")]
-    else:
-        hits = [v for v in known if v.lower() == text or v.lower().replace("/", " (") + ")" == text]
+    words = _words(version)
+    if series in ("CPSS", "CCAHS"):
+        if series == "CCAHS" and words == ("2022",):
+            return "1"
+        return words[1] if len(words) == 2 and words[0] in ("cycle", "series", series.lower()) else version
+    if series == "Census" and words and re.fullmatch(r"\d{4}", words[0]):
+        kind = next((CENSUS_NAMES[t] for t in CENSUS_TYPES if t in version.lower()), "individuals")
+        year = words[0]
+        order = [f"{year}/{kind}_cma"] if "cma" in version.lower() else []
+        order += [f"{year}/{kind}_prov", f"{year}/{kind}"]
+        return next((v for v in order if v in known), f"{year} ({kind})")
+    hits = []
+    for v in known:
+        if m := re.fullmatch(r"Cycle (\d+) \((\d{4})\)", v):
+            n, year = m.groups()
+            names = {("cycle", n), (n,), (year,), ("cycle", n, year)} | {(*_words(t), year) for t in THEMES.get(v, ())}
+            if v == "Cycle 16 (2002)":
+                names.add(_words(THEMES[v][0]))
+            if words in names:
+                hits.append(v)
     if len(hits) > 1:
         raise ValueError(f"{series} {version} is ambiguous: {', '.join(hits)}")
     return hits[0] if hits else version
 
 
+def _shipped(series: str, version: str, key: str, bsw: str, **more) -> Entry:
+    return Entry(series, version, bsw_join_key=key, bsw_file_mask=bsw, **more)
+
+
+_FAMILY = {"bsw_drop": ("PWEIGHT",), "file_mask": r"EFAM_PUMF\.txt"}
+_TERRITORIES = lambda en, fr: Fixups(codes_supplement=(Code("PPROV", "95", en, fr),))
+
+# What the files of each version are named, and how they are joined.
 BUILT_IN = [
-    Entry("SFS", "2016", bsw_mask="bsw", bsw_join_key="PEFAMID", bsw_drop=("PWEIGHT",)),
-    Entry("SFS", "2019", bsw_mask="bsw", bsw_join_key="PEFAMID", bsw_drop=("PWEIGHT",)),
-    Entry("SFS", "2023", bsw_mask="bsw", bsw_join_key="PEFAMID", bsw_drop=("PWEIGHT",)),
-    Entry("SFS", "2005", fixups=Fixups(force_numeric=("WEIGHT",))),
-    Entry("CHS", "2021", bsw_mask="bsw", bsw_join_key="PUMFID"),
-    Entry("CHS", "2022", bsw_mask="bsw", bsw_join_key="PUMFID"),
-    Entry("SHS", "2017", modules={"Interview": {"file_mask": "(?i)interview"}, "Diary": {"file_mask": "(?i)diary"}}, module_key="CASEID", bsw_join_key="CASEID"),
-    Entry("CCAHS", "1", bsw_mask="bsw", bsw_drop=("WGT_PUMF",)),
-    Entry("SGVP", "1997", modules={"MAIN": {}, "GIVE": {"file_mask": "(?i)give"}, "VOLNTR": {"file_mask": "(?i)volntr"}}, module_key="IDNUM", fixups=Fixups(na_values=(".",))),
+    _shipped("SFS", "2023", "PEFAMID", r"BSWEIGHTS_PUMF\.txt", bsw_mask="bsweights_pumf", layout_mask="EFAM_PUMF_[^R]", **_FAMILY),
+    _shipped("SFS", "2019", "PEFAMID", r"BSWEIGHTS_PUMF\.txt", bsw_mask="bsweights", layout_mask="EFAM_PUMF", **_FAMILY),
+    _shipped("SFS", "2016", "PEFAMID", r"BSWEIGHTS_PUMF\.txt", bsw_mask="bsweights", layout_mask="EFAM_PUMF", **_FAMILY),
+    Entry("SFS", "2012"),
+    Entry("SFS", "2005", file_mask=r"ec2005ef\.txt", fixups=Fixups(force_numeric=("WEIGHT",))),
+    Entry("SFS", "1999", file_mask=r"ec1999ef\.sdf"),
+    *[Entry("CIS", str(year), file_mask=r"PUMF\.txt") for year in range(2022, 2016, -1)],
+    Entry("CHS", "2018", layout_mask="chs2018ecl_pumf", file_mask=r"CHS2018ECL_PUMF\.csv", fixups=_TERRITORIES("Territories", "Territoires")),
+    _shipped("CHS", "2021", "PUMFID", r"chs\d{4}ecl_PUMF_bsw\.csv", layout_mask=r"CHS\d{4}ECL_PUMF", file_mask=r"CHS\d{4}ECL_PUMF\.csv", fixups=_TERRITORIES("Territorial capitals", "Capitales territoriales")),
+    _shipped("CHS", "2022", "PUMFID", r"chs\d{4}ecl_pumf_bsw\.csv", layout_mask=r"chs\d{4}ecl_pumf", file_mask=r"chs\d{4}ecl_pumf\.csv"),
+    Entry("SHS", "2017", module_key="CASEID", modules={
+        "Interview": {"layout_mask": "Interview", "file_mask": r"interview_flatfile\.txt", "bsw_file_mask": r"interview_bsw_flatfile\.txt", "bsw_join_key": "CASEID"},
+        "Diary": {"layout_mask": "Diary", "file_mask": r"diary_flatfile\.txt", "bsw_file_mask": r"diary_bsw_flatfile\.txt", "bsw_join_key": "CASEID"},
+    }),
+    _shipped("SHS", "2019", "CASEID", r"bsw_flatfile\.txt", bsw_mask="_bsw_flatfile", layout_mask="shs2019_flatfile", file_mask=r"shs2019_flatfile\.txt"),
+    _shipped("SHS", "2021", "CASEID", r"bsw_flatfile\.txt", file_mask=r"PUMF_SHS_\d{4}\.txt"),
+    _shipped("SHS", "2023", "CASEID", r"bsw_flatfile\.txt", file_mask=r"PUMF_SHS_\d{4}\.txt"),
+    Entry("CPSS", "1", fixups=Fixups(force_numeric=("COVID_WT",), labels_supplement={"COVID_WT": ("Survey weight", "Poids d'enquête")})),
+    _shipped("CCAHS", "1", "PUMFID", r"ccahs_bsw_pumf\.csv", bsw_drop=("WGT_PUMF",), layout_mask="CCAHS_PUMF", file_mask=r"ccahs_pumf\.csv"),
+    Entry("SGVP", "2023", file_mask=r"GVP_DBP_\d{4}_PUMF_FMGD\.txt", fixups=Fixups(force_numeric=("HSDSIZEC",))),
+    Entry("SGVP", "2018", layout_mask="GSS33PUMF", file_mask=r"GSS33PUMF\.txt$", fixups=Fixups(force_numeric=("HSDSIZEC", "DSCORE"), codes_supplement=(Code("BRTHMACR", "9"),))),
+    Entry("ITS", "2018", file_mask=r"VTS_\d{4}_PUMF\.txt"),
+    Entry("ITS", "2019", file_mask=r"VTS_\d{4}_PUMF\.txt"),
+    Entry("Census", "2021 (individuals)", metadata_encoding="UTF-8", file_mask=r"\.csv", fixups=Fixups(rename={"RELIGION_DER": "RELIG"})),
+    Entry("Census", "2021 (hierarchical)", metadata_encoding="UTF-8", file_mask=r"\.csv"),
+    Entry("Census", "2016 (individuals)", file_mask=r"\.dat"),
+    Entry("Census", "2016 (hierarchical)", file_mask=r"\.dat"),
+    Entry("Census", "2011 (individuals)", file_mask=r"\.dat"),
     Entry("LFS", "", bsw_strata=("SURVYEAR", "SURVMNTH"), fixups=Fixups(force_integer=("SURVYEAR", "SURVMNTH", "REC_NUM"))),
-]
+]

@@ -14,6 +14,7 @@ from ..model import Metadata, read_metadata, write_metadata
 from ..operators import bootstrap
 from ..operators.columns import coded_name, relabel
 from ..sources import detect, files, raw
+from ..sources.parsers import sas, spss
 from . import build
 from .registry import Entry, Registry
 
@@ -102,24 +103,38 @@ class Surveys:
         m = self.metadata(series, version, module)
         root = str(self.folder(series, version))
         try:
-            data = files.find_data_file(root, e.file_mask, m.layout is not None, e.bsw_mask)
+            data = files.find_data_file(root, e.file_mask, m.layout is not None, e.bsw_file_mask)
         except FileNotFoundError:
-            data = files.find_data_file(root, e.file_mask, m.layout is None, e.bsw_mask)
+            data = files.find_data_file(root, e.file_mask, m.layout is None, e.bsw_file_mask)
         if m.layout is not None and not data.lower().endswith(".csv"):
             rows = raw.read_fixed_width(self.spark, data, m.layout, e.data_encoding)
         else:
             rows = raw.drop_junk(raw.read_delimited(self.spark, data, e.data_encoding))
-        if e.bsw_mask and e.bsw_join_key and (shipped := self._shipped_weights(root, e)):
-            weights = raw.numeric_except(raw.read_delimited(self.spark, shipped, e.data_encoding), [e.bsw_join_key])
+        if e.bsw_file_mask and e.bsw_join_key and (shipped := self._shipped_weights(root, e)) is not None:
+            weights = raw.numeric_except(shipped, [e.bsw_join_key])
             coded = build.with_shipped_weights(build.typed(rows, m, e.fixups, None), weights, e.bsw_join_key, e.bsw_drop)
         else:
             coded = build.typed(rows, m, e.fixups, None)
         coded.write.mode("overwrite").parquet(str(path))
         return str(path)
 
-    def _shipped_weights(self, root: str, e: Entry) -> str | None:
-        found = [p for p in sorted(Path(root).rglob("*.csv")) if re.search(e.bsw_mask, p.name, re.I)]
-        return str(found[0]) if found else None
+    def _shipped_weights(self, root: str, e: Entry) -> DataFrame | None:
+        """SRC-07: the replicate-weight file, delimited or fixed-width; the layout is
+        that of its own command files, else of a ``layout`` text beside it."""
+        found = [p for p in sorted(Path(root).rglob("*")) if p.is_file() and re.search(e.bsw_file_mask, p.name, re.I) and "layout" not in p.name.lower()]
+        if not found:
+            return None
+        path = found[0]
+        if path.suffix.lower() == ".csv":
+            return raw.read_delimited(self.spark, str(path), e.data_encoding)
+        layout = None
+        if e.bsw_mask:
+            text = detect.detect(root, f"(?i){e.bsw_mask}", e.metadata_encoding).get("spss_split", {}).get("layout")
+            layout = text and spss.layout_of(text)
+        if not layout:
+            beside = next((p for p in sorted(path.parent.glob("*")) if p.name.lower().startswith("layout") and p.suffix.lower() == ".txt"), None)
+            layout = beside and sas.at_layout(detect.read_text(beside, e.metadata_encoding))[0]
+        return raw.read_fixed_width(self.spark, str(path), layout, e.data_encoding) if layout else None
 
     def open(self, series: str, version: str, lang: str = "eng", module: str = "", refresh: bool = False) -> SurveyTable:
         """API-01: the labelled table, built first where need be."""

@@ -38,7 +38,7 @@ def find_data_file(directory: str, file_mask: str | None = None, fixed_width: bo
     Text or CSV files by preference, without codebooks, layouts and replicate
     weights; of files with one name the shallowest; one must be left.
     """
-    endings = (".txt", ".dat", ".asc", ".prn") if fixed_width else (".csv",)
+    endings = (".txt", ".dat", ".asc", ".prn", ".sdf") if fixed_width else (".csv",)
     found: dict[str, Path] = {}
     for p in sorted(Path(directory).rglob("*"), key=lambda p: (len(p.parts), str(p))):
         name = p.name.lower()

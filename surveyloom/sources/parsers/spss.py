@@ -111,3 +111,8 @@ def parse_split(layout: str, labels_en: str, codes_en: str, missing: str = "", l
     if labels_fr or codes_fr:
         french = _facts("\n".join([labels_fr, codes_fr]))
     return resolve(english, french)
+
+
+def layout_of(text: str):
+    """The fields of a file that holds a DATA LIST alone."""
+    return _facts(text).layout

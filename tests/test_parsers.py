@@ -147,6 +147,16 @@ def test_registry():
         resolve_version("GSS", "2018", known)
 
 
+def test_aliases():
+    known = ["Cycle 16 (2002)", "Cycle 31 (2017)", "1", "2016 (individuals)", "1991/individuals_prov"]
+    for alias in ("cycle16", "Aging and Social Support 2002", "aging and social support", "Cycle 16 2002"):
+        assert resolve_version("GSS", alias, known) == "Cycle 16 (2002)"
+    assert resolve_version("GSS", "Family 2017", known) == "Cycle 31 (2017)"
+    assert resolve_version("CPSS", "Series 4", known) == "4" and resolve_version("CCAHS", "2022", []) == "1"
+    assert resolve_version("Census", "1991", known) == "1991/individuals_prov" and resolve_version("Census", "2016", known) == "2016 (individuals)"
+    assert resolve_version("CIS", "2019", []) == "2019" and len(Registry().table()) > 25
+
+
 def test_files(tmp_path):
     inner, outer = tmp_path / "in.zip", tmp_path / "out.zip"
     with zipfile.ZipFile(inner, "w") as z:

@@ -27,6 +27,15 @@ def surveys(spark, tmp_path):
     return Surveys(spark, str(tmp_path), Registry([Entry("S", "2020", bsw_join_key="ID", bsw_strata=("REG",))]))
 
 
+def test_shipped_weights(surveys, spark):
+    folder = surveys.folder("S", "2020")
+    (folder / "layout_bsw.txt").write_text("@1 ID $CHAR3.\n@4 BSW1 5.1\n")
+    (folder / "s_bsw.txt").write_text("".join(f"{k:03d}{k:5.1f}\n" for k in range(1, 11)))
+    surveys.registry = Registry([Entry("S", "2020", bsw_join_key="ID", bsw_file_mask="bsw\\.txt")])
+    rows = {r.ID: r.BSW1 for r in surveys.open("S", "2020").df.collect()}
+    assert rows["007"] == 7.0 and rows["015"] is None and len(rows) == 20
+
+
 def test_open_label_and_bootstrap(surveys):
     t = surveys.open("S", "2020")
     assert t.df.count() == 20 and {r.REG for r in t.df.collect()} == {"North", "South"}
