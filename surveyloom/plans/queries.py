@@ -308,12 +308,12 @@ def bootstrap_se(spark, sf_dir):
     return se.select("o_orderpriority", F.round("point", 2).alias("point"), F.round("se", 2).alias("se"))
 
 
-@_query(_boot(1, 8, "o_orderstatus", f", {_REPS} SELECT o_orderpriority, round(quantile_cont(total, 0.025), 2) AS low, round(quantile_cont(total, 0.975), 2) AS high FROM t GROUP BY 1"))
+@_query(_boot(1, 8, "o_orderstatus", f", {_REPS} SELECT o_orderpriority, round(quantile_cont(total, 0.025), 0) AS low, round(quantile_cont(total, 0.975), 0) AS high FROM t GROUP BY 1"))
 def bootstrap_ci(spark, sf_dir):
     """AGG-07"""
     _, df = _replicated(spark, sf_dir)
     ci = estimate.interval(estimate.replicate_totals(df, ["o_orderpriority"]), ["o_orderpriority"])
-    return ci.select("o_orderpriority", F.round("low", 2).alias("low"), F.round("high", 2).alias("high"))
+    return ci.select("o_orderpriority", F.round("low", 0).alias("low"), F.round("high", 0).alias("high"))
 
 
 @_query(_boot(1, 6, "o_orderstatus", "SELECT r.id, round(sum(draws * w), 2) AS total FROM r JOIN c USING (stratum, place) GROUP BY ALL"))
