@@ -43,6 +43,8 @@ def detect(directory: str, mask: str | None = None, encoding: str = "CP1252") ->
                 found.setdefault("spss_split", {}).setdefault(role, text)
             elif re.search(r"(?i)VARIABLE\s+LABELS|VALUE\s+LABELS", text):
                 found.setdefault("spss_mono", {}).setdefault("french" if is_french(p, root) else "english", text)
+        elif name.endswith(".sav") and in_mask:
+            found.setdefault("spss_sav", {}).setdefault("path", str(p))
         elif p.suffix.lower() in CARDS and in_mask:
             found.setdefault("sas_cards", {}).setdefault(CARDS[p.suffix.lower()], read_text(p, encoding))
         elif name.endswith(".csv"):
@@ -54,6 +56,8 @@ def detect(directory: str, mask: str | None = None, encoding: str = "CP1252") ->
                 found.setdefault("cpss_csv", {}).setdefault("text", read_text(p, encoding))
     if set(found.get("spss_split", {})) < {"layout", "labels_en"}:
         found.pop("spss_split", None)
+    if {"spss_mono", "spss_split"} & set(found):
+        found.pop("spss_sav", None)  # only where there is no command file
     if "spss_mono" in found:
         own = found["spss_mono"]
         own.setdefault("english", own.get("french", ""))
@@ -66,6 +70,7 @@ def parse(directory: str, mask: str | None = None, encoding: str = "CP1252") ->
         "spss_mono": lambda t: parsers.parse_mono(t["english"], t.get("french")),
         "spss_split": lambda t: parsers.parse_split(t["layout"], t["labels_en"], t.get("codes_en", ""), t.get("missing", ""), t.get("labels_fr", ""), t.get("codes_fr", "")),
         "sas_cards": lambda t: parsers.parse_cards(t.get("layout", ""), t.get("labels_en", ""), t.get("codes_en", ""), t.get("missing", ""), t.get("labels_fr", ""), t.get("codes_fr", "")),
+        "spss_sav": lambda t: parsers.parse_sav(Path(t["path"]).read_bytes(), encoding),
         "lfs_csv": lambda t: parsers.parse_lfs_codebook(t["text"]),
         "cpss_csv": lambda t: parsers.parse_cpss(t["text"]),
     }
