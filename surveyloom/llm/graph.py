@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+#: Edges a partition, so that a small graph doesn't leave thousands of small files.
+EDGES_A_PART = 50_000
+
+
 def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 
@@ -48,5 +52,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                 roots.select(F.col("v").alias("node"), F.col("v").alias("root"))
             )
         state = seen
-        now = cut(_small_star(_large_star(now)))
+        parts = 1 + seen[0] // EDGES_A_PART
+        now = cut(_small_star(_large_star(now.coalesce(parts))).coalesce(parts))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
