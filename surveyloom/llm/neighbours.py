@@ -25,6 +25,8 @@ from .common import broadcast_value, cut, ship, written
 SAMPLE = 16_384
 FOREST_BYTES = 256_000_000
 BLOCK_BYTES = 64_000_000
+#: Vectors that a task reranks at once.
+SLICE = 8192
 
 
 class Tree(NamedTuple):
@@ -149,39 +151,62 @@ def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
     return query[place < k], ids[place < k], scores[place < k]
 
 
-def _rerank(forest: Forest, queries: tuple, x: np.ndarray, ids: np.ndarray, k: int):
-    """The k best of these vectors for each query that has seen their leaves.
-
-    One matrix product a leaf tells which pairs can matter; these get their
-    score in one fixed order of summation, so that equal vectors tie exactly.
-    """
-    q_ids, q, by_leaf = queries
-    raised = _raised(x, forest.largest)
-    width = 2**forest.depth
-    parts = []
-    for t, tree in enumerate(forest.trees):
-        leaf = leaves(tree, forest.depth, raised)
-        order = np.argsort(leaf, kind="stable")
-        starts = np.flatnonzero(np.r_[True, np.diff(leaf[order]) != 0])
-        for s, e in zip(starts, np.r_[starts[1:], len(order)]):
-            mine, asking = order[s:e], by_leaf.get(t * width + int(leaf[order[s]]))
-            if asking is None:
-                continue
-            near = q[asking] @ x[mine].T
-            if len(mine) > k + 1:
-                least = np.partition(near, len(mine) - k - 1, axis=1)[:, len(mine) - k - 1]
-                a, b = np.nonzero(near >= (least - 1e-9 * (1 + np.abs(least)))[:, None])
-            else:
-                a, b = np.nonzero(np.ones(near.shape, dtype=bool))
-            a, b = asking[a], mine[b]
-            other = q_ids[a] != ids[b]
-            parts.append((a[other], b[other]))
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    pair = np.unique(np.concatenate([a * len(x) + b for a, b in parts]))
-    a, b = pair // len(x), pair % len(x)
-    scores = np.concatenate([(q[a[s : s + 200_000]] * x[b[s : s + 200_000]]).sum(axis=1) for s in range(0, len(a), 200_000)] or [np.zeros(0)])
-    return _best(a, ids[b], scores, k)
+class _Best:
+    """A task's k best for each query, and the score that each query's k-th has."""
+
+    def __init__(self, queries: tuple, k: int):
+        self.q_ids, self.q, self.by_leaf = queries
+        self.k = k
+        self.held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        self.floor = np.full(len(self.q_ids), -np.inf)
+
+    def add(self, x: np.ndarray, ids: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Scores (query, vector) pairs, each in one fixed order of summation, so
+        that equal vectors tie exactly."""
+        if not pairs:
+            return
+        a, b = (np.concatenate(p) for p in zip(*pairs))
+        scores = np.concatenate([(self.q[a[s : s + 50_000]] * x[b[s : s + 50_000]]).sum(axis=1) for s in range(0, len(a), 50_000)])
+        self.held = _best(*(np.concatenate(p) for p in zip(self.held, (a, ids[b], scores))), self.k)
+        full = np.bincount(self.held[0], minlength=len(self.floor)) == self.k
+        last = np.full(len(self.floor), -np.inf)
+        last[self.held[0]] = self.held[2]  # a query's last row is its k-th
+        self.floor = np.where(full, last, -np.inf)
+
+    def rerank(self, forest: Forest, x: np.ndarray, ids: np.ndarray, most: int = 400_000) -> None:
+        """Takes in the vectors for each query that has seen their leaves.
+
+        One matrix product a leaf tells which pairs can matter, given what each
+        query has reached; only those are kept, and scored ``most`` at a time.
+        """
+        raised = _raised(x, forest.largest)
+        width, k = 2**forest.depth, self.k
+        for t, tree in enumerate(forest.trees):
+            leaf = leaves(tree, forest.depth, raised)
+            order = np.argsort(leaf, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(leaf[order]) != 0])
+            pairs, held = [], 0
+            for s, e in zip(starts, np.r_[starts[1:], len(order)]):
+                asking_all = self.by_leaf.get(t * width + int(leaf[order[s]]))
+                if asking_all is None:
+                    continue
+                mine = order[s:e]
+                for at in range(0, len(asking_all), max(1, most // len(mine))):
+                    asking = asking_all[at : at + max(1, most // len(mine))]
+                    near = self.q[asking] @ x[mine].T
+                    least = self.floor[asking]
+                    if len(mine) > k + 1:
+                        least = np.maximum(least, np.partition(near, len(mine) - k - 1, axis=1)[:, len(mine) - k - 1])
+                    slack = 1e-9 * (1 + np.abs(np.maximum(least, -1e300)))
+                    a, b = np.nonzero(near >= (least - slack)[:, None])
+                    a, b = asking[a].astype(np.int64), mine[b]
+                    other = self.q_ids[a] != ids[b]
+                    pairs.append((a[other], b[other]))
+                    held += len(a)
+                    if held >= most:
+                        self.add(x, ids, pairs)
+                        pairs, held = [], 0
+            self.add(x, ids, pairs)
 
 
 OUT = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
@@ -229,13 +254,12 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, trees: int = 12
 
         def rerank(batches, part=part):
             f, qs = shared.value, part.value
-            held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            best = _Best(qs, k)
             for b in batches:
                 x, ids = np.array(b["v"].tolist(), dtype=np.float64).reshape(-1, dims), b["vec_id"].to_numpy(dtype=np.int64)
-                for s in range(0, len(x), 2048):
-                    more = _rerank(f, qs, x[s : s + 2048], ids[s : s + 2048], k)
-                    held = _best(*(np.concatenate(p) for p in zip(held, more)), k)
-            yield pd.DataFrame({"query_id": qs[0][held[0]], "vec_id": held[1], "score": held[2]})
+                for s in range(0, len(x), SLICE):
+                    best.rerank(f, x[s : s + SLICE], ids[s : s + SLICE])
+            yield pd.DataFrame({"query_id": qs[0][best.held[0]], "vec_id": best.held[1], "score": best.held[2]})
 
         one = rows.mapInPandas(rerank, OUT)
         found = one if found is None else found.unionAll(one)
