@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from pathlib import Path
 
 from pyspark import Broadcast
@@ -82,6 +83,18 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+#: What frees a module's caches in a Python worker, by module.
+HELD: dict[str, Callable[[], None]] = {}
+
+
+def free_caches(keep: str = "") -> None:
+    """Workers serve one operator after another: frees what others have cached."""
+    for name, free in HELD.items():
+        if name != keep:
+            free()
+    gc.collect()
+
+
 def broadcast_value(spark: SparkSession, value, size: int, bound: int, what: str) -> Broadcast:
     """Broadcasts a value only if its size, in bytes, is within the bound."""
     if size > bound:

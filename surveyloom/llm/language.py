@@ -19,10 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_slices, broadcast_value, fold, ship
+from .common import bounded_slices, broadcast_value, fold, free_caches, ship
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -213,7 +219,7 @@ def sample(docs: DataFrame, docs_bound: int = 3000, chars_bound: int = 20_000, w
     out, held = [], 0
     for r in rows:
         n = len(r["text"].split())
-        if n and LETTER.search(r["text"]) and held + n <= words_bound:
+        if n and has_letter(r["text"]) and held + n <= words_bound:
             out.append((r["text"], r["lang"]))
             held += n
     return out
@@ -222,7 +228,7 @@ def sample(docs: DataFrame, docs_bound: int = 3000, chars_bound: int = 20_000, w
 # -- prediction -----------------------------------------------------------------
 
 
-def predict(m: Model, texts: list[str | None], cells: int = 400_000) -> list[tuple[str, float, int, int]]:
+def predict(m: Model, texts: list[str | None], cells: int = 150_000) -> list[tuple[str, float, int, int]]:
     """(label, mean probability, words, switches) for each whole text.
 
     ``und`` with 0.0 if a text is null or has no letter.
@@ -231,10 +237,12 @@ def predict(m: Model, texts: list[str | None], cells: int = 400_000) -> list[tup
     unique: dict[str, int] = {}
     todo = []
     for k, text in enumerate(texts):
-        if isinstance(text, str) and m.labels and LETTER.search(text):
-            words = [w for w in text.lower().split() if LETTER.search(w)]
+        if isinstance(text, str) and m.labels and has_letter(text):
+            words = [w for w in text.lower().split() if has_letter(w)]
             todo.append((k, np.fromiter((unique.setdefault(w, len(unique)) for w in words), dtype=np.int64, count=len(words))))
-    scores = _scores(m, list(unique))
+    words = list(unique)
+    blocks = [_scores(m, words[k : k + 10_000]) for k in range(0, len(words), 10_000)]
+    scores = np.concatenate(blocks) if blocks else _scores(m, [])
     todo.sort(key=lambda x: -len(x[1]))
     at = 0
     while at < len(todo):
@@ -277,7 +285,8 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     shared = _shared(docs, model)
 
     def run(batches):
-        for b in bounded_slices(batches, chars=2_000_000):
+        free_caches()
+        for b in bounded_slices(batches, chars=1_000_000):
             got = predict(shared.value, b["text"].tolist())
             yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "lang_pred": [x[0] for x in got], "score": [x[1] for x in got], "n_words": [x[2] for x in got], "switches": [x[3] for x in got]})
 
@@ -295,8 +304,9 @@ def keep_identified(docs: DataFrame, least: float = 0.35, model: Model | None =
     at = docs.columns.index("text")
 
     def run(batches):
+        free_caches()
         for whole in batches:
-            step = max(1, min(max(1, whole.num_rows), 4_000_000 * whole.num_rows // max(1, whole.nbytes)))
+            step = max(1, min(max(1, whole.num_rows), 1_000_000 * whole.num_rows // max(1, whole.nbytes)))
             for k in range(0, whole.num_rows, step):
                 b = whole.slice(k, step)
                 got = predict(shared.value, b.column(at).to_pylist())

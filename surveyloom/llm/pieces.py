@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_value, ship
+from .common import HELD, broadcast_value, free_caches, ship
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -103,7 +103,7 @@ def read_model(data: bytes) -> Model:
 
 
 class Transducer:
-    def __init__(self, data: bytes, cache: int = 400_000):
+    def __init__(self, data: bytes, cache: int = 250_000):
         self.model = m = read_model(data)
         self.text = [p for p, _, _ in m.pieces]
         self.kinds = [k for _, _, k in m.pieces]
@@ -128,7 +128,7 @@ class Transducer:
         self.old: dict[str, bytes] = {}
         self.heads: dict[str, list[str]] = {}
         self.cache_limit = cache
-        self.ends_pair = lru_cache(400_000)(self._ends_pair)
+        self.ends_pair = lru_cache(250_000)(self._ends_pair)
 
     def normalise(self, text: str) -> str:
         if self.model.trim_spaces:
@@ -286,6 +286,9 @@ def _compiled(data: bytes) -> Transducer:
     return Transducer(data)
 
 
+HELD["pieces"] = _compiled.cache_clear
+
+
 # -- the operator -------------------------------------------------------------
 
 #: Bound on a model file that is broadcast.
@@ -309,6 +312,7 @@ def encode_decode(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
     shared = broadcast_value(spark, data, len(data), MODEL_BYTES, "model file")
 
     def run(batches):
+        free_caches(keep="pieces")
         t = _compiled(shared.value)
         for whole in batches:
             step = max(1, min(whole.num_rows, 2_000_000 * whole.num_rows // max(1, whole.nbytes)))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_slices, cut, ship, words_of
+from .common import bounded_slices, cut, free_caches, ship, words_of
 from .graph import components
 
 HALF = 32
@@ -52,6 +52,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches):
+        free_caches()
         for b in bounded_slices(batches):
             fps = np.array([fingerprint(t, width, seed) for t in b["text"]], dtype=np.uint64)
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fps.view(np.int64)})
@@ -113,4 +114,7 @@ def keep_one(docs: DataFrame, distance: int = 3) -> DataFrame:
     groups = near_duplicates(docs, distance)
     stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
     kept = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stays")), "left_semi")
-    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    mark = "_text"
+    while mark in docs.columns:
+        mark += "_"
+    return kept.withColumn(mark, F.xxhash64("text")).dropDuplicates(["doc_id", mark]).drop(mark)

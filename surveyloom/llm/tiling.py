@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_slices, broadcast_value, ship, words_of
+from .common import bounded_slices, broadcast_value, free_caches, ship, words_of
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -157,6 +157,7 @@ def contaminated(
     for shared in _shared_blocks(docs, benchmark, block_bytes):
 
         def run(batches, shared=shared):
+            free_caches()
             index = Index(shared.value, shortest)
             for b in bounded_slices(batches):
                 out = []
@@ -188,6 +189,7 @@ def keep_clean(
     for shared in _shared_blocks(docs, benchmark, block_bytes):
 
         def run(batches, shared=shared):
+            free_caches()
             index = Index(shared.value, shortest)
             for b in batches:
                 clean = [all(sum(t[0] for t in tiles) < least * n for _, n, tiles in index.search(x)) for x in map(_py, b.column(at))]

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_slices, broadcast_value, fold, ship
+from .common import bounded_slices, broadcast_value, fold, free_caches, ship
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, STOP = range(7)
 # Fixed words of the classes, in English, French, German and Spanish.
@@ -243,6 +243,7 @@ def score(docs: DataFrame, labels: DataFrame | None = None, grammar: Grammar | N
     shared = broadcast_value(spark, g, sum(100 + len(w) for w in (*g.words, *g.stems)), GRAMMAR_BYTES, "grammar")
 
     def run(batches):
+        free_caches()
         g = shared.value
         read = _reader(g)
         for b in bounded_slices(batches):

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from surveyloom.llm import hmm, language, neighbours, toxicity
 
-EXTRA = [(900001, None, "en"), (900002, "", "en"), (900003, "12 34 !!", "en"), (900004, "Hello the and", None), (900004, "Hello the and", None)]
+EXTRA = [(900001, None, "en"), (900002, "", "en"), (900003, "12 34² ½ !!", "en"), (900004, "Hello the and", None), (900004, "Hello the and", None)]
 
 
 @pytest.fixture(scope="module")
@@ -86,7 +86,7 @@ def test_language_on_held_out_rows(spark, docs):
     assert sum(r.lang_pred == rows[r.doc_id].lang for r in held) / len(held) > 0.9
     for r in got:
         assert r.held_out == (remainder(r.doc_id, 5) == 0) and 0 <= r.score <= 1
-        assert (r.lang_pred == "und") == (not language.LETTER.search(rows[r.doc_id].text or ""))
+        assert (r.lang_pred == "und") == (not any(c.isalpha() for c in rows[r.doc_id].text or ""))
     kept = language.keep_identified(docs)
     assert kept.columns == docs.columns
     assert {900001, 900002, 900003}.isdisjoint(r.doc_id for r in kept.collect())

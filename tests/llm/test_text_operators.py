@@ -125,6 +125,8 @@ def test_line_dedup_matches_brute_force(spark):
         assert got[d].text == "\n".join(stay), d
         assert got[d].n_lines - got[d].n_dropped == len(stay)
     assert lines.dedup_lines(df.limit(0)).count() == 0
+    clash = lines.dedup_lines(df.selectExpr("doc_id", "text", "lid AS n_lines", "root AS _gone"))
+    assert clash.columns == ["doc_id", "text", "n_lines_in", "_gone_in", "n_lines", "n_dropped"]
 
 
 def test_line_dedup_repeated_rows_and_ids(spark):
