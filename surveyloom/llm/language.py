@@ -228,10 +228,11 @@ def sample(docs: DataFrame, docs_bound: int = 3000, chars_bound: int = 20_000, w
 # -- prediction -----------------------------------------------------------------
 
 
-def predict(m: Model, texts: list[str | None], cells: int = 150_000) -> list[tuple[str, float, int, int]]:
+def predict(m: Model, texts: list[str | None], cells: int = 150_000, block: int = 10_000) -> list[tuple[str, float, int, int]]:
     """(label, mean probability, words, switches) for each whole text.
 
-    ``und`` with 0.0 if a text is null or has no letter.
+    ``und`` with 0.0 if a text is null or has no letter. ``cells`` (words side by
+    side) and ``block`` (words scored at once) trade memory for speed.
     """
     out: list[tuple[str, float, int, int]] = [(UNKNOWN, 0.0, 0, 0)] * len(texts)
     unique: dict[str, int] = {}
@@ -241,7 +242,7 @@ def predict(m: Model, texts: list[str | None], cells: int = 150_000) -> list[tup
             words = [w for w in text.lower().split() if has_letter(w)]
             todo.append((k, np.fromiter((unique.setdefault(w, len(unique)) for w in words), dtype=np.int64, count=len(words))))
     words = list(unique)
-    blocks = [_scores(m, words[k : k + 10_000]) for k in range(0, len(words), 10_000)]
+    blocks = [_scores(m, words[k : k + block]) for k in range(0, len(words), block)]
     scores = np.concatenate(blocks) if blocks else _scores(m, [])
     todo.sort(key=lambda x: -len(x[1]))
     at = 0
@@ -286,8 +287,8 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches):
         free_caches()
-        for b in bounded_slices(batches, chars=1_000_000):
-            got = predict(shared.value, b["text"].tolist())
+        for b in bounded_slices(batches, chars=2_000_000):
+            got = predict(shared.value, b["text"].tolist(), 400_000, 100_000)
             yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "lang_pred": [x[0] for x in got], "score": [x[1] for x in got], "n_words": [x[2] for x in got], "switches": [x[3] for x in got]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))

@@ -103,7 +103,7 @@ def read_model(data: bytes) -> Model:
 
 
 class Transducer:
-    def __init__(self, data: bytes, cache: int = 250_000):
+    def __init__(self, data: bytes, cache: int = 400_000):
         self.model = m = read_model(data)
         self.text = [p for p, _, _ in m.pieces]
         self.kinds = [k for _, _, k in m.pieces]
@@ -128,7 +128,7 @@ class Transducer:
         self.old: dict[str, bytes] = {}
         self.heads: dict[str, list[str]] = {}
         self.cache_limit = cache
-        self.ends_pair = lru_cache(250_000)(self._ends_pair)
+        self.ends_pair = lru_cache(cache)(self._ends_pair)
 
     def normalise(self, text: str) -> str:
         if self.model.trim_spaces:
@@ -282,8 +282,8 @@ class Transducer:
 
 
 @lru_cache(2)
-def _compiled(data: bytes) -> Transducer:
-    return Transducer(data)
+def _compiled(data: bytes, cache: int) -> Transducer:
+    return Transducer(data, cache)
 
 
 HELD["pieces"] = _compiled.cache_clear
@@ -295,7 +295,7 @@ HELD["pieces"] = _compiled.cache_clear
 MODEL_BYTES = 32_000_000
 
 
-def encode_decode(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
+def encode_decode(docs: DataFrame, model: str = DEFAULT_MODEL, cache: int = 400_000) -> DataFrame:
     """doc_id, n_ids, ids, decoded, reversible for each row of ``docs``.
 
     ids encode the whole text, decoded is read back from them, and reversible
@@ -303,7 +303,8 @@ def encode_decode(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
     normaliser takes for a space (and what a trimming model trims), makes a
     difference. A null text is encoded like an empty one: no ids. Repeated rows
     give repeated results. The model file is read by the driver alone and
-    broadcast, its size checked.
+    broadcast, its size checked. ``cache`` bounds what a worker keeps (about half a
+    kilobyte a word); it changes speed alone.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -313,7 +314,7 @@ def encode_decode(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
 
     def run(batches):
         free_caches(keep="pieces")
-        t = _compiled(shared.value)
+        t = _compiled(shared.value, cache)
         for whole in batches:
             step = max(1, min(whole.num_rows, 2_000_000 * whole.num_rows // max(1, whole.nbytes)))
             for at in range(0, whole.num_rows, step):
