@@ -34,7 +34,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document, and its text decoded from them."""
-    return pieces.encode_decode(docs)
+    return pieces.encode_decode(docs, cache=250_000)  # executors still hold other stages' memory
 
 
 STAGES = [
