@@ -26,7 +26,10 @@ LETTER = re.compile(r"[^\W\d_]")
 
 
 def has_letter(text: str) -> bool:
-    return any(m[0].isalpha() for m in LETTER.finditer(text))
+    m = LETTER.search(text)
+    while m and not m[0].isalpha():  # a number sign such as a superscript
+        m = LETTER.search(text, m.end())
+    return m is not None
 
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -239,7 +242,7 @@ def predict(m: Model, texts: list[str | None], cells: int = 150_000, block: int
     todo = []
     for k, text in enumerate(texts):
         if isinstance(text, str) and m.labels and has_letter(text):
-            words = [w for w in text.lower().split() if has_letter(w)]
+            words = [w for w in text.lower().split() if w.isalpha() or has_letter(w)]
             todo.append((k, np.fromiter((unique.setdefault(w, len(unique)) for w in words), dtype=np.int64, count=len(words))))
     words = list(unique)
     blocks = [_scores(m, words[k : k + block]) for k in range(0, len(words), block)]
