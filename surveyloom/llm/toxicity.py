@@ -106,11 +106,15 @@ def _bare(word: str) -> str:
     return EDGE.sub("", word).replace("'", "").replace("’", "")
 
 
-def learn_lexicon(texts: list[tuple[str, int]], support: int = 6, share: float = 0.85):
+def learn_lexicon(texts: list[tuple[str, int]], support: int = 5, share: float = 0.9):
     """Words and stems that hold to toxic texts. A text counts once, and only for
-    lines not seen before, so that copies of one text are no further evidence."""
+    lines not seen before, so that copies of one text are no further evidence.
+    A word or stem must be in ``support`` toxic texts (a sixtieth of them, if
+    more) and in toxic ones for a ``share`` of its texts."""
     seen: set[str] = set()
     toxic, total = Counter(), Counter()
+    fixed = {w for ws in WORDS.values() for w in ws.split()}
+    support = max(support, sum(label for _, label in texts) // 60)
     for text, label in texts:
         found = set()
         for line in text.lower().split("\n"):
@@ -119,7 +123,8 @@ def learn_lexicon(texts: list[tuple[str, int]], support: int = 6, share: float =
             seen.add(line)
             for w in {_bare(x) for x in line.split()}:
                 found.add(w)
-                found.update(w[:n] + "*" for n in STEMS if len(w) >= n)
+                if w not in fixed:  # a stem must be of more than a fixed word
+                    found.update(w[:n] + "*" for n in STEMS if len(w) >= n)
         total.update(found)
         if label:
             toxic.update(found)
