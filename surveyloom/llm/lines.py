@@ -1,9 +1,8 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
 A line is known by a 128-bit hash of its text, so copies meet as one node.
-A line's shingles of eight characters (of long lines, those that begin with a
-fixed class of characters) are hashed and 28 minima are kept, taken as each
-task reads and merged in the shuffle; runs of four minima make
+All of a line's shingles of eight characters are hashed and 28 minima are kept,
+taken as each task reads and merged in the shuffle; runs of four minima make
 seven bands. Lines that share a band are compared with the band's commonest line
 by their exact Jaccard similarity. What that leaves apart is then compared with
 those lines of the band that can still be near it by what both have beyond the
@@ -21,10 +20,6 @@ from .common import cut, written
 from .graph import components
 
 BANDS, ROWS = 7, 4
-#: Lines of LONG characters or more choose their shingles; below BOTH they also take all.
-LONG, BOTH = 128, 160
-#: First characters of chosen shingles: code points of 2 modulo 4 in ASCII, all others.
-ANCHOR = r"[\"&*.26:>BFJNRVZ^bfjnrvz~\u0080-\x{10FFFF}]"
 #: Candidate lines whose 128-bit keys may be broadcast (24 bytes each in memory).
 BROADCAST_LINES = 400_000
 
@@ -45,42 +40,26 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     )
 
 
-def _windows(line: Column, width: int, start: str = "") -> Column:
-    """All windows of ``width`` characters, or those whose first is of a class."""
-    shape = f"{start}.{{{width - 1}}}" if start else f".{{{width}}}"
-    return F.regexp_extract_all(line, F.lit(f"(?s)(?=({shape}))"), F.lit(1))
+def _windows(line: Column, width: int) -> Column:
+    """All windows of ``width`` characters, or the line itself if it is shorter."""
+    every = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1))
+    return F.when(F.length(line) < width, F.array(line)).otherwise(every)
 
 
 def _signatures(lines: DataFrame, width: int) -> DataFrame:
-    """(h1, h2, mode, m0...): minima of shingle hashes, permuted by xor.
-
-    Mode 0 takes all shingles, mode 1 those that begin with an ANCHOR character,
-    a choice by content that equal shingles share. Lines whose lengths can be
-    those of near copies on either side of the border have both.
-    """
-    n = F.length("line")
-    modes = F.when(n < LONG, F.array(F.lit(0))).when(n < BOTH, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
-    windows = (
-        F.when(n < width, F.array("line"))
-        .when(F.col("mode") == 0, _windows(F.col("line"), width))
-        .otherwise(_windows(F.col("line"), width, ANCHOR))
-    )
-    shingles = (
-        lines.select("h1", "h2", "line", F.explode(modes).alias("mode"))
-        .select("h1", "h2", "mode", F.explode(windows).alias("shingle"))
-        .select("h1", "h2", "mode", F.xxhash64("shingle").alias("h"))
-    )
+    """(h1, h2, weight, m0...): minima of shingle hashes, permuted by xor."""
+    shingles = lines.select("h1", "h2", F.explode(_windows(F.col("line"), width)).alias("shingle")).select("h1", "h2", F.xxhash64("shingle").alias("h"))
     xors = [F.xxhash64(F.lit(k), F.lit("permutation")) for k in range(BANDS * ROWS)]
-    return shingles.groupBy("h1", "h2", "mode").agg(F.count(F.lit(1)).alias("weight"), *[F.min(F.col("h").bitwiseXOR(x)).alias(f"m{k}") for k, x in enumerate(xors)])
+    return shingles.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("weight"), *[F.min(F.col("h").bitwiseXOR(x)).alias(f"m{k}") for k, x in enumerate(xors)])
 
 
 def _bands(signatures: DataFrame) -> DataFrame:
-    keys = [F.xxhash64(F.lit(b), "mode", *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
+    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
     return signatures.select("h1", "h2", F.xxhash64("h1", "h2").alias("lid"), "weight", F.array(*keys).alias("bands"))
 
 
 def _shingle_set(line: Column, width: int) -> Column:
-    return F.array_distinct(F.when(F.length(line) < width, F.array(line)).otherwise(_windows(line, width)))
+    return F.array_distinct(_windows(line, width))
 
 
 def _compared(pairs: DataFrame, bands: DataFrame, lines: DataFrame, width: int) -> DataFrame:

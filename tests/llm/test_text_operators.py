@@ -136,6 +136,41 @@ def test_line_dedup_repeated_rows_and_ids(spark):
     assert got == [(-1, "a third one\none line of text"), (5, "and another"), (5, "and another")]
 
 
+def test_line_dedup_long_lines(spark):
+    rng = random.Random(8)
+    free = "aeostlc "  # none of the characters that long lines' shingles once had to begin with
+    some = lambda n, of=free: "".join(rng.choice(of) for _ in range(n))
+    texts = [c * n for c in "-=_#" for n in (200, 210)]
+    body = some(300)
+    texts += [body, body[:150] + "t" + body[151:]]
+    digits = some(260, "01345789")
+    texts += [digits, digits[:-1] + "9", digits[:-1] + "8"]
+    short = some(120, free + "bfjnrvz")
+    texts += [short, short + short, (short + " ") * 5, "ab " * 50, "ab " * 90, some(220), some(220, "bfjnrvz26.")]
+    got = {r.doc_id: r for r in lines.dedup_lines(frame(spark, texts)).collect()}
+    near = [(a, b) for i, a in enumerate(texts) for b in texts[i + 1 :] if jaccard(a, b) >= 0.8]
+    assert len(near) > 8
+    root = union_find(texts, near)
+    first = {}
+    for d, x in enumerate(texts):
+        first.setdefault(root[x], d)
+    assert {d for d, r in got.items() if r.n_dropped == 0} == set(first.values())
+
+
+def test_line_dedup_long_lines_at_exactly_the_least(spark):
+    # A band is shared with a probability of 0.975 at 0.8, so a few pairs may stay apart.
+    rng = random.Random(15)
+    texts = []
+    for _ in range(60):
+        a = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(8 * 40 + 7))
+        b = a + "".join(rng.choice("BFJNRVZ") for _ in range(80))  # all of them once chosen, of a's few
+        assert jaccard(a, b) == 0.8
+        texts += [a, b]
+    got = lines.dedup_lines(frame(spark, texts)).collect()
+    assert {r.doc_id for r in got if r.n_dropped} <= set(range(1, 120, 2))
+    assert sum(r.n_dropped for r in got) >= 54
+
+
 def plain_tiles(doc, item, shortest):
     """Greedy string tiling by definition: the longest unmarked match, again and again."""
     md, mi, tiles = [False] * len(doc), [False] * len(item), 0
