@@ -141,16 +141,42 @@ def fit(rows: DataFrame, dims: int, trees: int = 12, leaf: int = 64, sample: int
 
 
 def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
-    """The k first rows of each query by score, then id; equal pairs count once."""
-    order = np.lexsort((ids, -scores, query))
+    """The k first ids of each query by their best score, then id."""
+    order = np.lexsort((-scores, ids, query))
     query, ids, scores = query[order], ids[order], scores[order]
     fresh = np.r_[True, (np.diff(query) != 0) | (np.diff(ids) != 0)] if len(query) else np.zeros(0, bool)
     query, ids, scores = query[fresh], ids[fresh], scores[fresh]
+    order = np.lexsort((ids, -scores, query))
+    query, ids, scores = query[order], ids[order], scores[order]
     starts = np.flatnonzero(np.r_[True, np.diff(query) != 0]) if len(query) else np.zeros(0, np.int64)
     place = np.arange(len(query)) - np.repeat(starts, np.diff(np.r_[starts, len(query)]))
     return query[place < k], ids[place < k], scores[place < k]
 
 
+def _kth_other(near: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """Each row's k-th best product over distinct ids but its own, -inf if there are
+    fewer; ``ids`` are the columns' ids in order."""
+    starts = np.flatnonzero(np.r_[True, np.diff(ids) != 0])
+    if len(starts) < k:
+        return np.full(len(near), -np.inf)
+    best, names = near.copy() if len(starts) == len(ids) else np.maximum.reduceat(near, starts, axis=1), ids[starts]
+    at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+    mine = np.flatnonzero(names[at] == own)
+    best[mine, at[mine]] = -np.inf
+    return np.partition(best, len(names) - k, axis=1)[:, len(names) - k]
+
+
+def _once(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by id, those of equal id and vector once."""
+    order = np.argsort(ids, kind="stable")
+    x, ids = x[order], ids[order]
+    if (np.diff(ids) != 0).all():
+        return x, ids
+    rows = np.ascontiguousarray(np.c_[x.view(np.int64), ids])
+    first = np.sort(np.unique(rows.view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel(), return_index=True)[1])
+    return x[first], ids[first]
+
+
 class _Best:
     """A task's k best for each query, and the score that each query's k-th has."""
 
@@ -178,7 +204,10 @@ class _Best:
 
         One matrix product a leaf tells which pairs can matter, given what each
         query has reached; only those are kept, and scored ``most`` at a time.
+        What can matter is told over distinct vec_ids without the query's own,
+        so that repeated rows take no other candidate's place.
         """
+        x, ids = _once(x, ids)
         raised = _raised(x, forest.largest)
         width, k = 2**forest.depth, self.k
         for t, tree in enumerate(forest.trees):
@@ -194,9 +223,7 @@ class _Best:
                 for at in range(0, len(asking_all), max(1, most // len(mine))):
                     asking = asking_all[at : at + max(1, most // len(mine))]
                     near = self.q[asking] @ x[mine].T
-                    least = self.floor[asking]
-                    if len(mine) > k + 1:
-                        least = np.maximum(least, np.partition(near, len(mine) - k - 1, axis=1)[:, len(mine) - k - 1])
+                    least = np.maximum(self.floor[asking], _kth_other(near, ids[mine], self.q_ids[asking], k))
                     slack = 1e-9 * (1 + np.abs(np.maximum(least, -1e300)))
                     a, b = np.nonzero(near >= (least - slack)[:, None])
                     a, b = asking[a].astype(np.int64), mine[b]

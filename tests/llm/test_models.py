@@ -175,6 +175,33 @@ def test_neighbours(spark):
     assert sorted((r.query_id, r.vec_id) for r in few) == [(0, 1), (0, 2), (0, 3)]
 
 
+@pytest.mark.parametrize("own, many", [(400, 0), (0, 60), (30, 0), (400, 60)])
+def test_neighbours_of_repeated_rows(spark, own, many):
+    """``own`` copies of a query's row, ``many`` vectors of one id; one task, so that all meet."""
+    rng = np.random.default_rng(12)
+    flat = lambda x: [float(np.float32(c)) for c in x]
+    n = 25 if own == 30 else 600  # the few are one leaf
+    vectors = [(i, flat(rng.standard_normal(8))) for i in range(n)]
+    hot = np.array(vectors[20][1])
+    vectors += [(700 + i, flat(hot + 0.1 * rng.standard_normal(8))) for i in range(5)]
+    vectors += [(20, vectors[20][1])] * own
+    vectors += [(9, flat(hot + 0.1 * rng.standard_normal(8))) for _ in range(many)]
+    vectors = [vectors[k] for k in rng.permutation(len(vectors))]
+    x, ids = np.array([v for _, v in vectors]), np.array([i for i, _ in vectors])
+    got = {}
+    for r in neighbours.nearest(spark.createDataFrame(vectors, "vec_id long, embedding array<float>").coalesce(1)).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(got) == {i for i in ids.tolist() if i % 20 == 0}
+    for q, rows in got.items():
+        best = {}
+        for i, p in zip(ids.tolist(), (x @ x[ids == q].T).max(axis=1)):
+            if i != q:
+                best[i] = max(p, best.get(i, -np.inf))
+        want = sorted(best, key=lambda i: (-best[i], i))[:20]
+        assert [i for _, i, _ in sorted(rows)] == want, q
+        assert np.allclose([s for _, _, s in sorted(rows)], [best[i] for i in want])
+
+
 def test_neighbours_recall(spark, small):
     df = spark.read.parquet(f"{small.replace('0.001', '0.1')}/embeddings.parquet")
     rows = df.collect()
