@@ -5,7 +5,9 @@ read in an inferred encoding and tested for randomness: chi-squared uniformity
 over the alphabet, runs about its middle and serial correlation, combined by
 Fisher's method. Within each encoding and length class a Benjamini-Hochberg
 step-up over all runs of all texts decides which are not random; the rest are
-added as spans. Short runs, in which the tests lack power, are not tested.
+added as spans. Short runs, in which the tests lack power, are not tested. A
+run that meets base spans is cut there, and what fits no encoding whole is cut
+for each one at the characters it lacks; the pieces are tested.
 """
 
 from __future__ import annotations
@@ -158,19 +160,53 @@ def _randomness(values: Column, m: Column) -> Column:
     return _let(x, lambda x: F.least(F.lit(1.0), F.exp(-x / 2) * (1 + x / 2 + x * x / 8)))
 
 
+def _encoding(run: Column) -> Column:
+    """The first encoding that a whole run fits, or null."""
+    return reduce(
+        lambda rest, x: F.when(run.rlike(x[1][0]) & (F.length(run) >= x[1][2]), F.lit(x[0])).otherwise(rest), reversed(ENCODINGS.items()), F.lit(None).cast("string")
+    )
+
+
+def _pieces(found: DataFrame, least: int) -> DataFrame:
+    """(row, s, run): runs whole where they fit an encoding and meet no base span.
+
+    Others are cut at the base spans, with one joining character beside each, and
+    what then fits no encoding at the characters that each lacks; pieces of two
+    encodings may overlap.
+    """
+    runs = found.select("row", F.explode("runs").alias("r"), "base").select("row", "r.s", "r.e", "r.t", "base")
+    met = F.sort_array(F.filter("base", lambda b: (b["s"] < F.col("e")) & (F.col("s") < b["e"])))
+    none = F.expr("named_struct('at', s, 'out', cast(array() as array<struct<s:int,e:int>>))")
+    part = lambda a, b: F.array(F.struct(a.alias("s"), b.alias("e")))
+
+    def step(acc: Column, b: Column) -> Column:
+        out = F.when(acc["at"] < b["s"], F.concat(acc["out"], part(acc["at"], b["s"]))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], b["e"]).alias("at"), out.alias("out"))
+
+    parts = F.aggregate(met, none, step, lambda acc: F.concat(acc["out"], part(acc["at"], F.col("e"))))
+    at = lambda k: F.col("t").substr(k - F.col("s") + 1, F.lit(1)).rlike("[+/_-]").cast("int")
+    left = F.when(F.col("p.s") > F.col("s"), at(F.col("p.s"))).otherwise(0)
+    right = F.when(F.col("p.e") < F.col("e"), at(F.col("p.e") - 1)).otherwise(0)
+    ends = runs.withColumn("p", F.explode(parts)).filter(F.col("p.e") - F.col("p.s") >= least).select("row", "s", "t", (F.col("p.s") + left).alias("a"), (F.col("p.e") - right).alias("b"))
+    whole = ends.select("row", F.col("a").alias("s"), F.col("t").substr(F.col("a") - F.col("s") + 1, F.col("b") - F.col("a")).alias("run"))
+    run = F.col("run")
+    classes = ["[" + alphabet.replace("-", r"\-") + "]+" for _, alphabet, _ in ENCODINGS.values()]
+    cuts = F.array_distinct(F.concat(*[_spans(run, c, 0, least) for c in classes]))
+    one = F.array(F.struct(F.lit(0).alias("s"), F.length(run).alias("e"), run.alias("t")))
+    split = whole.select("row", "s", F.explode(F.when(_encoding(run).isNotNull(), one).otherwise(cuts)).alias("x"))
+    return split.select("row", (F.col("s") + F.col("x.s")).alias("s"), F.col("x.t").alias("run"))
+
+
 def _tested(runs: DataFrame) -> DataFrame:
     """Adds encoding, class and the p-value's bin to rows (..., run)."""
     n = F.length("run")
-    encoding = reduce(
-        lambda rest, x: F.when(F.col("run").rlike(x[1][0]) & (n >= x[1][2]), F.lit(x[0])).otherwise(rest), reversed(ENCODINGS.items()), F.lit(None).cast("string")
-    )
-    known = cut(runs.withColumn("encoding", encoding).filter("encoding is not null"))
+    known = cut(runs.withColumn("encoding", _encoding(F.col("run"))).filter("encoding is not null"))
     alphabet = reduce(lambda rest, x: F.when(F.col("encoding") == x[0], F.lit(x[1][1])).otherwise(rest), ENCODINGS.items(), F.lit(None).cast("string"))
     symbols = F.filter(F.split("run", ""), lambda c: c != "")
     p = _let(alphabet, lambda a: _randomness(F.transform(symbols, lambda c: F.instr(a, c) - 1), F.length(a)))
     size = reduce(lambda c, at: c + (n >= at).cast("int"), LENGTH_CLASSES, F.lit(0))
     binned = F.least(F.lit(MOST_BIN), F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) * PER_TEN).cast("int"))
-    return cut(known.select("row", "s", "encoding", size.alias("class"), binned.alias("bin")))
+    return cut(known.select("row", "s", "run", "encoding", size.alias("class"), binned.alias("bin")))
 
 
 def _cuts(tested: DataFrame, rate: float) -> dict[tuple[str, int], int]:
@@ -196,8 +232,8 @@ def find_secrets(docs: DataFrame, rate: float = 0.01) -> DataFrame:
     """doc_id and spans: array<struct<kind, start, end>> by start, then kind.
 
     Kinds are those of BASE, then ``random``; positions are code points, the
-    end exclusive. A random run whose place a base span covers or meets is not
-    added. Null and empty texts have no spans; repeated rows give repeated
+    end exclusive. Random spans meet no base span; where a run is cut for two
+    encodings, they may overlap. Null and empty texts have no spans; repeated rows give repeated
     results; an empty table gives no rows.
     """
     text = F.col("text")
@@ -208,16 +244,14 @@ def find_secrets(docs: DataFrame, rate: float = 0.01) -> DataFrame:
     named = [_named(x, order, kind) for order, (kind, x) in enumerate(spans.items())]
     found = written(rows.select("doc_id", F.monotonically_increasing_id().alias("row"), F.concat(*named[:-1]).alias("base"), named[-1].alias("runs")), "secret-spans")
 
-    runs = found.select("row", F.explode("runs").alias("r")).select("row", F.col("r.s").alias("s"), F.col("r.t").alias("run"))
-    tested = _tested(runs)
+    tested = _tested(_pieces(found, least_run))
     cuts = _cuts(tested, rate)
     random = F.lit(True)
     for (encoding, size), b in cuts.items():
         random = random & ~((F.col("encoding") == encoding) & (F.col("class") == size) & (F.col("bin") >= b))
-    kept = tested.filter(random).groupBy("row").agg(F.collect_set("s").alias("starts"))
-    clear = lambda r: ~F.exists("base", lambda b: (b["s"] < r["e"]) & (r["s"] < b["e"]))
-    added = F.filter("runs", lambda r: F.array_contains("starts", r["s"]) & clear(r))
-    spans_all = F.sort_array(F.concat("base", F.when(F.col("starts").isNull(), F.slice("runs", 1, 0)).otherwise(added)))
+    span = F.struct("s", F.lit(len(BASE)).alias("o"), (F.col("s") + F.length("run")).alias("e"), F.lit("random").alias("kind"), F.col("run").alias("t"))
+    kept = tested.filter(random).groupBy("row").agg(F.collect_set(span).alias("added"))
+    spans_all = F.sort_array(F.concat("base", F.coalesce("added", F.slice("base", 1, 0))))
     out = found.join(kept, "row", "left")
     return out.select("doc_id", F.transform(spans_all, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("start"), x["e"].alias("end"))).alias("spans"))
 

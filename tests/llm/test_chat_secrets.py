@@ -83,6 +83,28 @@ def test_op5_base_and_random(spark):
     assert secrets.find_secrets(df.limit(0)).count() == 0
 
 
+def test_op5_keys_within_longer_runs(spark):
+    rng = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    some = lambda n, of=letters: "".join(rng.choice(of) for _ in range(n))
+    token, plus, under = "9fA3kLm2Qx7Zp0VbT4sYw8Rj1Nc6HdUe", some(20) + "+/" + some(20), some(20) + "-_" + some(20)
+    hexes, upper = some(32, "0123456789abcdef"), some(40, "0123456789ABCDEF")
+    texts = [
+        (f"🎉 https://host.com/reset-password/{token}", [token]), (f"/srv/my_dir/{token}-x", [f"dir/{token}", f"{token}-x"]), (f"id-{plus}_x", [plus]), (f"a/b-c/{under}/d+e", [under]),
+        (f"{hexes}/{token} end", [token]), (f"{token}-{hexes}", [token]), (f"{token}/{hexes}-{under}/z", [token, under]), (f"a-b/{upper}", [upper]),
+        (f"{token} {plus} {under}", [token, plus, under]), ("some/long-path/to_a/file-name/without/any-Key2", []), (f"{hexes}/abc", []),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in secrets.find_secrets(df).collect()}
+    for i, (text, keys) in enumerate(texts):
+        for k in keys:
+            assert ("random", text.index(k), text.index(k) + len(k)) in got[i], (text, k, got[i])
+        base = [x for x in got[i] if x[0] != "random"]
+        assert [f"{k}:{s}:{e}" for k, s, e in base] == base_spans(text)
+        assert all(e <= s2 or e2 <= s for k, s, e in got[i] if k == "random" for _, s2, e2 in base)
+        assert len(got[i]) == len(set(got[i]))
+
+
 def test_op5_whole_table(spark, small):
     small = small.replace("sf0.001", "sf0.01")
     docs = spark.read.parquet(f"{small}/documents.parquet")
