@@ -203,7 +203,7 @@ def weighted_share(spark, sf_dir):
 def share_guarded(spark, sf_dir):
     """WIN-03 on a cross-table with empty cells."""
     o = _t(spark, sf_dir, "orders")
-    levels = [r[0] for r in o.select("o_orderpriority").distinct().orderBy("o_orderpriority").limit(100).collect()]
+    levels = [r[0] for r in o.select("o_orderpriority").distinct().orderBy("o_orderpriority").collect()]
     cells = estimate.crosstab(o, "o_orderstatus", ["F", "O", "P", "X"], "o_orderpriority", levels)
     out = estimate.share(cells, "n", ["o_orderstatus"], guarded=True)
     return out.withColumn("share", F.round("share", 10))

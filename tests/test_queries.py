@@ -39,3 +39,15 @@ def test_flagship(spark, small):
     assert len(rows) == 5
     assert abs(sum(r.share for r in rows) - 1) < 1e-9
     assert all(r.low <= r.high and r.se > 0 for r in rows)
+
+
+def test_share_guarded_takes_all_levels(spark, tmp_path):
+    rows = [(k, "FOP"[k % 3], f"level {k % 150}") for k in range(900)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string, o_orderpriority string").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    df = q.QUERIES["share_guarded"](spark, str(tmp_path))
+    got = c.execute(q.ORACLE["share_guarded"])
+    names = [d[0] for d in got.description]
+    assert df.count() == 600
+    assert canon(tuple(r[n] for n in names) for r in df.collect()) == canon(got.fetchall())
