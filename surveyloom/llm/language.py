@@ -298,11 +298,11 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double, n_words long, switches long")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.35, model: Model | None = None) -> DataFrame:
-    """The rows of ``docs`` whose language is found with a score of ``least``.
+def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The rows of ``docs`` that ``identify`` gives a language, not ``und``.
 
-    Texts in several languages are kept as long as one holds that share of the
-    words; whole rows pass through in their batches, so nothing is shuffled.
+    Texts in several languages are kept, however evenly mixed; whole rows pass
+    through in their batches, so nothing is shuffled.
     """
     shared = _shared(docs, model)
     at = docs.columns.index("text")
@@ -314,6 +314,6 @@ def keep_identified(docs: DataFrame, least: float = 0.35, model: Model | None =
             for k in range(0, whole.num_rows, step):
                 b = whole.slice(k, step)
                 got = predict(shared.value, b.column(at).to_pylist())
-                yield b.filter(pa.array([x[0] != UNKNOWN and x[1] >= least for x in got], pa.bool_()))
+                yield b.filter(pa.array([x[0] != UNKNOWN for x in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

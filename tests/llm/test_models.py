@@ -123,6 +123,15 @@ def test_code_switched_words():
     assert (lang, n) == ("en", 18) and switches >= 1 and 0.5 < share < 0.9
 
 
+def test_evenly_mixed_texts_are_kept(spark):
+    parts = {"en": "the of and with that was", "de": "und der die nicht ist ein", "fr": "les dans une pour est avec", "es": "los para del como pero muy"}
+    m = language.fit([(t, y) for y, t in parts.items()] * 40)
+    mixed = " ".join(parts.values())
+    assert language.predict(m, [mixed])[0][1] < 0.35
+    df = spark.createDataFrame([(1, mixed), (2, None), (3, "12 34 !"), (4, ""), (5, parts["de"])], "doc_id long, text string")
+    assert sorted(r.doc_id for r in language.keep_identified(df, model=m).collect()) == [1, 5]
+
+
 def test_toxicity_on_held_out_rows(spark, docs, small):
     larger = spark.read.parquet(f"{small.replace('0.001', '0.1')}/documents.parquet")
     labels = spark.read.parquet(f"{small.replace('0.001', '0.1')}/labels.parquet").withColumnRenamed("quality", "score")
