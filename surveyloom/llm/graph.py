@@ -5,27 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, meet
 
 
 #: Edges a partition, so that a small graph doesn't leave thousands of small files.
 EDGES_A_PART = 50_000
+#: Edges from which a hub can be a task too long.
+HUBS_FROM = 200_000
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours go to the least of its neighbourhood."""
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
+    """Each node's larger neighbours go to the least of its neighbourhood; hubs meet
+    their edges where they are."""
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _least(both).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = _least(both).select("u", F.least("u", "m").alias("m"), "n")
+    if total > HUBS_FROM:
+        least = cut(least)
+        moved = meet(both.filter("v > u"), least, "u", 2 * total)
+    else:
+        moved = both.filter("v > u").join(least.drop("n"), "u")
+    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node's smaller neighbours and itself go to the least of them; u > v."""
-    least = _least(edges)
+    least = _least(edges).drop("n")
     moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -36,7 +44,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Self links and null ends are ignored, repeated edges do no harm and no
     edge gives no row. The stars shrink to depth one in about log² rounds;
     each round is checkpointed in the shared folder, and nothing is collected
-    but a count and a hash.
+    but counts and a hash.
     """
     now = cut(
         edges.filter("a <> b")
@@ -53,5 +61,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             )
         state = seen
         parts = 1 + seen[0] // EDGES_A_PART
-        now = cut(_small_star(_large_star(now.coalesce(parts))).coalesce(parts))
+        now = cut(_small_star(_large_star(now.coalesce(parts), seen[0])).coalesce(parts))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
