@@ -1,40 +1,49 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-Three transducers are compiled from a model file and composed with each input:
-the normaliser (space to U+2581, dummy prefix), the lexicon of pieces, and the
-byte fallback. The encoding is the shortest path of the composition in the
-tropical semiring.
-
-* A unigram model weighs a piece's arc with minus its score.
-* A BPE model's path must also be one that the merges reach. That is a
-  finite-state condition on neighbours: an arc for ``y`` leaves the state of
-  piece ``x`` only if merging the text ``xy`` ends in exactly ``x, y``; other
-  arcs weigh infinity. One path is left, and it is the merges' result.
-
-Runs of U+2581 are pieces of equal score, which merge from the left; the
-lexicon gives each run that one path. Since no piece holds U+2581 after another
-character (checked when compiling), paths are found for each run and word on
-their own and kept in a bounded cache.
+Compiled from a model file and composed with each input:
+
+* the normaliser, a deterministic transducer: the model's character map by
+  longest match, white space trimmed and joined, the space written U+2581;
+* the lexicon, whose arcs read a piece and write its id, weighing minus its
+  score;
+* the byte fallback, whose arcs read a character that no piece is and write the
+  ids of its bytes, at a weight beyond all pieces';
+* for BPE models, neighbours: an acceptor over ids whose state is the last piece
+  and that weighs infinity where merging two pieces' text would not end in
+  just these two.
+
+Encoding is the shortest path of the composition in the tropical semiring (min,
+plus). A unigram model's paths are relaxed position by position. Of a BPE
+model's paths only one has a finite weight, the merges' own result, so the
+search goes on from the longest arc and ends at the first path that arrives.
+
+Pieces of white space alone are equal in score and merge from the left, which
+gives each run its one path. No other piece holds U+2581 after another
+character (checked when compiling), so the composition falls apart into runs and
+words, whose shortest paths are kept in a cache of bounded bytes.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from sys import getsizeof
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HELD, broadcast_value, free_caches, ship
+from .common import HELD, arrow_slices, broadcast_value, free_caches, ship
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+INFINITY = float("inf")
 
 
 # -- the model file -------------------------------------------------------
@@ -74,11 +83,10 @@ class Model(NamedTuple):
     dummy_prefix: bool
     trim_spaces: bool
     escape_spaces: bool
+    character_map: dict[bytes, bytes]
 
 
 def read_model(data: bytes) -> Model:
-    import struct
-
     pieces, trainer, normaliser = [], {}, {}
     for k, v in _fields(data):
         if k == 1:
@@ -91,168 +99,303 @@ def read_model(data: bytes) -> Model:
     kind = trainer.get(3, UNIGRAM)
     if kind not in (UNIGRAM, BPE):
         raise ValueError("only unigram and BPE models have a transducer here")
-    if normaliser.get(2):
-        raise ValueError("a normaliser with a character map is not supported")
     return Model(
         pieces, kind, bool(trainer.get(35, 0)), trainer.get(40, 0),
         bool(normaliser.get(3, 1)), bool(normaliser.get(4, 1)), bool(normaliser.get(5, 1)),
+        character_map(normaliser.get(2, b"")),
     )
 
 
-# -- the transducer ---------------------------------------------------------
+def character_map(blob: bytes) -> dict[bytes, bytes]:
+    """Sources and targets (UTF-8) of a model's compiled character map.
+
+    The file holds the length of a double array, its 32-bit units and the
+    zero-ended targets. A unit's child by a byte lies at the unit's offset xor
+    that byte, if the unit there has that label; a child by zero holds a value,
+    where the target begins.
+    """
+    if not blob:
+        return {}
+    size = struct.unpack_from("<I", blob)[0]
+    units = struct.unpack_from(f"<{size // 4}I", blob, 4)
+    targets = blob[4 + size :]
+    # Fixed format of a unit: bits 0-7 label, 8 has a value, 9 shift, 10-30 offset, 31 is a value.
+    offset = lambda u: (u >> 10) << ((u & 0x200) >> 6)
+    out: dict[bytes, bytes] = {}
+    todo = [(0 ^ offset(units[0]), b"")]
+    while todo:
+        at, source = todo.pop()
+        for label in range(256):
+            k = at ^ label
+            if k >= len(units):
+                continue
+            u = units[k]
+            if label == 0:
+                if u >> 31 and source:
+                    start = u & 0x7FFFFFFF
+                    out[source] = targets[start : targets.index(b"\0", start)]
+            elif u & 0x800000FF == label:
+                todo.append((k ^ offset(u), source + bytes([label])))
+    return out
+
+
+# -- transducers --------------------------------------------------------------
+
+
+class Arc(NamedTuple):
+    length: int  # characters read
+    out: tuple[int, ...]  # ids written
+    weight: float
+    state: int  # the piece, or -1 for a character's fallback
+
+
+class Normaliser:
+    """A deterministic transducer from text to normalised text.
+
+    Its first part rewrites the longest source of the character map at each
+    place; its second has three states (at the start, after a space, within a
+    word) and writes a space only when a word follows.
+    """
+
+    def __init__(self, m: Model):
+        self.prefix, self.trim = m.dummy_prefix, m.trim_spaces
+        self.space = SPACE if m.escape_spaces else " "
+        decoded = {k.decode("utf-8", "replace"): v.decode("utf-8", "replace") for k, v in m.character_map.items()}
+        self.map = decoded
+        # A map of single characters to be kept in no context is a homomorphism.
+        self.one = {ord(k): v for k, v in decoded.items()} if all(len(k) == 1 for k in decoded) else None
+        self.longest = max(map(len, decoded), default=0)
+
+    def rewrite(self, text: str) -> str:
+        if self.one is not None:
+            return text.translate(self.one) if self.one else text
+        out, at, get = [], 0, self.map.get
+        while at < len(text):
+            for n in range(min(self.longest, len(text) - at), 0, -1):
+                to = get(text[at : at + n])
+                if to is not None:
+                    out.append(to)
+                    at += n
+                    break
+            else:
+                out.append(text[at])
+                at += 1
+        return "".join(out)
+
+    def __call__(self, text: str) -> str:
+        text = self.rewrite(text)
+        if self.trim:
+            text = re.sub(" +", " ", text).strip(" ")
+        if not text:
+            return ""
+        return (" " + text if self.prefix else text).replace(" ", self.space)
+
+
+class Lexicon:
+    """One state; an arc for each piece and, where no piece is that character, for its
+    bytes or as unknown."""
+
+    def __init__(self, m: Model):
+        self.ids = {p: i for i, (p, _, k) in enumerate(m.pieces) if k in (NORMAL, USER)}
+        scores = [s for _, s, k in m.pieces if k in (NORMAL, USER)]
+        self.weight = array("f", [-s for _, s, _ in m.pieces])
+        self.worst = 10.0 - min(scores, default=0.0)
+        self.bytes = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(m.pieces) if k == BYTE} if m.byte_fallback else {}
+        self.unknown = m.unk_id
+        self.longest = max(map(len, self.ids), default=1)
+        #: The longest piece by its first two characters.
+        self.reach: dict[str, int] = {}
+        for p in self.ids:
+            self.reach[p[:2]] = max(len(p), self.reach.get(p[:2], 1))
+
+    def fallback(self, char: str) -> tuple[int, ...]:
+        return tuple(self.bytes[b] for b in char.encode("utf-8", "surrogatepass")) if self.bytes else (self.unknown,)
+
+    def arcs(self, text: str, at: int) -> Iterator[Arc]:
+        """The arcs that read ``text`` from ``at``, the longest first."""
+        get = self.ids.get
+        for n in range(min(self.longest, len(text) - at), 0, -1):
+            k = get(text[at : at + n])
+            if k is not None:
+                yield Arc(n, (k,), self.weight[k], k)
+            elif n == 1:
+                yield Arc(1, self.fallback(text[at]), self.worst, -1)
+
+
+class Anything:
+    """The acceptor of a unigram model: one state, no weight."""
+
+    def weight(self, state: int, arc: Arc) -> tuple[float, int]:
+        return 0.0, 0
+
+
+class Neighbours:
+    """The acceptor of a BPE model; its state is the last piece, or -1 after none.
+
+    Compiled pair by pair, as inputs need them, from the model's merges.
+    """
+
+    def __init__(self, m: Model, lexicon: Lexicon, pairs: int = 100_000):
+        self.text = [p for p, _, _ in m.pieces]
+        self.ids, self.rank, self.pairs = lexicon.ids, lexicon.weight, pairs
+        self.known: dict[int, bool] = {}
+
+    def merged(self, text: str) -> list[str]:
+        """What the merges make of a short text: the best pair first, of equals the left."""
+        parts, ids, rank = list(text), self.ids, self.rank
+        while len(parts) > 1:
+            best, at = INFINITY, -1
+            for k in range(len(parts) - 1):
+                i = ids.get(parts[k] + parts[k + 1])
+                if i is not None and rank[i] < best:
+                    best, at = rank[i], k
+            if at < 0:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    def follows(self, x: int, y: int) -> bool:
+        key = x << 24 | y
+        got = self.known.get(key)
+        if got is None:
+            if len(self.known) >= self.pairs:
+                self.known.clear()
+            a, b = self.text[x], self.text[y]
+            got = self.known[key] = self.merged(a + b) == [a, b]
+        return got
+
+    def weight(self, state: int, arc: Arc) -> tuple[float, int]:
+        """The weight of reading an arc's ids, and the state after them."""
+        y = arc.state
+        return (0.0 if state < 0 or y < 0 or self.follows(state, y) else INFINITY), y
+
+
+def shortest_path(text: str, lexicon: Lexicon, acceptor, state: int = -1) -> tuple[float, tuple[int, ...]]:
+    """Weight and ids of the lightest path of text, lexicon and acceptor composed.
+
+    States are (characters read, acceptor's state); arcs only lead on, so one
+    pass over the positions relaxes all. Of equal paths the first found holds,
+    which has the longer last arcs.
+    """
+    best: list[dict[int, tuple[float, int, int, tuple[int, ...]]]] = [{} for _ in range(len(text) + 1)]
+    best[0][state] = (0.0, -1, -1, ())
+    for at in range(len(text)):
+        arcs = list(lexicon.arcs(text, at)) if best[at] else []
+        for s, (cost, *_) in best[at].items():
+            for arc in arcs:
+                w, to = acceptor.weight(s, arc)
+                total = cost + arc.weight + w
+                if total < best[at + arc.length].get(to, (INFINITY,))[0]:
+                    best[at + arc.length][to] = (total, at, s, arc.out)
+    if not best[-1]:
+        return INFINITY, ()
+    at, s = len(text), min(best[-1], key=lambda k: best[-1][k][0])
+    total, out = best[at][s][0], []
+    while at:
+        _, at, s, ids = best[at][s]
+        out.append(ids)
+    return total, tuple(k for ids in reversed(out) for k in ids)
 
 
 class Transducer:
-    def __init__(self, data: bytes, cache: int = 400_000):
+    """The composition, with a cache of ``held`` bytes for the paths of its parts."""
+
+    def __init__(self, data: bytes, held: int = 30_000_000):
         self.model = m = read_model(data)
         self.text = [p for p, _, _ in m.pieces]
         self.kinds = [k for _, _, k in m.pieces]
-        self.score = {p: s for p, s, k in m.pieces if k in (NORMAL, USER)}
-        self.ids = {p: i for i, (p, _, k) in enumerate(m.pieces) if k in (NORMAL, USER)}
-        self.bytes = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(m.pieces) if k == BYTE}
-        #: The lexicon read from a piece's end: True where a piece begins.
-        self.tails = {p[k:]: False for p in self.ids for k in range(1, len(p))} | dict.fromkeys(self.ids, True)
-        self.longest_run = max((len(p) for p in self.ids if not p.strip(SPACE)), default=1)
-        self.longest = max((len(p) for p in self.ids), default=1)
-        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
+        self.normalise = Normaliser(m)
+        self.lexicon = x = Lexicon(m)
+        self.bpe = m.kind == BPE
+        self.acceptor = Neighbours(m, x) if self.bpe else Anything()
+        self.longest_run = max((len(p) for p in x.ids if not p.strip(SPACE)), default=1)
+        if any(SPACE in p.lstrip(SPACE) for p in x.ids):
             raise ValueError("a piece holds a space after another character")
         # A character outside all pieces ends a path's part, as no arc spans it.
-        inside = set("".join(self.ids))
-        self.loose = [c for c in "\n\t\r" if c not in inside]
-        loose = "".join(map(re.escape, self.loose))
+        inside = set("".join(x.ids))
+        loose = "".join(re.escape(c) for c in "\n\t\r" if c not in inside)
         # Nor does one span a letter and a full stop or comma, if so compiled.
-        stop = "" if any(re.search("[A-Za-zÀ-ÿ][,.]", p) for p in self.ids) else f"{SPACE}*+[A-Za-zÀ-ÿ]++(?=[,.])|"
+        stop = "" if any(re.search("[A-Za-zÀ-ÿ][,.]", p) for p in x.ids) else f"{SPACE}*+[A-Za-zÀ-ÿ]++(?=[,.])|"
         self.parts = re.compile(f"{stop}{SPACE}+[^{SPACE}{loose}]*|[^{SPACE}{loose}]+" + (f"|[{loose}]" if loose else "")).findall
         #: Two generations, so that frequent parts outlive a full cache.
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.heads: dict[str, list[str]] = {}
-        self.cache_limit = cache
-        self.ends_pair = lru_cache(cache)(self._ends_pair)
+        self.room = self.half = held // 2
+        self.plain = [None if k in (BYTE, CONTROL, UNKNOWN) else p for p, k in zip(self.text, self.kinds)]
 
-    def normalise(self, text: str) -> str:
-        if self.model.trim_spaces:
-            text = re.sub(" +", " ", text).strip(" ")
-        if not text:
-            return ""
-        if self.model.dummy_prefix:
-            text = " " + text
-        return text.replace(" ", SPACE) if self.model.escape_spaces else text
+    # -- encoding -------------------------------------------------------------
 
-    def merged(self, text: str) -> list[str]:
-        """What the merges make of a short text; compiles the neighbour condition."""
-        parts, score = list(text), self.score
-        while True:
-            best = max(((score[a + b], -k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in score), default=None)
-            if best is None:
-                return parts
-            k = -best[1]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+    def _only_path(self, word: str) -> list[int]:
+        """The one path of finite weight: always the longest arc that leads on.
 
-    def _ends_pair(self, x: str, y: str) -> bool:
-        return self.merged(x + y) == [x, y]
-
-    def _bpe_path(self, word: str) -> list[str]:
-        """The one path whose neighbours all satisfy the condition.
-
-        A state is the last piece of the only finite-weight path to there.
+        A beginning of the word has one such path, too, so a place from which
+        none leads to the end is dead for good.
         """
-        last = self._states(word)
-        path, n = [], len(word)
-        while n:
-            path.append(last[n])
-            n -= len(last[n])
-        return path[::-1]
-
-    def _states(self, word: str) -> list[str]:
-        """States after 0, 1, ... characters; those of common heads are kept."""
-        n = len(word)
-        known = 8 if n > 8 else 5 if n > 5 else 0
-        if known:
-            last = self.heads.get(word[:known])
-            if last is None:
-                last = self._states(word[:known])
-                if len(self.heads) >= self.cache_limit // 2:
-                    self.heads.clear()
-                self.heads[word[:known]] = last
-            last = last.copy()
-        else:
-            last = [""]
-        tails, ok = self.tails.get, self.ends_pair
-        for i in range(known + 1, n + 1):
-            final = [i - 1]
-            for j in range(i - 2, -1, -1):
-                whole = tails(word[j:i])
-                if whole is None:
-                    break
-                if whole:
-                    final.append(j)
-            for j in reversed(final):
-                if not j or ok(last[j], word[j:i]):
-                    last.append(word[j:i])
-                    break
-        return last
-
-    def _unigram_path(self, word: str) -> list[str]:
-        score, longest, n = self.score, self.longest, len(word)
-        worst = min(score.values(), default=0.0) - 10.0
-        cost, back = [0.0] + [float("inf")] * n, [0] * (n + 1)
-        for i in range(1, n + 1):
-            for j in range(max(0, i - longest), i):
-                piece = word[j:i]
-                s = score.get(piece, worst if i - j == 1 else None)
-                if s is not None and cost[j] - s < cost[i]:
-                    cost[i], back[i] = cost[j] - s, j
-        path = []
-        while n:
-            path.append(word[back[n] : n])
-            n = back[n]
-        return path[::-1]
-
-    def path(self, part: str) -> list[str]:
-        if self.model.kind == UNIGRAM:
-            return self._unigram_path(part)
+        get, reach, follows = self.lexicon.ids.get, self.lexicon.reach.get, self.acceptor.follows
+        n, at, state, most = len(word), 0, -1, 1 << 30
+        dead, trail = bytearray(n + 1), []
+        while at < n:
+            for size in range(min(most, n - at, reach(word[at : at + 2], 1)), 0, -1):
+                k = get(word[at : at + size])
+                if k is None:
+                    if size > 1:
+                        continue
+                    k = -1
+                elif state >= 0 and not follows(state, k):
+                    continue
+                if dead[at + size]:
+                    continue
+                trail.append((at, state, size, k))
+                at, state, most = at + size, k, 1 << 30
+                break
+            else:
+                dead[at] = 1
+                at, state, size, _ = trail.pop()
+                most = size - 1
+        out: list[int] = []
+        for at, _, _, k in trail:
+            if k >= 0:
+                out.append(k)
+            else:
+                out.extend(self.lexicon.fallback(word[at]))
+        return out
+
+    def path(self, part: str) -> list[int]:
+        """Ids of a part: a run of spaces and a word, either of which may be empty."""
+        if not self.bpe:
+            return list(shortest_path(part, self.lexicon, self.acceptor, 0)[1])
         word = part.lstrip(SPACE)
         run = len(part) - len(word)
         if not run:
-            return self._bpe_path(word)
+            return self._only_path(word)
         # The last space of a run belongs to the word if a merge takes it.
-        path = self._bpe_path(SPACE + word) if word else [SPACE]
-        if path[0] != SPACE:
+        path = self._only_path(SPACE + word) if word else self._only_path(SPACE)
+        if path[0] != self.lexicon.ids.get(SPACE):
             run -= 1
         else:
             path = path[1:]
-        return [*self._run_path(run), *path] if run else path
+        return self._run_path(run) + path if run else path
 
-    def _run_path(self, n: int) -> list[str]:
+    def _run_path(self, n: int) -> list[int]:
         """A run of spaces grows from the left; what is full there stays so."""
-        most = self.longest_run
+        most, ids = self.longest_run, self.lexicon.ids
         full = max(0, n // most - 2) if most > 1 else n
-        return [SPACE * most] * full + self.merged(SPACE * (n - most * full))
-
-    def _emit(self, part: str) -> bytes:
-        out = array("i")
-        for piece in self.path(part):
-            k = self.ids.get(piece)
-            if k is not None:
-                out.append(k)
-            elif self.model.byte_fallback:
-                out.extend(self.bytes[b] for b in piece.encode("utf-8", "surrogatepass"))
-            else:
-                out.append(self.model.unk_id)
-        return out.tobytes()
+        return [ids[SPACE * most]] * full + [ids[p] for p in self.acceptor.merged(SPACE * (n - most * full))]
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids as native 32-bit integers in a row."""
-        young, out = self.young, []
+        young, old, out = self.young, self.old, []
         for part in self.parts(self.normalise(text)):
             got = young.get(part)
             if got is None:
-                got = self.old.get(part) or self._emit(part)
+                got = old.get(part) or array("i", self.path(part)).tobytes()
                 if len(part) <= 48:
-                    if len(young) >= self.cache_limit:
-                        self.old = young
+                    # A string, a bytes object and their place in a table.
+                    self.room -= 80 + getsizeof(part) + getsizeof(got)
+                    if self.room < 0:
+                        self.old = old = young
                         self.young = young = {}
+                        self.room = self.half
                     young[part] = got
             out.append(got)
         return b"".join(out)
@@ -260,8 +403,19 @@ class Transducer:
     def encode(self, text: str) -> list[int]:
         return array("i", self.encode_bytes(text)).tolist()
 
+    # -- decoding -------------------------------------------------------------
+
     def decode(self, ids) -> str:
         """The inverse transducer: pieces, runs of bytes, then spaces."""
+        out = list(map(self.plain.__getitem__, ids))
+        if None in out:
+            out = self._special(ids)
+        text = "".join(out)
+        if self.model.escape_spaces:
+            text = text.replace(SPACE, " ")
+        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+
+    def _special(self, ids) -> list[str]:
         out, pending = [], bytearray()
         for k in ids:
             if self.kinds[k] == BYTE:
@@ -270,20 +424,16 @@ class Transducer:
             if pending:
                 out.append(pending.decode("utf-8", "replace"))
                 pending.clear()
-            if self.kinds[k] == CONTROL:
-                continue
-            out.append(" ⁇ " if self.kinds[k] == UNKNOWN else self.text[k])
+            if self.kinds[k] != CONTROL:
+                out.append(" ⁇ " if self.kinds[k] == UNKNOWN else self.text[k])
         if pending:
             out.append(pending.decode("utf-8", "replace"))
-        text = "".join(out)
-        if self.model.escape_spaces:
-            text = text.replace(SPACE, " ")
-        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+        return out
 
 
-@lru_cache(2)
-def _compiled(data: bytes, cache: int) -> Transducer:
-    return Transducer(data, cache)
+@lru_cache(1)
+def _compiled(data: bytes, held: int) -> Transducer:
+    return Transducer(data, held)
 
 
 HELD["pieces"] = _compiled.cache_clear
@@ -295,16 +445,16 @@ HELD["pieces"] = _compiled.cache_clear
 MODEL_BYTES = 32_000_000
 
 
-def encode_decode(docs: DataFrame, model: str = DEFAULT_MODEL, cache: int = 400_000) -> DataFrame:
+def encode_decode(docs: DataFrame, model: str = DEFAULT_MODEL, held: int = 30_000_000) -> DataFrame:
     """doc_id, n_ids, ids, decoded, reversible for each row of ``docs``.
 
     ids encode the whole text, decoded is read back from them, and reversible
-    says whether it equals the text; only a literal U+2581, which the
-    normaliser takes for a space (and what a trimming model trims), makes a
-    difference. A null text is encoded like an empty one: no ids. Repeated rows
-    give repeated results. The model file is read by the driver alone and
-    broadcast, its size checked. ``cache`` bounds what a worker keeps (about half a
-    kilobyte a word); it changes speed alone.
+    says whether it equals the text; what the normaliser changes makes a
+    difference (with this model a literal U+2581, which it takes for a space).
+    A null or empty text has no ids and is read back empty. Repeated rows give
+    repeated results, an empty table none; other columns play no part. The
+    model file is read by the driver alone and broadcast, its size checked.
+    ``held`` bounds the bytes of paths that a worker keeps; it changes speed alone.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -314,28 +464,25 @@ def encode_decode(docs: DataFrame, model: str = DEFAULT_MODEL, cache: int = 400_
 
     def run(batches):
         free_caches(keep="pieces")
-        t = _compiled(shared.value, cache)
-        for whole in batches:
-            step = max(1, min(whole.num_rows, 2_000_000 * whole.num_rows // max(1, whole.nbytes)))
-            for at in range(0, whole.num_rows, step):
-                b = whole.slice(at, step)
-                texts = [x or "" for x in b.column("text").to_pylist()]
-                raw = [t.encode_bytes(x) for x in texts]
-                offsets = array("i", [0])
-                for x in raw:
-                    offsets.append(offsets[-1] + len(x) // 4)
-                values = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(raw))])
-                decoded = [t.decode(array("i", x)) for x in raw]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("doc_id"),
-                        pa.array([len(x) // 4 for x in raw], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values),
-                        pa.array(decoded, pa.string()),
-                        pa.array([x == y for x, y in zip(texts, decoded)], pa.bool_()),
-                    ],
-                    ["doc_id", "n_ids", "ids", "decoded", "reversible"],
-                )
+        t = _compiled(shared.value, held)
+        for b in arrow_slices(batches, 1_000_000):
+            texts = [x or "" for x in b.column("text").to_pylist()]
+            raw = [t.encode_bytes(x) for x in texts]
+            offsets = array("i", [0])
+            for x in raw:
+                offsets.append(offsets[-1] + len(x) // 4)
+            values = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(raw))])
+            decoded = [t.decode(array("i", x)) for x in raw]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("doc_id"),
+                    pa.array([len(x) // 4 for x in raw], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values),
+                    pa.array(decoded, pa.string()),
+                    pa.array([x == y for x, y in zip(texts, decoded)], pa.bool_()),
+                ],
+                ["doc_id", "n_ids", "ids", "decoded", "reversible"],
+            )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_ids long, ids array<int>, decoded string, reversible boolean")
