@@ -10,19 +10,20 @@ word's label probabilities, and their mean over a text's words decides.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_slices, broadcast_value, fold, free_caches, ship
+from .common import arrow_slices, broadcast_value, fold, free_caches, sampled, ship
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
+GAP = re.compile(r"\s")
 
 
 def has_letter(text: str) -> bool:
@@ -210,39 +211,126 @@ def fit(docs: list[tuple[str, str]], buckets: int = 1 << 16, epochs: int = 4, ba
     return m
 
 
-def sample(docs: DataFrame, docs_bound: int = 3000, chars_bound: int = 20_000, words_bound: int = 400_000) -> list[tuple[str, str]]:
-    """The bounded training sample: labelled rows outside the held-out fold, of
-    at most ``chars_bound`` characters, the first ``docs_bound`` by a hash of
-    the id, as long as they hold no more than ``words_bound`` words."""
-    rows = (
-        docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), fold(F.col("doc_id"), 5).alias("f"))
-        .filter(f"f <> 0 and lang is not null and text is not null and length(text) <= {chars_bound}")
-        .orderBy(F.xxhash64("id"), "id", "text").limit(docs_bound).collect()
-    )
-    out, held = [], 0
-    for r in rows:
-        n = len(r["text"].split())
-        if n and has_letter(r["text"]) and held + n <= words_bound:
-            out.append((r["text"], r["lang"]))
-            held += n
-    return out
+def sample(docs: DataFrame, docs_bound: int = 3000, words_bound: int = 400_000, length: int = 48) -> list[tuple[str, str]]:
+    """The bounded training sample: (segment of a text, language).
+
+    Of the labelled rows with a letter outside the held-out fold, those of about
+    ``docs_bound`` ids, by a threshold on the id's hash; of their segments of
+    ``length`` words as many, by hash, as hold about ``words_bound`` words. So
+    texts of any length are learned from, and what comes to the driver keeps
+    its size.
+    """
+    rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), fold(F.col("doc_id"), 5).alias("f"))
+    chosen = sampled(rows.filter("f <> 0 and lang is not null").filter(F.col("text").rlike(r"\p{L}")), docs_bound, 1.0)
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    counted = chosen.select(F.coalesce("id", F.lit("")).alias("id"), "lang", words.alias("words"))
+    total = counted.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    at = F.explode(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / length).cast("int"))).alias("at")
+    cut_up = counted.filter(F.size("words") > 0).select("id", "lang", "words", at)
+    key = F.pmod(F.xxhash64("id", "at", F.lit("segment")), F.lit(1_000_000))
+    kept = cut_up.filter(key < int(1_000_000 * min(1.0, words_bound / max(1, total))))
+    segment = F.array_join(F.slice("words", F.col("at") * length + 1, F.lit(length)), " ")
+    return sorted((r["segment"], r["lang"]) for r in kept.select(segment.alias("segment"), "lang").collect())
 
 
 # -- prediction -----------------------------------------------------------------
 
 
-def predict(m: Model, texts: list[str | None], cells: int = 150_000, block: int = 10_000) -> list[tuple[str, float, int, int]]:
+def _words(text: str) -> list[str]:
+    return [w for w in text.lower().split() if w.isalpha() or has_letter(w)]
+
+
+def _stretches(text: str, size: int) -> Iterator[str]:
+    """The text in stretches of about ``size`` characters, cut at white space."""
+    at = 0
+    while at < len(text):
+        end = at + size
+        if end < len(text):
+            m = GAP.search(text, end)
+            end = m.start() if m else len(text)
+        yield text[at:end]
+        at = end
+
+
+def _transfer(e: np.ndarray, t: np.ndarray, side: int = 64) -> np.ndarray:
+    """The product of all steps' matrices t * diag(exp(e)), scaled to a sum of one.
+
+    Stretches of ``side`` words advance side by side, then their products are joined.
+    """
+    n, labels = e.shape
+    x = np.exp(e - e.max(axis=1, keepdims=True))
+    columns = -(-n // side)
+    m = np.broadcast_to(np.eye(labels), (columns, labels, labels)).copy()
+    for k in range(side):
+        at = np.arange(columns) * side + k
+        at = at[at < n]
+        m[: len(at)] = (m[: len(at)] @ t) * x[at][:, None, :]
+        m[: len(at)] /= m[: len(at)].sum(axis=(1, 2), keepdims=True)
+    out = np.eye(labels)
+    for one in m:
+        out = out @ one
+        out /= out.sum()
+    return out
+
+
+def _long(m: Model, text: str, size: int) -> tuple[str, float, int, int]:
+    """``predict`` for one long text in memory that its length doesn't set.
+
+    A first pass keeps what each stretch does to the forward vector, and a
+    second one computes every stretch's marginals between the vectors at its ends.
+    """
+    t = np.exp(m.transitions - m.transitions.max())
+    transfers = []
+    for part in _stretches(text, size):
+        words = _words(part)
+        transfers.append(_transfer(_scores(m, words), t) if words else None)
+    begin = np.exp(m.start - m.start.max())
+    ends = [np.ones(len(m.labels))]
+    for x in reversed(transfers):
+        after = ends[-1] if x is None else x @ ends[-1]
+        ends.append(after / after.sum())
+    ends.reverse()
+    a, total, n, switches, last = begin, np.zeros(len(m.labels)), 0, 0, -1
+    for k, part in enumerate(_stretches(text, size)):
+        words = _words(part)
+        if not words:
+            continue
+        e = _scores(m, words)
+        x = np.exp(e - e.max(axis=1, keepdims=True))
+        alpha = np.empty_like(x)
+        for i in range(len(x)):
+            alpha[i] = a * x[i]
+            alpha[i] /= alpha[i].sum()
+            a = alpha[i] @ t
+        beta = ends[k + 1]
+        for i in range(len(x) - 1, -1, -1):
+            g = alpha[i] * beta
+            alpha[i] = g / g.sum()
+            beta = t @ (x[i] * beta)
+            beta = beta / beta.sum()
+        best = alpha.argmax(axis=1)
+        switches += int((np.diff(best) != 0).sum()) + (last >= 0 and last != best[0])
+        total, n, last = total + alpha.sum(axis=0), n + len(x), best[-1]
+    y = int(total.argmax())
+    return m.labels[y], float(min(1.0, total[y] / n)), n, int(switches)
+
+
+def predict(m: Model, texts: list[str | None], cells: int = 150_000, block: int = 10_000, long: int = 2_000_000) -> list[tuple[str, float, int, int]]:
     """(label, mean probability, words, switches) for each whole text.
 
     ``und`` with 0.0 if a text is null or has no letter. ``cells`` (words side by
-    side) and ``block`` (words scored at once) trade memory for speed.
+    side) and ``block`` (words scored at once) trade memory for speed; a text of
+    more than ``long`` characters is read in stretches of a quarter of that.
     """
     out: list[tuple[str, float, int, int]] = [(UNKNOWN, 0.0, 0, 0)] * len(texts)
     unique: dict[str, int] = {}
     todo = []
     for k, text in enumerate(texts):
         if isinstance(text, str) and m.labels and has_letter(text):
-            words = [w for w in text.lower().split() if w.isalpha() or has_letter(w)]
+            if len(text) > long:
+                out[k] = _long(m, text, max(1, long // 4))
+                continue
+            words = _words(text)
             todo.append((k, np.fromiter((unique.setdefault(w, len(unique)) for w in words), dtype=np.int64, count=len(words))))
     words = list(unique)
     blocks = [_scores(m, words[k : k + block]) for k in range(0, len(words), block)]
@@ -290,30 +378,31 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches):
         free_caches()
-        for b in bounded_slices(batches, chars=2_000_000):
-            got = predict(shared.value, b["text"].tolist(), 400_000, 100_000)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "lang_pred": [x[0] for x in got], "score": [x[1] for x in got], "n_words": [x[2] for x in got], "switches": [x[3] for x in got]})
+        for b in arrow_slices(batches, 2_000_000):
+            got = predict(shared.value, b.column("text").to_pylist(), 400_000, 100_000)
+            label, score, words, switches = zip(*got) if got else ((), (), (), ())
+            columns = [pa.array(label, pa.string()), pa.array(score, pa.float64()), pa.array(words, pa.int64()), pa.array(switches, pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *columns], ["doc_id", "held_out", "lang_pred", "score", "n_words", "switches"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double, n_words long, switches long")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, n_words long, switches long")
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The rows of ``docs`` that ``identify`` gives a language, not ``und``.
 
-    Texts in several languages are kept, however evenly mixed; whole rows pass
-    through in their batches, so nothing is shuffled.
+    Texts in several languages are kept, however evenly mixed; null and empty
+    texts and those without a letter go, and all do if no language could be
+    learned. Whole rows, repeated ones too, pass through in their batches, so
+    nothing is shuffled; an empty table stays empty.
     """
     shared = _shared(docs, model)
     at = docs.columns.index("text")
 
     def run(batches):
         free_caches()
-        for whole in batches:
-            step = max(1, min(max(1, whole.num_rows), 1_000_000 * whole.num_rows // max(1, whole.nbytes)))
-            for k in range(0, whole.num_rows, step):
-                b = whole.slice(k, step)
-                got = predict(shared.value, b.column(at).to_pylist())
-                yield b.filter(pa.array([x[0] != UNKNOWN for x in got], pa.bool_()))
+        for b in arrow_slices(batches, 1_000_000):
+            got = predict(shared.value, b.column(at).to_pylist())
+            yield b.filter(pa.array([x[0] != UNKNOWN for x in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
