@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, broadcast_value, fold, ship, words_of, written
+from .common import UPPER, arrow_slices, broadcast_value, fold, free_caches, sampled, ship, word_blocks, written
 
 #: Stands for the end in counts; white space, so no word.
 END = "\n"
@@ -58,7 +59,7 @@ def rows_of(docs: DataFrame) -> DataFrame:
     """doc_id, text (null: empty), k (tells texts of one id apart), held_out."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), (F.crc32(text.cast("binary")) % (2**31 - 1)).cast("int").alias("k"), (fold(F.col("doc_id"), 7) == 2).alias("held_out")
+        F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("k"), (fold(F.col("doc_id"), 7) == 2).alias("held_out")
     )
 
 
@@ -104,28 +105,26 @@ def encode(rows: DataFrame, symbols: Symbols) -> DataFrame:
         known = shared.value
         get, first, crc = known.get, len(known) + 1, zlib.crc32
         rare: dict[bytes, int] = {}
-        for whole in batches:
-            step = max(1, min(max(1, whole.num_rows), 4_000_000 * whole.num_rows // max(1, whole.nbytes)))
-            for at in range(0, whole.num_rows, step):
-                b = whole.slice(at, step)
-                ids, offsets = array("i"), array("i", [0])
-                for text in b.column("text"):
-                    for w in words_of(text.as_py()):
-                        s = get(w)
+        free_caches()
+        for b in arrow_slices(batches):
+            ids, offsets = array("i"), array("i", [0])
+            for text in b.column("text"):
+                for w in chain.from_iterable(word_blocks(text.as_py())):
+                    s = get(w)
+                    if s is None:
+                        tail = w[-3:]
+                        s = rare.get(tail)
                         if s is None:
-                            tail = w[-3:]
-                            s = rare.get(tail)
-                            if s is None:
-                                s = rare[tail] = first + crc(tail) % CLASSES
-                                if len(rare) > 200_000:
-                                    rare.clear()
-                        ids.append(s)
-                    ids.append(0)
-                    offsets.append(len(ids))
-                lists = pa.ListArray.from_arrays(pa.array(np.frombuffer(offsets, dtype=np.int32)), pa.array(np.frombuffer(ids, dtype=np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k"), b.column("held_out"), lists], ["doc_id", "k", "held_out", "ids"])
+                            s = rare[tail] = first + crc(tail) % CLASSES
+                            if len(rare) > 200_000:
+                                rare.clear()
+                    ids.append(s)
+                ids.append(0)
+                offsets.append(len(ids))
+            lists = pa.ListArray.from_arrays(pa.array(np.frombuffer(offsets, dtype=np.int32)), pa.array(np.frombuffer(ids, dtype=np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k"), b.column("held_out"), lists], ["doc_id", "k", "held_out", "ids"])
 
-    return rows.mapInArrow(run, "doc_id long, k int, held_out boolean, ids array<int>")
+    return rows.mapInArrow(run, "doc_id long, k long, held_out boolean, ids array<int>")
 
 
 # -- the recursions -------------------------------------------------------------
@@ -146,50 +145,71 @@ def _padded(texts: list[np.ndarray], cells: int = 800_000):
         yield part, ids, lengths
 
 
-def forward(m: Model, ids: np.ndarray, lengths: np.ndarray, keep: bool = False):
-    """log10 likelihoods of padded texts whose lengths don't increase, by scaling."""
+def _open_at(steps: int, lengths: np.ndarray) -> np.ndarray:
+    """How many texts go on at each step; lengths don't increase."""
+    return np.searchsorted(-lengths, -np.arange(steps), side="left")
+
+
+def forward(m: Model, ids: np.ndarray, lengths: np.ndarray, marks: int = 0):
+    """log10 likelihoods of padded texts whose lengths don't increase, by scaling;
+    with ``marks`` also the forward vectors before every ``marks``-th step."""
     steps, width = ids.shape
     emit = np.ascontiguousarray(m.emit.T)
-    log = np.zeros(width)
-    open_at = np.searchsorted(-lengths, -np.arange(steps), side="left")
-    alphas = np.zeros((steps, width, len(m.start)), dtype=np.float32) if keep else None
+    log, open_at, kept = np.zeros(width), _open_at(steps, lengths), []
     a = np.broadcast_to(m.start, (width, len(m.start)))  # of the model's own precision
     for t in range(steps):
+        if marks and t % marks == 0:
+            kept.append(a)
         n = open_at[t]
         a = (a[:n] if t == 0 else a[:n] @ m.move) * emit[ids[t, :n]]
         scale = a.sum(axis=1)
         log[:n] += np.log10(scale)
         a = a / scale[:, None]
-        if keep:
-            alphas[t, :n] = a
-    return log, alphas
+    return log, kept
+
+
+#: Steps whose forward vectors are held at once; longer texts compute them twice.
+STRETCH = 4096
+
 
+def expected(m: Model, ids: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray, stretch: int = STRETCH) -> float:
+    """Adds Baum-Welch's expected counts of padded texts; the sum of likelihoods (log10).
 
-def expected(m: Model, ids: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> float:
-    """Adds Baum-Welch's expected counts of padded texts; the sum of likelihoods (log10)."""
-    log, alphas = forward(m, ids, lengths, keep=True)
+    The forward vectors are kept before each stretch only, and those within one
+    computed anew when the way back comes to it.
+    """
     steps, width = ids.shape
+    log, kept = forward(m, ids, lengths, stretch)
     by_symbol = np.ascontiguousarray(m.emit.T)
-    open_at = np.searchsorted(-lengths, -np.arange(steps), side="left")
+    open_at = _open_at(steps + 1, lengths)
     beta = np.ones((width, len(m.start)), dtype=m.move.dtype)
-    gammas = alphas
-    for t in range(steps - 1, -1, -1):
-        n = open_at[t]
-        if t + 1 < steps and open_at[t + 1]:
-            o = open_at[t + 1]
-            right = by_symbol[ids[t + 1, :o]] * beta[:o]
-            b = right @ m.move.T
-            left = alphas[t, :o]
-            norm = (left * b).sum(axis=1)
-            move += m.move * ((left / norm[:, None]).T @ right)
-            beta[:o] = b / b.sum(axis=1, keepdims=True)
-        g = alphas[t, :n] * beta[:n]
-        gammas[t, :n] = g / g.sum(axis=1, keepdims=True)
-    inside = np.arange(steps)[:, None] < lengths
-    start += gammas[0].sum(axis=0)
-    flat, sym = gammas[inside], ids[inside]
-    for s in range(len(m.start)):
-        emit[s] += np.bincount(sym, weights=flat[:, s], minlength=emit.shape[1])
+    for block in range(len(kept) - 1, -1, -1):
+        low, high = block * stretch, min(steps, (block + 1) * stretch)
+        n = open_at[low]
+        gammas = np.zeros((high - low, n, len(m.start)), dtype=np.float32)
+        a = kept[block]
+        for t in range(low, high):
+            n = open_at[t]
+            a = (a[:n] if t == 0 else a[:n] @ m.move) * by_symbol[ids[t, :n]]
+            a = a / a.sum(axis=1)[:, None]
+            gammas[t - low, :n] = a
+        for t in range(high - 1, low - 1, -1):
+            n, o = open_at[t], open_at[t + 1]
+            if o:
+                right = by_symbol[ids[t + 1, :o]] * beta[:o]
+                b = right @ m.move.T
+                left = gammas[t - low, :o]
+                norm = (left * b).sum(axis=1)
+                move += m.move * ((left / norm[:, None]).T @ right)
+                beta[:o] = b / b.sum(axis=1, keepdims=True)
+            g = gammas[t - low, :n] * beta[:n]
+            gammas[t - low, :n] = g / g.sum(axis=1, keepdims=True)
+        if not block:
+            start += gammas[0].sum(axis=0)
+        inside = np.arange(low, high)[:, None] < lengths[: gammas.shape[1]]
+        flat, sym = gammas[inside], ids[low:high, : gammas.shape[1]][inside]
+        for s in range(len(m.start)):
+            emit[s] += np.bincount(sym, weights=flat[:, s], minlength=emit.shape[1])
     return float(log.sum())
 
 
@@ -224,12 +244,11 @@ def _texts(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [flat[off[k] : off[k + 1]] for k in range(len(off) - 1)]
 
 
-def _slices(whole: pa.RecordBatch, ids: int = 1_500_000):
-    lists = whole.column("ids")
-    total = len(lists.flatten())
-    step = max(1, min(max(1, whole.num_rows), ids * whole.num_rows // max(1, total)))
-    for at in range(0, whole.num_rows, step):
-        yield whole.slice(at, step)
+def _slices(batches, ids: int = 6_000_000):
+    """Batches of about ``ids`` bytes of symbols."""
+    for b in arrow_slices(batches, ids):
+        if b.num_rows:
+            yield b
 
 
 def baum_welch(encoded: DataFrame, m: Model, base: np.ndarray) -> Model:
@@ -242,10 +261,9 @@ def baum_welch(encoded: DataFrame, m: Model, base: np.ndarray) -> Model:
     def run(batches):
         m = Model(*(x.astype(np.float32) for x in shared.value))  # counts need no more
         start, move, emit = _zero(states, symbols)
-        for whole in batches:
-            for b in _slices(whole):
-                for _, ids, lengths in _padded(_texts(b)):
-                    expected(m, ids, lengths, start, move, emit)
+        for b in _slices(batches):
+            for _, ids, lengths in _padded(_texts(b)):
+                expected(m, ids, lengths, start, move, emit)
         seen = np.flatnonzero(emit.any(axis=0))
         key = np.r_[seen, symbols + np.arange(states + 1)]
         values = np.concatenate([emit[:, seen].T, move, start[None]])
@@ -258,15 +276,24 @@ def baum_welch(encoded: DataFrame, m: Model, base: np.ndarray) -> Model:
     return _maximised(values[-1], values[symbols : symbols + states], values[:symbols].T, base)
 
 
-def train(encoded: DataFrame, symbols: Symbols, passes: int = 2, sample: int = 1500, longest: int = 20_000) -> Model:
-    """A start on the first ``sample`` training texts of at most ``longest``
-    symbols (by a hash of the id), then ``passes`` over all training texts."""
+def start_sample(encoded: DataFrame, texts: int = 1500, symbols: int = 400_000, length: int = 512) -> list[np.ndarray]:
+    """The bounded sample that Baum-Welch starts from: of the training texts of about
+    ``texts`` ids the stretches of ``length`` symbols, by hash, that hold about
+    ``symbols``. What comes to the driver keeps its size."""
+    rows = encoded.filter(~F.col("held_out")).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "k", "ids")
+    chosen = sampled(rows, texts, 1.0)
+    total = chosen.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
+    at = F.explode(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / length).cast("int"))).alias("at")
+    key = F.pmod(F.xxhash64("id", "k", "at"), F.lit(1_000_000))
+    kept = chosen.select("id", "k", "ids", at).filter(key < int(1_000_000 * min(1.0, symbols / max(1, total))))
+    got = kept.select("id", "k", "at", F.slice("ids", F.col("at") * length + 1, F.lit(length)).alias("ids")).collect()
+    return [np.asarray(r["ids"], dtype=np.int32) for r in sorted(got, key=lambda r: (r["id"], r["k"], r["at"]))]
+
+
+def train(encoded: DataFrame, symbols: Symbols, passes: int = 2) -> Model:
+    """A start on ``start_sample``, then ``passes`` over all training texts."""
     base = symbols.base()
-    first = (
-        encoded.filter(~F.col("held_out") & (F.size("ids") <= longest))
-        .orderBy(F.xxhash64("doc_id", "k"), "doc_id", "k").select("ids").limit(sample).toPandas()
-    )
-    m = initial([np.asarray(x, dtype=np.int32) for x in first["ids"]], base)
+    m = initial(start_sample(encoded), base)
     for _ in range(passes):
         m = baum_welch(encoded, m, base)
     return m
@@ -281,19 +308,18 @@ def _likelihoods(encoded: DataFrame, m: Model, symbols: Symbols) -> DataFrame:
 
     def run(batches):
         m, log, first = shared.value
-        for whole in batches:
-            for b in _slices(whole):
-                texts = _texts(b)
-                out = np.zeros(len(texts))
-                for part, ids, lengths in _padded(texts):
-                    out[part] = forward(m, ids, lengths)[0]
-                columns = {
-                    "n_tokens": [len(x) for x in texts], "lik": out,
-                    "often": [log[x].sum() for x in texts], "n_often": [int((x < first).sum()) for x in texts],
-                }
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k"), b.column("held_out"), *map(pa.array, columns.values())], ["doc_id", "k", "held_out", *columns])
-
-    return encoded.mapInArrow(run, "doc_id long, k int, held_out boolean, n_tokens long, lik double, often double, n_often long")
+        for b in _slices(batches):
+            texts = _texts(b)
+            out = np.zeros(len(texts))
+            for part, ids, lengths in _padded(texts):
+                out[part] = forward(m, ids, lengths)[0]
+            columns = {
+                "n_tokens": [len(x) for x in texts], "lik": out,
+                "often": [log[x].sum() for x in texts], "n_often": [int((x < first).sum()) for x in texts],
+            }
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k"), b.column("held_out"), *map(pa.array, columns.values())], ["doc_id", "k", "held_out", *columns])
+
+    return encoded.mapInArrow(run, "doc_id long, k long, held_out boolean, n_tokens long, lik double, often double, n_often long")
 
 
 # -- the operator -----------------------------------------------------------------
