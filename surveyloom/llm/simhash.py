@@ -12,12 +12,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_slices, cut, free_caches, ship, words_of
+from .common import arrow_slices, cut, free_caches, meet, ship, word_blocks
 from .graph import components
 
 HALF = 32
@@ -25,41 +25,43 @@ HALF = 32
 BLOCK = 1 << 15
 
 
-def _hashes(words: list[bytes], width: int, seed: int) -> Iterator[np.ndarray]:
-    if len(words) < width:
-        if words:
-            yield np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)], dtype=">u8")
-        return
-    digest = xxhash.xxh64_intdigest
-    for at in range(0, len(words) - width + 1, BLOCK):
-        part = words[at : at + BLOCK + width - 1]
-        shifted = [part[k:] for k in range(width)]
-        yield np.fromiter((digest(b" ".join(x), seed) for x in zip(*shifted)), dtype=">u8")
+def _hashes(blocks: Iterator[list[bytes]], width: int, seed: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles of words that come block by block."""
+    digest, carried, few = xxhash.xxh64_intdigest, [], True
+    for block in blocks:
+        words = carried + block
+        for at in range(0, len(words) - width + 1, BLOCK):
+            few = False
+            part = words[at : at + BLOCK + width - 1]
+            shifted = [part[k:] for k in range(width)]
+            yield np.fromiter((digest(b" ".join(x), seed) for x in zip(*shifted)), dtype=">u8")
+        carried = words[max(0, len(words) - width + 1) :] if width > 1 else []
+    if few and carried:
+        yield np.array([digest(b" ".join(carried), seed)], dtype=">u8")
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     """Unsigned 64-bit fingerprint; 0 without words."""
     counts, n = np.zeros(64, dtype=np.int64), 0
-    for h in _hashes(words_of(text), width, seed):
+    for h in _hashes(word_blocks(text), width, seed):
         counts += np.unpackbits(h.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
         n += len(h)
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big") if n else 0
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
+    """(doc_id, th, fp): fp is the fingerprint's 64 bits as a signed long, th the text's hash."""
 
     ship(docs.sparkSession)
 
     def run(batches):
         free_caches()
-        for b in bounded_slices(batches):
-            fps = np.array([fingerprint(t, width, seed) for t in b["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fps.view(np.int64)})
+        for b in arrow_slices(batches):
+            fps = np.array([fingerprint(t.as_py(), width, seed) for t in b.column("text")], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(fps.view(np.int64))], ["doc_id", "th", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
-        run, "doc_id long, fp long"
-    )
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
@@ -85,6 +87,19 @@ def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
     return found.filter(near & once & (F.col("a") != F.col("b"))).select("a", "b").distinct()
 
 
+def groups(docs: DataFrame, distance: int = 3, width: int = 3, seed: int = 42) -> DataFrame:
+    """(doc_id, th, fp, root, component_id) of each row; root tells the group."""
+    fps = cut(fingerprints(docs, width, seed))
+    firsts = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
+    total = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    roots = components(links(firsts.select("fp"), distance))
+    named = cut(firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")))
+    least = cut(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    nodes = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ids = cut(meet(named.select("fp", "root", F.col("n").alias("rows")), least, "root", nodes).withColumnRenamed("rows", "n"))
+    return meet(fps, ids, "fp", total).select("doc_id", "th", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3, seed: int = 42) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (signed long), component_id.
 
@@ -93,28 +108,21 @@ def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3, seed: in
     ids there are null). Null or blank texts have fingerprint 0 and are linked
     like any other; an empty table gives no rows.
     """
-    fps = cut(fingerprints(docs, width, seed))
-    firsts = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(firsts.select("fp"), distance))
-    named = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
-    named = cut(named)
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = named.join(least, "root").select("fp", "component_id")
-    return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
+    return groups(docs, distance, width, seed).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, distance: int = 3) -> DataFrame:
     """The rows of ``docs`` that stand for their group of near duplicates.
 
-    That is the row whose doc_id is the component's; rows with one doc_id and
-    one text are one document, of which one row stays.
+    Of each group one document stays, the first by doc_id (nulls first), then by
+    the text's hash; rows of equal doc_id and text are one document, of which
+    one row stays. Null and blank texts are near duplicates of one another.
     """
-    groups = near_duplicates(docs, distance)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    kept = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stays")), "left_semi")
+    first = F.min(F.struct("doc_id", "th")).alias("first")
+    stay = groups(docs, distance).groupBy("root").agg(first).select(F.col("first.doc_id").alias("_stays"), F.col("first.th").alias("_as"))
     mark = "_text"
-    while mark in docs.columns:
+    while mark in [c.lower() for c in docs.columns]:
         mark += "_"
-    return kept.withColumn(mark, F.xxhash64("text")).dropDuplicates(["doc_id", mark]).drop(mark)
+    marked = docs.withColumn(mark, F.xxhash64(F.col("text").cast("string")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_stays")) & (F.col(mark) == F.col("_as"))
+    return marked.join(stay.distinct(), same, "left_semi").dropDuplicates(["doc_id", mark]).drop(mark)
