@@ -13,14 +13,15 @@ import heapq
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_slices, broadcast_value, free_caches, ship, words_of
+from .common import arrow_slices, broadcast_value, free_caches, ship, word_blocks, words_of
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Words of a document whose seeds are looked up at once.
+STRETCH = 1 << 18
 
 
 def _rolling(ids: np.ndarray, n: int) -> np.ndarray:
@@ -84,33 +85,47 @@ class Index:
             order = np.argsort(h, kind="stable")
             self.tables[n] = (h[order], item[order], pos[order])
 
-    def search(self, text: str | None):
-        """Yields (item key, item words, tiles) for each item that shares a seed."""
-        get = self.vocab.get
-        words = words_of(text)
-        ids = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
-        for n, (hashes, item, pos) in self.tables.items():
-            if len(ids) < n:
-                continue
-            known = np.convolve(ids >= 0, np.ones(n, dtype=np.int64), "valid") == n
-            at = np.flatnonzero(known)
+    def _seeds(self, ids: np.ndarray, n: int):
+        """(place in the document, item, place in it) of all shared seeds of n words,
+        looked up stretch by stretch of the document."""
+        hashes, item, pos = self.tables[n]
+        for low in range(0, len(ids) - n + 1, STRETCH):
+            part = ids[low : low + STRETCH + n - 1]
+            unknown = np.cumsum(np.r_[0, part < 0])
+            at = np.flatnonzero(unknown[n:] == unknown[:-n])
             if not len(at):
                 continue
-            h = _rolling(ids, n)[at]
+            h = _rolling(part, n)[at]
             lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
             hit = np.flatnonzero(hi > lo)
             if not len(hit):
                 continue
             reps = (hi - lo)[hit]
             k = np.repeat(lo[hit] - np.r_[0, np.cumsum(reps)[:-1]], reps) + np.arange(reps.sum())
-            d, it, i = np.repeat(at[hit], reps), item[k], pos[k]
-            for one in np.unique(it):
-                mine = it == one
-                key, own = self.items[one]
-                dd, ii = d[mine], i[mine]
+            yield np.repeat(at[hit] + low, reps), item[k], pos[k]
+
+    def search(self, text: str | None):
+        """Yields (item key, item words, tiles) for each item that shares a seed."""
+        get = self.vocab.get
+        blocks = [np.fromiter((get(w, -1) for w in ws), dtype=np.int32, count=len(ws)) for ws in word_blocks(text)]
+        ids = np.concatenate(blocks) if blocks else np.zeros(0, dtype=np.int32)
+        for n in self.tables:
+            found = list(self._seeds(ids, n))
+            if not found:
+                continue
+            d, it, i = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(it, kind="stable")
+            d, it, i = d[order], it[order], i[order]
+            starts = np.flatnonzero(np.r_[True, np.diff(it) != 0])
+            for s, e in zip(starts, np.r_[starts[1:], len(it)]):
+                key, own = self.items[it[s]]
+                dd, ii = d[s:e], i[s:e]
                 same = np.all([ids[dd + j] == own[ii + j] for j in range(n)], axis=0)
                 if same.any():
-                    yield key, len(own), tile(_maximal(dd[same], ii[same], n), len(ids), len(own), n)
+                    dd, ii = dd[same], ii[same]
+                    low = int(dd.min())  # marks are kept for the stretch with seeds alone
+                    tiles = tile(_maximal(dd - low, ii, n), int(dd.max()) - low + n, len(own), n)
+                    yield key, len(own), [(size, at + low, to) for size, at, to in tiles]
 
 
 def _blocks(benchmark: DataFrame, most_bytes: int):
@@ -159,17 +174,18 @@ def contaminated(
         def run(batches, shared=shared):
             free_caches()
             index = Index(shared.value, shortest)
-            for b in bounded_slices(batches):
+            for b in arrow_slices(batches):
                 out = []
-                for doc, text in zip(b["doc_id"].tolist(), b["text"].tolist()):
+                for doc, text in zip(b.column("doc_id").to_pylist(), map(_py, b.column("text"))):
                     for key, n, tiles in index.search(text):
                         tiled = sum(t[0] for t in tiles)
                         if tiled >= least * n:
                             out.append((doc, key, tiled, n, len(tiles), max(t[0] for t in tiles), tiled / n))
-                frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
-                yield frame.astype({"doc_id": "Int64", "item_id": "Int64"})
+                kinds = [pa.float64() if c.endswith("double") else pa.int64() for c in OUT.split(", ")]
+                columns = [pa.array([row[k] for row in out], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in OUT.split(", ")])
 
-        parts.append(rows.mapInPandas(run, OUT))
+        parts.append(rows.mapInArrow(run, OUT))
     if not parts:
         return docs.sparkSession.createDataFrame([], OUT)
     out = parts[0]
@@ -183,7 +199,9 @@ def keep_clean(
 ) -> DataFrame:
     """The rows of ``docs`` that ``contaminated`` would not report.
 
-    Whole rows pass through in their batches, so nothing is shuffled.
+    Whole rows pass through in their batches, so nothing is shuffled. Null and
+    blank texts are clean, repeated rows share their fate, and without items (or
+    with null ones alone) all rows stay; an empty table stays empty.
     """
     at = docs.columns.index("text")
     for shared in _shared_blocks(docs, benchmark, block_bytes):
@@ -191,7 +209,7 @@ def keep_clean(
         def run(batches, shared=shared):
             free_caches()
             index = Index(shared.value, shortest)
-            for b in batches:
+            for b in arrow_slices(batches):
                 clean = [all(sum(t[0] for t in tiles) < least * n for _, n, tiles in index.search(x)) for x in map(_py, b.column(at))]
                 yield b.filter(pa.array(clean, pa.bool_()))
 
