@@ -114,3 +114,29 @@ def test_op5_whole_table(spark, small):
     assert sum(r.n_assign + r.n_access + r.n_hex for r in got) > 0
     for r in got:
         assert r.base_sha256 == sha(",".join(base_spans(texts[r.doc_id])))
+
+
+def test_op5_reports_keys_not_words(spark):
+    """Precision over paths, identifiers, listings and encoded text beside random keys."""
+    import base64
+
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = "https example path some file report user account information from database internal service handler response message table index value".split()
+    ordinary = ["https/example/Path/To/Some/File2024/Report", letters, letters[::-1], "Aa1" * 15, "ABCDEFGHIJabcdefghij0123456789"]
+    for k in range(150):
+        some = [rng.choice(words) for _ in range(rng.randrange(4, 9))]
+        ordinary += ["/".join(some).title() + str(k), "".join(w.title() for w in some) + str(2000 + k), "_".join(some).title() + "-v2"]
+        ordinary.append(base64.b64encode(" ".join(some).encode()).decode().rstrip("="))
+    keys = ["".join(rng.choice(letters + "+/") for _ in range(rng.randrange(32, 60))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(ordinary + keys)), "doc_id long, text string")
+    found = {r.doc_id for r in secrets.find_secrets(df).collect() if any(s.kind == "random" for s in r.spans)}
+    wrong = sorted(i for i in found if i < len(ordinary))
+    assert len(wrong) <= 0.05 * len(found), [ordinary[i] for i in wrong[:5]]
+    assert len(found) - len(wrong) >= 0.9 * len(keys)
+
+
+def test_op5_many_hits_in_one_text(spark):
+    text = " é ".join(f"token={k:08d}" for k in range(3000))
+    (r,) = secrets.digest(secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"))).collect()
+    assert r.n_assign == 3000 and r.base_sha256 == sha(",".join(base_spans(text)))

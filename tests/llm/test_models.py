@@ -29,8 +29,9 @@ def test_forward_is_the_sum_over_paths():
     texts = [np.array(rng.integers(0, 5, n)) for n in (6, 4, 4, 1)]
     for part, ids, lengths in hmm._padded(texts):
         got, _ = hmm.forward(m, ids, lengths)
-        start, move, emit = hmm._zero(3, 5)
-        total = hmm.expected(m, ids, lengths, start, move, emit)
+        for stretch in (1, 2, 4, 100):  # however the way back is cut
+            start, move, emit = hmm._zero(3, 5)
+            total = hmm.expected(m, ids, lengths, start, move, emit, stretch)
     want, counts = [], np.zeros((3, 5))
     for k in part:
         x, like, c = texts[k], 0.0, np.zeros((3, 5))
@@ -78,6 +79,37 @@ def test_hmm_is_a_distribution(spark):
     assert s.base().sum() == pytest.approx(1)
 
 
+def test_hmm_score_is_the_sum_over_paths(spark, monkeypatch):
+    """A whole score, of rare and unseen words too, against all paths of states."""
+    rows = [(k, t) for k, t in enumerate(["aa bb aa", "aa cc", "bb aa dd", "ee", None, "AA zz", "qq"] * 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {}
+    train = hmm.train
+    monkeypatch.setattr(hmm, "STATES", 2)
+    monkeypatch.setattr(hmm, "train", lambda encoded, s, passes: kept.update(s=s, m=train(encoded, s, passes)) or kept["m"])
+    got = {r.doc_id: r for r in hmm.score(df).collect()}
+    m, s = kept["m"], kept["s"]
+    c = Counter(w for k, t in rows if remainder(k, 7) != 2 for w in (t or "").lower().encode().split())
+    for k, t in rows:
+        words = (t or "").lower().encode().split()
+        ids, within = [], 0.0
+        for w in words:
+            if w in s.words:
+                ids.append(s.words[w])
+            else:
+                cls = zlib.crc32(w[-3:]) % hmm.CLASSES
+                ids.append(len(s.words) + 1 + cls)
+                within += math.log10((c[w] + 1) / s.mass[cls])
+        ids.append(0)
+        like = 0.0
+        for path in itertools.product(range(len(m.start)), repeat=len(ids)):
+            p = m.start[path[0]] * m.emit[path[0], ids[0]]
+            for a, b, i in zip(path, path[1:], ids[1:]):
+                p *= m.move[a, b] * m.emit[b, i]
+            like += p
+        assert got[k].score == pytest.approx(math.log10(like) + within, rel=1e-6)
+
+
 def test_language_on_held_out_rows(spark, docs):
     rows = {r.doc_id: r for r in docs.collect()}
     got = language.identify(docs).collect()
@@ -123,6 +155,17 @@ def test_code_switched_words():
     assert (lang, n) == ("en", 18) and switches >= 1 and 0.5 < share < 0.9
 
 
+def test_long_texts_in_stretches():
+    rng = np.random.default_rng(2)
+    a, b = "the of and with that was", "und der die nicht ist ein"
+    m = language.fit([(a, "en"), (b, "de")] * 40)
+    text = " ".join(rng.choice([a, b, "12 !", "\n  "], 300))
+    lang, share, n, switches = language.predict(m, [text])[0]
+    for long in (50, 400, 3000):
+        got = language.predict(m, [text], long=long)[0]
+        assert (got[0], got[2], got[3]) == (lang, n, switches) and got[1] == pytest.approx(share)
+
+
 def test_evenly_mixed_texts_are_kept(spark):
     parts = {"en": "the of and with that was", "de": "und der die nicht ist ein", "fr": "les dans une pour est avec", "es": "los para del como pero muy"}
     m = language.fit([(t, y) for y, t in parts.items()] * 40)
@@ -149,15 +192,42 @@ def test_toxicity_on_held_out_rows(spark, docs, small):
     assert toxicity.score(docs.select("doc_id", "text")).count() == docs.count()
 
 
-def test_grammar_marks():
-    i, n, t, r, s, o = toxicity.INSULT, toxicity.NEGATION, toxicity.TARGET, toxicity.REPORT, toxicity.STOP, toxicity.OTHER
-    assert toxicity.clauses([t, o, i]) == [(2, toxicity.AIMED)]
-    assert toxicity.clauses([i, o, t]) == [(0, toxicity.AIMED)]
-    assert toxicity.clauses([n, o, i]) == [(2, toxicity.NEGATED)]
-    assert toxicity.clauses([n, o, o, o, i]) == [(4, 0)]
-    assert toxicity.clauses([r, o, o, o, i, s, i]) == [(4, toxicity.REPORTED), (6, 0)]
-    assert toxicity.clauses([t, s, i, s, t]) == [(2, 0)]
-    assert toxicity.clauses([o, t, n]) == []
+def test_grammar_clauses():
+    x = toxicity
+    i, h, n, t, r, s, o, k = x.INSULT, x.THREAT, x.NEGATION, x.TARGET, x.REPORT, x.STOP, x.OTHER, x.LINK
+    got = lambda classes: [(c.kind, c.first, c.last, c.marks) for c in x.clauses(classes)]
+    assert got([t, k, i]) == [(i, 2, 2, x.AIMED)]  # you are (a) moron
+    assert got([t, k, k, i, o, i, s]) == [(i, 3, 5, x.AIMED)]  # one clause of two heads
+    assert got([i, o, o, o, i]) == [(i, 0, 0, 0), (i, 4, 4, 0)]
+    assert got([i, o, t]) == [(i, 0, 0, x.AIMED)]
+    assert got([n, o, i]) == [(i, 2, 2, x.NEGATED)]
+    assert got([n, o, o, o, i]) == [(i, 4, 4, 0)]
+    assert got([r, o, o, o, i, s, i]) == [(i, 4, 4, x.REPORTED), (i, 6, 6, 0)]
+    assert got([t, s, i, s, t]) == [(i, 2, 2, 0)]
+    assert got([o, t, n]) == []
+    assert got([t, k, h, t, o, o, i]) == [(h, 2, 2, x.AIMED), (i, 6, 6, x.AIMED)]
+    assert x.clauses([i, k, i], [2.0, 0.0, 3.0])[0].weight == 5.0
+
+
+def test_grammar_is_the_product_of_its_parts():
+    rng = np.random.default_rng(3)
+    parts = [toxicity.pattern(toxicity.INSULT), toxicity.reach(toxicity.NEGATION, 3, toxicity.NEGATED), toxicity.reach(toxicity.TARGET, 5, toxicity.AIMED)]
+    after, marks = toxicity.compose(parts)
+    for _ in range(200):
+        state, own = 0, [0, 0, 0]
+        for c in rng.integers(0, toxicity.CLASSES, 30).tolist():
+            steps = [p.arcs[q][c] for p, q in zip(parts, own)]
+            assert marks[state][c] == tuple(m for _, m in steps)
+            state, own = after[state][c], [q for q, _ in steps]
+
+
+def test_grammar_reads_phrases():
+    g = toxicity.fit([])
+    read = toxicity._reader(g)
+    assert toxicity.features(read, "You will regret this.")[1] == 1
+    assert toxicity.features(read, "A regret. You will pass")[1] == 0
+    aimed, alone = (toxicity.features(read, x)[0] for x in ("you are a stupid moron", "a moron is there"))
+    assert aimed[2] > 0 and alone[2] == 0
 
 
 def exact(vectors, k, every):
@@ -211,17 +281,21 @@ def test_neighbours_of_repeated_rows(spark, own, many):
         assert np.allclose([s for _, _, s in sorted(rows)], [best[i] for i in want])
 
 
-def test_neighbours_recall(spark, small):
-    df = spark.read.parquet(f"{small.replace('0.001', '0.1')}/embeddings.parquet")
-    rows = df.collect()
-    x = np.array([r.embedding for r in rows], dtype=float)
-    ids = np.array([r.vec_id for r in rows])
+def test_neighbours_recall(spark):
+    """The hardest case, directions without any structure, with fewer products than exact search."""
+    rng = np.random.default_rng(6)
+    n = 12_000
+    x = rng.standard_normal((n, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    x = x.astype(np.float64)
+    assert 0.4 * n + 2500 < 0.65 * n
     got = {}
-    for r in neighbours.nearest(df, least=100, share=0.1).collect():
+    for r in neighbours.nearest(df).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     hit = 0
     for q in got:
-        s = x @ x[ids == q][0]
-        s[ids == q] = -np.inf
-        hit += len(got[q] & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
-    assert hit / (20 * len(got)) >= 0.9
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert len(got) == n // 20 and hit / (20 * len(got)) >= 0.9

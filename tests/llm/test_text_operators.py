@@ -246,9 +246,168 @@ def test_pieces_match_the_library(spark, small, piece_library):
     assert pieces.encode_decode(docs.limit(0)).count() == 0
 
 
+def _field(number, value):
+    """A protocol-buffer field: bytes, an int or a float."""
+    import struct
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def _character_map(pairs):
+    """A compiled character map by the format's definition: a trie, one unit a place."""
+    import struct
+
+    trie, targets, at = {}, b"", {}
+    for source, target in pairs.items():
+        at[source], targets = len(targets), targets + target + b"\0"
+        node = trie
+        for byte in source:
+            node = node.setdefault(byte, {})
+        node[0] = at[source]
+    units = [0] * 4096
+    free = iter(range(1, 16))
+
+    def place(node, unit, keep):
+        base = next(free) * 256
+        units[unit] = keep | (unit ^ base) << 10
+        for label, child in node.items():
+            if label == 0:
+                units[base] = 1 << 31 | child
+            else:
+                place(child, base ^ label, label | (0x100 if 0 in child else 0))
+
+    place(trie, 0, 0)
+    return struct.pack("<I", 4 * len(units)) + struct.pack(f"<{len(units)}I", *units) + targets
+
+
+def _model(pieces_, kind, normaliser=b"", fallback=True):
+    body = b"".join(_field(1, _field(1, p.encode()) + _field(2, s) + _field(3, k)) for p, s, k in pieces_)
+    return body + _field(2, _field(3, kind) + _field(35, int(fallback)) + _field(40, 0)) + _field(3, normaliser)
+
+
 def test_unigram_takes_the_shortest_path():
-    t = pieces.Transducer.__new__(pieces.Transducer)
-    t.score = {"a": -3.0, "b": -3.0, "ab": -4.0, "c": -1.0, "bc": -2.5}
-    t.longest = 2
-    assert t._unigram_path("abc") == ["ab", "c"]
-    assert t._unigram_path("abz") == ["ab", "z"]
+    rng = random.Random(3)
+    found = [("<unk>", 0.0, 2)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
+    words = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 4))) for _ in range(14)} | {"▁", "▁a"}
+    found += [(w, -rng.random() * 5 - 1, 1) for w in sorted(words)]
+    t = pieces.Transducer(_model(found, pieces.UNIGRAM, _field(4, 0)))
+    weights = {w: -s for w, s, _ in found[257:]}
+
+    def all_paths(text):
+        if not text:
+            yield 0.0, ()
+        for n in range(1, len(text) + 1):
+            w = weights.get(text[:n], t.lexicon.worst if n == 1 else None)
+            if w is not None:
+                for rest, out in all_paths(text[n:]):
+                    yield w + rest, (text[:n], *out)
+
+    for _ in range(60):
+        text = "".join(rng.choice("abcdü") for _ in range(rng.randrange(1, 9)))
+        cost, ids = pieces.shortest_path(text, t.lexicon, t.acceptor, 0)
+        assert cost == pytest.approx(min(all_paths(text))[0], rel=1e-5)
+        assert t.decode(ids) == text
+        assert t.decode(t.encode(text + " a")) == text + " a"
+
+
+def test_normaliser_with_a_character_map(spark, tmp_path):
+    pairs = {"ﬁ": "fi", "Ａ": "A", "a\u0301": "á", "½": "1/2", "\t": " "}
+    blob = _character_map({k.encode(): v.encode() for k, v in pairs.items()})
+    assert {k.decode(): v.decode() for k, v in pieces.character_map(blob).items()} == pairs
+    found = [("<unk>", 0.0, 2)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] + [(c, -1.0 - k / 100, 1) for k, c in enumerate("▁fiA1/2áx")]
+    data = _model(found, pieces.UNIGRAM, _field(2, blob) + _field(3, 1) + _field(4, 1) + _field(5, 1))
+    t = pieces.Transducer(data)
+    assert t.normalise("  ﬁ\tＡ  a\u0301 ½ ") == "▁fi▁A▁á▁1/2"
+    assert t.decode(t.encode("ﬁ  x")) == "fi x"
+    library = sentencepiece.SentencePieceProcessor(model_proto=data)
+    for text in ("ﬁ Ａx", " a\u0301  ½\tx ", "üx", ""):
+        assert t.encode(text) == library.encode(text)
+    (tmp_path / "m.model").write_bytes(data)
+    (row,) = pieces.encode_decode(spark.createDataFrame([(1, "ﬁ x")], "doc_id long, text string"), str(tmp_path / "m.model")).collect()
+    assert (row.decoded, row.reversible) == ("fi x", False)
+
+
+def test_only_path_is_the_composition_shortest(piece_library):
+    rng = random.Random(7)
+    with open(pieces.DEFAULT_MODEL, "rb") as f:
+        t = pieces.Transducer(f.read(), 4000)  # a cache that turns over
+    for _ in range(150):
+        word = "".join(rng.choice("theonrgiß日") for _ in range(rng.randrange(1, 14)))
+        assert t.path(word) == list(pieces.shortest_path(word, t.lexicon, t.acceptor)[1])
+        assert t.encode(word) == piece_library.encode(word)
+
+
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    a, b = "one text of some words here", "another text that is not like it at all"
+    rows = [(3, a, 1), (5, a, 2), (5, b, 3), (5, b, 3), (None, "a third one with words", 4), (7, None, 5), (8, "", 6), (8, "", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _text int")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    # Null and blank texts share fingerprint 0.
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == [(-1, "a third one with words"), (3, a), (5, b), (7, "")]
+    assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_words_come_in_blocks(spark):
+    from surveyloom.llm.common import word_blocks
+
+    rng = random.Random(1)
+    for _ in range(50):
+        text = "".join(rng.choice("abÄ \n\t\u00a0") for _ in range(rng.randrange(80)))
+        for size in (1, 7, 1000):
+            assert [w for ws in word_blocks(text, size) for w in ws] == words_of(text)
+
+
+@pytest.mark.parametrize("length", [30, 80, 200, 400, 1500])
+def test_line_recall_by_length(spark, length):
+    """Pairs just above the least similarity, at each length: a line and one with more."""
+    rng = random.Random(length)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    texts, wanted = [], 0
+    for _ in range(150):
+        a = some(length)
+        n = length - 7
+        b = a + some(int(n / rng.uniform(0.8, 0.86)) - n)
+        wanted += jaccard(a, b) >= 0.8
+        texts += [a, b]
+    got = lines.dedup_lines(frame(spark, texts)).collect()
+    assert sum(r.n_dropped for r in got) >= 0.95 * wanted > 100
+
+
+def test_line_families_lose_no_link(spark):
+    """Diffuse families: most copies are unlike the original, some near each other."""
+    rng = random.Random(21)
+    words = [a + b for a in ("ala", "bro", "chi", "dela", "eko") for b in ("na", "vik", "ster", "mon", "qua")]
+    texts = []
+    for _ in range(3):
+        base = [rng.choice(words) for _ in range(40)]
+        for _ in range(45):
+            copy = list(base)
+            for _ in range(rng.randrange(1, 7)):
+                copy[rng.randrange(40)] = rng.choice(words)
+            if rng.random() < 0.3:
+                copy = copy[: rng.randrange(26, 40)]
+            texts.append(" ".join(copy))
+            if rng.random() < 0.3:
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+                texts.append(" ".join(copy))
+    texts = list(dict.fromkeys(texts))
+    got = {r.doc_id: r for r in lines.dedup_lines(frame(spark, texts)).collect()}
+    near = [(a, b) for i, a in enumerate(texts) for b in texts[i + 1 :] if jaccard(a, b) >= 0.8]
+    root = union_find(texts, near)
+    first = {}
+    for d, x in enumerate(texts):
+        first.setdefault(root[x], d)
+    kept = {d for d, r in got.items() if r.n_dropped == 0}
+    # Pairs that no band proposes may stay apart; few do, and none is linked wrongly.
+    assert kept >= set(first.values()) and len(kept) <= 1.05 * len(first) + 1
