@@ -3,23 +3,35 @@
 A line is known by a 128-bit hash of its text, so copies meet as one node.
 All of a line's shingles of eight characters are hashed and 28 minima are kept,
 taken as each task reads and merged in the shuffle; runs of four minima make
-seven bands. Lines that share a band are compared with the band's commonest line
-by their exact Jaccard similarity. What that leaves apart is then compared with
-those lines of the band that can still be near it by what both have beyond the
-common one, so no link that banding proposes is lost, and a family of near
-copies doesn't emit all its pairs. Distributed union-find gives the components,
-and the first line of each stays.
+seven bands. Pairs of lines are compared by their exact Jaccard similarity, and
+distributed union-find gives the components; the first line of each stays.
+
+Which pairs of a band's lines are compared keeps the work near the number of
+lines, not of pairs, and yet loses no link that banding proposes. Every line is
+compared with one representative T; those unlike it then with a representative
+of theirs, and so on for a few rounds. What may still be near in spite of that
+is found by gains, the shingles that a line has beyond T: unless their sizes
+leave room, two lines near each other but not to T share some gains, and of a
+line's gains only so many of the rarest need be looked up.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import cut, meet, written
 from .graph import components
 
 BANDS, ROWS = 7, 4
+#: Shingles that one row stands for while minima are taken.
+AT_ONCE = 8
+#: Rounds of representatives before gains are looked up.
+ROUNDS = 4
+#: Ratio of the sizes that a class of line sizes spans.
+STEP = 1.1
 #: Candidate lines whose 128-bit keys may be broadcast (24 bytes each in memory).
 BROADCAST_LINES = 400_000
 
@@ -33,105 +45,205 @@ def _place(doc: Column, text_hash: Column, pos: Column) -> Column:
 
 def _occurrences(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cut_up = rows.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    cut_up = rows.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode_outer(F.split("text", "\n", -1)).alias("pos", "line"))
     return cut_up.filter(F.trim("line") != "").select(
         "doc_id", "th", "pos", "line",
         F.xxhash64("line", F.lit(1)).alias("h1"), F.xxhash64("line", F.lit(2)).alias("h2"),
     )
 
 
-def _windows(line: Column, width: int) -> Column:
-    """All windows of ``width`` characters, or the line itself if it is shorter."""
-    every = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1))
-    return F.when(F.length(line) < width, F.array(line)).otherwise(every)
+def _wide(line: Column) -> Column:
+    """Four bytes a character, so that a shingle is a slice at a known place."""
+    return F.encode(line, "UTF-32")
+
+
+def _starts(line: Column, width: int) -> Column:
+    """Where in ``_wide`` the shingles begin; a shorter line is its own one."""
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), (F.length(line) - width) * 4 + 1), F.lit(4))
+
+
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once; plain reuse would copy its tree."""
+    return F.get(F.transform(F.array(value), then), 0)
 
 
-def _signatures(lines: DataFrame, width: int) -> DataFrame:
-    """(h1, h2, weight, m0...): minima of shingle hashes, permuted by xor."""
-    shingles = lines.select("h1", "h2", F.explode(_windows(F.col("line"), width)).alias("shingle")).select("h1", "h2", F.xxhash64("shingle").alias("h"))
+def _hashes(line: Column, width: int) -> Column:
+    """64-bit hashes of all shingles, in order."""
+    return _let(_wide(line), lambda w: F.transform(_starts(line, width), lambda at: F.xxhash64(w.substr(at, F.lit(4 * width)))))
+
+
+def _signatures(docs: DataFrame, width: int) -> DataFrame:
+    """(h1, h2, weight, m0...): minima of shingle hashes in as many orders.
+
+    The rows of a band take different sixteen bits of the hash for the highest, and
+    each minimum has a mask of its own, so that orders differ in short lines too.
+    A row made of a line stands for AT_ONCE shingles in a row (the last ones
+    of a line may count again, which moves no minimum). What one row makes is
+    a generator's output, which the optimizer doesn't compute again after it.
+    """
+    text = F.col("text").cast("string")
+    both = F.transform(F.split(text, "\n", -1), lambda x: F.struct(x.alias("line"), _wide(x).alias("wide")))
+    lines = docs.select(F.explode_outer(both).alias("x")).filter(F.trim("x.line") != "")
+    lines = lines.select(F.xxhash64("x.line", F.lit(1)).alias("h1"), F.xxhash64("x.line", F.lit(2)).alias("h2"), "x.wide")
+    last = F.greatest(F.lit(1), F.octet_length("wide") - 4 * width + 1)
+    rows = lines.select("h1", "h2", "wide", F.explode_outer(F.sequence(F.lit(1), last, F.lit(4 * AT_ONCE))).alias("at"))
+    several = range(AT_ONCE)
+    rows = rows.select("h1", "h2", *[F.xxhash64(F.col("wide").substr(F.least(F.col("at") + 4 * i, last), F.lit(4 * width))).alias(f"s{i}r0") for i in several])
+    turned = lambda i, r: F.shiftleft(f"s{i}r0", 64 * r // ROWS).bitwiseOR(F.shiftrightunsigned(f"s{i}r0", 64 - 64 * r // ROWS)).alias(f"s{i}r{r}")
+    rows = rows.select("h1", "h2", *[f"s{i}r0" for i in several], *[turned(i, r) for i in several for r in range(1, ROWS)])
     xors = [F.xxhash64(F.lit(k), F.lit("permutation")) for k in range(BANDS * ROWS)]
-    return shingles.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("weight"), *[F.min(F.col("h").bitwiseXOR(x)).alias(f"m{k}") for k, x in enumerate(xors)])
+    least = lambda k, x: F.min(F.least(*[F.col(f"s{i}r{k % ROWS}").bitwiseXOR(x) for i in several])).alias(f"m{k}")
+    return rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("weight"), *[least(k, x) for k, x in enumerate(xors)])
 
 
 def _bands(signatures: DataFrame) -> DataFrame:
+    """(lid, h1, h2, weight, bands); lid numbers the distinct lines, once written."""
     keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    return signatures.select("h1", "h2", F.xxhash64("h1", "h2").alias("lid"), "weight", F.array(*keys).alias("bands"))
+    return signatures.select(F.monotonically_increasing_id().alias("lid"), "h1", "h2", "weight", F.array(*keys).alias("bands"))
 
 
 def _shingle_set(line: Column, width: int) -> Column:
-    return F.array_distinct(_windows(line, width))
+    """The distinct shingles, by their 64-bit hashes."""
+    return F.array_distinct(_hashes(line, width))
 
 
-def _compared(pairs: DataFrame, bands: DataFrame, lines: DataFrame, width: int) -> DataFrame:
-    """(a, b, na, nb, inner, extra) for pairs of line ids: sizes of the shingle sets
-    and of what they share, and hashes of the shingles that only b has."""
-    wanted = cut(
-        pairs.select(F.col("a").alias("lid")).unionAll(pairs.select(F.col("b").alias("lid"))).distinct()
-        .join(bands.select("lid", "h1", "h2"), "lid").distinct()
-    )
-    keys = wanted.select("h1", "h2")
-    if wanted.count() <= BROADCAST_LINES:
-        keys = F.broadcast(keys)
-    texts = lines.select("h1", "h2", "line").join(keys, ["h1", "h2"], "left_semi").groupBy("h1", "h2", "line").count()
-    sets = written(wanted.join(texts, ["h1", "h2"]).select("lid", "line"), "line-texts")
-    sides = pairs.join(sets.toDF("a", "la"), "a").join(sets.toDF("b", "lb"), "b")
+def _pair_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ...) with both lines; a line that is ``a`` of very many pairs is
+    broadcast, if such lines are short enough in all, and meets them where they are."""
+    often = cut(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
+    total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    firsts = cut(texts.withColumnRenamed("line", "la").join(often.withColumnRenamed("a", "lid"), "lid").withColumnRenamed("lid", "a"))
+    return meet(pairs, firsts, "a", total, size="la").join(texts.toDF("b", "lb"), "b")
 
-    def counts(s: Column) -> Column:
-        extra = F.transform(F.array_except(s["b"], s["a"]), lambda g: F.xxhash64(g))
-        return F.struct(F.size(s["a"]).alias("na"), F.size(s["b"]).alias("nb"), F.size(F.array_intersect(s["a"], s["b"])).alias("inner"), extra.alias("extra"))
 
-    sets_of = F.struct(_shingle_set(F.col("la"), width).alias("a"), _shingle_set(F.col("lb"), width).alias("b"))
-    # One value and a checkpoint: a filter on it would compute the sets again.
-    return cut(sides.select("a", "b", F.get(F.transform(F.array(sets_of), counts), 0).alias("n"))).select("a", "b", "n.*")
+def _compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(pairs' columns, na, nb, inner): sizes of the shingle sets and of what they share."""
+    both = F.struct(_shingle_set(F.col("la"), width).alias("a"), _shingle_set(F.col("lb"), width).alias("b"))
+    sizes = _let(both, lambda s: F.struct(F.size(s["a"]).alias("na"), F.size(s["b"]).alias("nb"), F.size(F.array_intersect(s["a"], s["b"])).alias("inner")))
+    # Checkpointed: a filter on it would compute the sets again.
+    return cut(_pair_texts(pairs, texts).select(*pairs.columns, sizes.alias("n"))).select(*pairs.columns, "n.*")
 
 
 def _alike(least: float) -> Column:
     return F.col("inner") >= least * (F.col("na") + F.col("nb") - F.col("inner"))
 
 
-def _apart(stars: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """Pairs of one band's lines that may be alike though the line T, with which
-    both were compared, doesn't link them.
+def _rounds(members: DataFrame, texts: DataFrame, width: int, least: float) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Compares each band's lines with a representative, then those that were unlike
+    it with another, and so on.
 
-    Let x be unlike T, and y any other line. Without a shingle that both have
-    beyond T, x and y share no more than either shares with T, which bounds
-    their similarity by the sizes alone. So only pairs that share such a
-    shingle, or whose sizes leave room, are left to compare.
+    ``members`` (key, lid, central). Gives the links found, the comparisons (a,
+    b, ...) with the first representative, and the last rounds' unlike lines.
     """
-    named = cut(stars.join(roots.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b")))
-    off = named.filter(~_alike(least))
-    named = named.withColumn("off", ~_alike(least))
-    x = off.select("a", F.col("b").alias("x"), F.col("root").alias("rx"), F.col("nb").alias("nx"), F.col("inner").alias("ix"), F.col("extra").alias("ex"))
-    of = named.join(off.select("a").distinct(), "a", "left_semi")
-    y = of.select("a", F.col("b").alias("y"), F.col("root").alias("ry"), F.col("nb").alias("ny"), F.col("inner").alias("iy"), F.col("extra").alias("ey"), "off")
-    inner = F.least("ix", "iy")
-    room = (inner >= least * (F.col("nx") + F.col("ny") - inner)) | F.arrays_overlap("ex", "ey")
-    once = ~F.col("off") | (F.col("x") < F.col("y"))
-    both = x.join(y.withColumnRenamed("a", "t"), (F.col("a") == F.col("t")) & (F.col("rx") != F.col("ry")) & once & room)
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    links = first = None
+    for _ in range(ROUNDS):
+        reps = members.groupBy("key").agg(F.max_by("lid", F.struct("central", "lid")).alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        reps = cut(reps)
+        n = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if not n:
+            break
+        against = cut(meet(members, reps, "key", n).filter("lid <> rep"))
+        pairs = cut(against.select(F.col("rep").alias("a"), F.col("lid").alias("b")).distinct())
+        told = _compared(pairs, texts, width)
+        found = told.filter(_alike(least)).select("a", "b")
+        links = found if links is None else cut(links.unionAll(found))
+        first = first if first is not None else (told, against)
+        unlike = told.filter(~_alike(least)).select(F.col("a").alias("rep"), F.col("b").alias("lid"))
+        members = cut(against.join(unlike, ["rep", "lid"]).select("key", "lid", "central"))
+    return links, first, members
+
+
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(STEP)).cast("int")
+
+
+def _apart(told: DataFrame, against: DataFrame, texts: DataFrame, roots: DataFrame, width: int, least: float) -> DataFrame:
+    """Pairs (a, b) of one band's lines in different components that may be alike
+    though their representative T doesn't link them.
+
+    Two sets of sizes n and m that are alike share at least alpha = least * (n + m)
+    / (1 + least). Let x be the one that shares less with T, namely i. Then x
+    and y share alpha - i gains at least, shingles that both have beyond T. So if
+    x has g gains, one of the g - (alpha - i) + 1 rarest is among y's. alpha
+    grows with m; y is looked up by classes of sizes. Where alpha <= i the sizes
+    alone tell the pairs.
+    """
+    named = told.join(roots.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+    named = named.withColumn("off", ~_alike(least)).withColumn("far", 1 - F.col("inner") / (F.col("na") + F.col("nb") - F.col("inner")))
+    placed = cut(against.select("key", F.col("rep").alias("a"), F.col("lid").alias("b")).join(named, ["a", "b"]))
+    # Jaccard distance is a metric: y can't be near x if x is much farther from T.
+    keys = placed.groupBy("key").agg(
+        F.min(F.when(F.col("off"), F.col("far"))).alias("nearest"), F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")
+    ).filter("nearest is not null and low <> high").select("key", "nearest", "n")
+    keys = cut(keys)
+    total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not total:
+        return placed.select("a", "b").limit(0)
+    asked = meet(placed, keys, "key", total).filter(F.col("off") | (F.col("far") >= F.col("nearest") - (1 - least) - 1e-9))
+    asked = asked.select("key", "a", "b", "root", "off", "far", F.col("nb").alias("n"), F.col("inner").alias("i"))
+    asked = cut(asked.withColumn("class", _size_class(F.col("n"))).withColumn("member", F.monotonically_increasing_id()))
+
+    both = F.struct(_shingle_set(F.col("la"), width).alias("a"), _shingle_set(F.col("lb"), width).alias("b"))
+    gained = _let(both, lambda s: F.array_except(s["b"], s["a"]))
+    gains = written(_pair_texts(asked.select("a", "b").distinct(), texts).select("a", "b", gained.alias("gains")), "line-gains")
+    # A gain of one band's lines, by a hash: should two meet, more pairs are compared.
+    tokens = asked.join(gains, ["a", "b"]).select("member", "root", "key", F.explode("gains").alias("gain"))
+    tokens = written(tokens.select("member", "root", F.xxhash64("key", "gain").alias("token")), "line-tokens")
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    shared = cut(shared.select("token", "n", F.col("n").alias("often")))
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    live = written(meet(tokens.drop("root"), shared, "token", total), "line-shared-tokens")
+
+    # The classes that a partner can be of, and the gains to share with the least of each.
+    reach = math.ceil(math.log(1 / least) / math.log(STEP))
+
+    def by_class(rows: DataFrame, n: Column, i: Column) -> DataFrame:
+        out = rows.withColumn("with", F.explode(F.sequence(F.col("class") - reach, F.col("class") + reach)))
+        least_n = F.greatest(F.pow(F.lit(STEP), F.col("with")) - 1e-6, least * n)
+        return out.withColumn("lacks", F.ceil(least / (1 + least) * (n + least_n) - i - 1e-6).cast("int"))
+
+    # Gains that no other component shares are the rarest, and looked up already.
+    mine = Window.partitionBy("member")
+    ranked = live.withColumn("place", F.row_number().over(mine.orderBy("often", "token"))).withColumn("alive", F.count(F.lit(1)).over(mine))
+    facts = asked.select("member", "class", "root", "n", "i", F.col("b").alias("line"))
+    probes = by_class(ranked.join(facts, "member"), F.col("n"), F.col("i")).filter("place <= alive - greatest(lacks, 1) + 1")
+    probes = probes.select("token", F.col("with").alias("class"), F.col("line").alias("x"), F.col("root").alias("rx"), F.col("i").alias("ix"))
+    y = live.select("member", "token").join(facts, "member").select("token", "class", F.col("line").alias("y"), F.col("root").alias("ry"), F.col("i").alias("iy"))
+    less = (F.col("ix") < F.col("iy")) | ((F.col("ix") == F.col("iy")) & (F.col("x") < F.col("y")))
+    met = probes.join(y, ["token", "class"]).filter((F.col("rx") != F.col("ry")) & less).select("x", "y")
+
+    room = by_class(asked, F.col("n"), F.col("i")).filter("lacks < 1")
+    room = room.select("key", F.col("with").alias("class"), F.col("b").alias("x"), F.col("root").alias("rx"), F.col("i").alias("ix"), F.col("n").alias("nx"), F.col("far").alias("fx"), F.col("off").alias("ox"))
+    y = asked.select("key", "class", F.col("b").alias("y"), F.col("root").alias("ry"), F.col("i").alias("iy"), "n", "far", "off")
+    fits = (F.col("ix") >= least / (1 + least) * (F.col("nx") + F.col("n")) - 1e-6) & (F.abs(F.col("fx") - F.col("far")) <= 1 - least + 1e-9) & (F.col("ox") | F.col("off"))
+    by_size = room.join(y, ["key", "class"]).filter((F.col("rx") != F.col("ry")) & less & fits).select("x", "y")
+    return met.unionAll(by_size).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def line_components(docs: DataFrame, width: int = 8, least: float = 0.8) -> DataFrame:
     """(h1, h2, root) for the distinct lines that have a near copy among others."""
     lines = _occurrences(docs)
-    bands = written(_bands(_signatures(lines, width)), "line-bands")
+    bands = written(_bands(_signatures(docs, width)), "line-bands")
     filed = bands.select("lid", "weight", F.explode("bands").alias("key"))
-    shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = cut(filed.join(shared, "key"))
+    shared = cut(filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "n", F.col("n").alias("size")))
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not total:
+        return bands.select("h1", "h2", F.col("lid").alias("root")).limit(0)
+    members = cut(meet(filed, shared, "key", total))
     # A line in many large bands is likeliest the one that others vary; of such
     # lines the one with most copies.
-    central = members.groupBy("lid").agg(F.sum("n").alias("central"))
-    members = cut(members.join(central, "lid"))
-    reps = members.groupBy("key").agg(F.max(F.struct("central", "weight", "lid")).alias("rep"))
-    pairs = members.join(reps.select("key", F.col("rep.lid").alias("rep")), "key").filter("lid <> rep")
-    pairs = cut(pairs.select(F.col("rep").alias("a"), F.col("lid").alias("b")).distinct())
-    stars = _compared(pairs, bands, lines, width)
-    linked = stars.filter(_alike(least)).select("a", "b")
-    roots = components(linked)
-    rest = cut(_apart(stars, roots, least).join(pairs, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        roots = components(linked.unionAll(_compared(rest, bands, lines, width).filter(_alike(least)).select("a", "b")))
-    return roots.withColumnRenamed("node", "lid").join(bands.select("lid", "h1", "h2"), "lid").select("h1", "h2", "root").distinct()
+    central = members.groupBy("lid").agg((F.sum("size") * 1000 + F.least(F.first("weight"), F.lit(999))).alias("central"))
+    members = cut(members.select("key", "lid").join(central, "lid"))
+    keys = cut(members.select("lid").distinct().join(bands.select("lid", "h1", "h2"), "lid"))
+    wanted = F.broadcast(keys) if keys.count() <= BROADCAST_LINES else keys
+    texts = written(lines.select("h1", "h2", "line").join(wanted, ["h1", "h2"]).groupBy("lid").agg(F.min("line").alias("line")), "line-texts")
+    links, first, _ = _rounds(members, texts, width, least)
+    roots = components(links)
+    more = cut(_apart(*first, texts, roots, width, least))
+    if not more.isEmpty():
+        found = _compared(more, texts, width).filter(_alike(least)).select("a", "b")
+        roots = components(links.unionAll(found))
+    return roots.withColumnRenamed("node", "lid").join(bands.select("lid", "h1", "h2"), "lid").select("h1", "h2", "root")
 
 
 def dedup_lines(docs: DataFrame, width: int = 8, least: float = 0.8) -> DataFrame:
@@ -148,12 +260,17 @@ def dedup_lines(docs: DataFrame, width: int = 8, least: float = 0.8) -> DataFram
     """
     roots = cut(line_components(docs, width, least))
     places = _occurrences(docs).select("h1", "h2", "doc_id", "th", "pos", _place(F.col("doc_id"), F.col("th"), F.col("pos")).alias("place"))
-    firsts = places.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-    named = firsts.join(roots, ["h1", "h2"], "left").filter("root is not null or first < last")
-    kept = named.filter("root is not null").groupBy("root").agg(F.min("first").alias("kept"))
-    keep = named.join(kept, "root", "left").select("h1", "h2", F.coalesce("kept", "first").alias("keep"))
-    gone = (
-        places.join(keep, ["h1", "h2"]).filter("place <> keep")
+    firsts = places.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count(F.lit(1)).alias("n"))
+    named = cut(firsts.join(roots, ["h1", "h2"], "left").filter("root is not null or first < last"))
+    near = named.filter("root is not null")
+    kept = cut(near.groupBy("root").agg(F.min("first").alias("keep"), F.count(F.lit(1)).alias("n")))
+    lines_near = kept.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    one = near.select("h1", "h2", "root", F.col("n").alias("copies"))
+    keep = meet(one, kept, "root", lines_near).select("h1", "h2", "keep", F.col("copies").alias("n"))
+    keep = cut(keep.unionAll(named.filter("root is null").select("h1", "h2", F.col("first").alias("keep"), "n")))
+    total = keep.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    gone = cut(
+        meet(places, keep, ["h1", "h2"], total).filter("place <> keep")
         .groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"))
         .select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
     )
