@@ -59,6 +59,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame, rows_a_part: int = 20_000) -> DataFrame:
+    """``cut``, then read in as few partitions as its rows need, so that what is small
+    isn't dealt from thousands of tasks to thousands."""
+    out = cut(df)
+    return out.coalesce(1 + out.count() // rows_a_part)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Ends the lineage with a compressed table in the shared folder.
 

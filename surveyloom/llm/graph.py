@@ -18,24 +18,24 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
 
 
-def _large_star(edges: DataFrame, total: int) -> DataFrame:
+def _large_star(edges: DataFrame, total: int, parts: int) -> DataFrame:
     """Each node's larger neighbours go to the least of its neighbourhood; hubs meet
     their edges where they are."""
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _least(both).select("u", F.least("u", "m").alias("m"), "n")
+    least = _least(both.coalesce(parts)).select("u", F.least("u", "m").alias("m"), "n")
     if total > HUBS_FROM:
         least = cut(least)
         moved = meet(both.filter("v > u"), least, "u", 2 * total)
     else:
         moved = both.filter("v > u").join(least.drop("n"), "u")
-    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts).distinct().coalesce(parts)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, parts: int) -> DataFrame:
     """A node's smaller neighbours and itself go to the least of them; u > v."""
     least = _least(edges).drop("n")
     moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
+    return moved.unionAll(least.select("u", F.col("m").alias("v"))).coalesce(parts).distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -61,5 +61,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             )
         state = seen
         parts = 1 + seen[0] // EDGES_A_PART
-        now = cut(_small_star(_large_star(now.coalesce(parts), seen[0])).coalesce(parts))
+        now = cut(_small_star(_large_star(now.coalesce(parts), seen[0], parts), parts).coalesce(parts))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, meet, written
+from .common import cut, meet, settled, written
 from .graph import components
 
 BANDS, ROWS = 7, 4
@@ -110,10 +110,10 @@ def _shingle_set(line: Column, width: int) -> Column:
 def _pair_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``pairs`` (a, b, ...) with both lines; a line that is ``a`` of very many pairs is
     broadcast, if such lines are short enough in all, and meets them where they are."""
-    often = cut(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
+    often = settled(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
     total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     firsts = cut(texts.withColumnRenamed("line", "la").join(often.withColumnRenamed("a", "lid"), "lid").withColumnRenamed("lid", "a"))
-    return meet(pairs, firsts, "a", total, size="la").join(texts.toDF("b", "lb"), "b")
+    return meet(pairs, firsts, "a", total, size="la").coalesce(1 + total // 5000).join(texts.toDF("b", "lb"), "b")
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -121,7 +121,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     both = F.struct(_shingle_set(F.col("la"), width).alias("a"), _shingle_set(F.col("lb"), width).alias("b"))
     sizes = _let(both, lambda s: F.struct(F.size(s["a"]).alias("na"), F.size(s["b"]).alias("nb"), F.size(F.array_intersect(s["a"], s["b"])).alias("inner")))
     # Checkpointed: a filter on it would compute the sets again.
-    return cut(_pair_texts(pairs, texts).select(*pairs.columns, sizes.alias("n"))).select(*pairs.columns, "n.*")
+    return settled(_pair_texts(pairs, texts).select(*pairs.columns, sizes.alias("n"))).select(*pairs.columns, "n.*")
 
 
 def _alike(least: float) -> Column:
@@ -138,18 +138,18 @@ def _rounds(members: DataFrame, texts: DataFrame, width: int, least: float) -> t
     links = first = None
     for _ in range(ROUNDS):
         reps = members.groupBy("key").agg(F.max_by("lid", F.struct("central", "lid")).alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        reps = cut(reps)
+        reps = settled(reps)
         n = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         if not n:
             break
-        against = cut(meet(members, reps, "key", n).filter("lid <> rep"))
-        pairs = cut(against.select(F.col("rep").alias("a"), F.col("lid").alias("b")).distinct())
+        against = settled(meet(members, reps, "key", n).filter("lid <> rep"))
+        pairs = settled(against.select(F.col("rep").alias("a"), F.col("lid").alias("b")).distinct())
         told = _compared(pairs, texts, width)
         found = told.filter(_alike(least)).select("a", "b")
-        links = found if links is None else cut(links.unionAll(found))
+        links = found if links is None else settled(links.unionAll(found))
         first = first if first is not None else (told, against)
         unlike = told.filter(~_alike(least)).select(F.col("a").alias("rep"), F.col("b").alias("lid"))
-        members = cut(against.join(unlike, ["rep", "lid"]).select("key", "lid", "central"))
+        members = settled(against.join(unlike, ["rep", "lid"]).select("key", "lid", "central"))
     return links, first, members
 
 
@@ -170,18 +170,18 @@ def _apart(told: DataFrame, against: DataFrame, texts: DataFrame, roots: DataFra
     """
     named = told.join(roots.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
     named = named.withColumn("off", ~_alike(least)).withColumn("far", 1 - F.col("inner") / (F.col("na") + F.col("nb") - F.col("inner")))
-    placed = cut(against.select("key", F.col("rep").alias("a"), F.col("lid").alias("b")).join(named, ["a", "b"]))
+    placed = settled(against.select("key", F.col("rep").alias("a"), F.col("lid").alias("b")).join(settled(named), ["a", "b"]))
     # Jaccard distance is a metric: y can't be near x if x is much farther from T.
     keys = placed.groupBy("key").agg(
         F.min(F.when(F.col("off"), F.col("far"))).alias("nearest"), F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")
     ).filter("nearest is not null and low <> high").select("key", "nearest", "n")
-    keys = cut(keys)
+    keys = settled(keys)
     total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if not total:
         return placed.select("a", "b").limit(0)
     asked = meet(placed, keys, "key", total).filter(F.col("off") | (F.col("far") >= F.col("nearest") - (1 - least) - 1e-9))
     asked = asked.select("key", "a", "b", "root", "off", "far", F.col("nb").alias("n"), F.col("inner").alias("i"))
-    asked = cut(asked.withColumn("class", _size_class(F.col("n"))).withColumn("member", F.monotonically_increasing_id()))
+    asked = settled(asked.withColumn("class", _size_class(F.col("n"))).withColumn("member", F.monotonically_increasing_id()))
 
     both = F.struct(_shingle_set(F.col("la"), width).alias("a"), _shingle_set(F.col("lb"), width).alias("b"))
     gained = _let(both, lambda s: F.array_except(s["b"], s["a"]))
@@ -190,7 +190,7 @@ def _apart(told: DataFrame, against: DataFrame, texts: DataFrame, roots: DataFra
     tokens = asked.join(gains, ["a", "b"]).select("member", "root", "key", F.explode("gains").alias("gain"))
     tokens = written(tokens.select("member", "root", F.xxhash64("key", "gain").alias("token")), "line-tokens")
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    shared = cut(shared.select("token", "n", F.col("n").alias("often")))
+    shared = settled(shared.select("token", "n", F.col("n").alias("often")))
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     live = written(meet(tokens.drop("root"), shared, "token", total), "line-shared-tokens")
 
@@ -207,8 +207,9 @@ def _apart(told: DataFrame, against: DataFrame, texts: DataFrame, roots: DataFra
     ranked = live.withColumn("place", F.row_number().over(mine.orderBy("often", "token"))).withColumn("alive", F.count(F.lit(1)).over(mine))
     facts = asked.select("member", "class", "root", "n", "i", F.col("b").alias("line"))
     probes = by_class(ranked.join(facts, "member"), F.col("n"), F.col("i")).filter("place <= alive - greatest(lacks, 1) + 1")
-    probes = probes.select("token", F.col("with").alias("class"), F.col("line").alias("x"), F.col("root").alias("rx"), F.col("i").alias("ix"))
-    y = live.select("member", "token").join(facts, "member").select("token", "class", F.col("line").alias("y"), F.col("root").alias("ry"), F.col("i").alias("iy"))
+    parts = 1 + total // 50_000
+    probes = probes.coalesce(parts).select("token", F.col("with").alias("class"), F.col("line").alias("x"), F.col("root").alias("rx"), F.col("i").alias("ix"))
+    y = live.select("member", "token").join(facts, "member").coalesce(parts).select("token", "class", F.col("line").alias("y"), F.col("root").alias("ry"), F.col("i").alias("iy"))
     less = (F.col("ix") < F.col("iy")) | ((F.col("ix") == F.col("iy")) & (F.col("x") < F.col("y")))
     met = probes.join(y, ["token", "class"]).filter((F.col("rx") != F.col("ry")) & less).select("x", "y")
 
@@ -217,7 +218,8 @@ def _apart(told: DataFrame, against: DataFrame, texts: DataFrame, roots: DataFra
     y = asked.select("key", "class", F.col("b").alias("y"), F.col("root").alias("ry"), F.col("i").alias("iy"), "n", "far", "off")
     fits = (F.col("ix") >= least / (1 + least) * (F.col("nx") + F.col("n")) - 1e-6) & (F.abs(F.col("fx") - F.col("far")) <= 1 - least + 1e-9) & (F.col("ox") | F.col("off"))
     by_size = room.join(y, ["key", "class"]).filter((F.col("rx") != F.col("ry")) & less & fits).select("x", "y")
-    return met.unionAll(by_size).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = met.unionAll(by_size).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return pairs.coalesce(parts).distinct()
 
 
 def line_components(docs: DataFrame, width: int = 8, least: float = 0.8) -> DataFrame:
@@ -225,21 +227,21 @@ def line_components(docs: DataFrame, width: int = 8, least: float = 0.8) -> Data
     lines = _occurrences(docs)
     bands = written(_bands(_signatures(docs, width)), "line-bands")
     filed = bands.select("lid", "weight", F.explode("bands").alias("key"))
-    shared = cut(filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "n", F.col("n").alias("size")))
+    shared = settled(filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "n", F.col("n").alias("size")))
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if not total:
         return bands.select("h1", "h2", F.col("lid").alias("root")).limit(0)
-    members = cut(meet(filed, shared, "key", total))
+    members = settled(meet(filed, shared, "key", total))
     # A line in many large bands is likeliest the one that others vary; of such
     # lines the one with most copies.
     central = members.groupBy("lid").agg((F.sum("size") * 1000 + F.least(F.first("weight"), F.lit(999))).alias("central"))
-    members = cut(members.select("key", "lid").join(central, "lid"))
-    keys = cut(members.select("lid").distinct().join(bands.select("lid", "h1", "h2"), "lid"))
+    members = settled(members.select("key", "lid").join(central, "lid"))
+    keys = settled(members.select("lid").distinct().join(bands.select("lid", "h1", "h2"), "lid"))
     wanted = F.broadcast(keys) if keys.count() <= BROADCAST_LINES else keys
     texts = written(lines.select("h1", "h2", "line").join(wanted, ["h1", "h2"]).groupBy("lid").agg(F.min("line").alias("line")), "line-texts")
     links, first, _ = _rounds(members, texts, width, least)
     roots = components(links)
-    more = cut(_apart(*first, texts, roots, width, least))
+    more = settled(_apart(*first, texts, roots, width, least))
     if not more.isEmpty():
         found = _compared(more, texts, width).filter(_alike(least)).select("a", "b")
         roots = components(links.unionAll(found))
@@ -258,16 +260,16 @@ def dedup_lines(docs: DataFrame, width: int = 8, least: float = 0.8) -> DataFram
     they are; those named like the two new ones (or like a working column) get
     ``_in`` at the end.
     """
-    roots = cut(line_components(docs, width, least))
+    roots = settled(line_components(docs, width, least))
     places = _occurrences(docs).select("h1", "h2", "doc_id", "th", "pos", _place(F.col("doc_id"), F.col("th"), F.col("pos")).alias("place"))
     firsts = places.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count(F.lit(1)).alias("n"))
-    named = cut(firsts.join(roots, ["h1", "h2"], "left").filter("root is not null or first < last"))
+    named = settled(firsts.join(roots, ["h1", "h2"], "left").filter("root is not null or first < last"))
     near = named.filter("root is not null")
-    kept = cut(near.groupBy("root").agg(F.min("first").alias("keep"), F.count(F.lit(1)).alias("n")))
+    kept = settled(near.groupBy("root").agg(F.min("first").alias("keep"), F.count(F.lit(1)).alias("n")))
     lines_near = kept.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     one = near.select("h1", "h2", "root", F.col("n").alias("copies"))
     keep = meet(one, kept, "root", lines_near).select("h1", "h2", "keep", F.col("copies").alias("n"))
-    keep = cut(keep.unionAll(named.filter("root is null").select("h1", "h2", F.col("first").alias("keep"), "n")))
+    keep = settled(keep.unionAll(named.filter("root is null").select("h1", "h2", F.col("first").alias("keep"), "n")))
     total = keep.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     gone = cut(
         meet(places, keep, ["h1", "h2"], total).filter("place <> keep")
