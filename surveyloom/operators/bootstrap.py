@@ -3,7 +3,8 @@
 Replicate b draws, within each stratum, as many rows as the stratum has, with
 replacement; a row's replicate weight is its weight times the number of draws.
 Draw k of replicate b is a hash of (seed, stratum, b, k), so any replicate or
-stratum can be made again, or added, on its own and in any order.
+stratum can be made again, or added, on its own and in any order. The hash is
+whole-number arithmetic, the same in any SQL engine.
 """
 
 from __future__ import annotations
@@ -13,6 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The hash's modulus, a prime whose square a long holds.
+P = 2**31 - 1
+#: Draws that one task makes at once, and replicates whose draws are listed together.
+BLOCK, CHUNK = 10_000, 32
+
 
 def _stratum(columns: Sequence[str]) -> Column:
     """One string a stratum; a null is a stratum of its own."""
@@ -20,41 +26,79 @@ def _stratum(columns: Sequence[str]) -> Column:
     return F.concat_ws("\u0001", *parts) if parts else F.lit("")
 
 
-def _draw(seed: int) -> Column:
-    text = F.concat_ws("|", F.lit(seed), F.col("stratum"), F.col("b"), F.col("k"))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long") % F.col("n")
+def _number(text: Column, digits: int) -> Column:
+    """The first hexadecimal digits of a text's md5 as a number."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10).cast("long")
 
 
-def counts(df: DataFrame, id_col: str, strata: Sequence[str] = (), first: int = 1, last: int = 500, seed: int = 1) -> DataFrame:
-    """BSW-01/03: (id, stratum, b, draws) for replicates first..last, where draws > 0.
+def mixed(x: Column, y: Column) -> Column:
+    """One step of the hash; ``x`` below P."""
+    z = (x + y) % P
+    return F.get(F.transform(F.array(z), lambda z: (z * z + z * 48271 + 12345) % P), 0)
 
-    The draws are made where the stratum sizes are (a row a stratum and
-    replicate, spread over the cluster) and meet the rows by place in a join.
-    """
-    rows = df.select(F.col(id_col).alias("id"), _stratum(strata).alias("stratum"))
-    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("stratum").orderBy("id")) - 1)
-    sizes = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 10_000))
+
+def placed(df: DataFrame, id_col: str, strata: Sequence[str]) -> DataFrame:
+    """(id, stratum, place): rows numbered from 0 within strata, in the order of 256
+    buckets by a hash of the id, then by id. Buckets are numbered apart, so a
+    stratum of any size is spread, and shifted by the counts of those before."""
+    bucket = F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 2)
+    rows = df.select(F.col(id_col).alias("id"), _stratum(strata).alias("stratum"), bucket.alias("bucket"))
+    sizes = rows.groupBy("stratum", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("stratum").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("stratum", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    own = F.row_number().over(Window.partitionBy("stratum", "bucket").orderBy("id")) - 1
+    return rows.withColumn("own", own).join(shifts, ["stratum", "bucket"]).select("id", "stratum", (F.col("own") + F.col("shift")).alias("place"))
+
+
+def _drawn(df: DataFrame, strata: Sequence[str], first: int, last: int, seed: int) -> DataFrame:
+    """(stratum, place, b) of every draw, made in blocks spread over the cluster."""
+    sizes = df.groupBy(_stratum(strata).alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
+    begun = sizes.withColumn("s", (_number(F.col("stratum"), 7) + seed * 7919) % P)
     work = (
-        sizes.withColumn("b", F.explode(F.sequence(F.lit(first), F.lit(last))))
-        .withColumn("block", F.explode(blocks)).repartition("stratum", "b", "block")
-        .withColumn("k", F.explode(F.sequence(F.col("block") * 10_000, F.least(F.col("n"), (F.col("block") + 1) * 10_000) - 1)))
+        begun.withColumn("b", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK))))
+        .withColumn("x", mixed(F.col("s"), F.col("b") * F.lit(40503).cast("long"))).repartition("stratum", "b", "block")
+        .withColumn("k", F.explode(F.sequence(F.col("block") * BLOCK, F.least(F.col("n"), (F.col("block") + 1) * BLOCK) - 1)))
     )
-    picked = work.select("stratum", "b", _draw(seed).alias("place")).groupBy("stratum", "place", "b").agg(F.count(F.lit(1)).alias("draws"))
-    return placed.join(picked, ["stratum", "place"]).select("id", "stratum", "b", "draws")
+    z = lambda c: (c * c + c * 48271 + 12345) % P
+    # One select a step: the optimizer keeps apart what a step uses more than once.
+    steps = work.select("stratum", "b", "n", ((F.col("x") + F.col("k")) % P).alias("u"))
+    steps = steps.select("stratum", "b", "n", z(F.col("u")).alias("v"))
+    steps = steps.select("stratum", "b", "n", z(F.col("v")).alias("v"))
+    steps = steps.select("stratum", "b", "n", "v", z(F.col("v")).alias("w"))
+    return steps.select("stratum", ((F.col("v") * P + F.col("w")) % F.col("n")).alias("place"), "b")
+
+
+def counts(df: DataFrame, id_col: str, strata: Sequence[str] = (), first: int = 1, last: int = 500, seed: int = 1) -> DataFrame:
+    """BSW-01/03: (id, stratum, b, draws) for replicates first..last, where draws > 0."""
+    picked = _drawn(df, strata, first, last, seed).groupBy("stratum", "place", "b").agg(F.count(F.lit(1)).alias("draws"))
+    return placed(df, id_col, strata).join(picked, ["stratum", "place"]).select("id", "stratum", "b", "draws")
 
 
 def replicate_weights(df: DataFrame, weight: str, id_col: str, strata: Sequence[str] = (), replicates: int = 500, seed: int = 1, first: int = 1) -> DataFrame:
     """(id, stratum, weights): an array of replicates first..first+n-1 for each row.
 
-    A null weight counts as zero (BSW-02).
+    A null weight counts as zero (BSW-02). A row's draws are listed by CHUNK
+    replicates, counted there, and the chunks laid one after another.
     """
     last = first + replicates - 1
-    drawn = counts(df, id_col, strata, first, last, seed)
-    by_id = drawn.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("b", "draws"))).alias("draws"))
+    chunk = F.floor((F.col("b") - first) / CHUNK).cast("int")
+    listed = _drawn(df, strata, first, last, seed).groupBy("stratum", "place", chunk.alias("chunk")).agg(F.collect_list("b").alias("bs"))
+    begin = F.lit(first) + F.col("chunk") * CHUNK
+    span = F.sequence(begin, F.least(F.lit(last), begin + CHUNK - 1))
+    dense = listed.select("stratum", "place", "chunk", F.transform(span, lambda b: F.size(F.filter("bs", lambda x: x == b))).alias("c"))
+    chunks = -(-replicates // CHUNK)
+    if chunks == 1:
+        by_row = dense.select("stratum", "place", F.col("c").alias("draws"))
+    else:
+        empty = F.array_repeat(F.lit(0), CHUNK)
+        found = F.map_from_entries(F.collect_list(F.struct("chunk", "c")))
+        by_row = dense.groupBy("stratum", "place").agg(found.alias("m"))
+        every = F.transform(F.sequence(F.lit(0), F.lit(chunks - 1)), lambda k: F.coalesce(F.try_element_at("m", k), empty))
+        by_row = by_row.select("stratum", "place", F.slice(F.flatten(every), 1, replicates).alias("draws"))
+    at = placed(df, id_col, strata).join(by_row, ["stratum", "place"], "left").select("id", F.coalesce("draws", F.array_repeat(F.lit(0), replicates)).alias("draws"))
     base = df.select(F.col(id_col).alias("id"), _stratum(strata).alias("stratum"), F.coalesce(F.col(weight).cast("double"), F.lit(0.0)).alias("w"))
-    value = lambda b: F.col("w") * F.coalesce(F.try_element_at("draws", b), F.lit(0))
-    return base.join(by_id, "id", "left").select("id", "stratum", F.transform(F.sequence(F.lit(first), F.lit(last)), value).alias("weights"))
+    return base.join(at, "id").select("id", "stratum", F.transform("draws", lambda n: n * F.col("w")).alias("weights"))
 
 
 def extended(stored: DataFrame, df: DataFrame, weight: str, id_col: str, strata: Sequence[str], replicates: int, seed: int = 1) -> DataFrame:

@@ -117,3 +117,24 @@ def fill_down(df: DataFrame, column: str, order: str, within: Sequence[str] = ()
 
     w = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(column, F.last(column, ignorenulls=True).over(w))
+
+
+def with_row_id(df: DataFrame, order: Sequence[str], name: str = "row_id") -> DataFrame:
+    """WIN-05/DML-08: numbers the rows of a table without an id, from 1, the same way
+    each time: by 256 buckets of a hash of ``order``, then by ``order``. Rows equal
+    in all of it are interchangeable. No task numbers more than a bucket."""
+    from pyspark.sql import Window
+
+    key = F.concat_ws("\u0001", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in order])
+    rows = df.withColumn("_bucket", F.substring(F.md5(key.cast("binary")), 1, 2))
+    sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # of 256 rows
+    shifts = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    own = F.row_number().over(Window.partitionBy("_bucket").orderBy(*[F.col(f"`{c}`") for c in order]))
+    numbered = rows.withColumn(name, own).join(F.broadcast(shifts), "_bucket")
+    return numbered.withColumn(name, (F.col(name) + F.col("_shift")).cast("long")).drop("_bucket", "_shift")
+
+
+def distinct_values(df: DataFrame, column: str) -> DataFrame:
+    """AGG-05: a column's values as text, which become its levels."""
+    return df.select(F.col(f"`{column}`").cast("string").alias("value")).filter("value is not null").distinct()

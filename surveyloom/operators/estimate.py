@@ -73,10 +73,22 @@ def null_audit(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def weight_columns(columns: Sequence[str]) -> list[str]:
-    """AGG-11: names that look like weights."""
-    import re
-
-    return [c for c in columns if re.search(r"(?i)weight|^w(gh)?t|_wt|wght|fwgt", c)]
+    """AGG-11/PRJ-13: names of person or household weights, without replicates.
+
+    A name is taken apart at underscores and digits; a weight's has a part that is
+    one of the short words, or begins or ends with a longer one. Numbered names
+    are replicates, as are those with a replicate's mark.
+    """
+    # How weights, and marks of replicates, are written.
+    weight, whole, replicate = ("WEIGHT", "WGHT", "WGT", "FINWGH"), ("WT", "WTPP"), ("BS", "BSW", "WTI")
+    out = []
+    for c in columns:
+        letters = "".join(x if x.isalpha() else " " for x in c.upper()).split()
+        marked = any(x in whole or x.startswith(weight) or x.endswith(weight) for x in letters)
+        copied = c[-1:].isdigit() or any(x.endswith(replicate) or x.startswith(replicate) for x in letters)
+        if marked and not copied:
+            out.append(c)
+    return out
 
 
 def replicate_order(columns: Sequence[str]) -> list[str]:

@@ -21,14 +21,14 @@ def detected_format(name, label=None):
 
 
 def detected_edition(name, label, url):
-    """STR-09: a census year, else the longer period in name or text, else the
+    """STR-09: a census year and kind, else the longer period in name or text, else the
     folder before the file."""
     period = lambda c: F.nullif(F.regexp_extract(c, r"(\d{4}(?:-\d{2,4})?)", 1), F.lit(""))
     a, b = period(name), period(label)
     named = F.when(F.length(b) > F.coalesce(F.length(a), F.lit(0)), b).otherwise(a)
     folder = F.regexp_extract(url, r"([^/]*)/[^/]*$", 1)
     by_folder = F.when(folder.rlike(r"^\d{4}(-\d{2,4})?$"), folder).when(folder.rlike(r"^\d{7}$"), F.substring(folder, 1, 4))
-    return F.coalesce(text.census_edition(url).cast("string"), named, by_folder)
+    return F.coalesce(text.census_edition(url), named, by_folder)
 
 
 def collection(catalogue: DataFrame, supported: Sequence[str] | None = None, prefer: Sequence[str] = tuple(FORMATS)) -> DataFrame:
@@ -58,3 +58,26 @@ def resolved(adapter: DataFrame, curated: DataFrame, series: str, version: str)
 def stale(fetched, now, days: int = 180):
     """DAT-02/SNK-09: whether a snapshot is older than so many days."""
     return F.datediff(now, fetched) > days
+
+
+def editions(catalogue: DataFrame) -> DataFrame:
+    """AGG-08: how many editions each catalogue id has; null ones don't count."""
+    return catalogue.groupBy("catalogue_id").agg(F.countDistinct("edition").alias("editions"))
+
+
+def with_categories(rows: DataFrame, categories: DataFrame) -> DataFrame:
+    """JOIN-07: scraped rows with what is known of their category (``cat``); rows of an
+    unknown one stay. Categories are a page's headings, so few."""
+    return rows.join(categories, "cat", "left")
+
+
+def monthly_versions(pages: DataFrame) -> DataFrame:
+    """CAT-02: (Date, version, url) of the archives that pages (html) link to whose
+    names carry a year and month, such as 2023-06.zip, or a year."""
+    url = pages.select(F.explode(text.links(F.col("html"))).alias("url")).distinct()
+    stem = F.element_at(F.split(text.file_name(F.col("url")), r"\.zip"), 1)
+    year, month = F.left(stem, F.lit(4)), F.substring(stem, 6, 2)
+    dated = F.when(F.length(stem) == 7, F.try_to_date(F.concat(stem, F.lit("-01")), "yyyy-MM-dd"))
+    annual = F.when((F.length(stem) == 4) & (F.translate(stem, "0123456789", "") == ""), F.try_to_date(F.concat(year, F.lit("-12-31")), "yyyy-MM-dd"))
+    found = url.filter(F.endswith("url", F.lit(".zip"))).select(F.coalesce(dated, annual).alias("Date"), stem.alias("version"), "url")
+    return found.filter("Date is not null")

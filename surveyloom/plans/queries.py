@@ -265,10 +265,12 @@ def codebook_fill_down(spark, sf_dir):
 
 # -- bootstrap ------------------------------------------------------------------------
 
-_DRAWS = """d AS (SELECT s.stratum, b, CAST('0x' || substr(md5(concat_ws('|', '{seed}', s.stratum, CAST(b AS VARCHAR), CAST(k AS VARCHAR))), 1, 12) AS BIGINT) % n AS place
-  FROM (SELECT stratum, count(*) AS n FROM r GROUP BY stratum) s, generate_series(1, {n}) g(b), LATERAL (SELECT unnest(range(n)) AS k)),
+_DRAWS = """z AS (SELECT stratum, count(*) AS n, (CAST('0x' || substr(md5(stratum), 1, 7) AS BIGINT) + {seed} * 7919) % 2147483647 AS s FROM r GROUP BY stratum),
+q AS (SELECT stratum, n, b, (s + b * 40503) % 2147483647 AS y, (y * y + y * 48271 + 12345) % 2147483647 AS x FROM z, generate_series(1, {n}) g(b)),
+d AS (SELECT stratum, b, (x + k) % 2147483647 AS u, (u * u + u * 48271 + 12345) % 2147483647 AS v1, (v1 * v1 + v1 * 48271 + 12345) % 2147483647 AS v, (v * v + v * 48271 + 12345) % 2147483647 AS w, (v * 2147483647 + w) % n AS place
+  FROM q, LATERAL (SELECT unnest(range(n)) AS k)),
 c AS (SELECT stratum, place, b, count(*) AS draws FROM d GROUP BY ALL)"""
-_ROWS = """r AS (SELECT o_orderkey AS id, {stratum} AS stratum, o_totalprice AS w, row_number() OVER (PARTITION BY {stratum} ORDER BY o_orderkey) - 1 AS place FROM orders)"""
+_ROWS = """r AS (SELECT o_orderkey AS id, {stratum} AS stratum, o_totalprice AS w, row_number() OVER (PARTITION BY {stratum} ORDER BY substr(md5(o_orderkey::VARCHAR), 1, 2), o_orderkey) - 1 AS place FROM orders)"""
 
 
 def _boot(seed: int, n: int, stratum: str, tail: str) -> str:
@@ -316,14 +318,14 @@ def bootstrap_ci(spark, sf_dir):
     return ci.select("o_orderpriority", F.round("low", 0).alias("low"), F.round("high", 0).alias("high"))
 
 
-@_query(_boot(1, 6, "o_orderstatus", "SELECT r.id, round(sum(draws * w), 2) AS total FROM r JOIN c USING (stratum, place) GROUP BY ALL"))
+@_query(_boot(1, 6, "o_orderstatus", "SELECT r.id, round(coalesce(sum(draws * w), 0), 2) AS total FROM r LEFT JOIN c USING (stratum, place) GROUP BY ALL"))
 def bootstrap_extend(spark, sf_dir):
     """BSW-07/09: four stored replicates of half the strata's rows become six of all."""
     o = _t(spark, sf_dir, "orders")
     have = bootstrap.replicate_weights(o.filter("o_orderstatus <> 'P'"), "o_totalprice", "o_orderkey", ["o_orderstatus"], 4)
     now = bootstrap.extended(have, o, "o_totalprice", "o_orderkey", ["o_orderstatus"], 6)
     total = F.aggregate("weights", F.lit(0.0), lambda a, x: a + x)
-    return now.select("id", F.round(total, 2).alias("total")).filter("total > 0")
+    return now.select("id", F.round(total, 2).alias("total"))
 
 
 # -- the longitudinal store -------------------------------------------------------------
@@ -335,14 +337,15 @@ def _events(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", F.year("ts").alias("year"), F.month("ts").alias("month"), F.round("value", 4).alias("value"))
 
 
-@_query(f"SELECT event_id, year, month, version FROM (SELECT *, year::VARCHAR AS version FROM ({_EV}))")
+@_query("""SELECT o_orderkey, year, month, CASE WHEN year % 2 = 0 THEN year::VARCHAR ELSE strftime(make_date(year, month, 1), '%Y-%m') END AS version
+  FROM (SELECT o_orderkey, year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month FROM orders)""")
 def lfs_supersede(spark, sf_dir):
-    """LFS-04: an annual version takes its months' place."""
-    e = _events(spark, sf_dir)
+    """LFS-04: an annual version takes its months' place; odd years have none and keep theirs."""
+    e = _t(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"))
     monthly = e.withColumn("version", F.format_string("%04d-%02d", "year", "month"))
-    annual = e.withColumn("version", F.col("year").cast("string"))
+    annual = e.filter("year % 2 = 0").withColumn("version", F.col("year").cast("string"))
     both = monthly.unionByName(annual)
-    return store.superseded(both, both.select("version").distinct()).select("event_id", "year", "month", "version")
+    return store.superseded(both, both.select("version").distinct()).select("o_orderkey", "year", "month", "version")
 
 
 @_query(f"SELECT event_id, CASE WHEN month % 2 = 0 THEN CAST(event_id AS DOUBLE) ELSE value END AS x, CASE WHEN month % 2 = 0 THEN 1 END AS extra FROM ({_EV})")
@@ -360,13 +363,13 @@ def survdate(spark, sf_dir):
     return columns.survey_date(_events(spark, sf_dir).drop("value"), "year", "month").select("event_id", "year", "month", "SURVDATE")
 
 
-@_query("""SELECT doc_id, CASE toxic WHEN 0 THEN 'Men+' WHEN 1 THEN 'Women+' END AS GENDER, CASE quality WHEN 0 THEN 'Male' ELSE 'Female' END AS SEX,
-  coalesce(CASE WHEN doc_id % 2 = 0 THEN CASE toxic WHEN 0 THEN 'Men+' WHEN 1 THEN 'Women+' END END, CASE quality WHEN 0 THEN 'Men+' ELSE 'Women+' END) AS GENDER_SEX
-  FROM labels WHERE doc_id % 2 = 0""")
+@_query("""SELECT doc_id, GENDER, SEX, coalesce(GENDER, CASE SEX WHEN 'Male' THEN 'Men+' ELSE 'Women+' END) AS GENDER_SEX FROM (
+  SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CASE toxic WHEN 0 THEN 'Men+' WHEN 1 THEN 'Women+' END END AS GENDER, CASE quality WHEN 0 THEN 'Male' ELSE 'Female' END AS SEX FROM labels)""")
 def gender_sex(spark, sf_dir):
-    """LFS-11"""
-    x = _t(spark, sf_dir, "labels").filter("doc_id % 2 = 0")
-    x = x.select("doc_id", F.when(F.col("toxic") == 0, "Men+").when(F.col("toxic") == 1, "Women+").alias("GENDER"), F.when(F.col("quality") == 0, "Male").otherwise("Female").alias("SEX"))
+    """LFS-11: GENDER where it is known (here for even ids), else SEX."""
+    x = _t(spark, sf_dir, "labels")
+    gender = F.when(F.col("doc_id") % 2 == 0, F.when(F.col("toxic") == 0, "Men+").when(F.col("toxic") == 1, "Women+"))
+    x = x.select("doc_id", gender.alias("GENDER"), F.when(F.col("quality") == 0, "Male").otherwise("Female").alias("SEX"))
     return columns.gender_sex(x)
 
 
@@ -397,8 +400,8 @@ def acronym_series(spark, sf_dir):
 
 
 FILES = (
-    ("https://x/n1/cen16_ind_e.zip?st=1", 2016, "2010", 2), ("https://x/c27_2013_f.pdf", None, "Cycle 27 (2013)", 0), ("https://x/nhs11.zip", 2011, "2010", 1),
-    ("https://x/cen96.zip", 1996, "2010", 1), ("https://x/CSGVP_2007_eng.zip", None, "CSGVP (2007)", 2), ("https://x/TU_ET_2022.zip", None, "Cycle 36 (2022)", 1),
+    ("https://x/n1/cen16_ind_e.zip?st=1", "'2016 (individuals)'", "2010", 2), ("https://x/c27_2013_f.pdf", None, "Cycle 27 (2013)", 0), ("https://x/nhs11_hier_csv.zip", "'2011 (hierarchical)'", "2010", 1),
+    ("https://x/cen96_fam_x.zip", "'1996 (families)'", "2010", 1), ("https://x/cen96.zip", None, "2010", 1), ("https://x/a_cen01_hous_x.zip", None, "2010", 1), ("https://x/CSGVP_2007_eng.zip", None, "CSGVP (2007)", 2), ("https://x/TU_ET_2022.zip", None, "Cycle 36 (2022)", 1),
 )
 
 

@@ -3,24 +3,36 @@
 from __future__ import annotations
 
 import re
+import zipfile
 from pathlib import Path
 
-ENGLISH = re.compile(r"(^|[_\-.])(eng|en|english|anglais)([_\-.]|$)|_e\.")
-FRENCH = re.compile(r"(^|[_\-.])(fra|fr|french|francais|fran.ais)([_\-.]|$)|_f\.|recensement")
-
-
-def score(path: str, lang: str) -> int:
-    name = Path(path).name.lower()
-    own, other = (ENGLISH, FRENCH) if lang == "eng" else (FRENCH, ENGLISH)
-    return 2 if own.search(name) else 0 if other.search(name) else 1
+from ..functions.text import language_score_of
 
 
 def documents(folder: str, lang: str = "eng", mask: str | None = None) -> list[str]:
-    """PDFs of the folder, else of its parent, else text files; those that match the
-    mask, in the wanted language first, else in order of their paths."""
+    """PDFs of the folder, else of its archives, else of its parent, else text files;
+    those that match the mask, in the wanted language first, else in order of
+    their paths."""
     root = Path(folder)
-    for where, ending in ((root, ".pdf"), (root.parent, ".pdf"), (root, ".txt")):
-        found = sorted(str(p) for p in where.rglob("*") if p.suffix.lower() == ending and (mask is None or re.search(mask, p.name)))
-        if found:
-            return sorted(found, key=lambda p: -score(p, lang))
+
+    def found(where: Path, ending: str) -> list[str]:
+        return sorted(str(p) for p in where.rglob("*") if p.suffix.lower() == ending and (mask is None or re.search(mask, p.name)))
+
+    def packed() -> list[str]:
+        out = []
+        for z in sorted(root.rglob("*.zip")):
+            if zipfile.is_zipfile(z):
+                into = z.with_name(z.stem + "_documents")
+                with zipfile.ZipFile(z) as archive:
+                    for info in archive.infolist():
+                        name = Path(info.filename).name
+                        if name.lower().endswith(".pdf") and (mask is None or re.search(mask, name)):
+                            into.mkdir(exist_ok=True)
+                            (into / name).write_bytes(archive.read(info))
+                            out.append(str(into / name))
+        return sorted(out)
+
+    for look in (lambda: found(root, ".pdf"), packed, lambda: found(root.parent, ".pdf"), lambda: found(root, ".txt")):
+        if got := look():
+            return sorted(got, key=lambda p: -language_score_of(p, lang))
     return []

@@ -82,3 +82,15 @@ def numeric_except(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def union_files(frames: Sequence[DataFrame]) -> DataFrame:
     """SRC-08/SET-01: rows by name, missing columns null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def read_raw(spark: SparkSession, path, layout: Sequence[Field] | None = None, encoding: str = "CP1252", guess_numeric: bool = False) -> DataFrame:
+    """SRC-10: a file that is in no cache, without labels; fixed-width with a layout, else
+    delimited. ``guess_numeric`` makes columns double that hold numbers alone."""
+    from ..functions.convert import number
+
+    df = read_fixed_width(spark, path, layout, encoding) if layout else drop_junk(read_delimited(spark, path, encoding))
+    if not guess_numeric:
+        return df
+    broken = df.agg(*[F.max((F.col(f"`{c}`").isNotNull() & number(F.col(f"`{c}`")).isNull()).cast("int")).alias(c) for c in df.columns]).first()
+    return df.select(*[F.col(f"`{c}`") if broken[c] else number(F.col(f"`{c}`")).alias(c) for c in df.columns])

@@ -58,9 +58,9 @@ def test_collection(spark):
     curated = spark.createDataFrame([("LFS", "2022", "l"), ("GSS", "Cycle 31 (2017)", "old")], "Acronym string, Version string, url string")
     assert catalogue.resolved(got, curated, "GSS", "Cycle 31 (2017)").first().url == rows[0][3]
     assert catalogue.resolved(got, curated, "LFS", "2022").first().url == "l"
-    d = spark.createDataFrame([("x_CSV.zip", None, "h/2019-2020/x_CSV.zip"), ("f.zip", "SAS 2012", "h/2020001/f.zip"), ("f.zip", "?", "h/2020001/f.zip"), ("cen16_x.zip", "", "h/cen16_x.zip")], "n string, t string, u string")
+    d = spark.createDataFrame([("x_CSV.zip", None, "h/2019-2020/x_CSV.zip"), ("f.zip", "SAS 2012", "h/2020001/f.zip"), ("f.zip", "?", "h/2020001/f.zip"), ("cen16_hous_x.zip", "", "h/cen16_hous_x.zip")], "n string, t string, u string")
     d = d.select(catalogue.detected_format(F.col("n"), F.col("t")), catalogue.detected_edition(F.col("n"), F.col("t"), F.col("u")))
-    assert [tuple(r) for r in d.collect()] == [("CSV", "2019-2020"), ("SAS", "2012"), (None, "2020"), (None, "2016")]
+    assert [tuple(r) for r in d.collect()] == [("CSV", "2019-2020"), ("SAS", "2012"), (None, "2020"), (None, "2016 (households)")]
 
 
 def test_download_and_documents(tmp_path):
