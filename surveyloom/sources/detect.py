@@ -6,8 +6,8 @@ import re
 from pathlib import Path
 
 from ..model import Metadata
-from ..plans.merge import merged
 from . import parsers
+from .merge import merged
 
 FRENCH = re.compile(r"(?i)(^|[/_\-. ])(fra|fr|french|fran[cç]ais|f)([/_\-. ]|$)")
 #: Roles by what the name's stem ends in; the order matters, as ``vare`` ends in ``e``.

@@ -7,7 +7,7 @@ import io
 import re
 
 from ...model import Code, Metadata, Variable
-from ...plans.build import sentinel_ranges
+from ..sentinels import sentinel_ranges
 
 
 def _rows(text: str):

@@ -5,7 +5,7 @@ from dataclasses import dataclass, field
 
 from ...functions.convert import NUMBER
 from ...model import Code, Field, Metadata, Variable
-from ...plans.build import sentinel_ranges
+from ..sentinels import sentinel_ranges
 
 
 @dataclass

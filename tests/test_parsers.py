@@ -5,7 +5,7 @@ import zipfile
 import pytest
 from surveyloom.model import Code, Field, Fixups, Metadata, Variable, bilingual_coverage, read_metadata, write_metadata
 from surveyloom.plans import build
-from surveyloom.plans.merge import merged
+from surveyloom.sources.merge import merged
 from surveyloom.plans.registry import Entry, Registry, resolve_version
 from surveyloom.plans.store import Store, wider
 from surveyloom.sources import files, raw

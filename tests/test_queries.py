@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 from surveyloom.plans import queries as q
+from surveyloom.plans import survey_queries  # noqa: F401  (adds its queries)
 
 
 @pytest.fixture(scope="module")
