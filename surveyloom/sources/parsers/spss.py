@@ -59,7 +59,7 @@ def value_labels(body: str) -> list[Code]:
         label = tokens[k + 1] if k + 1 < len(tokens) and tokens[k + 1].startswith('"') else None
         if t == "/":
             names, fresh = [], True
-        elif label is not None and not (fresh and not names) and not (fresh and t[0] not in "\"'" and tokens[k + 2 : k + 3] and tokens[k + 2].startswith('"')):
+        elif label is not None and not (fresh and not names) and not (fresh and re.match(r"[A-Za-z_@#$]", t) and "".join(tokens[k + 2 : k + 3]).startswith('"')):
             value = t[1:-1].strip() if t.startswith('"') else plain(t.rstrip("."))
             codes += [Code(n, value, label[1:-1].strip() or None) for n in names]
             fresh, k = False, k + 1
