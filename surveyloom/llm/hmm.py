@@ -176,10 +176,12 @@ def expected(m: Model, ids: np.ndarray, lengths: np.ndarray, start: np.ndarray,
     """Adds Baum-Welch's expected counts of padded texts; the sum of likelihoods (log10).
 
     The forward vectors are kept before each stretch only, and those within one
-    computed anew when the way back comes to it.
+    computed anew when the way back comes to it; texts of one stretch need no
+    such first pass.
     """
     steps, width = ids.shape
-    log, kept = forward(m, ids, lengths, stretch)
+    once = steps <= stretch
+    log, kept = (np.zeros(width), [np.broadcast_to(m.start, (width, len(m.start)))]) if once else forward(m, ids, lengths, stretch)
     by_symbol = np.ascontiguousarray(m.emit.T)
     open_at = _open_at(steps + 1, lengths)
     beta = np.ones((width, len(m.start)), dtype=m.move.dtype)
@@ -191,7 +193,10 @@ def expected(m: Model, ids: np.ndarray, lengths: np.ndarray, start: np.ndarray,
         for t in range(low, high):
             n = open_at[t]
             a = (a[:n] if t == 0 else a[:n] @ m.move) * by_symbol[ids[t, :n]]
-            a = a / a.sum(axis=1)[:, None]
+            scale = a.sum(axis=1)
+            if once:
+                log[:n] += np.log10(scale)
+            a = a / scale[:, None]
             gammas[t - low, :n] = a
         for t in range(high - 1, low - 1, -1):
             n, o = open_at[t], open_at[t + 1]
