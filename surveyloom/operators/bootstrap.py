@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: The hash's modulus, a prime whose square a long holds.
 P = 2**31 - 1
-#: Draws that one task makes at once, and replicates whose draws are listed together.
+#: Draws that one task makes at once, and replicates whose draws are counted together.
 BLOCK, CHUNK = 10_000, 32
 
 
@@ -78,15 +78,15 @@ def counts(df: DataFrame, id_col: str, strata: Sequence[str] = (), first: int =
 def replicate_weights(df: DataFrame, weight: str, id_col: str, strata: Sequence[str] = (), replicates: int = 500, seed: int = 1, first: int = 1) -> DataFrame:
     """(id, stratum, weights): an array of replicates first..first+n-1 for each row.
 
-    A null weight counts as zero (BSW-02). A row's draws are listed by CHUNK
-    replicates, counted there, and the chunks laid one after another.
+    A null weight counts as zero (BSW-02). A row's draws are counted CHUNK
+    replicates at a time, as sums, and the chunks laid one after another.
     """
     last = first + replicates - 1
     chunk = F.floor((F.col("b") - first) / CHUNK).cast("int")
-    listed = _drawn(df, strata, first, last, seed).groupBy("stratum", "place", chunk.alias("chunk")).agg(F.collect_list("b").alias("bs"))
-    begin = F.lit(first) + F.col("chunk") * CHUNK
-    span = F.sequence(begin, F.least(F.lit(last), begin + CHUNK - 1))
-    dense = listed.select("stratum", "place", "chunk", F.transform(span, lambda b: F.size(F.filter("bs", lambda x: x == b))).alias("c"))
+    wide = range(min(CHUNK, replicates))
+    drawn = _drawn(df, strata, first, last, seed).select("stratum", "place", chunk.alias("chunk"), F.pmod(F.col("b") - first, F.lit(CHUNK)).alias("in"))
+    sums = [F.sum((F.col("in") == j).cast("int")).cast("int").alias(f"c{j}") for j in wide]
+    dense = drawn.groupBy("stratum", "place", "chunk").agg(*sums).select("stratum", "place", "chunk", F.array(*[f"c{j}" for j in wide]).alias("c"))
     chunks = -(-replicates // CHUNK)
     if chunks == 1:
         by_row = dense.select("stratum", "place", F.col("c").alias("draws"))
