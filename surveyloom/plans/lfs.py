@@ -74,8 +74,13 @@ class LabourForce:
         return Metadata(tuple(variables.values()), tuple(codes.values()))
 
     def open(self, version: str | None = None, lang: str = "eng") -> DataFrame:
-        """LFS-05/08: a version's rows, or all, with labels of all loaded codebooks."""
-        return build.labelled(self.store.read(version), self.merged_metadata(), Fixups(force_integer=KEYS), lang)
+        """LFS-05/08: a version's rows, or all, with labels of all loaded codebooks; SEX
+        comes right before GENDER, where the first of them is."""
+        df = build.labelled(self.store.read(version), self.merged_metadata(), Fixups(force_integer=KEYS), lang)
+        pair = [c for c in df.columns if c in ("SEX", "GENDER")]
+        if len(pair) < 2:
+            return df
+        return df.select(*[c for x in df.columns for c in (("SEX", "GENDER") if x == pair[0] else () if x in pair else (x,))])
 
     def status(self) -> list[dict]:
         return [{"version": p["version"], "rows": p["rows"], "loaded_at": p["at"]} for p in self.store.log()]

@@ -3,29 +3,11 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field, fields, replace
+from collections.abc import Iterable
+from dataclasses import dataclass, fields, replace
 
 from ..model import Code, Fixups
-
-
-@dataclass(frozen=True)
-class Entry:
-    """One survey version's configuration; fields at their default are not set."""
-
-    series: str
-    version: str
-    file_mask: str | None = None
-    layout_mask: str | None = None
-    data_encoding: str = "CP1252"
-    metadata_encoding: str = "CP1252"
-    bsw_mask: str | None = None
-    bsw_file_mask: str | None = None
-    bsw_join_key: str | None = None
-    bsw_drop: tuple[str, ...] = ()
-    bsw_strata: tuple[str, ...] = ()
-    modules: dict = field(default_factory=dict)
-    module_key: str | None = None
-    fixups: Fixups = field(default_factory=Fixups)
+from .entries import CENSUS, GSS, SGVP, Entry
 
 
 @dataclass(frozen=True)
@@ -68,6 +50,28 @@ class Registry:
         out._override = values
         return out
 
+    def with_numeric(self, names: Iterable[tuple[str, str, str, str]]) -> Registry:
+        """A copy in which the variables given as (series, version, module, name), the
+        module empty for surveys of one table, are numbers in spite of their codes."""
+        by: dict[tuple[str, str], dict[str, list[str]]] = {}
+        for series, version, module, name in names:
+            by.setdefault((series, version), {}).setdefault(module or "", []).append(name)
+        out = Registry(list(self.entries.values()))
+        out._override = self._override
+        for key, found in by.items():
+            if key not in out.entries:
+                raise ValueError(f"unknown survey: {' '.join(key)}")
+            e = out.entries[key]
+            own = found.pop("", [])
+            if unknown := set(found) - set(e.modules):
+                raise ValueError(f"{' '.join(key)} has no module {', '.join(sorted(unknown))}")
+            modules = {m: patch | {"fixups": _and_numeric(patch.get("fixups", e.fixups), found[m])} if m in found else patch for m, patch in e.modules.items()}
+            out.entries[key] = replace(e, fixups=_and_numeric(e.fixups, own), modules=modules)
+        return out
+
+    def versions(self, series: str) -> list[str]:
+        return [v for s, v in self.entries if s == series]
+
     def modules(self, series: str, version: str) -> list[ModuleTable]:
         """MOD-01: the module tables, the first being primary."""
         e = self.lookup(series, version)
@@ -84,6 +88,10 @@ class Registry:
         ]
 
 
+def _and_numeric(fix: Fixups, names: list[str]) -> Fixups:
+    return replace(fix, force_numeric=(*fix.force_numeric, *(n for n in dict.fromkeys(names) if n not in fix.force_numeric))).check()
+
+
 # Names under which cycles of the GSS are known besides their numbers.
 THEMES = {
     "Cycle 8 (1993)": ("safety", "personal risk", "victimization"),
@@ -158,7 +166,8 @@ def _shipped(series: str, version: str, key: str, bsw: str, **more) -> Entry:
 _FAMILY = {"bsw_drop": ("PWEIGHT",), "file_mask": r"EFAM_PUMF\.txt"}
 _TERRITORIES = lambda en, fr: Fixups(codes_supplement=(Code("PPROV", "95", en, fr),))
 
-# What the files of each version are named, and how they are joined.
+# What the files of each version are named, and how they are joined
+# (those of GSS, SGVP and Census are in entries.py).
 BUILT_IN = [
     _shipped("SFS", "2023", "PEFAMID", r"BSWEIGHTS_PUMF\.txt", bsw_mask="bsweights_pumf", layout_mask="EFAM_PUMF_[^R]", **_FAMILY),
     _shipped("SFS", "2019", "PEFAMID", r"BSWEIGHTS_PUMF\.txt", bsw_mask="bsweights", layout_mask="EFAM_PUMF", **_FAMILY),
@@ -178,15 +187,11 @@ BUILT_IN = [
     _shipped("SHS", "2021", "CASEID", r"bsw_flatfile\.txt", file_mask=r"PUMF_SHS_\d{4}\.txt"),
     _shipped("SHS", "2023", "CASEID", r"bsw_flatfile\.txt", file_mask=r"PUMF_SHS_\d{4}\.txt"),
     Entry("CPSS", "1", fixups=Fixups(force_numeric=("COVID_WT",), labels_supplement={"COVID_WT": ("Survey weight", "Poids d'enquête")})),
+    *GSS,
     _shipped("CCAHS", "1", "PUMFID", r"ccahs_bsw_pumf\.csv", bsw_drop=("WGT_PUMF",), layout_mask="CCAHS_PUMF", file_mask=r"ccahs_pumf\.csv"),
-    Entry("SGVP", "2023", file_mask=r"GVP_DBP_\d{4}_PUMF_FMGD\.txt", fixups=Fixups(force_numeric=("HSDSIZEC",))),
-    Entry("SGVP", "2018", layout_mask="GSS33PUMF", file_mask=r"GSS33PUMF\.txt$", fixups=Fixups(force_numeric=("HSDSIZEC", "DSCORE"), codes_supplement=(Code("BRTHMACR", "9"),))),
+    *SGVP,
     Entry("ITS", "2018", file_mask=r"VTS_\d{4}_PUMF\.txt"),
     Entry("ITS", "2019", file_mask=r"VTS_\d{4}_PUMF\.txt"),
-    Entry("Census", "2021 (individuals)", metadata_encoding="UTF-8", file_mask=r"\.csv", fixups=Fixups(rename={"RELIGION_DER": "RELIG"})),
-    Entry("Census", "2021 (hierarchical)", metadata_encoding="UTF-8", file_mask=r"\.csv"),
-    Entry("Census", "2016 (individuals)", file_mask=r"\.dat"),
-    Entry("Census", "2016 (hierarchical)", file_mask=r"\.dat"),
-    Entry("Census", "2011 (individuals)", file_mask=r"\.dat"),
+    *CENSUS,
     Entry("LFS", "", bsw_strata=("SURVYEAR", "SURVMNTH"), fixups=Fixups(force_integer=("SURVYEAR", "SURVMNTH", "REC_NUM"))),
 ]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import shutil
+import warnings
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -14,9 +15,15 @@ from ..model import Metadata, read_metadata, write_metadata
 from ..operators import bootstrap
 from ..operators.columns import coded_name, relabel
 from ..sources import detect, files, raw
+from ..sources.download import NetworkError, located
 from ..sources.parsers import sas, spss
-from . import build
-from .registry import Entry, Registry
+from . import build, catalogue
+from .lfs import LabourForce
+from .registry import Entry, Registry, resolve_version
+
+LANGUAGES = ("eng", "fra")
+#: Bytes of replicate weights from which a warning tells their size.
+MANY_BYTES = 2_000_000_000
 
 
 def safe_name(text: str) -> str:
@@ -55,10 +62,16 @@ class SurveyTable:
 
 class Surveys:
     """Surveys under one cache folder: ``series/version/`` with the raw files,
-    ``metadata/`` and ``tables/`` (Parquet, one a module)."""
+    ``metadata/`` and ``tables/`` (Parquet, one a module).
+
+    ``collection`` (Acronym, Version, url) tells where archives can be fetched,
+    and ``curated``, of the same columns, where it does not.
+    """
 
-    def __init__(self, spark: SparkSession, cache: str, registry: Registry | None = None):
+    def __init__(self, spark: SparkSession, cache: str, registry: Registry | None = None, collection: DataFrame | None = None, curated: DataFrame | None = None):
         self.spark, self.cache, self.registry = spark, cache.rstrip("/"), registry or Registry()
+        self.collection, self.curated = collection if collection is not None else curated, curated
+        self._announced: set[tuple[str, str]] = set()
 
     def folder(self, series: str, version: str) -> Path:
         return Path(self.cache, safe_name(series), safe_name(version))
@@ -138,13 +151,122 @@ class Surveys:
 
     def open(self, series: str, version: str, lang: str = "eng", module: str = "", refresh: bool = False) -> SurveyTable:
         """API-01: the labelled table, built first where need be."""
-        if lang not in ("eng", "fra"):
+        if lang not in LANGUAGES:
             raise ValueError(f"lang {lang!r} is neither eng nor fra")
         path = self.build(series, version, module, refresh)
         e, m = self._entry(series, version, module), self.metadata(series, version, module)
         df = build.labelled(self.spark.read.parquet(path), m, e.fixups, lang)
         return SurveyTable(df, series, version, lang, module, self)
 
+    # -- the way in ---------------------------------------------------------------------
+
+    def versions(self, series: str) -> list[str]:
+        """SET-05: versions in the registry, the collection and the cache."""
+        found = dict.fromkeys(self.registry.versions(series))
+        if self.collection is not None:
+            found |= dict.fromkeys(r[0] for r in self.collection.filter(F.col("Acronym") == series).select("Version").distinct().collect())
+        safe = {safe_name(v) for v in found}
+        return [*found, *sorted(p.name for p in Path(self.cache, safe_name(series)).glob("*") if p.is_dir() and p.name not in safe and not p.name.startswith("."))]
+
+    def resolve(self, series: str, version: str | None) -> str:
+        """REG-05: an alias to its version; none given stands for the only one there is."""
+        known = self.versions(series)
+        if version is not None:
+            return resolve_version(series, version, known)
+        if not known:
+            raise ValueError(f"unknown series {series!r}")
+        if len(known) > 1:
+            raise ValueError(f"{series} has several versions: {', '.join(known)}")
+        return known[0]
+
+    def address(self, series: str, version: str) -> str | None:
+        """CAT-05: where the version's archive is, if that is known."""
+        if self.collection is None:
+            return None
+        hit = catalogue.resolved(self.collection, self.curated if self.curated is not None else self.collection, series, version).first()
+        return hit["url"] if hit else None
+
+    def tables(self, series: str, version: str) -> list[str]:
+        """API-02: names of the tables that are built, replicate weights included."""
+        return sorted(p.name for p in (self.folder(series, version) / "tables").glob("*") if p.is_dir())
+
+    def get(
+        self, series: str, version: str | None = None, lang: str = "eng", refresh: bool | str = False,
+        redownload: bool = False, module: str = "", registry: dict | None = None,
+    ) -> SurveyTable | DataFrame | None:
+        """API-01/09/10: the table of a survey, fetched and built where need be.
+
+        The version may be an alias. ``refresh`` builds it again, ``redownload`` fetches
+        it again too, and ``registry`` has fields that replace the registry's for this
+        table. Without a network there is a warning, and None. The labour force survey
+        has one table of all versions: it takes neither module nor registry, no version
+        stands for all, and ``refresh="auto"`` loads what lies in the cache.
+        """
+        if not series:
+            raise ValueError("a series must be given")
+        if lang not in LANGUAGES:
+            raise ValueError(f"lang {lang!r} is neither eng nor fra")
+        if refresh not in (False, True, "auto"):
+            raise ValueError("refresh is False, True or 'auto'")
+        if series == "LFS":
+            if module or registry:
+                raise ValueError("LFS has one shared table: neither module nor registry applies")
+            if redownload and refresh == "auto":
+                raise ValueError("redownload does not go with refresh='auto'")
+            return self._warned(lambda: self._labour_force(version, lang, refresh, redownload))
+        if refresh == "auto":
+            raise ValueError("refresh='auto' is for LFS only")
+        version = self.resolve(series, version)
+        again = bool(refresh or redownload)
+        at = self
+        if registry:
+            at = Surveys(self.spark, self.cache, self.registry.overridden(**registry), self.collection, self.curated)
+            if not again and Path(self.table_path(series, version, module)).exists():
+                warnings.warn(f"{series} {version} is built already: registry fields apply with refresh=True", stacklevel=2)
+        found = self._warned(lambda: self._fetched(at, series, version, redownload))
+        if found is None:
+            return None
+        table = at.open(series, version, lang, module, again)
+        self._announce(series, version, module)
+        return table
+
+    def _fetched(self, at: Surveys, series: str, version: str, redownload: bool) -> str:
+        folder = at.folder(series, version)
+        there = any(p.is_file() for p in folder.rglob("*")) and not redownload
+        return located(str(folder), None if there else self.address(series, version), redownload=redownload)
+
+    @staticmethod
+    def _warned(what):
+        try:
+            return what()
+        except NetworkError as e:
+            warnings.warn(str(e), stacklevel=3)
+            return None
+
+    def _labour_force(self, version: str | None, lang: str, refresh: bool | str, redownload: bool) -> DataFrame:
+        root = Path(self.cache, "LFS")
+        lfs = LabourForce(self.spark, str(root))
+        if refresh == "auto":
+            here = sorted(p.name for p in root.glob("*") if re.fullmatch(r"\d{4}(-\d{2})?", p.name))
+            for v, why in lfs.refresh(here).items():
+                warnings.warn(f"LFS {v}: {why}", stacklevel=4)
+        elif version is not None:
+            have = lfs.store.versions()
+            if refresh or redownload or version not in have and version[:4] not in have:
+                self._fetched(self, "LFS", version, redownload)
+                lfs.load(version, bool(refresh or redownload))
+        return lfs.open(version, lang)
+
+    def _announce(self, series: str, version: str, module: str) -> None:
+        """API-04: once a version, which other modules it has and what they join on."""
+        tables = self.registry.modules(series, version)
+        if len(tables) < 2 or (series, version) in self._announced:
+            return
+        self._announced.add((series, version))
+        mine = module or tables[0].name
+        others = ", ".join(t.name for t in tables if t.name != mine)
+        warnings.warn(f"{series} {version} also has {others}, joined on {self.registry.lookup(series, version).module_key}", stacklevel=3)
+
     # -- replicate weights ------------------------------------------------------------
 
     def _weights_path(self, t: SurveyTable, weight: str) -> str:
@@ -162,6 +284,8 @@ class Surveys:
         weight, id_col = named(weight), named(id_col or e.bsw_join_key or "")
         strata = [named(c) for c in (e.bsw_strata if strata is None else strata)]
         path = self._weights_path(t, weight)
+        if (size := whole.count() * replicates * 8) > MANY_BYTES:  # BSW-18
+            warnings.warn(f"{replicates} replicates of {weight} take {size / 1e9:.1f} GB", stacklevel=2)
         if Path(path).exists() and not overwrite:
             stored = self.spark.read.parquet(path)
             now = bootstrap.extended(stored, whole, weight, id_col, strata, max(replicates, stored.select(F.max(F.size("weights"))).first()[0]), seed)

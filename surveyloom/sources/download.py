@@ -28,16 +28,23 @@ def download(url: str, to: str, timeout: float = 60.0) -> str:
 
 def located(folder: str, url: str | None, refresh: bool = False, redownload: bool = False) -> str:
     """The version's folder, with its archive. ``refresh`` clears what was derived,
-    ``redownload`` everything; what is there is not fetched again."""
+    ``redownload`` everything, once the new archive is there; what is there is not
+    fetched again."""
     root = Path(folder)
-    if redownload:
-        shutil.rmtree(root, ignore_errors=True)
-    elif refresh:
+    if refresh and not redownload:
         for name in ("metadata", "tables"):
             shutil.rmtree(root / name, ignore_errors=True)
     have = root.exists() and any(p.is_file() for p in root.rglob("*"))
-    if not have:
+    if redownload or not have:
         if not url:
-            raise FileNotFoundError(f"{folder} is empty and there is no address to fetch it from")
-        download(url, str(root / url.split("?")[0].rsplit("/", 1)[-1]))
+            raise FileNotFoundError(f"there is no address to fetch {folder} from")
+        beside = root.parent / f".{root.name}.download"
+        try:
+            fresh = Path(download(url, str(beside / url.split("?")[0].rsplit("/", 1)[-1])))
+            if redownload:
+                shutil.rmtree(root, ignore_errors=True)
+            root.mkdir(parents=True, exist_ok=True)
+            fresh.rename(root / fresh.name)
+        finally:
+            shutil.rmtree(beside, ignore_errors=True)
     return str(root)

@@ -4,7 +4,7 @@ import zipfile
 
 import pytest
 from pyspark.sql import functions as F
-from surveyloom.plans.registry import Entry, Registry
+from surveyloom.plans.registry import Entry, Registry, resolve_version
 from surveyloom.plans.surveys import Surveys
 
 LAYOUT = "DATA LIST FILE = IN NOTABLE/\n  ID 1 - 3 (A)\n  REG 4 - 5 (A)\n  WT 6 - 11 (2)\n"
@@ -55,3 +55,62 @@ def test_open_label_and_bootstrap(surveys):
         surveys.open("S", "2020", "deu")
     surveys.remove("S", "2020", keep_raw=True)
     assert surveys.open("S", "2020").df.count() == 20
+
+
+def test_get(surveys, spark, tmp_path):
+    away = tmp_path / "S" / "2020" / "data.zip"
+    kept = tmp_path / "away" / "data.zip"
+    kept.parent.mkdir()
+    away.rename(kept)
+    with pytest.raises(FileNotFoundError):
+        surveys.get("S")
+    surveys = Surveys(spark, str(tmp_path / "cache"), surveys.registry, spark.createDataFrame([("S", "2020", kept.as_uri())], "Acronym string, Version string, url string"))
+    t = surveys.get("S")
+    assert (t.version, t.df.count(), surveys.tables("S", "2020")) == ("2020", 20, ["main"]) and surveys.versions("S") == ["2020"]
+    with pytest.warns(UserWarning, match="built already"):
+        surveys.get("S", "2020", registry={"data_encoding": "UTF-8"})
+    assert surveys.get("S", "2020", "fra", redownload=True).df.count() == 20
+    kept.unlink()
+    with pytest.warns(UserWarning):  # nothing is lost where nothing can be fetched
+        assert surveys.get("S", redownload=True) is None
+    assert surveys.get("S", refresh=True).df.count() == 20
+    for wrong in ({"series": ""}, {"series": "T"}, {"series": "S", "lang": "deu"}, {"series": "S", "refresh": "auto"}, {"series": "S", "refresh": "later"}, {"series": "LFS", "module": "M"}, {"series": "LFS", "redownload": True, "refresh": "auto"}):
+        with pytest.raises(ValueError):
+            surveys.get(**wrong)
+
+
+def test_get_modules(surveys, spark):
+    patch = {"file_mask": "x\\.txt"}
+    surveys.registry = Registry([Entry("S", "Cycle 9 (2020)", modules={"A": patch, "B": patch}, module_key="ID")])
+    surveys.folder("S", "2020").rename(surveys.folder("S", "Cycle 9 (2020)"))
+    with pytest.warns(UserWarning, match="also has B, joined on ID"):
+        assert surveys.get("S", "cycle 9").df.count() == 20
+    assert surveys.get("S", "9", module="B").module == "B" and surveys.tables("S", "Cycle 9 (2020)") == ["B", "main"]
+
+
+def test_get_labour_force(spark, tmp_path):
+    folder = tmp_path / "LFS" / "2022-01"
+    folder.mkdir(parents=True)
+    (folder / "codebook.csv").write_text("Field_Champ,Variable_Variable,EnglishLabel_EtiquetteAnglais,FrenchLabel_EtiquetteFrancais\nSEX,SEX,Sex,Sexe\n,1,Male,Homme\nGENDER,GENDER,Gender,Genre\n,1,Men+,Hommes+\n")
+    (folder / "pub0122.csv").write_text("SURVYEAR,GENDER,SURVMNTH,SEX\n2022,1,1,1\n")
+    surveys = Surveys(spark, str(tmp_path))
+    df = surveys.get("LFS", refresh="auto")
+    assert df.columns[df.columns.index("SEX") + 1] == "GENDER" and df.first().GENDER == "Men+"
+    assert surveys.get("LFS", "2022-01", "fra").first().SEX == "Homme"
+
+
+def test_built_in_entries():
+    r = Registry()
+    assert len([e for e in r.table() if e["series"] != "LFS"]) == 83
+    for (series, version), e in r.entries.items():
+        e.fixups.check()
+        assert resolve_version(series, version, r.versions(series)) == version
+        for t in r.modules(series, version):
+            t.entry.fixups.check()
+    assert resolve_version("Census", "1971 families cma", r.versions("Census")) == "1971/families_cma"
+    assert r.lookup("Census", "2006 (hierarchical)").fixups.na_values == ("9999999", "8888888")
+    more = r.with_numeric([("GSS", "Cycle 12 (1998)", "Main", "DDAY"), ("GSS", "Cycle 26 (2012)", "", "X"), ("GSS", "Cycle 26 (2012)", "", "PHS_Q10")])
+    assert [t.entry.fixups.force_numeric for t in more.modules("GSS", "Cycle 12 (1998)")] == [("DDAY",), ()]
+    assert more.lookup("GSS", "Cycle 26 (2012)").fixups.force_numeric[-2:] == ("PHS_Q10", "X")
+    with pytest.raises(ValueError):
+        r.with_numeric([("GSS", "Cycle 12 (1998)", "Other", "DDAY")])
