@@ -27,6 +27,7 @@ class Entry:
     modules: dict = field(default_factory=dict)
     module_key: str | None = None
     doc_mask: str | None = None
+    english_commands: str | None = None  # path of an English command file that the archive lacks
     fixups: Fixups = field(default_factory=Fixups)
 
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import convert
 from ..model import Code, Field, Fixups, Metadata, Variable, bilingual_coverage
 from ..operators import bootstrap, columns, estimate
-from ..sources import files, raw
-from ..sources.merge import merged
+from ..sources import detect, files, raw
+from ..sources.merge import conflicts, merged
 from ..sources.parsers import parse_cards, parse_codebook, parse_cpss, parse_dictionary, parse_labels, parse_lfs_codebook, parse_mono, parse_split
 from ..sources.parsers.common import missing_items
 from ..sources.parsers.sas import at_layout
@@ -321,6 +321,36 @@ def survey_end_to_end(spark, sf_dir):
     return df.select(F.col("C_CUSTKEY").cast("long").alias("c_custkey"), "C_SEG")
 
 
+@_query("""SELECT n_nationkey, CASE n_nationkey % 6 WHEN 0 THEN 'spss_mono' WHEN 1 THEN 'spss_split' WHEN 2 THEN 'sas_cards' WHEN 3 THEN 'sas_labels'
+    WHEN 4 THEN 'pdf_dict' ELSE 'pdf_codebook' END AS formats, n_nationkey % 6 IN (0, 3, 4, 5) AND n_regionkey > 1 AS french FROM nation""")
+def detected_metadata(spark, sf_dir):
+    """PAR-19: the format of what lies in a folder, and whether a French text is beside it:
+    told by the name (regions 2 and 3) or by its accents (region 4)."""
+    root = shared_folder(spark, "formats").removeprefix("file:")
+    mono = 'VARIABLE LABELS\n  A "%s"\n  .\n'
+    kinds = [[("x{}.sps", mono)], [("x_i.sps", "A 1 - 3"), ("x_vare.sps", mono)], [("x.lay", "@1 A $CHAR3."), ("x.lbe", 'A = "a"')],
+             [("x{}.sas", 'LABEL A = "%s";\n')], [("xDictionary{}.txt", "Position: 1\n%s\n")], [("xcodebook{}.txt", "Variable name: A\n%s\n")]]
+    rows = []
+    for k, name, g in _nations(spark, sf_dir):
+        for ends, text in kinds[k % 6]:
+            copies = [("", "", name)] + ([("_fr", "", "x")] if g in (2, 3) else [("2", "", "\xe9t\xe9")] if g == 4 else [])
+            for mark, _, label in copies if "{}" in ends else copies[:1]:
+                put_text(spark, f"{root}/{k}/{ends.format(mark)}", (text % label if "%s" in text else text).encode())
+        found = detect.detect(f"{root}/{k}")
+        rows.append((k, ",".join(found), any("french" in x for x in found.values())))
+    return _frame(spark, rows, "n_nationkey int, formats string, french boolean")
+
+
+@_query("SELECT 'V' || n_nationkey AS name, n_regionkey::VARCHAR AS val, n_name AS used, 'other ' || n_name AS also FROM nation WHERE n_regionkey = 1")
+def label_conflicts(spark, sf_dir):
+    """PAR-20: labels of a code that differ between sources that count; those read from
+    SAS statements or PDFs don't."""
+    n = _nations(spark, sf_dir)
+    of = lambda keep, mark: Metadata((), tuple(Code(f"V{k}", str(g), f"{mark}{name}") for k, name, g in n if keep(g)))
+    found = {"cpss_csv": of(lambda g: g == 1, "other "), "spss_mono": of(lambda g: True, ""), "pdf_dict": of(lambda g: g == 2, "cut "), "sas_cards": of(lambda g: g == 3, "")}
+    return _frame(spark, [(name, val, *labels) for name, val, labels in conflicts(found)], "name string, val string, used string, also string")
+
+
 # -- fixups and conversion -----------------------------------------------------------
 
 

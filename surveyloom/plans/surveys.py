@@ -84,7 +84,8 @@ class Surveys:
         at = self._metadata_folder(series, version, module)
         if not (at / "variables.csv").exists():
             e = self._entry(series, version, module)
-            write_metadata(detect.parse(str(self.folder(series, version)), e.layout_mask, e.metadata_encoding).upper(), str(at))
+            english = detect.read_text(Path(e.english_commands), e.metadata_encoding) if e.english_commands else None
+            write_metadata(detect.parse(str(self.folder(series, version)), e.layout_mask, e.metadata_encoding, english).upper(), str(at))
         return read_metadata(str(at))
 
     def _entry(self, series: str, version: str, module: str) -> Entry:

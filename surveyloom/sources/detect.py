@@ -8,8 +8,14 @@ from pathlib import Path
 from ..model import Metadata
 from . import parsers
 from .merge import merged
+from .parsers.dictionaries import HEADER, NAMES
 
 FRENCH = re.compile(r"(?i)(^|[/_\-. ])(fra|fr|french|fran[cç]ais|f)([/_\-. ]|$)")
+#: Ends of stems that mark French files without a mark before them.
+FRENCH_END = re.compile(r"(?i)(fre|(spss|sas)f|dictionnaire|livredescodes)$")
+#: What names of texts that were extracted from PDFs hold, and what such texts hold.
+EXTRACTED = {"dictionary": "pdf_dict", "dictionnaire": "pdf_dict", "codebook": "pdf_codebook", "livredescodes": "pdf_codebook"}
+KNOWN_BY = {"pdf_dict": (HEADER,), "pdf_codebook": NAMES}
 #: Roles by what the name's stem ends in; the order matters, as ``vare`` ends in ``e``.
 SPLIT = {"vare": "labels_en", "varf": "labels_fr", "vale": "codes_en", "valf": "codes_fr", "miss": "missing", "_i": "layout"}
 CARDS = {".lay": "layout", ".lbe": "labels_en", ".lbf": "labels_fr", ".cde": "codes_en", ".cdf": "codes_fr", ".mvs": "missing"}
@@ -23,30 +29,72 @@ def read_text(path: Path, encoding: str) -> str:
         return data.decode(encoding, "replace")
 
 
-def is_french(path: Path, root: Path, text: str = "") -> bool:
-    return bool(FRENCH.search(str(path.relative_to(root).with_suffix(""))))
+def is_french(path: Path, root: Path) -> bool:
+    return bool(FRENCH.search(str(path.relative_to(root).with_suffix(""))) or FRENCH_END.search(path.stem))
+
+
+def _by_language(texts: list[tuple[Path, str]], root: Path) -> dict[str, str]:
+    """One English text and, if there is another, the French one: told by name, else
+    of several the one that has the most accented letters, if any has more."""
+    french = [x for p, x in texts if is_french(p, root)]
+    english = [x for p, x in texts if not is_french(p, root)]
+    if not french and len(english) > 1:
+        accents = [sum(c >= "\xc0" for c in x) for x in english]
+        if max(accents) > min(accents):
+            french = [english.pop(accents.index(max(accents)))]
+    if not english:
+        return {"english": french[0]}
+    return {"english": english[0]} | ({"french": french[0]} if french else {})
+
+
+def unique_file(directory: str, ending: str, mask: str | None = None) -> Path:
+    """PAR-22: the one command file or layout card that is meant: by its name, else of
+    those that match ``mask`` (all, without one) the only one, the only one that also
+    matches ``ending``, or the only one with mask and ending in a row."""
+    if mask and (by_name := Path(directory, mask)).is_file():
+        return by_name
+    found = sorted(p for p in Path(directory).glob("*") if p.suffix.lower() in (".sps", ".lay"))
+    narrower = [mask, ending, f"{mask}{ending if ending.startswith('_') else '_' + ending}"] if mask else [ending]
+    for pattern in narrower:
+        if len(found) > 1 or pattern is mask:
+            found = [p for p in found if re.search(pattern, p.name)]
+    if len(found) != 1:
+        raise FileNotFoundError(f"no layout file in {directory}" if not found else f"several layout files: {', '.join(p.name for p in found)}")
+    return found[0]
 
 
 def detect(directory: str, mask: str | None = None, encoding: str = "CP1252") -> dict[str, dict[str, str]]:
-    """Format to the texts of its parts; only files whose names match the mask."""
+    """Format to the texts of its parts; only files whose names match the mask.
+
+    Dictionaries and codebooks are texts that were extracted from PDFs. A codebook
+    is taken where there is nothing else.
+    """
     root = Path(directory)
     found: dict[str, dict[str, str]] = {}
+    by_kind: dict[str, list[tuple[Path, str]]] = {}
     for p in sorted(root.rglob("*"), key=lambda p: (len(p.parts), str(p))):
         name = p.name.lower()
         if not p.is_file() or "metadata" in p.relative_to(root).parts[:-1]:
             continue
         in_mask = mask is None or re.search(mask, p.name)
-        if name.endswith(".sps") and in_mask:
-            role = next((r for end, r in SPLIT.items() if p.stem.lower().endswith(end)), None)
+        if name.endswith((".sps", ".xmf", "spss.txt")) and in_mask:
+            role = next((r for end, r in SPLIT.items() if p.stem.lower().endswith(end)), None) if name.endswith(".sps") else None
             text = read_text(p, encoding)
             if role:
                 found.setdefault("spss_split", {}).setdefault(role, text)
             elif re.search(r"(?i)VARIABLE\s+LABELS|VALUE\s+LABELS", text):
-                found.setdefault("spss_mono", {}).setdefault("french" if is_french(p, root) else "english", text)
+                by_kind.setdefault("spss_mono", []).append((p, text))
         elif name.endswith(".sav") and in_mask:
             found.setdefault("spss_sav", {}).setdefault("path", str(p))
+        elif name.endswith(".sas"):
+            if re.search(r"(?im)^\s*LABEL\s+[a-z]", text := read_text(p, encoding)):
+                by_kind.setdefault("sas_labels", []).append((p, text))
         elif p.suffix.lower() in CARDS and in_mask:
             found.setdefault("sas_cards", {}).setdefault(CARDS[p.suffix.lower()], read_text(p, encoding))
+        elif name.endswith(".txt") and (kind := next((k for word, k in EXTRACTED.items() if word in name), None)) and "zerofreq" not in name:
+            text = read_text(p, encoding)
+            if any(x in text.lower() for x in (KNOWN_BY[kind])):
+                by_kind.setdefault(kind, []).append((p, text))
         elif name.endswith(".csv"):
             with p.open("rb") as f:
                 head = f.readline().decode(encoding, "replace").lower()
@@ -56,16 +104,19 @@ def detect(directory: str, mask: str | None = None, encoding: str = "CP1252") ->
                 found.setdefault("cpss_csv", {}).setdefault("text", read_text(p, encoding))
     if set(found.get("spss_split", {})) < {"layout", "labels_en"}:
         found.pop("spss_split", None)
+    found |= {kind: _by_language(texts, root) for kind, texts in by_kind.items()}
     if {"spss_mono", "spss_split"} & set(found):
         found.pop("spss_sav", None)  # only where there is no command file
-    if "spss_mono" in found:
-        own = found["spss_mono"]
-        own.setdefault("english", own.get("french", ""))
+    if "sas_cards" in found:
+        found.pop("sas_labels", None)
+    if len(found) > 1:
+        found.pop("pdf_codebook", None)
     return found
 
 
-def parse(directory: str, mask: str | None = None, encoding: str = "CP1252") -> Metadata:
-    """All that is found, parsed and merged."""
+def parse(directory: str, mask: str | None = None, encoding: str = "CP1252", english: str | None = None) -> Metadata:
+    """All that is found, parsed and merged. With the text of an ``english`` command
+    file from elsewhere, the one that is found is the French."""
     readers = {
         "spss_mono": lambda t: parsers.parse_mono(t["english"], t.get("french")),
         "spss_split": lambda t: parsers.parse_split(t["layout"], t["labels_en"], t.get("codes_en", ""), t.get("missing", ""), t.get("labels_fr", ""), t.get("codes_fr", "")),
@@ -73,8 +124,14 @@ def parse(directory: str, mask: str | None = None, encoding: str = "CP1252") ->
         "spss_sav": lambda t: parsers.parse_sav(Path(t["path"]).read_bytes(), encoding),
         "lfs_csv": lambda t: parsers.parse_lfs_codebook(t["text"]),
         "cpss_csv": lambda t: parsers.parse_cpss(t["text"]),
+        "sas_labels": lambda t: parsers.parse_labels(t["english"], t.get("french", "")),
+        "pdf_dict": lambda t: parsers.parse_dictionary(t["english"], t.get("french", "")),
+        "pdf_codebook": lambda t: parsers.parse_codebook(t["english"], t.get("french", "")),
     }
     found = detect(directory, mask, encoding)
+    if english is not None:
+        own = found.get("spss_mono", {})
+        found["spss_mono"] = {"english": english} | ({"french": own.get("french", own["english"])} if own else {})
     if not found:
         raise FileNotFoundError(f"no command file or codebook in {directory}")
     return merged({k: readers[k](t) for k, t in found.items()})

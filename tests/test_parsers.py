@@ -168,3 +168,39 @@ def test_files(tmp_path):
     assert files.find_data_file(str(tmp_path / "x")).endswith("pub2022.csv")
     assert len(files.lfs_files(str(tmp_path / "x"))) == 1
     assert [files.lfs_kind(x) for x in ("pub0122.csv", "pub2022.csv", "pub.csv")] == ["monthly", "annual", "unknown"]
+
+
+def test_detection(tmp_path):
+    from surveyloom.sources.detect import detect, parse, unique_file
+
+    labels = 'VARIABLE LABELS\n  A "%s"\n  .\n'
+    for folder, files in {
+        "accents": {"a.sps": labels % "Âgé", "b.sps": labels % "Aged"},
+        "end": {"afre.sps": labels % "x", "b.sps": labels % "y"},
+        "alone": {"b_f.sps": labels % "x"},
+        "sas": {"m.sas": 'DATA x;\nLABEL A = "Age";\n', "m.lay": "", "n.sas": "PROC x;"},
+        "labels": {"m.sas": 'LABEL A = "Age";\n', "m_fre.sas": 'LABEL A = "Âge";\n'},
+        "last": {"codebook.txt": "Variable name: A\n", "a.sps": labels % "x"},
+    }.items():
+        (tmp_path / folder).mkdir()
+        for name, text in files.items():
+            (tmp_path / folder / name).write_text(text)
+    at = lambda x: str(tmp_path / x)
+    assert [(v.label_en, v.label_fr) for f in ("accents", "end", "labels") for v in parse(at(f)).variables] == [("Aged", "Âgé"), ("y", "x"), ("Age", "Âge")]
+    assert list(detect(at("sas"))) == ["sas_cards"] and list(detect(at("last"))) == ["spss_mono"] and "french" not in detect(at("alone"))["spss_mono"]
+    assert [(v.label_en, v.label_fr) for v in parse(at("alone"), english=labels % "own").variables] == [("own", "x")]
+
+    (tmp_path / "u").mkdir()
+    for name in ("main_i.sps", "main_vare.sps", "other_i.sps", "data.txt"):
+        (tmp_path / "u" / name).write_text("")
+    assert unique_file(at("u"), "_i", "main").name == "main_i.sps" and unique_file(at("u"), "vare").name == "main_vare.sps"
+    assert unique_file(at("u"), "_i", "other").name == "other_i.sps" and unique_file(at("u"), "_i", "other_i.sps").name == "other_i.sps"
+    for ending, mask in (("_i", None), ("_i", "none"), ("i", "_")):
+        with pytest.raises(FileNotFoundError):
+            unique_file(at("u"), ending, mask)
+
+
+def test_conflicts_are_told():
+    one, other = (Metadata((), (Code("A", "1", x),)) for x in ("x", "y"))
+    with pytest.warns(UserWarning, match="A 1"):
+        assert merged({"cpss_csv": other, "spss_mono": one}).codes[0].label_en == "x"
