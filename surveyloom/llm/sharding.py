@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Ranges of the first round, and of one that is split at most.
-FIRST_BITS, SPLIT = 12, 4096
+FIRST_BITS, SPLIT, WIDEST = 12, 4096, 2**62
 #: Rows that one task numbers at most, on average.
 NUMBERED = 50_000
 
@@ -111,15 +111,18 @@ def _unsure(sums: list[int], ranges: list[Range], low: int, high: int, shards: i
 
 
 def _split(rows: DataFrame, spans: list[tuple[int, int]]) -> list[list[Range]]:
-    """Each span of hashes in up to SPLIT ranges with their sums, by one scan."""
-    widths = [max(1, -(-(high - low + 1) // SPLIT)) for low, high in spans]
-    at = F.size(F.filter(F.lit([low for low, _ in spans]), lambda s: s <= F.col("key")))
-    within = rows.withColumn("span", at - 1).filter("span >= 0").filter(F.col("key") <= F.get(F.lit([high for _, high in spans]), "span"))
-    part = F.call_function("div", F.col("key") - F.get(F.lit([low for low, _ in spans]), "span"), F.get(F.lit(widths), "span"))
-    sums = within.groupBy("span", part.alias("part")).agg(F.sum("size").alias("bytes"), F.min("key").alias("low"), F.max("key").alias("high"))
+    """Each span of hashes in up to some SPLIT ranges with their sums, by one scan."""
+    # No piece is so wide that a difference of its hashes passes a long.
+    pieces = [(k, low, min(low + WIDEST - 1, b)) for k, (a, b) in enumerate(spans) for low in range(a, b + 1, WIDEST)]
+    owner, lows, highs = map(list, zip(*pieces))
+    widths = [max(1, -(-(high - low + 1) // SPLIT)) for low, high in zip(lows, highs)]
+    at = F.size(F.filter(F.lit(lows), lambda s: s <= F.col("key"))) - 1
+    within = rows.withColumn("piece", at).filter("piece >= 0").filter(F.col("key") <= F.get(F.lit(highs), "piece"))
+    part = F.call_function("div", F.col("key") - F.get(F.lit(lows), "piece"), F.get(F.lit(widths), "piece"))
+    sums = within.groupBy("piece", part.alias("part")).agg(F.sum("size").alias("bytes"), F.min("key").alias("low"), F.max("key").alias("high"))
     out: list[list[Range]] = [[] for _ in spans]
     for r in sorted(sums.collect()):
-        out[r["span"]].append(Range(r["low"], r["high"], r["bytes"], r["low"] == r["high"]))
+        out[owner[r["piece"]]].append(Range(r["low"], r["high"], r["bytes"], r["low"] == r["high"]))
     return out
 
 
