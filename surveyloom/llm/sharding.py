@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Ranges of the first round, and of one that is split at most.
-FIRST_BITS, SPLIT, WIDEST = 12, 4096, 2**62
+#: Bits that tell the first ranges apart, ranges that a round splits, and parts that
+#: it makes, at most; the widest span of hashes that is taken at once.
+FIRST_BITS, SPANS, SPLIT, WIDEST = 12, 128, 16_384, 2**62
 #: Rows that one task numbers at most, on average.
 NUMBERED = 50_000
 
@@ -89,33 +90,29 @@ def _least(sums: list[int], ranges: list[Range], shards: int, whole: bool) -> in
     return low
 
 
-def _unsure(sums: list[int], ranges: list[Range], low: int, high: int, shards: int) -> list[tuple[int, int]]:
-    """Runs (first, last) of ranges in which a cut can fall, at capacities low to high."""
-    runs, early, late = [], 0, 0
+def _unsure(sums: list[int], ranges: list[Range], low: int, high: int, shards: int) -> list[int]:
+    """Ranges of several groups in which a cut can fall at capacities low to high, those
+    of most bytes first."""
+    found, early, late = set(), 0, 0
     for _ in range(shards):
-        first = bisect_right(sums, early) - 1  # ranges taken whole and a capacity of ``low``
-        k = max(bisect_right(sums, early + low) - 1, min(first + 1, len(ranges)))  # one too large is passed
-        early = sums[k]
+        # The earliest place: ranges taken whole at a capacity of ``low``, and one that
+        # doesn't fit passed; the latest: ranges cut anywhere, at ``high``.
+        begun = bisect_right(sums, early) - 1
+        first = max(bisect_right(sums, early + low) - 1, begun)
+        early = sums[min(max(first, begun + 1), len(ranges))]
         late = min(late + high, sums[-1])
         last = min(bisect_right(sums, late) - 1, len(ranges) - 1)
-        k = min(k - (sums[k] - sums[k - 1] > low) if k else 0, last)
-        if any(not r.single for r in ranges[k : last + 1]):
-            runs.append((k, last))
-    merged: list[tuple[int, int]] = []
-    for a, b in sorted(runs):
-        if merged and a <= merged[-1][1] + 1:
-            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-        else:
-            merged.append((a, b))
-    return merged
+        found.update(k for k in range(min(first, last), last + 1) if not ranges[k].single)
+    return sorted(found, key=lambda k: (-ranges[k].bytes, k))
 
 
-def _split(rows: DataFrame, spans: list[tuple[int, int]]) -> list[list[Range]]:
-    """Each span of hashes in up to some SPLIT ranges with their sums, by one scan."""
+def _split(rows: DataFrame, spans: list[Range]) -> list[list[Range]]:
+    """Each span of hashes, in order, in parts with their sums, by one scan."""
+    parts = max(2, SPLIT // len(spans))
     # No piece is so wide that a difference of its hashes passes a long.
-    pieces = [(k, low, min(low + WIDEST - 1, b)) for k, (a, b) in enumerate(spans) for low in range(a, b + 1, WIDEST)]
+    pieces = [(k, low, min(low + WIDEST - 1, r.high)) for k, r in enumerate(spans) for low in range(r.low, r.high + 1, WIDEST)]
     owner, lows, highs = map(list, zip(*pieces))
-    widths = [max(1, -(-(high - low + 1) // SPLIT)) for low, high in zip(lows, highs)]
+    widths = [-(-(high - low + 1) // parts) for low, high in zip(lows, highs)]
     at = F.size(F.filter(F.lit(lows), lambda s: s <= F.col("key"))) - 1
     within = rows.withColumn("piece", at).filter("piece >= 0").filter(F.col("key") <= F.get(F.lit(highs), "piece"))
     part = F.call_function("div", F.col("key") - F.get(F.lit(lows), "piece"), F.get(F.lit(widths), "piece"))
@@ -149,14 +146,15 @@ def cuts_of(rows: DataFrame, shards: int) -> Cuts:
     while ranges:
         sums = [0, *accumulate(r.bytes for r in ranges)]
         low, high = (_least(sums, ranges, shards, whole) for whole in (False, True))
-        runs = _unsure(sums, ranges, low, high, shards) if low < high else []
-        if not runs:
+        unsure = _unsure(sums, ranges, low, high, shards)[:SPANS] if low < high else []
+        if not unsure:
             filled = _filled(sums, ranges, high, shards, True)
             starts = [bisect_right(sums, at) - 1 for at in filled[:-1]]
             return Cuts(alone, [ranges[k].low for k in starts if k < len(ranges)])
-        finer = _split(rows, [(ranges[a].low, ranges[b].high) for a, b in runs])
-        for (a, b), new in reversed([*zip(runs, finer)]):
-            ranges[a : b + 1] = new
+        unsure.sort()
+        finer = _split(rows, [ranges[k] for k in unsure])
+        for k, new in reversed([*zip(unsure, finer)]):
+            ranges[k : k + 1] = new
     return Cuts(alone, [])
 
 

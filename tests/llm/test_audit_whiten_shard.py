@@ -143,7 +143,7 @@ def plain_capacity(sizes, shards):
     sums = np.r_[0, np.cumsum(sizes)]
     best = sums.astype(float)
     for _ in range(shards - 1):
-        best = np.array([min(max(best[j], sums[i] - sums[j]) for j in range(i + 1)) for i in range(len(sums))])
+        best = np.array([np.maximum(best[: i + 1], sums[i] - sums[: i + 1]).min() for i in range(len(sums))])
     return int(best[-1])
 
 
@@ -184,7 +184,8 @@ def test_sharding_splits_ranges_until_sure(spark, monkeypatch):
     rows = spark.createDataFrame([(int(k), int(n)) for k, n in zip(rng.integers(-(2**63), 2**63 - 1, 3000), rng.integers(8, 900, 3000))], "key long, size long")
     want = sharding.cuts_of(rows, 24)
     monkeypatch.setattr(sharding, "FIRST_BITS", 3)
-    monkeypatch.setattr(sharding, "SPLIT", 4)
+    monkeypatch.setattr(sharding, "SPLIT", 64)
+    monkeypatch.setattr(sharding, "SPANS", 16)
     few = sharding.cuts_of(rows, 24)
     held = sorted(tuple(r) for r in rows.collect())
     largest = lambda starts: max(sum(n for k, n in held if a <= k < b) for a, b in zip([-(2**63), *starts], [*starts, 2**63]))
