@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -33,3 +33,10 @@ def put_text(spark: SparkSession, path: str, data: bytes) -> str:
     out.write(bytearray(data))
     out.close()
     return path
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Written once to a folder of its own in the shared folder, and read from there."""
+    path = f"{shared_folder(df.sparkSession, name)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
