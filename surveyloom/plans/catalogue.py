@@ -48,6 +48,13 @@ def collection(catalogue: DataFrame, supported: Sequence[str] | None = None, pre
     return kept.select("Acronym", "Version", text.series_title(F.col("Title")).alias("SeriesTitle"), "Title", "url")
 
 
+def joined_collections(found: DataFrame, curated: DataFrame) -> DataFrame:
+    """CAT-01: what the catalogue gives, and of the curated rows those of series and
+    versions that it lacks."""
+    more = curated.join(found.select("Acronym", "Version"), ["Acronym", "Version"], "left_anti")
+    return found.unionByName(more, allowMissingColumns=True)
+
+
 def resolved(adapter: DataFrame, curated: DataFrame, series: str, version: str) -> DataFrame:
     """CAT-05: the adapter's row, else the curated one; at most one row."""
     hit = (F.col("Acronym") == series) & (F.col("Version") == version)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import shutil
 import warnings
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -17,7 +18,7 @@ from ..operators.columns import coded_name, relabel
 from ..sources import detect, files, raw
 from ..sources.download import NetworkError, located
 from ..sources.parsers import sas, spss
-from . import build, catalogue
+from . import build, catalogue, crawl
 from .lfs import LabourForce
 from .registry import Entry, Registry, resolve_version
 
@@ -180,6 +181,15 @@ class Surveys:
             raise ValueError(f"{series} has several versions: {', '.join(known)}")
         return known[0]
 
+    def with_catalogue(self, pages: DataFrame, roots: Sequence[str] | DataFrame, days: int = 180, refresh: bool = False) -> Surveys:
+        """CAT-01, CAT-03: these surveys with the addresses that the catalogue's pages (url,
+        html) lead to. What the crawl found is stored under the cache folder and read
+        again for ``days``; the collection given before stands behind it."""
+        rows = crawl.snapshot(self.spark, str(Path(self.cache, "catalogue")), lambda: crawl.survey_catalogue(pages, roots), days, refresh)
+        found = catalogue.collection(rows.filter(F.col("url") != crawl.NO_DOWNLOAD))
+        both = found if self.collection is None else catalogue.joined_collections(found, self.collection)
+        return Surveys(self.spark, self.cache, self.registry, both, self.curated)
+
     def address(self, series: str, version: str) -> str | None:
         """CAT-05: where the version's archive is, if that is known."""
         if self.collection is None:

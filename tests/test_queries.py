@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 from surveyloom.plans import queries as q
-from surveyloom.plans import file_queries, survey_queries  # noqa: F401  (these add their queries)
+from surveyloom.plans import crawl_queries, file_queries, survey_queries  # noqa: F401  (these add their queries)
 
 
 @pytest.fixture(scope="module")
