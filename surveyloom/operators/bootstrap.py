@@ -1,10 +1,19 @@
-"""Bootstrap replicate weights from a counter-based generator.
+"""Bootstrap replicate weights by splitting draws down a tree of rows.
 
 Replicate b draws, within each stratum, as many rows as the stratum has, with
 replacement; a row's replicate weight is its weight times the number of draws.
-Draw k of replicate b is a hash of (seed, stratum, b, k), so any replicate or
-stratum can be made again, or added, on its own and in any order. The hash is
-whole-number arithmetic, the same in any SQL engine.
+No draw is a row anywhere. A stratum's n rows are cut into runs whose lengths are
+powers of two, and n draws are dealt to the runs one after another: how many fall
+into the next is binomial, found by comparing that many binary fractions with the
+run's share digit by digit, all draws of a digit as the bits of a few hashed
+words. Runs are then halved, the count of a half being the bits set among as many,
+down to blocks; a block's counts of all replicates meet its rows as one array, and
+are halved on down to the rows (module ``draws``).
+
+The bits are a hash of (seed, stratum, place, size, b), so any replicate or stratum
+can be made again, or added, on its own. The hash is whole-number arithmetic,
+the same in any SQL engine; as nested column expressions it takes some twenty
+times as long as in numpy, so the splitting is done in Arrow batches.
 """
 
 from __future__ import annotations
@@ -14,10 +23,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The hash's modulus, a prime whose square a long holds.
-P = 2**31 - 1
-#: Draws that one task makes at once, and replicates whose draws are counted together.
-BLOCK, CHUNK = 10_000, 32
+from ..sources.shared import shipped
+from .draws import BLOCK_BITS, RUNS, to_blocks, to_rows
+
+#: Rows that one task numbers, about.
+NUMBERED = 50_000
+#: Replicates whose draws one task splits together, and rows of a stratum from which it
+#: takes one alone.
+TOGETHER, MANY = 64, 10_000_000
 
 
 def _stratum(columns: Sequence[str]) -> Column:
@@ -31,74 +44,77 @@ def _number(text: Column, digits: int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10).cast("long")
 
 
-def mixed(x: Column, y: Column) -> Column:
-    """One step of the hash; ``x`` below P."""
-    z = (x + y) % P
-    return F.get(F.transform(F.array(z), lambda z: (z * z + z * 48271 + 12345) % P), 0)
+def _key(id_col: str) -> Column:
+    return F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
 
 
-def placed(df: DataFrame, id_col: str, strata: Sequence[str]) -> DataFrame:
-    """(id, stratum, place): rows numbered from 0 within strata, in the order of 256
-    buckets by a hash of the id, then by id. Buckets are numbered apart, so a
-    stratum of any size is spread, and shifted by the counts of those before."""
-    bucket = F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 2)
-    rows = df.select(F.col(id_col).alias("id"), _stratum(strata).alias("stratum"), bucket.alias("bucket"))
-    sizes = rows.groupBy("stratum", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("stratum").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("stratum", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    own = F.row_number().over(Window.partitionBy("stratum", "bucket").orderBy("id")) - 1
-    return rows.withColumn("own", own).join(shifts, ["stratum", "bucket"]).select("id", "stratum", (F.col("own") + F.col("shift")).alias("place"))
+def placed(df: DataFrame, id_col: str, strata: Sequence[str], *more: Column) -> DataFrame:
+    """(id, stratum, place, ...): rows numbered from 0 within strata, in the order of their
+    ids' md5, then of ids. Ranges of the md5 are numbered apart, as many as rows need,
+    and shifted by the counts of those before, so a stratum of any size is spread."""
+    rows = df.select(F.col(id_col).alias("id"), _stratum(strata).alias("stratum"), _key(id_col).alias("key"), *more)
+    digits = 2
+    total = df.count()
+    while 16**digits * NUMBERED < total:
+        digits += 1
+    rows = rows.withColumn("range", F.substring("key", 1, digits))
+    sizes = rows.groupBy("stratum", "range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("stratum").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("stratum", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    own = F.row_number().over(Window.partitionBy("stratum", "range").orderBy("key", "id")) - 1
+    numbered = rows.withColumn("own", own).join(shifts, ["stratum", "range"])
+    return numbered.withColumn("place", F.col("own") + F.col("shift")).drop("key", "range", "own", "shift")
 
 
-def _drawn(df: DataFrame, strata: Sequence[str], first: int, last: int, seed: int) -> DataFrame:
-    """(stratum, place, b) of every draw, made in blocks spread over the cluster."""
+def _blocks(df: DataFrame, strata: Sequence[str], first: int, last: int, seed: int) -> DataFrame:
+    """(stratum, h, low, bits, c) of each block, c an array over the replicates."""
     sizes = df.groupBy(_stratum(strata).alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
-    begun = sizes.withColumn("s", (_number(F.col("stratum"), 7) + seed * 7919) % P)
-    work = (
-        begun.withColumn("b", F.explode(F.sequence(F.lit(first), F.lit(last))))
-        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK))))
-        .withColumn("x", mixed(F.col("s"), F.col("b") * F.lit(40503).cast("long"))).repartition("stratum", "b", "block")
-        .withColumn("k", F.explode(F.sequence(F.col("block") * BLOCK, F.least(F.col("n"), (F.col("block") + 1) * BLOCK) - 1)))
-    )
-    z = lambda c: (c * c + c * 48271 + 12345) % P
-    # One select a step: the optimizer keeps apart what a step uses more than once.
-    steps = work.select("stratum", "b", "n", ((F.col("x") + F.col("k")) % P).alias("u"))
-    steps = steps.select("stratum", "b", "n", z(F.col("u")).alias("v"))
-    steps = steps.select("stratum", "b", "n", z(F.col("v")).alias("v"))
-    steps = steps.select("stratum", "b", "n", "v", z(F.col("v")).alias("w"))
-    return steps.select("stratum", ((F.col("v") * P + F.col("w")) % F.col("n")).alias("place"), "b")
+    step = F.when(F.col("n") >= MANY, F.lit(1)).otherwise(TOGETHER).cast("long")
+    b = F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"), step))
+    begun = sizes.select("stratum", _number(F.col("stratum"), 7).alias("s"), "n", b.alias("b"))
+    last_b = F.least(F.lit(last).cast("long"), F.when(F.col("n") >= MANY, F.col("b")).otherwise(F.col("b") + TOGETHER - 1))
+    work = begun.select("stratum", _seeded(F.col("s"), seed).alias("h"), "n", "b", last_b.alias("last")).repartition("stratum", "b")
+    arrays = F.flatten(F.array_sort(F.collect_list(F.struct("b", "c")))["c"])
+    return work.mapInArrow(to_blocks, RUNS).groupBy("stratum", "h", "low", "bits").agg(arrays.alias("c"))
+
+
+def _seeded(s: Column, seed: int) -> Column:
+    """``draws.hashed`` of a stratum's number and the seed, as a column."""
+    x = (s + F.lit(seed % 2**32).cast("long") * 1640531527 % 2**32) % 2**32 * 73244475 % 2**32
+    y = x.bitwiseXOR(F.shiftright(x, 15)) * 1540483477 % 2**32
+    return y.bitwiseXOR(F.shiftright(y, 16))
+
+
+def drawn(df: DataFrame, id_col: str, strata: Sequence[str], first: int, last: int, seed: int, value: Column | None = None) -> DataFrame:
+    """(id, stratum, value, draws): how often each row is drawn, an array over replicates
+    first..last. Rows and counts meet by blocks, and the array is made where the row is."""
+    shipped(df.sparkSession)
+    value = F.lit(None).cast("double") if value is None else value
+    rows = placed(df, id_col, strata, value.alias("value"))
+    block = F.shiftright("place", BLOCK_BITS).alias("block")
+    held = rows.groupBy("stratum", block).agg(F.array_sort(F.collect_list(F.struct("place", "id", "value"))).alias("rows"))
+    begin = (F.col("low") - F.shiftleft(F.shiftright("low", BLOCK_BITS), BLOCK_BITS) + 1).cast("int")
+    size = F.call_function("shiftleft", F.lit(1), F.col("bits"))
+    met = _blocks(df, strata, first, last, seed).withColumn("block", F.shiftright("low", BLOCK_BITS)).join(held, ["stratum", "block"])
+    met = met.select("stratum", "h", "low", "bits", "c", F.slice("rows", begin, size).alias("rows"))
+    kind = df.schema[id_col].dataType.simpleString()
+    return met.mapInArrow(to_rows(first), f"id {kind}, stratum string, value double, draws array<int>")
 
 
 def counts(df: DataFrame, id_col: str, strata: Sequence[str] = (), first: int = 1, last: int = 500, seed: int = 1) -> DataFrame:
     """BSW-01/03: (id, stratum, b, draws) for replicates first..last, where draws > 0."""
-    picked = _drawn(df, strata, first, last, seed).groupBy("stratum", "place", "b").agg(F.count(F.lit(1)).alias("draws"))
-    return placed(df, id_col, strata).join(picked, ["stratum", "place"]).select("id", "stratum", "b", "draws")
+    each = drawn(df, id_col, strata, first, last, seed).select("id", "stratum", F.posexplode("draws").alias("at", "draws"))
+    return each.filter("draws > 0").select("id", "stratum", (F.col("at") + first).alias("b"), "draws")
 
 
 def replicate_weights(df: DataFrame, weight: str, id_col: str, strata: Sequence[str] = (), replicates: int = 500, seed: int = 1, first: int = 1) -> DataFrame:
     """(id, stratum, weights): an array of replicates first..first+n-1 for each row.
 
-    A null weight counts as zero (BSW-02). A row's draws are counted CHUNK
-    replicates at a time, as sums, and the chunks laid one after another.
+    A null weight counts as zero (BSW-02).
     """
-    last = first + replicates - 1
-    chunk = F.floor((F.col("b") - first) / CHUNK).cast("int")
-    wide = range(min(CHUNK, replicates))
-    drawn = _drawn(df, strata, first, last, seed).select("stratum", "place", chunk.alias("chunk"), F.pmod(F.col("b") - first, F.lit(CHUNK)).alias("in"))
-    sums = [F.sum((F.col("in") == j).cast("int")).cast("int").alias(f"c{j}") for j in wide]
-    dense = drawn.groupBy("stratum", "place", "chunk").agg(*sums).select("stratum", "place", "chunk", F.array(*[f"c{j}" for j in wide]).alias("c"))
-    chunks = -(-replicates // CHUNK)
-    if chunks == 1:
-        by_row = dense.select("stratum", "place", F.col("c").alias("draws"))
-    else:
-        empty = F.array_repeat(F.lit(0), CHUNK)
-        found = F.map_from_entries(F.collect_list(F.struct("chunk", "c")))
-        by_row = dense.groupBy("stratum", "place").agg(found.alias("m"))
-        every = F.transform(F.sequence(F.lit(0), F.lit(chunks - 1)), lambda k: F.coalesce(F.try_element_at("m", k), empty))
-        by_row = by_row.select("stratum", "place", F.slice(F.flatten(every), 1, replicates).alias("draws"))
-    at = placed(df, id_col, strata).join(by_row, ["stratum", "place"], "left").select("id", F.coalesce("draws", F.array_repeat(F.lit(0), replicates)).alias("draws"))
-    base = df.select(F.col(id_col).alias("id"), _stratum(strata).alias("stratum"), F.coalesce(F.col(weight).cast("double"), F.lit(0.0)).alias("w"))
-    return base.join(at, "id").select("id", "stratum", F.transform("draws", lambda n: n * F.col("w")).alias("weights"))
+    value = F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
+    rows = drawn(df, id_col, strata, first, first + replicates - 1, seed, value)
+    return rows.select("id", "stratum", F.transform("draws", lambda n: n * F.col("value")).alias("weights"))
 
 
 def extended(stored: DataFrame, df: DataFrame, weight: str, id_col: str, strata: Sequence[str], replicates: int, seed: int = 1) -> DataFrame:

@@ -265,16 +265,47 @@ def codebook_fill_down(spark, sf_dir):
 
 # -- bootstrap ------------------------------------------------------------------------
 
-_DRAWS = """z AS (SELECT stratum, count(*) AS n, (CAST('0x' || substr(md5(stratum), 1, 7) AS BIGINT) + {seed} * 7919) % 2147483647 AS s FROM r GROUP BY stratum),
-q AS (SELECT stratum, n, b, (s + b * 40503) % 2147483647 AS y, (y * y + y * 48271 + 12345) % 2147483647 AS x FROM z, generate_series(1, {n}) g(b)),
-d AS (SELECT stratum, b, (x + k) % 2147483647 AS u, (u * u + u * 48271 + 12345) % 2147483647 AS v1, (v1 * v1 + v1 * 48271 + 12345) % 2147483647 AS v, (v * v + v * 48271 + 12345) % 2147483647 AS w, (v * 2147483647 + w) % n AS place
-  FROM q, LATERAL (SELECT unnest(range(n)) AS k)),
-c AS (SELECT stratum, place, b, count(*) AS draws FROM d GROUP BY ALL)"""
-_ROWS = """r AS (SELECT o_orderkey AS id, {stratum} AS stratum, o_totalprice AS w, row_number() OVER (PARTITION BY {stratum} ORDER BY substr(md5(o_orderkey::VARCHAR), 1, 2), o_orderkey) - 1 AS place FROM orders)"""
+def _let(value: str, name: str, body: str) -> str:
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+def _hashed(h: str, v: str) -> str:
+    x = f"((({h}) + ({v}) % 4294967296 * 1640531527) % 4294967296 * 73244475) % 4294967296"
+    return _let(_let(x, "y", "(xor(y, y >> 15) * 1540483477) % 4294967296"), "z", "xor(z, z >> 16)")
+
+
+def _ones(count: str) -> str:
+    """Bits set among as many, by words of 32 of the hash ``w0``."""
+    word = f"CASE WHEN j = 0 THEN w0 ELSE {_hashed('w0', 'j')} END"
+    return f"list_sum(list_transform(range(greatest(({count} + 31) // 32, 1)), lambda j: bit_count(({word}) & ((1::BIGINT << least(32, {count} - 32 * j)::INT) - 1))))::BIGINT"
+
+
+def _node(low: str, tag: str) -> str:
+    """The first word of a node: of (stratum's hash, place, tag, b)."""
+    return _hashed(_hashed(_hashed("h", low), f"{tag} + ({low} >> 32) * 1024"), "b")
+
+
+# A stratum's runs get their draws by comparing digits (a row a digit), then are halved.
+_DRAWS = f"""z AS (SELECT stratum, count(*) AS n, {_hashed("CAST('0x' || substr(md5(stratum), 1, 7) AS BIGINT)", "{seed}")} AS h FROM r GROUP BY stratum),
+a AS (
+  SELECT stratum, h, b, 0::BIGINT AS low, n AS m, 1::BIGINT << (length(bin(n)) - 1) AS e, n AS c, 0 AS i, n AS u, 0::BIGINT AS s, 1::BIGINT << (length(bin(n)) - 1) AS r FROM z, generate_series(1, {{n}}) g(b)
+  UNION ALL
+  SELECT stratum, h, b, CASE WHEN over THEN low + e ELSE low END, CASE WHEN over THEN m - e ELSE m END, CASE WHEN over THEN f ELSE e END, CASE WHEN over THEN c - s ELSE c END,
+    CASE WHEN over THEN 0 ELSE i + 1 END, CASE WHEN over THEN c - s WHEN 2 * r >= m THEN ones ELSE u - ones END, CASE WHEN over THEN 0 WHEN 2 * r >= m THEN s + u - ones ELSE s END,
+    CASE WHEN over THEN f WHEN 2 * r >= m THEN 2 * r - m ELSE 2 * r END
+  FROM (SELECT *, {_ones("u")} AS ones, 1::BIGINT << (length(bin(m - e)) - 1) AS f FROM (SELECT *, u = 0 OR i = 62 AS over, {_node("low", "(100 + i)")} AS w0 FROM a WHERE m > e))
+), v AS (
+  SELECT stratum, h, b, low, length(bin(e)) - 1 AS k, CASE WHEN m = e THEN c ELSE s END AS c FROM a WHERE m = e OR u = 0 OR i = 62
+  UNION ALL
+  SELECT stratum, h, b, low + side * (1::BIGINT << (k - 1)), k - 1, CASE side WHEN 0 THEN ones ELSE c - ones END
+  FROM (SELECT *, {_ones("c")} AS ones, unnest([0, 1]) AS side FROM (SELECT *, {_node("low", "k")} AS w0 FROM v WHERE k > 0 AND c > 0))
+),
+c AS (SELECT stratum, low AS place, b, c AS draws FROM v WHERE k = 0 AND c > 0)"""
+_ROWS = """r AS (SELECT o_orderkey AS id, {stratum} AS stratum, o_totalprice AS w, row_number() OVER (PARTITION BY {stratum} ORDER BY md5(o_orderkey::VARCHAR), o_orderkey) - 1 AS place FROM orders)"""
 
 
 def _boot(seed: int, n: int, stratum: str, tail: str) -> str:
-    return f"WITH {_ROWS.format(stratum=stratum)}, {_DRAWS.format(seed=seed, n=n)} {tail}"
+    return f"WITH RECURSIVE {_ROWS.format(stratum=stratum)}, {_DRAWS.replace('{seed}', str(seed)).replace('{n}', str(n))} {tail}"
 
 
 @_query(_boot(5, 2, "''", "SELECT r.id, CAST(b AS INTEGER) AS b, CAST(draws AS BIGINT) AS draws FROM r JOIN c USING (stratum, place)"))

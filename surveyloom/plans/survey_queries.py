@@ -512,7 +512,7 @@ def bootstrap_fewer(spark, sf_dir):
     return both.select("id", (F.col("weights") == F.slice("old", 1, 4)).alias("kept"))
 
 
-@_query("SELECT o_orderkey AS id, o_orderstatus <> 'P' AS kept FROM orders WHERE o_orderstatus <> 'P' OR o_orderkey IS NOT NULL")
+@_query("SELECT o_orderstatus AS stratum, count(*)::BIGINT AS n, o_orderstatus <> 'P' AS kept FROM orders GROUP BY o_orderstatus")
 def bootstrap_affected_strata(spark, sf_dir):
     """BSW-09: new rows of a stratum renew it alone; the others keep their replicates."""
     o = _t(spark, sf_dir, "orders")
@@ -520,7 +520,8 @@ def bootstrap_affected_strata(spark, sf_dir):
     have = bootstrap.replicate_weights(o.filter(F.col("o_orderkey") != F.lit(least)), "o_totalprice", "o_orderkey", ["o_orderstatus"], 4, seed=3)
     now = bootstrap.extended(have, o, "o_totalprice", "o_orderkey", ["o_orderstatus"], 4, seed=4)
     both = now.join(have.select("id", F.col("weights").alias("old")), "id", "left")
-    return both.select("id", (F.col("stratum") != "P") & (F.col("weights") == F.coalesce("old", "weights")).alias("kept")).toDF("id", "kept")
+    same = F.col("weights").eqNullSafe(F.col("old"))
+    return both.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.min(same).alias("kept"))
 
 
 @_query("SELECT o_orderkey AS id, true AS same FROM orders")

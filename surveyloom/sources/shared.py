@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +42,17 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession, name)}/rows"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shipped(spark: SparkSession) -> None:
+    """Gives the executors' Python workers this package, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_surveyloom_package", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    name = Path(tempfile.mkdtemp(prefix="surveyloom-")) / "surveyloom-survey.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(str(name))
+    sc._surveyloom_package = True
