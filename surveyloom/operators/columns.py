@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import Metadata
+from ..sources.shared import kept
 
 DERIVED_LABELS = {
     "SURVDATE": {"eng": "Survey date", "fra": "Date d'enquête"},
@@ -120,19 +121,27 @@ def fill_down(df: DataFrame, column: str, order: str, within: Sequence[str] = ()
 
 
 def with_row_id(df: DataFrame, order: Sequence[str], name: str = "row_id") -> DataFrame:
-    """WIN-05/DML-08: numbers the rows of a table without an id, from 1, the same way
-    each time: by 256 buckets of a hash of ``order``, then by ``order``. Rows equal
-    in all of it are interchangeable. No task numbers more than a bucket."""
-    from pyspark.sql import Window
+    """WIN-05/DML-08: numbers the rows of a table without an id, from 1, in the order of
+    ``order`` (nulls first); rows equal in all of it are interchangeable.
 
-    key = F.concat_ws("\u0001", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in order])
-    rows = df.withColumn("_bucket", F.substring(F.md5(key.cast("binary")), 1, 2))
-    sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # of 256 rows
-    shifts = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    own = F.row_number().over(Window.partitionBy("_bucket").orderBy(*[F.col(f"`{c}`") for c in order]))
-    numbered = rows.withColumn(name, own).join(F.broadcast(shifts), "_bucket")
-    return numbered.withColumn(name, (F.col(name) + F.col("_shift")).cast("long")).drop("_bucket", "_shift")
+    The rows are dealt by ranges of sampled keys, sorted and written once, one file a
+    range; a file's rows are then told by their place in it, after the counts of
+    the files before. There are as many ranges as the session has shuffle
+    partitions, and a key that many rows share is spread over several.
+    """
+    width = 1 + max(map(len, df.columns))  # names that no column has
+    salt, at, shift, place = (k.ljust(width, "_") for k in ("salt", "file", "shift", "place"))
+    keys = [F.col(f"`{c}`") for c in order]
+    ranged = df.withColumn(salt, F.rand(11)).repartitionByRange(*keys, F.col(f"`{salt}`")).sortWithinPartitions(*keys)
+    rows = kept(ranged.drop(salt), "row-ids")
+    numbers = F.regexp_extract_all(F.col("_metadata.file_name"), F.lit(r"^part-(\d+)|-c(\d+)"), F.lit(0))
+    file = F.transform(numbers, lambda x: F.regexp_replace(x, r"\D", "").cast("int"))  # the task, then its several files
+    placed = rows.select("*", file.alias(at), F.col("_metadata.row_index").alias(place))
+    sizes = placed.groupBy(f"`{at}`").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy(F.col(f"`{at}`")).rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    shifts = sizes.select(F.col(f"`{at}`"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(shift))
+    numbered = placed.join(F.broadcast(shifts), at)
+    return numbered.select(*[F.col(f"`{c}`") for c in df.columns if c != name], (F.col(f"`{shift}`") + F.col(f"`{place}`") + 1).cast("long").alias(name))
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:

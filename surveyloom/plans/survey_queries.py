@@ -426,7 +426,7 @@ def harvested_levels(spark, sf_dir):
     return columns.distinct_values(_t(spark, sf_dir, "part"), "p_size")
 
 
-@_query("SELECT l_orderkey, l_linenumber, (row_number() OVER (ORDER BY substr(md5(l_orderkey::VARCHAR || chr(1) || l_linenumber::VARCHAR), 1, 2), l_orderkey, l_linenumber))::BIGINT AS row_id FROM lineitem")
+@_query("SELECT l_orderkey, l_linenumber, (row_number() OVER (ORDER BY l_orderkey, l_linenumber))::BIGINT AS row_id FROM lineitem")
 def row_ids(spark, sf_dir):
     """WIN-05/DML-08"""
     return columns.with_row_id(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"])

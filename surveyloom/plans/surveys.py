@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..model import Metadata, read_metadata, write_metadata
 from ..operators import bootstrap
-from ..operators.columns import coded_name, relabel
+from ..operators.columns import coded_name, relabel, with_row_id
 from ..sources import detect, files, raw
 from ..sources.download import NetworkError, located
 from ..sources.parsers import sas, spss
@@ -25,6 +25,8 @@ from .registry import Entry, Registry, resolve_version
 LANGUAGES = ("eng", "fra")
 #: Bytes of replicate weights from which a warning tells their size.
 MANY_BYTES = 2_000_000_000
+#: The number that a table without an id gets, and what its stored copy's name ends in.
+ROW_ID, NUMBERED = "row_id", "_rows"
 
 
 def safe_name(text: str) -> str:
@@ -131,6 +133,7 @@ class Surveys:
         else:
             coded = build.typed(rows, m, e.fixups, None)
         coded.write.mode("overwrite").parquet(str(path))
+        shutil.rmtree(f"{path}{NUMBERED}", ignore_errors=True)  # numbers of rows that were
         return str(path)
 
     def _shipped_weights(self, root: str, e: Entry) -> DataFrame | None:
@@ -199,7 +202,7 @@ class Surveys:
 
     def tables(self, series: str, version: str) -> list[str]:
         """API-02: names of the tables that are built, replicate weights included."""
-        return sorted(p.name for p in (self.folder(series, version) / "tables").glob("*") if p.is_dir())
+        return sorted(p.name for p in (self.folder(series, version) / "tables").glob("*") if p.is_dir() and not p.name.endswith(NUMBERED))
 
     def get(
         self, series: str, version: str | None = None, lang: str = "eng", refresh: bool | str = False,
@@ -283,6 +286,28 @@ class Surveys:
     def _weights_path(self, t: SurveyTable, weight: str) -> str:
         return f"{self.table_path(t.series, t.version, t.module)}_{bootstrap.table_name(weight)}"
 
+    def numbered(self, t: SurveyTable) -> DataFrame:
+        """BSW-05, DML-08: the coded table with a number for each row, stored beside it on
+        first use and dropped with its last replicates."""
+        path = self.table_path(t.series, t.version, t.module)
+        if not Path(f"{path}{NUMBERED}").exists():
+            whole = self.spark.read.parquet(path)
+            with_row_id(whole, whole.columns, ROW_ID).write.mode("overwrite").parquet(f"{path}{NUMBERED}.new")
+            Path(f"{path}{NUMBERED}.new").rename(f"{path}{NUMBERED}")
+        return self.spark.read.parquet(f"{path}{NUMBERED}")
+
+    def _with_numbers(self, t: SurveyTable, numbered: DataFrame) -> DataFrame:
+        """The rows that ``t`` has left, with their numbers. A filter keeps or drops equal
+        rows alike, so its rows are known by their columns."""
+        e, m = self._entry(t.series, t.version, t.module), self.metadata(t.series, t.version, t.module)
+        mine = t.with_df(build.labelled(numbered, m, e.fixups, t.lang))
+        for df in (mine.df, mine.relabelled().df):
+            if [c for c in df.columns if c != ROW_ID] == t.df.columns:
+                left = t.df.distinct().toDF(*[f"{c} left" for c in t.df.columns])
+                same = [df[f"`{c}`"].eqNullSafe(left[f"`{c} left`"]) for c in t.df.columns]
+                return df.join(left, same, "left_semi")
+        raise ValueError("the table has no id: take its replicates before its columns are changed")
+
     def bootstrap_weights(self, t: SurveyTable, weight: str, id_col: str | None = None, strata: list[str] | None = None, replicates: int = 500, seed: int = 1, overwrite: bool = False) -> SurveyTable:
         """BSW-04..14: the table with its replicate weights, made or brought up to date.
 
@@ -291,8 +316,13 @@ class Surveys:
         """
         e, m = self._entry(t.series, t.version, t.module), self.metadata(t.series, t.version, t.module)
         whole = self.spark.read.parquet(self.table_path(t.series, t.version, t.module))
+        if not (id_col or e.bsw_join_key):
+            id_col = ROW_ID
+        if id_col == ROW_ID and ROW_ID not in whole.columns:
+            whole = self.numbered(t)
+            t = t if ROW_ID in t.df.columns else t.with_df(self._with_numbers(t, whole))
         named = lambda c: coded_name(whole.columns, m, c, t.lang)
-        weight, id_col = named(weight), named(id_col or e.bsw_join_key or "")
+        weight, id_col = named(weight), named(id_col or e.bsw_join_key)
         strata = [named(c) for c in (e.bsw_strata if strata is None else strata)]
         path = self._weights_path(t, weight)
         if (size := whole.count() * replicates * 8) > MANY_BYTES:  # BSW-18
@@ -322,9 +352,13 @@ class Surveys:
     def remove_bootstrap(self, series: str, version: str, weight: str | None = None) -> int:
         """BSW-17: removes one weight's replicates or all; how many tables went."""
         tail = bootstrap.table_name(weight or "") + ("" if weight else "*")
-        gone = list((self.folder(series, version) / "tables").glob(f"*_{tail}"))
+        tables = self.folder(series, version) / "tables"
+        gone = list(tables.glob(f"*_{tail}"))
         for p in gone:
             shutil.rmtree(p)
+        for p in tables.glob(f"*{NUMBERED}"):  # row numbers go with the last replicates
+            if not list(tables.glob(f"{p.name.removesuffix(NUMBERED)}_{bootstrap.table_name('')}*")):
+                shutil.rmtree(p)
         return len(gone)
 
     # -- the cache ------------------------------------------------------------------

@@ -57,6 +57,34 @@ def test_open_label_and_bootstrap(surveys):
     assert surveys.open("S", "2020").df.count() == 20
 
 
+def test_replicates_of_a_table_without_an_id(surveys):
+    surveys.registry = Registry([Entry("S", "2020")])
+    t = surveys.open("S", "2020")
+    south = t.with_df(t.df.filter("REG = 'South'"))
+    b = surveys.bootstrap_weights(south, "WT", strata=["REG"], replicates=5).df
+    assert b.count() == 10 and {r.REG for r in b.select("REG").collect()} == {"South"} and {len(r.weights) for r in b.collect()} == {5}
+    every = surveys.bootstrap_weights(surveys.open("S", "2020", "fra").relabelled(), "Poids", strata=["Région"], replicates=3).df
+    assert sorted(r.row_id for r in every.collect()) == list(range(1, 21))
+    same = {r.row_id: r.weights[:3] for r in b.collect()}
+    assert all(r.weights == same[r.row_id] for r in every.collect() if r.row_id in same)
+    assert surveys.tables("S", "2020") == ["main", "main_pumf_bsw_wt"]
+    with pytest.raises(ValueError, match="before its columns are changed"):
+        surveys.bootstrap_weights(t.with_df(t.df.drop("REG")), "WT")
+    rows = surveys.folder("S", "2020") / "tables" / "main_rows"
+    assert rows.exists() and surveys.remove_bootstrap("S", "2020", "WT") == 1 and not rows.exists()
+
+
+def test_row_ids(spark):
+    from surveyloom.operators.columns import with_row_id
+
+    rows = [(k % 7, "x" * (k % 3), k % 2 == 0) for k in range(500)] + [(3, "hot", True)] * 700 + [(None, None, None)]
+    df = spark.createDataFrame(rows, "a int, b string, row_id boolean").withColumnRenamed("row_id", "salt__")
+    out = sorted((tuple(r) for r in with_row_id(df, ["a", "b"]).collect()), key=lambda r: r[3])
+    assert [r[3] for r in out] == list(range(1, len(rows) + 1)) and out[0][:3] == (None, None, None)
+    assert [r[:2] for r in out[1:]] == sorted(r[:2] for r in rows[:-1]) and sorted(map(str, (r[:3] for r in out))) == sorted(map(str, rows))
+    assert with_row_id(df.limit(0), ["a"]).collect() == []
+
+
 def test_get(surveys, spark, tmp_path):
     away = tmp_path / "S" / "2020" / "data.zip"
     kept = tmp_path / "away" / "data.zip"
