@@ -551,9 +551,10 @@ def lfs_covered_month(spark, sf_dir):
     o = _orders_of(spark, sf_dir)
     year = o.agg(F.min("y")).first()[0]
     s = store.Store(spark, shared_folder(spark, "store"))
-    s.load(f"{year}-03", o.filter(F.col("SURVMNTH") == 3).drop("y").limit(1))
-    s.load(f"{year}", o.filter(F.col("y") == year).drop("y"))
-    assert not s.load(f"{year}-03", o.limit(1).drop("y"), refresh=True)
+    s.load(f"{year}-03", o.filter((F.col("y") == year + 1) & (F.col("SURVMNTH") == 3)).drop("y"))  # of another year, so that it would show
+    for (y,) in sorted(o.select("y").distinct().collect()):
+        s.load(f"{y}", o.filter(F.col("y") == y).drop("y"))
+    assert not s.load(f"{year}-03", o.drop("y"), refresh=True)
     return s.read(f"{year}-03").select("o_orderkey", "SURVYEAR", "SURVMNTH")
 
 
@@ -565,11 +566,28 @@ def lfs_refresh_month(spark, sf_dir):
     s = store.Store(spark, shared_folder(spark, "store"))
     one = lambda m: o.filter((F.col("y") == year) & (F.col("SURVMNTH") == m)).drop("y")
     s.load(f"{year}-01", one(1))
-    s.load(f"{year}-02", one(2).limit(1))
+    s.load(f"{year}-02", one(3))
     s.load(f"{year}-02", one(2), refresh=True)
     return s.read(f"{year}").select("o_orderkey", "SURVYEAR", "SURVMNTH")
 
 
+@_query(f"SELECT * FROM ({_OY})")
+def lfs_two_writers(spark, sf_dir):
+    """DML-10, SNK-06: two writers in turn, each from the state that it saw before the other
+    committed, and the whole table read back."""
+    o = _orders_of(spark, sf_dir)
+    one, other = (store.Store(spark, path) for path in [shared_folder(spark, "store")] * 2)
+    years = sorted(r[0] for r in o.select("y").distinct().collect())
+    late, writers = one.log(), [one, other]
+    for k, y in enumerate(years):
+        writers[k % 2].load(f"{y}", o.filter(F.col("y") == y).drop("y"))
+    try:
+        one._commit(1, late)
+    except store.Conflict:
+        pass  # what was seen at the start can't be committed any more
+    return other.read().select("o_orderkey", "SURVYEAR", "SURVMNTH")
+
+
 @_query(f"SELECT SURVYEAR::VARCHAR AS version, count(*)::BIGINT AS n FROM ({_OY}) WHERE SURVYEAR <> (SELECT min(SURVYEAR) FROM ({_OY})) GROUP BY 1")
 def lfs_versions_log(spark, sf_dir):
     """LFS-08, DML-01/03, SRT-01: loaded versions with their rows; a removed year is gone."""
@@ -590,7 +608,7 @@ def lfs_missing_versions(spark, sf_dir):
     o = _orders_of(spark, sf_dir)
     available = sorted(r[0] for r in _t(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM")).distinct().collect())
     s = store.Store(spark, shared_folder(spark, "store"))
-    s.load(available[0][:4], o.filter(F.col("y") == int(available[0][:4])).drop("y").limit(5))
+    s.load(available[0][:4], o.filter(F.col("y") == int(available[0][:4])).drop("y"))
     return _frame(spark, [(v,) for v in s.missing(available)], "version string")
 
 
