@@ -53,6 +53,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores at its end as no column has, in any case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Ends the lineage with a checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

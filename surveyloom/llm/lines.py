@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, meet, settled, written
+from .common import cut, meet, settled, unused, written
 from .graph import components
 
 BANDS, ROWS = 7, 4
@@ -257,9 +257,10 @@ def dedup_lines(docs: DataFrame, width: int = 8, least: float = 0.8) -> DataFram
     lines. Blank lines are no lines: they stay. A null text stays null and an
     empty one empty; a document whose lines all go is kept with its blank lines.
     Rows with equal doc_id and text are one document. Other columns stay as
-    they are; those named like the two new ones (or like a working column) get
-    ``_in`` at the end.
+    they are; those named like the two new ones get ``_in`` at the end, and
+    underscores after it where that name is taken too.
     """
+    doc, under, cut_out, whole = unused(docs.columns, "_doc", "_th", "_gone", "_lines")
     roots = settled(line_components(docs, width, least))
     places = _occurrences(docs).select("h1", "h2", "doc_id", "th", "pos", _place(F.col("doc_id"), F.col("th"), F.col("pos")).alias("place"))
     firsts = places.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count(F.lit(1)).alias("n"))
@@ -274,21 +275,20 @@ def dedup_lines(docs: DataFrame, width: int = 8, least: float = 0.8) -> DataFram
     gone = cut(
         meet(places, keep, ["h1", "h2"], total).filter("place <> keep")
         .groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"))
-        .select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
+        .select(F.col("doc_id").alias(doc), F.col("th").alias(under), F.col("gone").alias(cut_out))
     )
-    names = {c.lower() for c in docs.columns}
-    if names & {"_doc", "_th", "_gone", "_lines", "n_lines", "n_dropped"}:
-        docs = docs.toDF(*[f"{c}_in" if c.lower() in ("_doc", "_th", "_gone", "_lines", "n_lines", "n_dropped") else c for c in docs.columns])
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_th"))
+    own = [c.lower() in ("n_lines", "n_dropped") for c in docs.columns]
+    docs = docs.toDF(*[unused(docs.columns, f"{c}_in")[0] if new else c for c, new in zip(docs.columns, own)])
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(under))
     lines = F.split(F.col("text").cast("string"), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(whole) - 1), F.col(cut_out))
+    text = F.when(F.col(cut_out).isNull(), F.col("text")).otherwise(
+        F.array_join(F.transform(stay, lambda i: F.get(F.col(whole), i)), "\n")
     )
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines"))
-    out = docs.join(gone, on, "left").withColumn("_lines", lines)
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(whole))
+    out = docs.join(gone, on, "left").withColumn(whole, lines)
     return out.select(
-        *[(text.alias("text") if c == "text" else F.col(c)) for c in docs.columns],
+        *[(text.alias("text") if c == "text" else F.col(f"`{c}`")) for c in docs.columns],
         n.cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size(cut_out), F.lit(0)).cast("long").alias("n_dropped"),
     )

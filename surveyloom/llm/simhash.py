@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_slices, cut, free_caches, meet, ship, word_blocks
+from .common import arrow_slices, cut, free_caches, meet, ship, unused, word_blocks
 from .graph import components
 
 HALF = 32
@@ -118,11 +118,9 @@ def keep_one(docs: DataFrame, distance: int = 3) -> DataFrame:
     the text's hash; rows of equal doc_id and text are one document, of which
     one row stays. Null and blank texts are near duplicates of one another.
     """
+    mark, stays, under = unused(docs.columns, "_text", "_stays", "_as")
     first = F.min(F.struct("doc_id", "th")).alias("first")
-    stay = groups(docs, distance).groupBy("root").agg(first).select(F.col("first.doc_id").alias("_stays"), F.col("first.th").alias("_as"))
-    mark = "_text"
-    while mark in [c.lower() for c in docs.columns]:
-        mark += "_"
+    stay = groups(docs, distance).groupBy("root").agg(first).select(F.col("first.doc_id").alias(stays), F.col("first.th").alias(under))
     marked = docs.withColumn(mark, F.xxhash64(F.col("text").cast("string")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_stays")) & (F.col(mark) == F.col("_as"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(stays)) & (F.col(mark) == F.col(under))
     return marked.join(stay.distinct(), same, "left_semi").dropDuplicates(["doc_id", mark]).drop(mark)
