@@ -17,7 +17,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal or near-equal lines one stays; n_chars follows the text.
+    """Of equal or near-equal lines one stays; n_chars, where there is one, follows the text.
 
     All rows stay: a null text is null still (and has the n_chars it had), an empty
     one empty, and one whose lines all go keeps its blank lines. Rows of equal
@@ -26,8 +26,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Working names, so that none can meet a column that the operator adds.
     named = {c: c if c in ("doc_id", "text") else f"column {k}" for k, c in enumerate(docs.columns)}
     kept = lines.dedup_lines(docs.toDF(*named.values()))
-    size = F.length("text").cast(docs.schema["n_chars"].dataType)
-    own = lambda c: F.coalesce(size, F.col(f"`{named[c]}`")) if c == "n_chars" else F.col(f"`{named[c]}`")
+    own = lambda c: F.coalesce(F.length("text").cast(docs.schema[c].dataType), F.col(f"`{named[c]}`")) if c == "n_chars" else F.col(f"`{named[c]}`")
     return kept.select(*[own(c).alias(c) for c in docs.columns])
 
 
@@ -58,7 +57,8 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-#: No stage can be told in SQL; tests hold each against a brute-force version.
+#: No stage can be told in SQL; tests hold each stage's rows against its own input, and
+#: the two deduplications against all-pairs code on small tables with odd rows.
 ORACLE_SQL = None
 
 
