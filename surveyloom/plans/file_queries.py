@@ -36,7 +36,8 @@ def _with(template: str) -> Column:
     return out
 
 
-OPEN, FILLED, PART = (F.col("s") == x for x in "OFP")
+def _is(status: str) -> Column:
+    return F.col("s") == status
 
 
 def _pieces(fr: str) -> dict[str, Column]:
@@ -44,15 +45,15 @@ def _pieces(fr: str) -> dict[str, Column]:
     codes = f"""    "00" '{fr}l''un'\n    '01'  "{fr}two" \n 2.0 "{fr}it's 3/4"\n   2 "{fr}again"\n"""
     labels = F.concat(F.lit("* a comment\nVariable  Labels\n"), _each(F.when(F.col("r") % 2 == 0, _with(f"  {{v}}\t'{fr}{{p}} at ' +\n     'birth'")).otherwise(_with(f'  /{{v}} "{fr}{{p}} at birth"'))), F.lit("\n .\nnot \"read\"\n"))
     values = F.concat(
-        F.lit("VALUE LABELS\n/"), _each(_with("{v}"), OPEN, "\n  "), F.lit(f"\n{codes}"), _each(_with(f'  {{v}} 96 "{"Enchaînement valide" if fr else "Valid skip"}" 99 "{"Non déclaré" if fr else "Not stated"}"'), PART), F.lit("\n .\n")
+        F.lit("VALUE LABELS\n/"), _each(_with("{v}"), _is("O"), "\n  "), F.lit(f"\n{codes}"), _each(_with(f'  {{v}} 96 "{"Enchaînement valide" if fr else "Valid skip"}" 99 "{"Non déclaré" if fr else "Not stated"}"'), _is("P")), F.lit("\n .\n")
     )
     return {"labels": labels, "values": values}
 
 
 def _sections() -> dict[str, Column]:
     layout = F.concat(F.lit("DATA LIST FILE = 'a/b' NOTABLE/\n"), _each(_with("  {v} {a} - {b}"), by="  \n"), F.lit("\n.\n"))
-    formats = F.concat(F.lit("FORMATS\n"), _each(_with("{v} (F8.2)"), FILLED, " / "), F.lit("\n.\n"))
-    missing = F.concat(F.lit("MISSING VALUES\n"), _each(F.when(F.col("r") % 3 == 0, _with("  {v} (1E5 THRU 2e5)")).when(F.col("r") % 3 == 1, _with("  {v} (9 THRU )")).otherwise(_with("  {v} (7)")), FILLED), F.lit("\n.\nEXECUTE.\n"))
+    formats = F.concat(F.lit("FORMATS\n"), _each(_with("{v} (F8.2)"), _is("F"), " / "), F.lit("\n.\n"))
+    missing = F.concat(F.lit("MISSING VALUES\n"), _each(F.when(F.col("r") % 3 == 0, _with("  {v} (1E5 THRU 2e5)")).when(F.col("r") % 3 == 1, _with("  {v} (9 THRU )")).otherwise(_with("  {v} (7)")), _is("F")), F.lit("\n.\nEXECUTE.\n"))
     return {"layout": layout, "formats": formats, "missing": missing}
 
 
@@ -96,7 +97,7 @@ def spss_files_layout(spark, sf_dir):
 def _split_files(spark, sf_dir: str) -> DataFrame:
     o, s = _orders(spark, sf_dir), _sections()
     english, french = _pieces(""), _pieces("fr ")
-    note = F.when(OPEN, _with("  {v} {a} - {b} (A)")).when(FILLED, _with("  {v} {a} - {b} (2)")).otherwise(_with("  {v} {a} - {b} (F8.0)"))
+    note = F.when(_is("O"), _with("  {v} {a} - {b} (A)")).when(_is("F"), _with("  {v} {a} - {b} (2)")).otherwise(_with("  {v} {a} - {b} (F8.0)"))
     layout = F.concat(F.lit("DATA LIST FILE = IN NOTABLE/\n"), _each(note), F.lit("\n.\n"))
     roles = {"layout": layout, "labels_en": english["labels"], "codes_en": english["values"], "missing": s["missing"], "labels_fr": french["labels"], "codes_fr": french["values"]}
     made = o.groupBy("survey").agg(*[c.alias(k) for k, c in roles.items()])
@@ -117,7 +118,7 @@ def split_files_codes(spark, sf_dir):
 
 def _lfs(spark, sf_dir: str) -> DataFrame:
     own = _with('"{v}",8,"{p}, ""so""\nat birth",fr {p}')
-    codes = F.when(OPEN, F.lit('\n,1,One,Un\n,"1 - 7",a range,\n,blank,Blank,\n,02,"Two, three",')).when(PART, F.lit("\n,96,Valid skip,\n,99,Not stated,")).otherwise(F.lit(",\n,,,"))
+    codes = F.when(_is("O"), F.lit('\n,1,One,Un\n,"1 - 7",a range,\n,blank,Blank,\n,02,"Two, three",')).when(_is("P"), F.lit("\n,96,Valid skip,\n,99,Not stated,")).otherwise(F.lit(",\n,,,"))
     book = F.concat(F.lit("﻿Field_Champ,Variable_Variable,EnglishLabel_EtiquetteAnglais,FrenchLabel_EtiquetteFrancais\r\n"), _each(F.concat(own, codes)))
     return _orders(spark, sf_dir).groupBy("survey").agg(book.alias("text"))
 
@@ -139,6 +140,6 @@ def lfs_codebooks_codes(spark, sf_dir):
 def cpss_codebooks_codes(spark, sf_dir):
     """PAR-16: codes of many codebooks, the variable's name filled down."""
     head = "Variable / Variable,Variable name - English / Nom,Variable name - French / Nom,Code / Code,Label - English / A,Label - French / F\n"
-    first = F.when(OPEN, _with("{v},{p},fr {p},1,Yes,Oui\n,,,2,No,Non")).otherwise(_with("{v},{p},fr {p},,,"))
+    first = F.when(_is("O"), _with("{v},{p},fr {p},1,Yes,Oui\n,,,2,No,Non")).otherwise(_with("{v},{p},fr {p},,,"))
     books = _orders(spark, sf_dir).groupBy("survey").agg(F.concat(F.lit(head), _each(first)).alias("text"))
     return frames.cpss_codebooks(books).codes.select(*_CODE)
