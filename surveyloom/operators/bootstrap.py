@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import shipped
+from ..sources.shared import kept, shipped
 from .draws import BLOCK_BITS, RUNS, to_blocks, to_rows
 
 #: Rows that one task numbers, about.
@@ -31,6 +31,8 @@ NUMBERED = 50_000
 #: Replicates whose draws one task splits together, and rows of a stratum from which it
 #: takes one alone.
 TOGETHER, MANY = 64, 10_000_000
+#: The column that stored replicates are partitioned by.
+FOLDER = "stratum_key"
 
 
 def _stratum(columns: Sequence[str]) -> Column:
@@ -117,6 +119,60 @@ def replicate_weights(df: DataFrame, weight: str, id_col: str, strata: Sequence[
     return rows.select("id", "stratum", F.transform("draws", lambda n: n * F.col("value")).alias("weights"))
 
 
+def stale_strata(stored: DataFrame, df: DataFrame, id_col: str, strata: Sequence[str]) -> DataFrame:
+    """(stratum) of the strata whose ids are no longer those of the stored replicates."""
+    now = df.select(F.col(id_col).alias("id"), _stratum(strata).alias("stratum"))
+    was = stored.select("id", "stratum")
+    gone, new = was.join(now, ["id", "stratum"], "left_anti"), now.join(was, ["id", "stratum"], "left_anti")
+    return gone.unionByName(new).select("stratum").distinct()
+
+
+def _filed(replicated: DataFrame) -> DataFrame:
+    """With the folder that a stratum's rows are stored in: any text is a good stratum, so
+    the folder has its hash."""
+    return replicated.withColumn(FOLDER, F.substring(F.md5(F.col("stratum").cast("binary")), 1, 16))
+
+
+def _write(replicated: DataFrame, path: str, mode: str) -> None:
+    # A small stratum is one file; one that is too large for a task is split as it runs.
+    _filed(replicated).hint("rebalance", FOLDER).write.option("partitionOverwriteMode", mode).mode("overwrite").partitionBy(FOLDER).parquet(path)
+
+
+def update_stored(path: str, df: DataFrame, weight: str, id_col: str, strata: Sequence[str], replicates: int, seed: int = 1, overwrite: bool = False) -> DataFrame:
+    """SNK-07, BSW-06..10: brings the replicates stored under ``path`` up to the table.
+
+    They are filed by stratum. Strata whose ids changed are written anew, and
+    those without rows left go; the files of all others stay as they are. Only
+    where more replicates are asked for than there are, all files are replaced, by
+    a folder that takes the old one's place once it is whole. Gives what is
+    stored then, which can be more replicates than asked for.
+    """
+    spark = df.sparkSession
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if overwrite or not fs.exists(fs_path(path)):
+        whole = replicate_weights(df, weight, id_col, strata, replicates, seed)
+    else:
+        stored = spark.read.parquet(path)
+        have = stored.select(F.max(F.size("weights"))).first()[0] or 0
+        whole = extended(stored.drop(FOLDER), df, weight, id_col, strata, replicates, seed) if replicates > have or FOLDER not in stored.columns else None
+        if whole is None:
+            stale = kept(stale_strata(stored, df, id_col, strata), "stale")
+            base = df.withColumn("_stratum", _stratum(strata))
+            again = base.join(stale.withColumnRenamed("stratum", "_stratum"), "_stratum", "left_semi").drop("_stratum")
+            left = again.select(_stratum(strata).alias("stratum")).distinct()
+            gone = [r[0] for r in _filed(stale.join(left, "stratum", "left_anti")).select(FOLDER).toLocalIterator()]
+            if not left.isEmpty():
+                _write(replicate_weights(again, weight, id_col, strata, have, seed), path, "dynamic")
+            for folder in gone:
+                fs.delete(fs_path(f"{path}/{FOLDER}={folder}"), True)
+    if whole is not None:
+        _write(whole, f"{path}.new", "static")
+        fs.delete(fs_path(path), True)
+        fs.rename(fs_path(f"{path}.new"), fs_path(path))
+    return spark.read.parquet(path)
+
+
 def extended(stored: DataFrame, df: DataFrame, weight: str, id_col: str, strata: Sequence[str], replicates: int, seed: int = 1) -> DataFrame:
     """BSW-06..09: brings stored replicates up to the table and the number asked for.
 
@@ -124,10 +180,7 @@ def extended(stored: DataFrame, df: DataFrame, weight: str, id_col: str, strata:
     anew (without strata, all); others keep theirs and get the missing ones.
     """
     have = stored.select(F.max(F.size("weights"))).first()[0] or 0
-    now = df.select(F.col(id_col).alias("id"), _stratum(strata).alias("stratum"))
-    gone = stored.select("id", "stratum").join(now, ["id", "stratum"], "left_anti")
-    new = now.join(stored.select("id", "stratum"), ["id", "stratum"], "left_anti")
-    stale = gone.unionByName(new).select("stratum").distinct()
+    stale = stale_strata(stored, df, id_col, strata)
     kept = stored.join(stale, "stratum", "left_anti")
     if replicates <= have:
         kept = kept.withColumn("weights", F.slice("weights", 1, replicates))

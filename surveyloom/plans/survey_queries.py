@@ -524,6 +524,18 @@ def bootstrap_affected_strata(spark, sf_dir):
     return both.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.min(same).alias("kept"))
 
 
+@_query("SELECT o_orderstatus AS stratum, count(*)::BIGINT AS n, o_orderstatus <> 'P' AS untouched FROM orders GROUP BY o_orderstatus")
+def bootstrap_stored_strata(spark, sf_dir):
+    """SNK-07, BSW-09: a stratum's new rows renew its files; the files of others stay."""
+    o, path = _t(spark, sf_dir, "orders"), f"{shared_folder(spark, 'replicates')}/w"
+    least = o.filter("o_orderstatus = 'P'").agg(F.min("o_orderkey")).first()[0]
+    files = lambda df: df.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.col("_metadata.file_name"))).alias("files"))
+    before = files(bootstrap.update_stored(path, o.filter(F.col("o_orderkey") != F.lit(least)), "o_totalprice", "o_orderkey", ["o_orderstatus"], 4)).collect()
+    had = spark.createDataFrame([(r["stratum"], r["files"]) for r in before], "stratum string, had array<string>")
+    now = files(bootstrap.update_stored(path, o, "o_totalprice", "o_orderkey", ["o_orderstatus"], 3))
+    return now.join(had, "stratum").select("stratum", "n", (F.col("files") == F.col("had")).alias("untouched"))
+
+
 @_query("SELECT o_orderkey AS id, true AS same FROM orders")
 def bootstrap_extends_columns(spark, sf_dir):
     """BSW-07: more replicates keep the first ones, and are those that one run makes."""

@@ -327,16 +327,7 @@ class Surveys:
         path = self._weights_path(t, weight)
         if (size := whole.count() * replicates * 8) > MANY_BYTES:  # BSW-18
             warnings.warn(f"{replicates} replicates of {weight} take {size / 1e9:.1f} GB", stacklevel=2)
-        if Path(path).exists() and not overwrite:
-            stored = self.spark.read.parquet(path)
-            now = bootstrap.extended(stored, whole, weight, id_col, strata, max(replicates, stored.select(F.max(F.size("weights"))).first()[0]), seed)
-        else:
-            now = bootstrap.replicate_weights(whole, weight, id_col, strata, replicates, seed)
-        fresh = f"{path}.new"
-        now.write.mode("overwrite").parquet(fresh)
-        shutil.rmtree(path, ignore_errors=True)
-        Path(fresh).rename(path)
-        stored = self.spark.read.parquet(path).withColumn("weights", F.slice("weights", 1, replicates))
+        stored = bootstrap.update_stored(path, whole, weight, id_col, strata, replicates, seed, overwrite).withColumn("weights", F.slice("weights", 1, replicates))
         label = next((c for c in t.df.columns if c == id_col or c == relabel(whole.select(id_col), m, t.lang).columns[0]), id_col)
         return t.with_df(bootstrap.attach(t.df, stored, label))
 

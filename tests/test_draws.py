@@ -62,3 +62,20 @@ def test_odd_ids_and_empty_tables(spark):
     out = bootstrap.replicate_weights(rows, "w", "id", (), 40).collect()
     assert len(out) == 4 and {r.id for r in out} == {None, "a", "é"} and all(len(r.weights) == 40 for r in out)
     assert all(not any(r.weights) for r in out if r.id != "a")
+
+
+def test_stored_replicates_follow_the_table(spark, tmp_path):
+    path = f"{tmp_path}/w"
+    rows = [(k, "ab/c"[k % 4], 1.0 + k) for k in range(80)]
+    df = lambda rows: spark.createDataFrame(rows, "id long, s string, w double")
+    read = lambda d: {r.id: list(r.weights) for r in d.collect()}
+    first = read(bootstrap.update_stored(path, df(rows), "w", "id", ["s"], 5))
+    assert len(first) == 80
+    # b gets a row, c goes, a and / stay as they are; fewer replicates take nothing away.
+    changed = [r for r in rows if r[1] != "c"] + [(500, "b", 9.0)]
+    second = read(bootstrap.update_stored(path, df(changed), "w", "id", ["s"], 3, seed=7))
+    assert set(second) == {r[0] for r in changed} and all(len(w) == 5 for w in second.values())
+    assert all(second[k] == first[k] for k, s, _ in rows if s in "a/") and any(second[k] != first[k] for k, s, _ in rows if s == "b")
+    more = read(bootstrap.update_stored(path, df(changed), "w", "id", ["s"], 8))
+    assert all(len(w) == 8 for w in more.values()) and all(more[k][:5] == second[k] for k in second)
+    assert read(bootstrap.update_stored(path, df(rows), "w", "id", ["s"], 2, overwrite=True)).keys() == first.keys()
