@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import convert
-from ..model import Fixups, Metadata, Variable
+from ..model import Code, Fixups, Metadata, Variable
 from ..operators.columns import rename_present, swap_names
 from ..sources.sentinels import sentinel_ranges
 
+#: Codes of a variable from which labels are joined, and characters of a broadcast table.
+LONG, BROADCAST_CHARS = 500, 8_000_000
+
 
 def prepared(metadata: Metadata, fix: Fixups) -> Metadata:
     """Metadata after the fixups, in the build's order of steps 3 and 7 to 12."""
@@ -77,27 +81,81 @@ def typed(raw: DataFrame, metadata: Metadata, fix: Fixups | None = None, lang: s
 
 
 def labelled(coded: DataFrame, metadata: Metadata, fix: Fixups | None = None, lang: str = "eng") -> DataFrame:
-    """A stored, coded table with labels: one projection over its string columns."""
+    """A stored, coded table with labels: one projection over its string columns; lists
+    of more than LONG codes are joined as a table instead."""
     fix = fix or Fixups()
     m = prepared(metadata, fix)
-    out = []
+    out, long = [], {}
     for c, kind in coded.dtypes:
         codes = m.codes_of(c) if kind == "string" else []
-        label = convert.labelled(F.col(f"`{c}`"), codes, lang, fix.na_values) if codes else None
+        if len(codes) > LONG:
+            long[c] = codes
+        label = convert.labelled(F.col(f"`{c}`"), codes, lang, fix.na_values) if codes and c not in long else None
         out.append(F.col(f"`{c}`") if label is None else label.alias(c, metadata={"levels": convert.levels(codes, lang)}))
-    return coded.select(*out)
-
-
-def unmatched_values(raw: DataFrame, metadata: Metadata, fix: Fixups | None = None, most: int = 5) -> dict[str, list[str]]:
-    """Codes in the data that the metadata lacks, for all columns in one pass."""
+    done = coded.select(*out)
+    for c, codes in long.items():
+        done = joined_labels(done, c, codes, lang, fix.na_values)
+    return done
+
+
+def joined_labels(df: DataFrame, column: str, codes: Sequence[Code], lang: str = "eng", na_values: Iterable[str] = ()) -> DataFrame:
+    """LAB-01 for long lists: as ``convert.labelled``, by a join with a table of codes, which
+    is broadcast up to BROADCAST_CHARS characters. Every code is one row there, so no
+    row is lost or doubled, and a code that many rows have is split as the join runs."""
+    pairs, whole = convert.label_pairs(codes, lang)
+    known = [(k, v) for k, v in pairs if v is not None]
+    key, label = (x.ljust(1 + max(map(len, df.columns)), "_") for x in ("key", "label"))  # names that no column has
+    table = df.sparkSession.createDataFrame(known, f"`{key}` string, `{label}` string")
+    if sum(len(k) + len(v) for k, v in known) <= BROADCAST_CHARS:
+        table = F.broadcast(table)
+    raw = F.trim(F.col(f"`{column}`"))
+    tokens = list(na_values)
+    own = convert.code_key(raw) if whole else raw
+    met = df.join(table, (F.when(~raw.isin(tokens), own) if tokens else own) == F.col(f"`{key}`"), "left")
+    levels = convert.levels(codes, lang)
+    return met.select(*[F.col(f"`{label}`").alias(c, metadata={"levels": levels}) if c == column else F.col(f"`{c}`") for c in df.columns])
+
+
+def unmatched(raw: DataFrame, metadata: Metadata, fix: Fixups | None = None, most: int = 5) -> DataFrame:
+    """(name, value, rank, n): for each column the first ``most`` codes in the data, by
+    value, that the metadata lacks, and how many different ones there are.
+
+    All columns are counted in one pass: a task hands on each value once, and only
+    counts and first values meet.
+    """
     fix = fix or Fixups()
     m = prepared(metadata, fix)
     coded = [c for c in raw.columns if m.codes_of(c)]
     if not coded:
-        return {}
-    sets = [F.slice(F.sort_array(F.collect_set(convert.unmatched(F.col(c), m.codes_of(c), fix.na_values))), 1, most).alias(c) for c in coded]
-    row = raw.agg(*sets).first()
-    return {c: list(row[c]) for c in coded if row[c]}
+        return raw.sparkSession.createDataFrame([], "name string, value string, rank int, n long")
+    found = [F.struct(F.lit(c).alias("name"), convert.unmatched(F.col(f"`{c}`"), m.codes_of(c), fix.na_values).alias("value")) for c in coded]
+    lacking = F.filter(F.array(*found), lambda x: x["value"].isNotNull())
+    values = raw.select(F.explode(lacking).alias("x")).select("x.name", "x.value").distinct()
+    rank = F.row_number().over(Window.partitionBy("name").orderBy("value"))
+    first = values.withColumn("rank", rank).filter(F.col("rank") <= most)
+    sizes = values.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return first.join(sizes, "name").select("name", "value", F.col("rank").cast("int").alias("rank"), "n")
+
+
+def unmatched_values(raw: DataFrame, metadata: Metadata, fix: Fixups | None = None, most: int = 5) -> dict[str, list[str]]:
+    """The first codes in the data that the metadata lacks, by column."""
+    out: dict[str, list[str]] = {}
+    for r in sorted(unmatched(raw, metadata, fix, most).collect()):
+        out.setdefault(r["name"], []).append(r["value"])
+    return out
+
+
+def label_warnings(raw: DataFrame, metadata: Metadata, fix: Fixups | None = None) -> list[str]:
+    """LAB-01, LAB-02: what a build should tell of codes without a label, and of labels that
+    stay English in French."""
+    told: dict[str, tuple[int, list[str]]] = {}
+    for r in sorted(unmatched(raw, metadata, fix).collect()):
+        told.setdefault(r["name"], (r["n"], []))[1].append(r["value"])
+    out = [f"{c}: {n} values without a code become null: {', '.join(first)}{' ...' if n > len(first) else ''}" for c, (n, first) in told.items()]
+    m = prepared(metadata, fix or Fixups())
+    french = {c.name for c in m.codes if c.label_fr is not None}
+    english = sorted({c.name for c in m.codes if c.name in french and c.label_fr is None and c.label_en is not None and c.name in raw.columns})
+    return out + [f"{c}: some codes have no French label, so the English one stands" for c in english]
 
 
 def levels_of(df: DataFrame, column: str) -> list[str] | None:

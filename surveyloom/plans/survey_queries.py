@@ -403,6 +403,23 @@ def promoted_to_category(spark, sf_dir):
     return build.typed(_sized(spark, sf_dir), m)
 
 
+@_query("SELECT o_orderkey::VARCHAR AS ID, CASE WHEN o_custkey % 10 <> 9 AND o_custkey < 1400 THEN 'Customer ' || o_custkey END AS CUST FROM orders")
+def labels_joined(spark, sf_dir):
+    """LAB-01, JOIN-11: a list of 1,400 codes is joined as a table; padded keys are met."""
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("ID"), F.lpad(F.col("o_custkey").cast("string"), 6, "0").alias("CUST"))
+    m = Metadata((Variable("ID"), Variable("CUST", "Customer")), tuple(Code("CUST", str(k), f"Customer {k}" if k % 10 != 9 else None) for k in range(1400)))
+    return build.labelled(o, m)
+
+
+@_query("""SELECT name, value, row_number() OVER (PARTITION BY name ORDER BY value)::INT AS rank, count(*) OVER (PARTITION BY name) AS n FROM (
+  SELECT DISTINCT 'CUST' AS name, o_custkey::VARCHAR AS value FROM orders WHERE o_custkey >= 20 UNION SELECT DISTINCT 'STATUS', o_orderstatus FROM orders WHERE o_orderstatus <> 'F') QUALIFY rank <= 5""")
+def unmatched_counted(spark, sf_dir):
+    """LAB-01: of each column the first codes that the metadata lacks, and how many there are."""
+    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("CUST"), F.col("o_orderstatus").alias("STATUS"), "o_orderkey")
+    codes = (*(Code("CUST", str(k), None if k == 3 else f"c{k}") for k in range(20)), Code("STATUS", "F", "filled"))
+    return build.unmatched(o, Metadata((Variable("CUST"), Variable("STATUS")), codes))
+
+
 @_query("SELECT name, value FROM (SELECT DISTINCT 'SIZE' AS name, lpad(p_size::VARCHAR, 2, '0') AS value, p_size FROM part WHERE p_size NOT IN (48, 50)) ORDER BY value LIMIT 5")
 def unmatched_codes(spark, sf_dir):
     """LAB-01: the first values that no code has, for the warning."""

@@ -88,7 +88,8 @@ class Surveys:
         if not (at / "variables.csv").exists():
             e = self._entry(series, version, module)
             english = detect.read_text(Path(e.english_commands), e.metadata_encoding) if e.english_commands else None
-            write_metadata(detect.parse(str(self.folder(series, version)), e.layout_mask, e.metadata_encoding, english).upper(), str(at))
+            for told in write_metadata(detect.parse(str(self.folder(series, version)), e.layout_mask, e.metadata_encoding, english).upper(), str(at)):
+                warnings.warn(f"{series} {version}: {told}", stacklevel=2)
         return read_metadata(str(at))
 
     def _entry(self, series: str, version: str, module: str) -> Entry:
@@ -134,6 +135,8 @@ class Surveys:
             coded = build.typed(rows, m, e.fixups, None)
         coded.write.mode("overwrite").parquet(str(path))
         shutil.rmtree(f"{path}{NUMBERED}", ignore_errors=True)  # numbers of rows that were
+        for told in build.label_warnings(self.spark.read.parquet(str(path)), m, e.fixups):
+            warnings.warn(f"{series} {version}: {told}", stacklevel=2)
         return str(path)
 
     def _shipped_weights(self, root: str, e: Entry) -> DataFrame | None:
@@ -325,6 +328,8 @@ class Surveys:
         weight, id_col = named(weight), named(id_col or e.bsw_join_key)
         strata = [named(c) for c in (e.bsw_strata if strata is None else strata)]
         path = self._weights_path(t, weight)
+        if without := whole.filter(F.col(f"`{weight}`").isNull()).count():  # BSW-02
+            warnings.warn(f"{without} rows have no {weight}: their replicates are zero", stacklevel=2)
         if (size := whole.count() * replicates * 8) > MANY_BYTES:  # BSW-18
             warnings.warn(f"{replicates} replicates of {weight} take {size / 1e9:.1f} GB", stacklevel=2)
         stored = bootstrap.update_stored(path, whole, weight, id_col, strata, replicates, seed, overwrite).withColumn("weights", F.slice("weights", 1, replicates))

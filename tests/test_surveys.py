@@ -74,6 +74,41 @@ def test_replicates_of_a_table_without_an_id(surveys):
     assert rows.exists() and surveys.remove_bootstrap("S", "2020", "WT") == 1 and not rows.exists()
 
 
+def test_builds_tell_what_is_lost(surveys):
+    folder = surveys.folder("S", "2020")
+    with zipfile.ZipFile(folder / "data.zip", "a") as z:
+        z.writestr("x_vale.sps", CODES.replace('  24 "South"\n', '  11 "East"\n  12 "West"\n'))
+        z.writestr("x_valf.sps", CODES.replace('  24 "South"\n', ""))
+    with pytest.warns(UserWarning) as told:
+        surveys.open("S", "2020")
+    said = " | ".join(str(w.message) for w in told)
+    assert "REG: 1 values without a code become null: 24" in said and "REG: some codes have no French label" in said
+    with pytest.warns(UserWarning, match="rows have no"):
+        t = surveys.open("S", "2020")
+        whole = surveys.spark.read.parquet(surveys.table_path("S", "2020")).withColumn("WT", F.when(F.col("ID") != "003", F.col("WT")))
+        whole.write.parquet(f"{folder}/changed")
+        for old in (folder / "tables" / "main").iterdir():
+            old.unlink()
+        (folder / "tables" / "main").rmdir()
+        (folder / "changed").rename(folder / "tables" / "main")
+        assert all(not any(r.weights) for r in surveys.bootstrap_weights(t.with_df(surveys.open("S", "2020").df), "WT", replicates=2).df.filter("ID = '003'").collect())
+
+
+def test_long_lists_are_joined_like_short_ones(spark, monkeypatch):
+    from surveyloom.model import Code, Metadata, Variable
+    from surveyloom.plans import build
+
+    m = Metadata((Variable("A"), Variable("B")), tuple(Code(c, f"{k:02d}", None if k == 4 else f"label {k % 7}", "fr" if k % 3 else None) for c in "AB" for k in range(9)) + (Code("B", "x", "an x"),))
+    df = spark.createDataFrame([(f"{k}", f"0{k}", k) for k in range(12)] + [(None, "x", 1), (" 3 ", "", 2)], "A string, B string, key_ int")
+    short = {str(r) for r in build.labelled(df, m, None, "fra").collect()}
+    monkeypatch.setattr(build, "LONG", 3)
+    for chars in (8_000_000, 0):
+        monkeypatch.setattr(build, "BROADCAST_CHARS", chars)
+        out = build.labelled(df, m, None, "fra")
+        assert {str(r) for r in out.collect()} == short and out.count() == 14
+        assert build.levels_of(out, "A") == build.levels_of(build.labelled(df, m, None, "fra"), "A") and out.columns == df.columns
+
+
 def test_row_ids(spark):
     from surveyloom.operators.columns import with_row_id
 
