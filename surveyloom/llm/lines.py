@@ -257,10 +257,10 @@ def dedup_lines(docs: DataFrame, width: int = 8, least: float = 0.8) -> DataFram
     lines. Blank lines are no lines: they stay. A null text stays null and an
     empty one empty; a document whose lines all go is kept with its blank lines.
     Rows with equal doc_id and text are one document. Other columns stay as
-    they are; those named like the two new ones get ``_in`` at the end, and
-    underscores after it where that name is taken too.
+    they are; those named like the two new ones (or like a working column) get
+    ``_in`` at the end, and underscores after it where that name is taken too.
     """
-    doc, under, cut_out, whole = unused(docs.columns, "_doc", "_th", "_gone", "_lines")
+    doc, under, cut_out, whole = working = ("_doc", "_th", "_gone", "_lines")
     roots = settled(line_components(docs, width, least))
     places = _occurrences(docs).select("h1", "h2", "doc_id", "th", "pos", _place(F.col("doc_id"), F.col("th"), F.col("pos")).alias("place"))
     firsts = places.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count(F.lit(1)).alias("n"))
@@ -277,7 +277,7 @@ def dedup_lines(docs: DataFrame, width: int = 8, least: float = 0.8) -> DataFram
         .groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"))
         .select(F.col("doc_id").alias(doc), F.col("th").alias(under), F.col("gone").alias(cut_out))
     )
-    own = [c.lower() in ("n_lines", "n_dropped") for c in docs.columns]
+    own = [c.lower() in ("n_lines", "n_dropped", *working) for c in docs.columns]
     docs = docs.toDF(*[unused(docs.columns, f"{c}_in")[0] if new else c for c, new in zip(docs.columns, own)])
     on = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(under))
     lines = F.split(F.col("text").cast("string"), "\n", -1)

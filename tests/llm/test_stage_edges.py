@@ -55,13 +55,13 @@ def test_keep_one_is_the_plain_one(spark):
 
 def test_dedup_lines_keeps_clashing_columns(spark):
     rows = [(1, "a line that is here\nsecond\n\nsecond", 1), (2, "a line that is here\nthird", 2), (2, "a line that is here\nthird", 3), (3, None, 4), (4, "", 5), (None, "third\nnew", 6)]
-    names = ("n_lines", "n_lines_in", "N_dropped", "_doc", "_th", "_gone", "_lines", "pos", "line", "keep")
+    names = ("n_lines", "n_lines_in", "N_dropped", "_doc", "_doc_in", "_th", "_gone", "_lines", "pos", "line", "keep")
     df = with_clashes(spark.createDataFrame(rows, DOCS), *names)
     out = lines.dedup_lines(df)
-    assert out.columns == ["doc_id", "text", "extra", "n_lines_in_", "n_lines_in", "N_dropped_in", *names[3:], "n_lines", "n_dropped"]
+    assert out.columns == ["doc_id", "text", "extra", "n_lines_in_", "n_lines_in", "N_dropped_in", "_doc_in_", "_doc_in", "_th_in", "_gone_in", "_lines_in", *names[8:], "n_lines", "n_dropped"]
     # The first of equal lines stays: by doc_id, nulls first, then by place.
     got = {(r.doc_id, r.extra): (r.text, r.n_lines, r.n_dropped) for r in out.collect()}
     assert got == {
         (1, 1): ("a line that is here\nsecond\n", 4, 1), (2, 2): ("", 2, 2), (2, 3): ("", 2, 2), (3, 4): (None, 0, 0), (4, 5): ("", 1, 0), (None, 6): ("third\nnew", 2, 0),
     }
-    assert {r["_doc"] for r in out.collect()} == {"_doc"}
+    assert {(r["_doc_in_"], r["_doc_in"]) for r in out.collect()} == {("_doc", "_doc_in")}
