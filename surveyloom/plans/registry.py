@@ -115,8 +115,27 @@ THEMES = {
     "Cycle 35 (2020)": ("social identity",),
     "Cycle 36 (2022)": ("time use",),
 }
-CENSUS_TYPES = ("hierarchical", "household", "famil")
-CENSUS_NAMES = {"hierarchical": "hierarchical", "household": "households", "famil": "families"}
+# Kinds of census files, the one that is meant where none is named first,
+# and the area that needs no naming.
+CENSUS_KINDS, CENSUS_AREA = ("individuals", "households", "families", "hierarchical"), "prov"
+
+
+def _alike(a: str, b: str) -> bool:
+    """Whether two words are forms of one, such as family and families."""
+    return a[:5] == b[:5]
+
+
+def _census(words: tuple[str, ...], known: list[str]) -> str:
+    """The year's version that has all words asked for and the fewest others."""
+    year, *asked = words
+    kind = next((k for k in CENSUS_KINDS for w in asked if _alike(k, w)), CENSUS_KINDS[0])
+    of_year = {v: _words(v)[1:] for v in known if _words(v)[:1] == (year,)}
+    for wanted in ([kind, *asked], [kind]):
+        fits = [v for v, has in of_year.items() if all(any(_alike(w, h) for h in has) for w in wanted)]
+        if fits:
+            others = lambda v: sum(not any(_alike(h, w) for w in (*wanted, CENSUS_AREA)) for h in of_year[v])
+            return min(fits, key=lambda v: (others(v), CENSUS_AREA not in of_year[v]))
+    return f"{year} ({kind})"
 
 
 def _words(text: str) -> tuple[str, ...]:
@@ -140,11 +159,7 @@ def resolve_version(series: str, version: str, known: list[str]) -> str:
             return "1"
         return words[1] if len(words) == 2 and words[0] in ("cycle", "series", series.lower()) else version
     if series == "Census" and words and re.fullmatch(r"\d{4}", words[0]):
-        kind = next((CENSUS_NAMES[t] for t in CENSUS_TYPES if t in version.lower()), "individuals")
-        year = words[0]
-        order = [f"{year}/{kind}_cma"] if "cma" in version.lower() else []
-        order += [f"{year}/{kind}_prov", f"{year}/{kind}"]
-        return next((v for v in order if v in known), f"{year} ({kind})")
+        return _census(words, known)
     hits = []
     for v in known:
         if m := re.fullmatch(r"Cycle (\d+) \((\d{4})\)", v):

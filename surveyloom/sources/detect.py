@@ -10,6 +10,7 @@ from . import parsers
 from .merge import merged
 from .parsers.dictionaries import HEADER, NAMES
 
+# Marks of French files in names.
 FRENCH = re.compile(r"(?i)(^|[/_\-. ])(fra|fr|french|fran[cç]ais|f)([/_\-. ]|$)")
 #: Ends of stems that mark French files without a mark before them.
 FRENCH_END = re.compile(r"(?i)(fre|(spss|sas)f|dictionnaire|livredescodes)$")
@@ -48,19 +49,18 @@ def _by_language(texts: list[tuple[Path, str]], root: Path) -> dict[str, str]:
 
 
 def unique_file(directory: str, ending: str, mask: str | None = None) -> Path:
-    """PAR-22: the one command file or layout card that is meant: by its name, else of
-    those that match ``mask`` (all, without one) the only one, the only one that also
-    matches ``ending``, or the only one with mask and ending in a row."""
-    if mask and (by_name := Path(directory, mask)).is_file():
-        return by_name
-    found = sorted(p for p in Path(directory).glob("*") if p.suffix.lower() in (".sps", ".lay"))
-    narrower = [mask, ending, f"{mask}{ending if ending.startswith('_') else '_' + ending}"] if mask else [ending]
-    for pattern in narrower:
-        if len(found) > 1 or pattern is mask:
-            found = [p for p in found if re.search(pattern, p.name)]
-    if len(found) != 1:
-        raise FileNotFoundError(f"no layout file in {directory}" if not found else f"several layout files: {', '.join(p.name for p in found)}")
-    return found[0]
+    """PAR-22: the one command file or layout card that is meant. Names must match
+    ``mask``, if there is one; of several the one counts that no other equals in
+    having the ending, and then in having it right after the mask."""
+    found = {p.name: p for p in Path(directory).glob("*") if p.suffix.lower() in (".sps", ".lay")}
+    if mask in found:
+        return found[mask]
+    after = f"{mask or ''}{'' if ending.startswith('_') or not mask else '_'}{ending}"
+    score = {name: (bool(re.search(ending, name)), bool(re.search(after, name))) for name in found if not mask or re.search(mask, name)}
+    best = sorted(name for name, points in score.items() if points == max(score.values()))
+    if len(best) == 1:
+        return found[best[0]]
+    raise FileNotFoundError(f"{'several layout files: ' + ', '.join(best) if best else 'no layout file'} in {directory}")
 
 
 def detect(directory: str, mask: str | None = None, encoding: str = "CP1252") -> dict[str, dict[str, str]]:

@@ -65,14 +65,3 @@ def lfs_kind(path: str) -> str:
     can be a month, else unknown."""
     m = re.search(r"(\d{2})", Path(path).name)
     return "unknown" if not m else "annual" if int(m[1]) > 12 else "monthly"
-
-
-def unique_layout_file(directory: str, suffix: str, mask: str | None = None) -> str:
-    """PAR-22: the one file whose stem ends in ``suffix``; if several do, the one that
-    matches the mask as well. None or several left is an error."""
-    found = [p for p in sorted(Path(directory).rglob("*")) if p.is_file() and p.stem.lower().endswith(suffix.lower())]
-    if len(found) > 1 and mask:
-        found = [p for p in found if re.search(mask, p.name, re.I)]
-    if len(found) != 1:
-        raise FileNotFoundError(f"{len(found)} files end in {suffix} in {directory}")
-    return str(found[0])
