@@ -204,3 +204,10 @@ def test_conflicts_are_told():
     one, other = (Metadata((), (Code("A", "1", x),)) for x in ("x", "y"))
     with pytest.warns(UserWarning, match="A 1"):
         assert merged({"cpss_csv": other, "spss_mono": one}).codes[0].label_en == "x"
+
+
+def test_page_lines_are_whole_lines():
+    from surveyloom.sources.parsers.dictionaries import _page_line
+
+    assert all(map(_page_line, ("page 3 - 4", "page 3-4", "public use microdata file", "totals may not add up due to rounding", "a survey - data dictionary")))
+    assert not any(map(_page_line, ("page 2 of the form", "public use microdata file identifier", "page", "data dictionary of terms", "")))
