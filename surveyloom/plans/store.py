@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 VERSION = re.compile(r"^(\d{4})(?:-(\d{2}))?$")
-#: Annual versions that are broadcast at most.
-MOST_YEARS = 10_000
 #: Types that a column can widen to, in order.
 WIDER = ("boolean", "int", "bigint", "double", "string")
 
@@ -217,7 +215,7 @@ class Store:
 def superseded(rows: DataFrame, versions: DataFrame) -> DataFrame:
     """LFS-04 in DataFrame form: rows (version, year, month, ...) without the months
     of years for which ``versions`` has an annual one."""
-    annual = versions.filter(F.length("version") == 4).select(F.col("version").cast("int").alias("year"), F.col("version").alias("_annual")).distinct()
-    # At most one a year, but counted all the same; years are few and so hot as keys.
-    marked = rows.join(F.broadcast(annual) if annual.count() <= MOST_YEARS else annual, "year", "left")
+    annual = versions.filter(F.col("version").rlike("^[0-9]{4}$")).select(F.col("version").cast("int").alias("year"), F.col("version").alias("_annual")).distinct()
+    # Different texts of four digits are 10,000 at most, so these may be broadcast; years are hot as keys.
+    marked = rows.join(F.broadcast(annual), "year", "left")
     return marked.filter(F.col("_annual").isNull() | (F.col("version") == F.col("_annual"))).drop("_annual")
