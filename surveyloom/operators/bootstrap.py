@@ -41,6 +41,12 @@ def _stratum(columns: Sequence[str]) -> Column:
     return F.concat_ws("\u0001", *parts) if parts else F.lit("")
 
 
+def _met(one: DataFrame, other: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join of two sides with a row a row of the table. Their arrays are much larger than
+    Spark's estimate, which knows the file alone, so neither may be broadcast."""
+    return one.join(other.hint("merge"), on, how)
+
+
 def _number(text: Column, digits: int) -> Column:
     """The first hexadecimal digits of a text's md5 as a number."""
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10).cast("long")
@@ -97,8 +103,8 @@ def drawn(df: DataFrame, id_col: str, strata: Sequence[str], first: int, last: i
     held = rows.groupBy("stratum", block).agg(F.array_sort(F.collect_list(F.struct("place", "id", "value"))).alias("rows"))
     begin = (F.col("low") - F.shiftleft(F.shiftright("low", BLOCK_BITS), BLOCK_BITS) + 1).cast("int")
     size = F.call_function("shiftleft", F.lit(1), F.col("bits"))
-    met = _blocks(df, strata, first, last, seed).withColumn("block", F.shiftright("low", BLOCK_BITS)).join(held, ["stratum", "block"])
-    met = met.select("stratum", "h", "low", "bits", "c", F.slice("rows", begin, size).alias("rows"))
+    met = _blocks(df, strata, first, last, seed).withColumn("block", F.shiftright("low", BLOCK_BITS))
+    met = _met(met, held, ["stratum", "block"]).select("stratum", "h", "low", "bits", "c", F.slice("rows", begin, size).alias("rows"))
     kind = df.schema[id_col].dataType.simpleString()
     return met.mapInArrow(to_rows(first), f"id {kind}, stratum string, value double, draws array<int>")
 
@@ -123,7 +129,7 @@ def stale_strata(stored: DataFrame, df: DataFrame, id_col: str, strata: Sequence
     """(stratum) of the strata whose ids are no longer those of the stored replicates."""
     now = df.select(F.col(id_col).alias("id"), _stratum(strata).alias("stratum"))
     was = stored.select("id", "stratum")
-    gone, new = was.join(now, ["id", "stratum"], "left_anti"), now.join(was, ["id", "stratum"], "left_anti")
+    gone, new = _met(was, now, ["id", "stratum"], "left_anti"), _met(now, was, ["id", "stratum"], "left_anti")
     return gone.unionByName(new).select("stratum").distinct()
 
 
@@ -180,17 +186,17 @@ def extended(stored: DataFrame, df: DataFrame, weight: str, id_col: str, strata:
     anew (without strata, all); others keep theirs and get the missing ones.
     """
     have = stored.select(F.max(F.size("weights"))).first()[0] or 0
-    stale = stale_strata(stored, df, id_col, strata)
-    kept = stored.join(stale, "stratum", "left_anti")
+    stale = kept(stale_strata(stored, df, id_col, strata), "stale")
+    old = stored.join(stale, "stratum", "left_anti")
     if replicates <= have:
-        kept = kept.withColumn("weights", F.slice("weights", 1, replicates))
+        old = old.withColumn("weights", F.slice("weights", 1, replicates))
     base = df.withColumn("_stratum", _stratum(strata))
     again = base.join(stale.withColumnRenamed("stratum", "_stratum"), "_stratum", "left_semi").drop("_stratum")
     made = replicate_weights(again, weight, id_col, strata, replicates, seed)
     if replicates > have:
         more = replicate_weights(df, weight, id_col, strata, replicates - have, seed, first=have + 1)
-        kept = kept.join(more.select("id", F.col("weights").alias("_more")), "id").select("id", "stratum", F.concat("weights", "_more").alias("weights"))
-    return kept.unionByName(made)
+        old = _met(old, more.select("id", F.col("weights").alias("_more")), ["id"]).select("id", "stratum", F.concat("weights", "_more").alias("weights"))
+    return old.unionByName(made)
 
 
 def wide(replicated: DataFrame, replicates: int, prefix: str = "CPBSW") -> DataFrame:
@@ -200,7 +206,7 @@ def wide(replicated: DataFrame, replicates: int, prefix: str = "CPBSW") -> DataF
 
 def attach(df: DataFrame, replicated: DataFrame, id_col: str) -> DataFrame:
     """JOIN-02: the table with its replicate weights; rows without are left out."""
-    return df.join(replicated.select(F.col("id").alias(id_col), "weights"), id_col)
+    return _met(df, replicated.select(F.col("id").alias(id_col), "weights"), [id_col])
 
 
 def table_name(weight: str) -> str:

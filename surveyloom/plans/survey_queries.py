@@ -20,7 +20,7 @@ from ..sources.parsers import parse_cards, parse_codebook, parse_cpss, parse_dic
 from ..sources.parsers.common import missing_items
 from ..sources.parsers.sas import at_layout
 from ..sources.parsers.spss import formats, value_labels, variable_labels
-from ..sources.shared import put_text, shared_folder
+from ..sources.shared import kept, put_text, shared_folder
 from . import build, catalogue, store
 from .queries import _query, _t
 from .registry import Entry, Registry, resolve_version
@@ -523,9 +523,9 @@ def bootstrap_null_weight(spark, sf_dir):
 def bootstrap_fewer(spark, sf_dir):
     """BSW-06: fewer replicates than stored are the first of them."""
     o = _t(spark, sf_dir, "orders")
-    have = bootstrap.replicate_weights(o, "o_totalprice", "o_orderkey", ["o_orderstatus"], 6)
+    have = kept(bootstrap.replicate_weights(o, "o_totalprice", "o_orderkey", ["o_orderstatus"], 6), "replicates")
     now = bootstrap.extended(have, o, "o_totalprice", "o_orderkey", ["o_orderstatus"], 4, seed=9)
-    both = now.join(have.withColumnRenamed("weights", "old"), "id")
+    both = now.join(have.withColumnRenamed("weights", "old").hint("merge"), "id")
     return both.select("id", (F.col("weights") == F.slice("old", 1, 4)).alias("kept"))
 
 
@@ -557,10 +557,10 @@ def bootstrap_stored_strata(spark, sf_dir):
 def bootstrap_extends_columns(spark, sf_dir):
     """BSW-07: more replicates keep the first ones, and are those that one run makes."""
     o = _t(spark, sf_dir, "orders")
-    have = bootstrap.replicate_weights(o, "o_totalprice", "o_orderkey", ["o_orderstatus"], 3)
+    have = kept(bootstrap.replicate_weights(o, "o_totalprice", "o_orderkey", ["o_orderstatus"], 3), "replicates")
     now = bootstrap.extended(have, o, "o_totalprice", "o_orderkey", ["o_orderstatus"], 40)
     whole = bootstrap.replicate_weights(o, "o_totalprice", "o_orderkey", ["o_orderstatus"], 40)
-    return now.join(whole.select("id", F.col("weights").alias("w")), "id").select("id", (F.col("weights") == F.col("w")).alias("same"))
+    return now.join(whole.select("id", F.col("weights").alias("w")).hint("merge"), "id").select("id", (F.col("weights") == F.col("w")).alias("same"))
 
 
 # -- store and versions ------------------------------------------------------------------
