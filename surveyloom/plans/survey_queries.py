@@ -529,16 +529,17 @@ def bootstrap_fewer(spark, sf_dir):
     return both.select("id", (F.col("weights") == F.slice("old", 1, 4)).alias("kept"))
 
 
-@_query("SELECT o_orderstatus AS stratum, count(*)::BIGINT AS n, o_orderstatus <> 'P' AS kept FROM orders GROUP BY o_orderstatus")
+@_query("SELECT o_orderkey AS id, o_orderstatus <> 'P' AS kept FROM orders WHERE o_orderstatus <> 'P' OR o_orderkey IS NOT NULL")
 def bootstrap_affected_strata(spark, sf_dir):
-    """BSW-09: new rows of a stratum renew it alone; the others keep their replicates."""
+    """BSW-09: new rows of a stratum renew it alone; the others keep their replicates. Each
+    row tells whether all weights of its stratum are the old ones."""
     o = _t(spark, sf_dir, "orders")
     least = o.filter("o_orderstatus = 'P'").agg(F.min("o_orderkey")).first()[0]
-    have = bootstrap.replicate_weights(o.filter(F.col("o_orderkey") != F.lit(least)), "o_totalprice", "o_orderkey", ["o_orderstatus"], 4, seed=3)
-    now = bootstrap.extended(have, o, "o_totalprice", "o_orderkey", ["o_orderstatus"], 4, seed=4)
-    both = now.join(have.select("id", F.col("weights").alias("old")), "id", "left")
-    same = F.col("weights").eqNullSafe(F.col("old"))
-    return both.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.min(same).alias("kept"))
+    have = kept(bootstrap.replicate_weights(o.filter(F.col("o_orderkey") != F.lit(least)), "o_totalprice", "o_orderkey", ["o_orderstatus"], 4, seed=3), "replicates")
+    now = kept(bootstrap.extended(have, o, "o_totalprice", "o_orderkey", ["o_orderstatus"], 4, seed=4), "replicates")
+    both = now.join(have.select("id", F.col("weights").alias("old")).hint("merge"), "id", "left")
+    same = both.groupBy("stratum").agg(F.min(F.col("weights").eqNullSafe(F.col("old"))).alias("kept"))
+    return now.join(same, "stratum").select("id", "kept")
 
 
 @_query("SELECT o_orderstatus AS stratum, count(*)::BIGINT AS n, o_orderstatus <> 'P' AS untouched FROM orders GROUP BY o_orderstatus")
