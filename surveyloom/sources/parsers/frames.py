@@ -17,6 +17,9 @@ from ...functions import convert
 from ..shared import kept
 
 SECTION = r"(?i)^\s*(DATA\s+LIST|FORMATS|VARIABLE\s+LABELS|VALUE\s+LABELS|MISSING\s+VALUES|EXECUTE|SAVE|GET|RECODE|COMPUTE|SET)\b"
+#: The same within a line, and what a line can begin or end with.
+COMMAND = SECTION.removeprefix("(?i)^").replace(r"\s", r"[ \x0B\f]")
+BLANKS = " \x0b\x0c\x85\u2028\u2029"
 QUOTED = r"""("[^"]*"|'(?:[^'\n]|'')*+')"""
 TOKEN = QUOTED[:-1] + r"""|/|[^\s/"']+)"""
 NAME = r"[A-Za-z_@#$][\w.@#$]*"
@@ -25,6 +28,8 @@ PLACE = rf"({NAME})\s+(\d+)(?:\s*-\s*(\d+))?(?:\s*\(([^)]*)\))?"
 FORMAT = r"([A-Za-z_][\w\s.@#$]*?)\s*\(\s*([A-Za-z]+)\d*(?:\.(\d+))?\s*\)"
 MISSING = r"([A-Za-z_][\w\s.,/]*?)\s*\(\s*([-+.\deE]+)(\s+THRU)?\s*([-+.\deE]*)[^)]*\)"
 
+#: Bytes of sections that one task parses.
+PART_BYTES = 4_000_000
 #: What the parts of a split survey are, in the order they are read in.
 ENGLISH_ROLES, FRENCH_ROLES = ("layout", "labels_en", "codes_en", "missing"), ("labels_fr", "codes_fr")
 
@@ -69,28 +74,47 @@ def _first(rows: DataFrame, keys: list[str], values: list[str], order: list[str]
     return rows.groupBy(*keys).agg(F.min(F.struct(F.struct(*order).alias("ord"), *values)).alias("first")).select(*keys, *[f"first.{c}" for c in values], "first.ord")
 
 
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once; plain reuse would copy its tree."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _runs(rows: Column, starts: Column) -> Column:
+    """An array cut before each of the places ``starts`` (from 0, in order); what comes
+    before the first place is left out."""
+    end = lambda i: F.coalesce(F.get(starts, i + 1), F.size(rows))
+    return F.transform(starts, lambda at, i: F.slice(rows, at + 1, end(i) - at))
+
+
+def _places(rows: Column, told) -> Column:
+    """The places (from 0) of the entries of which ``told`` (entry, place) is true."""
+    return F.filter(F.transform(rows, lambda x, i: F.when(told(x, i), i)), lambda i: i.isNotNull())
+
+
 def sections(texts: DataFrame) -> DataFrame:
     """(survey, lang, k, section, body) of texts (survey, lang, part, text): PAR-03, PAR-10.
 
     Parts of a survey and language are read one after another. Tabs are spaces,
     strings continued by + are joined, comment lines go; a command ends with the
-    first line that ends in a full stop outside quotes.
+    first line that ends in a full stop outside quotes. A survey's text stays in
+    one row until it is cut before each command; patterns see few of its lines.
     """
     text = F.translate("text", "\t\r\x1a", " ")
     text = F.regexp_replace(text, r"""(['"]) *\+\s*(['"])""", "")
-    lines = texts.select("survey", "lang", "part", F.posexplode(F.split(text, "\n")).alias("ord", "line"))
-    lines = lines.filter(~F.col("line").rlike(COMMENT) | F.col("line").rlike(NO_COMMENT))
-    named = F.nullif(F.upper(F.regexp_replace(F.regexp_extract("line", SECTION, 1), r"\s+", " ")), F.lit(""))
-    rest = F.regexp_replace("line", SECTION, "")
-    ends = F.regexp_replace(rest, QUOTED, "x").rlike(r"\.\s*$")
-    upto = Window.partitionBy("survey", "lang").orderBy("part", "ord").rowsBetween(Window.unboundedPreceding, 0)
-    begun = lines.select("*", named.alias("named"), rest.alias("rest"), ends.alias("ends"))
-    begun = begun.withColumns({"section": F.last("named", ignorenulls=True).over(upto), "k": F.count("named").over(upto)}).filter("k > 0")
-    before = Window.partitionBy("survey", "lang", "k").orderBy("part", "ord").rowsBetween(Window.unboundedPreceding, -1)
-    kept = begun.withColumn("over", F.coalesce(F.max("ends").over(before), F.lit(False))).filter("NOT over")
-    own = F.when(F.col("ends"), F.regexp_replace("rest", r"\s*\.\s*$", "")).otherwise(F.col("rest"))
-    gathered = kept.groupBy("survey", "lang", "k", "section").agg(F.array_sort(F.collect_list(F.struct("part", "ord", own.alias("own")))).alias("lines"))
-    return gathered.select("survey", "lang", "k", "section", F.array_join(F.col("lines")["own"], "\n").alias("body"))
+    may_be_comment = lambda x: F.substring(F.ltrim(x, F.lit(BLANKS)), 1, 1).isin("/", "*", "C", "c")
+    lines = F.filter(F.split(text, "\n"), lambda x: ~(may_be_comment(x) & x.rlike(COMMENT)) | x.rlike(NO_COMMENT))
+    read = texts.filter("text IS NOT NULL").select("survey", "lang", "part", lines.alias("lines"))
+    whole = read.groupBy("survey", "lang").agg(F.array_join(F.flatten(F.array_sort(F.collect_list(F.struct("part", "lines")))["lines"]), "\n").alias("text"))
+    each = whole.select("survey", "lang", F.posexplode(F.split(F.concat("text", F.lit("\n")), f"(?dim)(?=^{COMMAND})")).alias("k", "text")).filter(F.col("text").rlike(f"(?i)^{COMMAND}"))
+    named = F.upper(F.regexp_replace(F.regexp_extract("text", SECTION, 1), r"\s+", " "))
+    # Each chunk ends with a line end.
+    rest = F.split(F.regexp_replace(F.regexp_replace("text", r"\n\z", ""), SECTION, ""), "\n")
+    each = each.select("survey", "lang", F.col("k").cast("long").alias("k"), named.alias("section"), rest.alias("rest"))
+    may_end = lambda x: F.endswith(F.rtrim(x, F.lit(BLANKS)), F.lit("."))
+    ends = F.transform("rest", lambda x: may_end(x) & F.regexp_replace(x, QUOTED, "x").rlike(r"\.\s*$"))
+    each = each.withColumn("last", F.array_position(ends, True).cast("int"))
+    own = F.when(F.col("last") > 0, F.concat(F.slice("rest", F.lit(1), F.greatest(F.col("last") - 1, F.lit(0))), F.array(F.regexp_replace(F.get("rest", F.col("last") - 1), r"\s*\.\s*$", "")))).otherwise(F.col("rest"))
+    return each.select("survey", "lang", "k", "section", F.array_join(own, "\n").alias("body"))
 
 
 def variable_labels(parts: DataFrame) -> DataFrame:
@@ -113,25 +137,25 @@ def value_labels(parts: DataFrame) -> DataFrame:
     a group's codes, and every name of a group has all of its codes.
     """
     tokens = F.regexp_extract_all("body", F.lit(TOKEN), F.lit(1))
-    rows = parts.filter("section = 'VALUE LABELS'").select("survey", "lang", "k", F.posexplode(tokens).alias("at", "token"))
-    rows = rows.withColumn("quoted", _is_quoted(F.col("token")))
-    by = Window.partitionBy("survey", "lang", "k")
-    rows = rows.withColumn("w", F.sum((~F.col("quoted")).cast("int")).over(by.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))).filter("w > 0")
-    strings = F.array_sort(F.collect_list(F.when(F.col("quoted"), F.struct("at", "token"))))["token"]
-    items = rows.groupBy("survey", "lang", "k", "w").agg(F.max(F.when(~F.col("quoted"), F.col("token"))).alias("word"), strings.alias("strings"))
-    odd = F.size("strings") % 2 == 1
-    every = F.when(odd, F.concat(F.array("word"), F.col("strings"))).otherwise(F.col("strings"))
-    items = items.withColumns({"every": every, "is_name": ~odd & F.col("word").rlike("^[A-Za-z_@#$]"), "is_slash": F.col("word") == "/"})
-    half = F.filter(F.transform("every", lambda x, i: F.when(i % 2 == 0, F.struct(x.alias("val"), F.get(F.col("every"), i + 1).alias("label")))), lambda p: p.isNotNull())
-    items = items.withColumn("pairs", half).filter("is_name OR is_slash OR size(pairs) > 0")
-    after = F.coalesce(F.lag(F.size("pairs") > 0).over(by.orderBy("w")), F.lit(False))
-    items = items.withColumn("starts", (F.col("is_slash") | F.col("is_name") & after).cast("int"))
-    items = items.withColumn("g", F.sum("starts").over(by.orderBy("w").rowsBetween(Window.unboundedPreceding, 0)))
-    name = F.upper(F.regexp_replace("word", "^,+|,+$", ""))
-    groups = items.groupBy("survey", "lang", "k", "g").agg(
-        F.array_sort(F.collect_list(F.when(F.col("is_name"), F.struct("w", name.alias("name")))))["name"].alias("names"), F.array_sort(F.collect_list(F.struct("w", "pairs")))["pairs"].alias("pairs")
-    )
-    each = groups.select("survey", "lang", "k", "g", F.explode("names").alias("name"), F.flatten("pairs").alias("pairs"))
+    rows = parts.filter("section = 'VALUE LABELS'").select("survey", "lang", "k", tokens.alias("tokens"))
+    rows = rows.select("survey", "lang", "k", "tokens", _places(F.col("tokens"), lambda x, i: ~_is_quoted(x)).alias("starts"))
+    pairs = lambda every: F.transform(F.sequence(F.lit(1), F.size(every), F.lit(2)), lambda i: F.struct(F.get(every, i - 1).alias("val"), F.get(every, i).alias("label")))
+
+    def item(run: Column) -> Column:
+        word, odd = F.get(run, 0), F.size(run) % 2 == 0
+        every = F.when(odd, run).otherwise(F.slice(run, F.lit(2), F.size(run)))
+        return F.struct(
+            word.alias("word"), (~odd & word.rlike("^[A-Za-z_@#$]")).alias("is_name"), (word == "/").alias("is_slash"),
+            _let(every, lambda e: F.when(F.size(e) > 0, pairs(e)).otherwise(F.array().cast("array<struct<val:string,label:string>>"))).alias("pairs"),
+        )
+
+    items = rows.select("survey", "lang", "k", F.transform(_runs(F.col("tokens"), F.col("starts")), item).alias("items"))
+    items = items.select("survey", "lang", "k", F.filter("items", lambda x: x["is_name"] | x["is_slash"] | (F.size(x["pairs"]) > 0)).alias("items"))
+    begins = lambda x, i: (i == 0) | x["is_slash"] | x["is_name"] & F.coalesce(F.size(F.get(F.col("items"), i - 1)["pairs"]) > 0, F.lit(False))
+    items = items.select("survey", "lang", "k", "items", _places(F.col("items"), begins).alias("starts"))
+    groups = items.select("survey", "lang", "k", F.posexplode(_runs(F.col("items"), F.col("starts"))).alias("g", "run"))
+    names = F.transform(F.filter("run", lambda x: x["is_name"]), lambda x: F.upper(F.regexp_replace(x["word"], "^,+|,+$", "")))
+    each = groups.select("survey", "lang", "k", "g", F.explode(names).alias("name"), F.flatten(F.transform("run", lambda x: x["pairs"])).alias("pairs"))
     each = each.select("survey", "lang", "k", "g", "name", F.posexplode("pairs").alias("at", "p"))
     value = F.when(_is_quoted(F.col("p.val")), F.trim(_unquoted(F.col("p.val")))).otherwise(_plain(F.rtrim(F.col("p.val"), F.lit("."))))
     each = each.select("survey", "lang", "k", "g", "at", "name", value.alias("val"), _filled(_unquoted(F.col("p.label"))).alias("label"))
@@ -182,12 +206,19 @@ def missing(parts: DataFrame) -> DataFrame:
     return _first(rows.withColumn("name", F.upper("name")), ["survey", "lang", "name"], ["low", "high"], ["k", "at"]).drop("ord")
 
 
+def _sentinel(label: str) -> tuple[Column, Column, Column]:
+    """Over a variable's codes: do all labels mean missing or none, and the least and most
+    code of those that mean missing."""
+    text = F.coalesce(F.col(label), F.lit(""))
+    number = F.when(convert.missing_label(text) & F.trim("val").rlike(convert.NUMBER), F.trim("val").try_cast("double"))
+    return F.min(convert.sentinel_label(text)), F.min(number), F.max(number)
+
+
 def sentinels(codes: DataFrame, label: str = "label_en") -> DataFrame:
     """(survey, name, low, high) of variables whose labels all mean missing or none, with
     the range of the codes that mean missing (SEN-01)."""
-    text = F.coalesce(F.col(label), F.lit(""))
-    number = F.when(convert.missing_label(text) & F.trim("val").rlike(convert.NUMBER), F.trim("val").try_cast("double"))
-    found = codes.groupBy("survey", "name").agg(F.min(convert.sentinel_label(text)).alias("every"), F.min(number).alias("low"), F.max(number).alias("high"))
+    every, low, high = _sentinel(label)
+    found = codes.groupBy("survey", "name").agg(every.alias("every"), low.alias("low"), high.alias("high"))
     return found.filter("every").select("survey", "name", "low", "high")
 
 
@@ -201,11 +232,17 @@ def command_files(texts: DataFrame) -> Parsed:
     files gives no rows.
     """
     parts = kept(sections(texts), "sections")  # read several times
+    # Dealt by survey once, in as many partitions as the texts need: Spark would put them
+    # together by their size in a shuffle, where such rows shrink to a fiftieth.
+    n = 1 + (parts.agg(F.sum(F.octet_length("body"))).first()[0] or 0) // PART_BYTES
+    parts = parts.repartition(n, "survey")
     english, french = parts.filter("lang = 'eng'"), parts.filter("lang = 'fra'")
-    fr_codes = value_labels(french).select("survey", "name", "val", F.col("label").alias("label_fr"))
-    codes = kept(value_labels(english).withColumnRenamed("label", "label_en").join(fr_codes, ["survey", "name", "val"], "left"), "codes")
-    ranges = sentinels(codes)
-    codes = codes.join(ranges, ["survey", "name"], "left_anti").select("survey", "ord", "name", "val", "label_en", "label_fr")
+    of = lambda lang, column: F.max(F.when(F.col("lang") == lang, F.col(column)))
+    met = value_labels(parts).groupBy("survey", "name", "val").agg(of("eng", "ord").alias("ord"), of("eng", "label").alias("label_en"), of("fra", "label").alias("label_fr")).filter("ord IS NOT NULL")
+    every, low, high = (c.over(Window.partitionBy("survey", "name")) for c in _sentinel("label_en"))
+    codes = kept(met.withColumns({"every": every, "low": low, "high": high}), "codes")
+    ranges = codes.filter("every").groupBy("survey", "name").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    codes = codes.filter("NOT every").select("survey", "ord", "name", "val", "label_en", "label_fr")
 
     # What is told of a name, one row each, met by one grouping.
     labelled = variable_labels(english).select("survey", "name", F.lit(0).alias("o1"), F.col("ord.k").cast("int").alias("o2"), F.col("ord.at").alias("o3"), F.col("label").alias("label_en"))
@@ -218,7 +255,7 @@ def command_files(texts: DataFrame) -> Parsed:
     told = facts[0]
     for more in facts[1:]:
         told = told.unionByName(more, allowMissingColumns=True)
-    known = told.groupBy("survey", "name").agg(
+    known = told.repartition(n, "survey").groupBy("survey", "name").agg(
         F.min(F.when(F.col("o1").isNotNull(), F.struct("o1", "o2", "o3"))).alias("ord"),
         *[F.max(c).alias(c) for c in ("label_en", "label_fr", "letter", "decimals", "low", "high", "ranged", "s_low", "s_high", "sentinel", "coded", "in_layout")],
     ).filter("ord IS NOT NULL")
