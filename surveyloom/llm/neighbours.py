@@ -61,10 +61,14 @@ def _raised(x: np.ndarray, largest: float) -> np.ndarray:
     return np.concatenate([x, np.sqrt(rest)[:, None]], axis=1)
 
 
-def grow(points: np.ndarray, trees: int, leaf: float, seed: int) -> tuple[int, list[Tree]]:
+def grow(points: np.ndarray, trees: int, leaf: float, seed: int, most: int = FOREST_BYTES) -> tuple[int, list[Tree]]:
+    """Trees down to leaves of about ``leaf`` points, or as deep as ``most`` bytes of
+    normals let them be; leaves of fewer levels hold more."""
     rng = np.random.default_rng(seed)
-    depth = max(0, int(np.ceil(np.log2(max(1, len(points)) / leaf))))
-    nodes, dims = 2**depth - 1, points.shape[1]
+    dims = points.shape[1]
+    fits = int(np.log2(most // (trees * dims * 8) + 1))
+    depth = min(max(0, int(np.ceil(np.log2(max(1, len(points)) / leaf)))), fits)
+    nodes = 2**depth - 1
     out = []
     for _ in range(trees):
         normals, offsets = np.zeros((nodes, dims)), np.zeros(nodes)
@@ -120,7 +124,8 @@ def search(forest: Forest, q: np.ndarray, enough: int) -> list[int]:
 def fit(rows: DataFrame, dims: int, trees: int = 32, leaf: int = 64, sample: int = SAMPLE, seed: int = 11) -> Forest:
     """A forest on about ``sample`` vectors, those of ids under a threshold by hash; leaf
     sizes count every vector of the table. Leaves hold about ``leaf`` vectors of
-    the whole table, or two of the sample if that is more."""
+    the whole table, or two of the sample if that is more, or as many as leave the
+    forest in FOREST_BYTES, whatever the dimensions."""
     ship(rows.sparkSession)
     total, largest = rows.agg(F.count(F.lit(1)), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
     largest = float(np.sqrt(largest or 0.0))
