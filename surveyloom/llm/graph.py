@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, meet
+from .common import cut, meet, merged
 
 
 #: Edges a partition, so that a small graph doesn't leave thousands of small files.
@@ -27,14 +27,14 @@ def _large_star(edges: DataFrame, total: int, parts: int) -> DataFrame:
         least = cut(least)
         moved = meet(both.filter("v > u"), least, "u", 2 * total)
     else:
-        moved = both.filter("v > u").join(least.drop("n"), "u")
+        moved = merged(both.filter("v > u"), least.drop("n"), "u")
     return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts).distinct().coalesce(parts)
 
 
 def _small_star(edges: DataFrame, parts: int) -> DataFrame:
     """A node's smaller neighbours and itself go to the least of them; u > v."""
     least = _least(edges).drop("n")
-    moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = merged(edges, least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(least.select("u", F.col("m").alias("v"))).coalesce(parts).distinct()
 
 

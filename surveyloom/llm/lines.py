@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, meet, settled, unused, written
+from .common import cut, meet, merged, settled, unused, written
 from .graph import components
 
 BANDS, ROWS = 7, 4
@@ -112,8 +112,8 @@ def _pair_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     broadcast, if such lines are short enough in all, and meets them where they are."""
     often = settled(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
     total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    firsts = cut(texts.withColumnRenamed("line", "la").join(often.withColumnRenamed("a", "lid"), "lid").withColumnRenamed("lid", "a"))
-    return meet(pairs, firsts, "a", total, size="la").coalesce(1 + total // 5000).join(texts.toDF("b", "lb"), "b")
+    firsts = cut(merged(texts.withColumnRenamed("line", "la"), often.withColumnRenamed("a", "lid"), "lid").withColumnRenamed("lid", "a"))
+    return merged(meet(pairs, firsts, "a", total, size="la").coalesce(1 + total // 5000), texts.toDF("b", "lb"), "b")
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -149,7 +149,7 @@ def _rounds(members: DataFrame, texts: DataFrame, width: int, least: float) -> t
         links = found if links is None else settled(links.unionAll(found))
         first = first if first is not None else (told, against)
         unlike = told.filter(~_alike(least)).select(F.col("a").alias("rep"), F.col("b").alias("lid"))
-        members = settled(against.join(unlike, ["rep", "lid"]).select("key", "lid", "central"))
+        members = settled(merged(against, unlike, ["rep", "lid"]).select("key", "lid", "central"))
     return links, first, members
 
 
@@ -168,9 +168,9 @@ def _apart(told: DataFrame, against: DataFrame, texts: DataFrame, roots: DataFra
     grows with m; y is looked up by classes of sizes. Where alpha <= i the sizes
     alone tell the pairs.
     """
-    named = told.join(roots.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+    named = merged(told, roots.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
     named = named.withColumn("off", ~_alike(least)).withColumn("far", 1 - F.col("inner") / (F.col("na") + F.col("nb") - F.col("inner")))
-    placed = settled(against.select("key", F.col("rep").alias("a"), F.col("lid").alias("b")).join(settled(named), ["a", "b"]))
+    placed = settled(merged(against.select("key", F.col("rep").alias("a"), F.col("lid").alias("b")), settled(named), ["a", "b"]))
     # Jaccard distance is a metric: y can't be near x if x is much farther from T.
     keys = placed.groupBy("key").agg(
         F.min(F.when(F.col("off"), F.col("far"))).alias("nearest"), F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")
@@ -187,7 +187,7 @@ def _apart(told: DataFrame, against: DataFrame, texts: DataFrame, roots: DataFra
     gained = _let(both, lambda s: F.array_except(s["b"], s["a"]))
     gains = written(_pair_texts(asked.select("a", "b").distinct(), texts).select("a", "b", gained.alias("gains")), "line-gains")
     # A gain of one band's lines, by a hash: should two meet, more pairs are compared.
-    tokens = asked.join(gains, ["a", "b"]).select("member", "root", "key", F.explode("gains").alias("gain"))
+    tokens = merged(asked, gains, ["a", "b"]).select("member", "root", "key", F.explode("gains").alias("gain"))
     tokens = written(tokens.select("member", "root", F.xxhash64("key", "gain").alias("token")), "line-tokens")
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     shared = settled(shared.select("token", "n", F.col("n").alias("often")))
@@ -206,18 +206,18 @@ def _apart(told: DataFrame, against: DataFrame, texts: DataFrame, roots: DataFra
     mine = Window.partitionBy("member")
     ranked = live.withColumn("place", F.row_number().over(mine.orderBy("often", "token"))).withColumn("alive", F.count(F.lit(1)).over(mine))
     facts = asked.select("member", "class", "root", "n", "i", F.col("b").alias("line"))
-    probes = by_class(ranked.join(facts, "member"), F.col("n"), F.col("i")).filter("place <= alive - greatest(lacks, 1) + 1")
+    probes = by_class(merged(ranked, facts, "member"), F.col("n"), F.col("i")).filter("place <= alive - greatest(lacks, 1) + 1")
     parts = 1 + total // 50_000
     probes = probes.coalesce(parts).select("token", F.col("with").alias("class"), F.col("line").alias("x"), F.col("root").alias("rx"), F.col("i").alias("ix"))
-    y = live.select("member", "token").join(facts, "member").coalesce(parts).select("token", "class", F.col("line").alias("y"), F.col("root").alias("ry"), F.col("i").alias("iy"))
+    y = merged(live.select("member", "token"), facts, "member").coalesce(parts).select("token", "class", F.col("line").alias("y"), F.col("root").alias("ry"), F.col("i").alias("iy"))
     less = (F.col("ix") < F.col("iy")) | ((F.col("ix") == F.col("iy")) & (F.col("x") < F.col("y")))
-    met = probes.join(y, ["token", "class"]).filter((F.col("rx") != F.col("ry")) & less).select("x", "y")
+    met = merged(probes, y, ["token", "class"]).filter((F.col("rx") != F.col("ry")) & less).select("x", "y")
 
     room = by_class(asked, F.col("n"), F.col("i")).filter("lacks < 1")
     room = room.select("key", F.col("with").alias("class"), F.col("b").alias("x"), F.col("root").alias("rx"), F.col("i").alias("ix"), F.col("n").alias("nx"), F.col("far").alias("fx"), F.col("off").alias("ox"))
     y = asked.select("key", "class", F.col("b").alias("y"), F.col("root").alias("ry"), F.col("i").alias("iy"), "n", "far", "off")
     fits = (F.col("ix") >= least / (1 + least) * (F.col("nx") + F.col("n")) - 1e-6) & (F.abs(F.col("fx") - F.col("far")) <= 1 - least + 1e-9) & (F.col("ox") | F.col("off"))
-    by_size = room.join(y, ["key", "class"]).filter((F.col("rx") != F.col("ry")) & less & fits).select("x", "y")
+    by_size = merged(room, y, ["key", "class"]).filter((F.col("rx") != F.col("ry")) & less & fits).select("x", "y")
     pairs = met.unionAll(by_size).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return pairs.coalesce(parts).distinct()
 
@@ -235,9 +235,9 @@ def line_components(docs: DataFrame, width: int = 8, least: float = 0.8) -> Data
     # A line in many large bands is likeliest the one that others vary; of such
     # lines the one with most copies.
     central = members.groupBy("lid").agg((F.sum("size") * 1000 + F.least(F.first("weight"), F.lit(999))).alias("central"))
-    members = settled(members.select("key", "lid").join(central, "lid"))
-    keys = settled(members.select("lid").distinct().join(bands.select("lid", "h1", "h2"), "lid"))
-    wanted = F.broadcast(keys) if keys.count() <= BROADCAST_LINES else keys
+    members = settled(merged(members.select("key", "lid"), central, "lid"))
+    keys = settled(merged(members.select("lid").distinct(), bands.select("lid", "h1", "h2"), "lid"))
+    wanted = F.broadcast(keys) if keys.count() <= BROADCAST_LINES else keys.hint("merge")
     texts = written(lines.select("h1", "h2", "line").join(wanted, ["h1", "h2"]).groupBy("lid").agg(F.min("line").alias("line")), "line-texts")
     links, first, _ = _rounds(members, texts, width, least)
     roots = components(links)
@@ -245,7 +245,7 @@ def line_components(docs: DataFrame, width: int = 8, least: float = 0.8) -> Data
     if not more.isEmpty():
         found = _compared(more, texts, width).filter(_alike(least)).select("a", "b")
         roots = components(links.unionAll(found))
-    return roots.withColumnRenamed("node", "lid").join(bands.select("lid", "h1", "h2"), "lid").select("h1", "h2", "root")
+    return merged(roots.withColumnRenamed("node", "lid"), bands.select("lid", "h1", "h2"), "lid").select("h1", "h2", "root")
 
 
 def dedup_lines(docs: DataFrame, width: int = 8, least: float = 0.8) -> DataFrame:
@@ -264,7 +264,7 @@ def dedup_lines(docs: DataFrame, width: int = 8, least: float = 0.8) -> DataFram
     roots = settled(line_components(docs, width, least))
     places = _occurrences(docs).select("h1", "h2", "doc_id", "th", "pos", _place(F.col("doc_id"), F.col("th"), F.col("pos")).alias("place"))
     firsts = places.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count(F.lit(1)).alias("n"))
-    named = settled(firsts.join(roots, ["h1", "h2"], "left").filter("root is not null or first < last"))
+    named = settled(merged(firsts, roots, ["h1", "h2"], "left").filter("root is not null or first < last"))
     near = named.filter("root is not null")
     kept = settled(near.groupBy("root").agg(F.min("first").alias("keep"), F.count(F.lit(1)).alias("n")))
     lines_near = kept.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -286,7 +286,7 @@ def dedup_lines(docs: DataFrame, width: int = 8, least: float = 0.8) -> DataFram
         F.array_join(F.transform(stay, lambda i: F.get(F.col(whole), i)), "\n")
     )
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(whole))
-    out = docs.join(gone, on, "left").withColumn(whole, lines)
+    out = merged(docs, gone, on, "left").withColumn(whole, lines)
     return out.select(
         *[(text.alias("text") if c == "text" else F.col(f"`{c}`")) for c in docs.columns],
         n.cast("long").alias("n_lines"),
