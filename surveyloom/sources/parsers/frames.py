@@ -1,9 +1,9 @@
 """Command files and codebooks of many surveys at once, as stages over DataFrames.
 
-A row is a file. Lines, sections, tokens and cells are arrays and rows of it, and
-what holds for the lines that follow (a section, a variable, a group of names) is
-carried down by windows within the file, so files are spread and none is gathered
-with another. Results are tables with a ``survey`` column beside the canonical ones.
+A row is a file. Lines, sections, tokens and cells are arrays and rows of it. Command
+files are cut as arrays in a survey's row; in codebooks what holds for the lines that
+follow is carried down by windows within the file. So files are spread and none is
+gathered with another survey's. Results are tables with a ``survey`` column beside the canonical ones.
 """
 
 from __future__ import annotations
