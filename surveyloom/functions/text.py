@@ -94,8 +94,10 @@ def census_edition(url: Column) -> Column:
     two = F.substring(first, 4, 9)
     year = F.when(_digits(two) & (F.length(two) == 2), two.try_cast("int"))
     century = F.when(year <= 30, year + 2000).otherwise(year + 1900)
+    # Most names are of no census, and told by their first letters before they are cut.
+    of_census = F.left(F.lower(file_name(url)), F.lit(3)).isin(*CENSUS_STUDIES)
     known = F.left(first, F.lit(3)).isin(*CENSUS_STUDIES) & year.isNotNull() & kind.isNotNull() & (F.size(parts) > 3)
-    return F.when(known, F.concat(century.cast("string"), F.lit(" ("), kind, F.lit(")")))
+    return F.when(of_census & known, F.concat(century.cast("string"), F.lit(" ("), kind, F.lit(")")))
 
 
 def gss_version(url: Column, edition: Column) -> Column:

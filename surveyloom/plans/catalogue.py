@@ -26,7 +26,7 @@ def detected_edition(name, label, url):
     period = lambda c: F.nullif(F.regexp_extract(c, r"(\d{4}(?:-\d{2,4})?)", 1), F.lit(""))
     a, b = period(name), period(label)
     named = F.when(F.length(b) > F.coalesce(F.length(a), F.lit(0)), b).otherwise(a)
-    folder = F.regexp_extract(url, r"([^/]*)/[^/]*$", 1)
+    folder = F.split_part(url, F.lit("/"), F.lit(-2))
     by_folder = F.when(folder.rlike(r"^\d{4}(-\d{2,4})?$"), folder).when(folder.rlike(r"^\d{7}$"), F.substring(folder, 1, 4))
     return F.coalesce(text.census_edition(url), named, by_folder)
 

@@ -19,6 +19,8 @@ from ..sources.shared import kept, shared_folder
 from .catalogue import FORMATS, detected_edition, detected_format, stale
 
 ANCHOR = r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a\s*>"""
+#: An address without blanks, control characters or line ends.
+PLAIN_ADDRESS = r"^https?://[^\x00-\x20\x7F-\xA0\u2028\u2029]*+\z"
 #: What stands in place of an address where a survey's files are not on the site.
 NO_DOWNLOAD = "(EFT)"
 #: Parts of addresses: fixed values.
@@ -26,42 +28,66 @@ SURVEY_MARK, PRODUCT_MARK, PRODUCT_END, ARCHIVE_END = "/catalogue/", "/pub/", "-
 
 
 def anchors(html: Column) -> Column:
-    """A page's links, in order: an array of (href, label), labels without tags."""
-    pairs = F.arrays_zip(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1)).alias("href"), F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2)).alias("label"))
-    unescaped = lambda x: F.replace(x, F.lit("&amp;"), F.lit("&"))
-    return F.transform(pairs, lambda p: F.struct(F.trim(unescaped(p["href"])).alias("href"), F.trim(unescaped(F.regexp_replace(p["label"], "<[^>]*>", ""))).alias("label")))
+    """A page's links, in order: an array of (href, label) as the page has them."""
+    return F.arrays_zip(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1)).alias("href"), F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2)).alias("label"))
 
 
-def resolved(base: Column, href: Column) -> Column:
-    """The address that a link on the page ``base`` leads to, without its fragment; null
-    for other schemes than http, and for links within the page.
+def _unescaped(text: Column) -> Column:
+    return F.trim(F.replace(text, F.lit("&amp;"), F.lit("&")))
 
-    ``./`` and ``../`` steps are taken; a query alone keeps the page's path.
-    """
-    href = F.split_part(href, F.lit("#"), F.lit(1))
-    scheme = F.regexp_extract(base, r"^(https?:)", 1)
-    host = F.regexp_extract(base, r"^(https?://[^/?#]*)", 1)
-    path = F.regexp_extract(base, r"^https?://[^/?#]*([^?#]*)", 1)
+
+def _base(url: Column) -> Column:
+    """What of a page's address its links are resolved with."""
+    path = F.regexp_extract(url, r"^https?://[^/?#]*([^?#]*)", 1)
     folder = F.regexp_replace(path, r"[^/]*$", "")
+    scheme, host = F.regexp_extract(url, r"^(https?:)", 1), F.regexp_extract(url, r"^(https?://[^/?#]*)", 1)
+    return F.struct(scheme.alias("scheme"), host.alias("host"), path.alias("path"), F.when(folder == "", "/").otherwise(folder).alias("folder"))
+
+
+def _absolute(base: Column, href: Column) -> Column:
+    """The address of a link, on the page of a ``_base``, with its steps still to take."""
+    href = F.split_part(href, F.lit("#"), F.lit(1))
     with_path = (
-        F.when(F.startswith(href, F.lit("//")), F.concat(scheme, href)).when(F.startswith(href, F.lit("/")), F.concat(host, href))
-        .when(F.startswith(href, F.lit("?")), F.concat(host, path, href)).otherwise(F.concat(host, F.when(folder == "", "/").otherwise(folder), href))
+        F.when(F.startswith(href, F.lit("//")), F.concat(base["scheme"], href)).when(F.startswith(href, F.lit("/")), F.concat(base["host"], href))
+        .when(F.startswith(href, F.lit("?")), F.concat(base["host"], base["path"], href)).otherwise(F.concat(base["host"], base["folder"], href))
     )
     absolute = F.concat(F.lower(F.split_part(href, F.lit(":"), F.lit(1))), F.substring(href, F.instr(href, ":"), F.length(href)))
-    full = F.when(href.rlike(r"(?i)^https?://"), absolute).when(href.rlike(r"^[A-Za-z][\w+.-]*:") | (href == ""), F.lit(None)).otherwise(with_path)
+    return F.when(href.rlike(r"(?i)^https?://"), absolute).when(href.rlike(r"^[A-Za-z][\w+.-]*:") | (href == ""), F.lit(None)).otherwise(with_path)
+
+
+def _stepped(full: Column) -> Column:
+    """An address after its ``./`` and ``../`` steps; most have none, and are not cut."""
     own, query = F.regexp_extract(full, r"^(https?://[^?]*)", 1), F.regexp_extract(full, r"^[^?]*(\?.*)?$", 1)
     root, rest = F.regexp_extract(own, r"^(https?://[^/]*)", 1), F.regexp_extract(own, r"^https?://[^/]*(.*)$", 1)
     step = lambda done, s: F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
     walked = F.aggregate(F.split(F.substring(rest, F.lit(2), F.length(rest)), "/"), F.array().cast("array<string>"), step)
     last_is_step = rest.rlike(r"/\.\.?$")
     stepped = F.concat(F.lit("/"), F.array_join(walked, "/"), F.when(last_is_step & (F.size(walked) > 0), "/").otherwise(""))
-    return F.concat(root, F.when(rest.rlike(r"/\.\.?(/|$)"), stepped).otherwise(rest), query)
+    as_it_is = ~F.contains(full, F.lit("/.")) & full.rlike(PLAIN_ADDRESS)
+    return F.when(as_it_is, full).otherwise(F.concat(root, F.when(rest.rlike(r"/\.\.?(/|$)"), stepped).otherwise(rest), query))
+
+
+def resolved(base: Column, href: Column) -> Column:
+    """The address that a link on the page ``base`` leads to, without its fragment; null
+    for other schemes than http, and for links within the page.
+
+    ``./`` and ``../`` steps are taken; a query alone keeps the page's path.
+    """
+    return _stepped(_absolute(_base(base), href))
 
 
 def linked(pages: DataFrame) -> DataFrame:
-    """(url, at, target, label) of every link of pages (url, html) that leads somewhere."""
-    each = pages.filter("url IS NOT NULL").select("url", F.posexplode(anchors(F.col("html"))).alias("at", "a"))
-    return each.select("url", "at", resolved(F.col("url"), F.col("a.href")).alias("target"), F.col("a.label").alias("label")).filter("target IS NOT NULL")
+    """(url, at, target, label) of every link of pages (url, html) that leads somewhere;
+    labels without tags.
+
+    Done in stages, so that nothing is worked out twice: ``resolved`` as one
+    expression repeats its parts in every branch.
+    """
+    each = pages.filter("url IS NOT NULL").select("url", _base(F.col("url")).alias("base"), "html")  # once a page
+    each = each.select("url", "base", F.posexplode(anchors(F.col("html"))).alias("at", "a"))
+    each = each.select("url", "at", "base", _unescaped(F.col("a.href")).alias("href"), _unescaped(F.regexp_replace("a.label", "<[^>]*>", "")).alias("label"))
+    each = each.select("url", "at", _absolute(F.col("base"), F.col("href")).alias("full"), "label").filter("full IS NOT NULL")
+    return each.select("url", "at", _stepped(F.col("full")).alias("target"), "label")
 
 
 def crawl(pages: DataFrame, seeds: Sequence[str] | DataFrame, most: int | None = None, follow: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -134,7 +160,8 @@ def downloads(links: DataFrame, product_pages: DataFrame, prefer: Sequence[str]
     its formats the preferred one; files are the same whose names differ by format."""
     archive = F.endswith(F.lower(F.split_part("target", F.lit("?"), F.lit(1))), F.lit(ARCHIVE_END))
     rows = links.filter(archive).select(F.col("url").alias("product_url"), "at", F.col("target").alias("url"), "label").join(product_pages.filter("product_url IS NOT NULL"), "product_url")
-    name = text.file_name(F.col("url"))
+    rows = rows.withColumn("name", text.file_name(F.col("url")))
+    name = F.col("name")
     rows = rows.withColumns({"format": detected_format(name, F.col("label")), "edition": detected_edition(name, F.col("label"), F.col("url"))})
     plain = F.lower(F.regexp_replace(name, r"\.[^.]*$", ""))
     token = F.lower(F.element_at(F.create_map(*[F.lit(x) for pair in FORMATS.items() for x in pair]), F.col("format")))
@@ -155,16 +182,18 @@ def survey_catalogue(pages: DataFrame, roots: Sequence[str] | DataFrame, prefer:
     spark = pages.sparkSession
     roots = roots.toDF("url") if isinstance(roots, DataFrame) else spark.createDataFrame([(r,) for r in roots], "url string")
     links = kept(linked(pages), "links")
-    surveys = kept(listing(links, roots), "surveys")
+    # A title's words are taken apart once a survey, not once a file.
+    surveys = listing(links, roots).withColumns({"Acronym": text.acronym(F.col("Title")), "SeriesTitle": text.series_title(F.col("Title"))})
+    surveys = kept(surveys, "surveys")
     found = kept(products(links, surveys), "products")
-    files = downloads(links, found, prefer)
+    files = kept(downloads(links, found, prefer), "files")  # read twice
     gone = found.filter("product_url IS NULL").select("key")
     several = files.groupBy("key").agg(F.countDistinct("edition").alias("editions"))
     rows = surveys.join(gone, "key", "left_anti").join(files, "key", "left").join(several, "key", "left")
-    series = text.series_title(F.col("Title"))
+    series = F.col("SeriesTitle")
     titled = F.when((F.col("editions") > 1) & F.col("edition").isNotNull() & series.isNotNull(), F.concat(series, F.lit(" — "), F.col("edition"))).otherwise(F.col("Title"))
     return rows.select(
-        "catalogue_id", text.acronym(F.col("Title")).alias("Acronym"), series.alias("SeriesTitle"), titled.alias("Title"), "survey_url", "edition", "format",
+        "catalogue_id", "Acronym", "SeriesTitle", titled.alias("Title"), "survey_url", "edition", "format",
         F.coalesce("url", F.lit(NO_DOWNLOAD)).alias("url"), "product_url",
     )
 
