@@ -16,10 +16,17 @@ from ..sources.parsers import frames
 from .queries import _query, _t
 
 
+#: Variables whose files one task makes.
+PART_ROWS = 25_000
+
+
 def _orders(spark, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    o = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority")
-    return o.select(F.col("o_custkey").alias("survey"), F.concat(F.lit("V"), "o_orderkey").alias("v"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"), place.alias("r"))
+    """Dealt by survey once, in as many partitions as there are variables for: the files
+    made of them are not shuffled, nor put together by their compressed size."""
+    place = F.row_number().over(Window.partitionBy("survey").orderBy("o_orderkey"))
+    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("survey"), "o_orderkey", "o_orderstatus", "o_orderpriority")
+    o = o.repartition(1 + o.count() // PART_ROWS, "survey")
+    return o.select("survey", F.concat(F.lit("V"), "o_orderkey").alias("v"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"), place.alias("r"))
 
 
 def _each(line: Column, kept: Column | None = None, by: str = "\n") -> Column:

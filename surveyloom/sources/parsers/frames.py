@@ -28,7 +28,7 @@ PLACE = rf"({NAME})\s+(\d+)(?:\s*-\s*(\d+))?(?:\s*\(([^)]*)\))?"
 FORMAT = r"([A-Za-z_][\w\s.@#$]*?)\s*\(\s*([A-Za-z]+)\d*(?:\.(\d+))?\s*\)"
 MISSING = r"([A-Za-z_][\w\s.,/]*?)\s*\(\s*([-+.\deE]+)(\s+THRU)?\s*([-+.\deE]*)[^)]*\)"
 
-#: Bytes of sections that one task parses.
+#: Bytes of texts that one task cuts and parses.
 PART_BYTES = 4_000_000
 #: What the parts of a split survey are, in the order they are read in.
 ENGLISH_ROLES, FRENCH_ROLES = ("layout", "labels_en", "codes_en", "missing"), ("labels_fr", "codes_fr")
@@ -231,11 +231,11 @@ def command_files(texts: DataFrame) -> Parsed:
     numeric; else character. A null text has no lines; a survey without English
     files gives no rows.
     """
-    parts = kept(sections(texts), "sections")  # read several times
-    # Dealt by survey once, in as many partitions as the texts need: Spark would put them
+    # Dealt by survey, in as many partitions as the texts need: Spark would put them
     # together by their size in a shuffle, where such rows shrink to a fiftieth.
-    n = 1 + (parts.agg(F.sum(F.octet_length("body"))).first()[0] or 0) // PART_BYTES
-    parts = parts.repartition(n, "survey")
+    texts = kept(texts, "texts")
+    n = 1 + (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES
+    parts = kept(sections(texts.repartition(n, "survey")), "sections").repartition(n, "survey")  # read several times
     english, french = parts.filter("lang = 'eng'"), parts.filter("lang = 'fra'")
     of = lambda lang, column: F.max(F.when(F.col("lang") == lang, F.col(column)))
     met = value_labels(parts).groupBy("survey", "name", "val").agg(of("eng", "ord").alias("ord"), of("eng", "label").alias("label_en"), of("fra", "label").alias("label_fr")).filter("ord IS NOT NULL")
