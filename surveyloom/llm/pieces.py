@@ -26,6 +26,7 @@ words, whose shortest paths are kept in a cache of bounded bytes.
 from __future__ import annotations
 
 import re
+import string
 import struct
 from array import array
 from collections.abc import Iterator
@@ -34,12 +35,16 @@ from sys import getsizeof
 from typing import NamedTuple
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import HELD, arrow_slices, broadcast_value, free_caches, ship
 
 SPACE = "▁"
+#: Letters, and what a word may end in; between the two a part ends if no piece spans them.
+LETTER = "[A-Za-zÀ-ÿ]"
+ENDS = string.punctuation
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -203,10 +208,16 @@ class Lexicon:
         self.bytes = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(m.pieces) if k == BYTE} if m.byte_fallback else {}
         self.unknown = m.unk_id
         self.longest = max(map(len, self.ids), default=1)
-        #: The longest piece by its first two characters.
-        self.reach: dict[str, int] = {}
-        for p in self.ids:
-            self.reach[p[:2]] = max(len(p), self.reach.get(p[:2], 1))
+        #: The pieces as a tree of characters. Under "" a node has the lengths and ids of
+        #: the arcs on the way to it, of which the first reads one character.
+        self.tree: dict[str, dict | tuple] = {"": ((1, -1),)}
+        for p in sorted(self.ids):
+            node = self.tree
+            for n, c in enumerate(p, 1):
+                if c not in node:
+                    k = self.ids.get(p[:n])
+                    node[c] = {"": node[""] if k is None else ((n, k),) if n == 1 else (*node[""], (n, k))}
+                node = node[c]
 
     def fallback(self, char: str) -> tuple[int, ...]:
         return tuple(self.bytes[b] for b in char.encode("utf-8", "surrogatepass")) if self.bytes else (self.unknown,)
@@ -239,9 +250,14 @@ class Neighbours:
         self.text = [p for p, _, _ in m.pieces]
         self.ids, self.rank, self.pairs = lexicon.ids, lexicon.weight, pairs
         self.known: dict[int, bool] = {}
+        self.ends: dict[int, list[tuple[float, str, str]] | None] = {}
 
     def merged(self, text: str) -> list[str]:
         """What the merges make of a short text: the best pair first, of equals the left."""
+        return self._merges(text, [])
+
+    def _merges(self, text: str, steps: list[tuple[float, str, str]]) -> list[str]:
+        """``merged``; adds each merge's rank and the first and last part after it to ``steps``."""
         parts, ids, rank = list(text), self.ids, self.rank
         while len(parts) > 1:
             best, at = INFINITY, -1
@@ -252,16 +268,48 @@ class Neighbours:
             if at < 0:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            steps.append((best, parts[0], parts[-1]))
         return parts
 
+    def _ends(self, x: int) -> list[tuple[float, str, str]] | None:
+        """The merges that make a piece of its characters, or None if they don't."""
+        steps: list[tuple[float, str, str]] = []
+        self.ends[x] = got = steps if len(self._merges(self.text[x], steps)) == 1 else None
+        return got
+
+    def _stay_apart(self, x: int, y: int) -> bool:
+        """Whether the merges of two pieces' text end in just these two.
+
+        Until a merge takes the last part of one and the first of the other, both
+        go on as they would alone, and the better next merge comes first.
+        """
+        ends, ids, rank = self.ends, self.ids, self.rank
+        one = ends[x] if x in ends else self._ends(x)
+        other = ends[y] if y in ends else self._ends(y)
+        if one is None or other is None:
+            return False
+        i, j, last, first = 0, 0, self.text[x][-1], self.text[y][0]
+        r, q = one[0][0] if one else INFINITY, other[0][0] if other else INFINITY
+        while True:
+            k = ids.get(last + first)
+            if k is not None and rank[k] < r and rank[k] <= q:
+                return False
+            if r <= q:
+                if r == INFINITY:
+                    return True
+                last, i = one[i][2], i + 1
+                r = one[i][0] if i < len(one) else INFINITY
+            else:
+                first, j = other[j][1], j + 1
+                q = other[j][0] if j < len(other) else INFINITY
+
     def follows(self, x: int, y: int) -> bool:
         key = x << 24 | y
         got = self.known.get(key)
         if got is None:
             if len(self.known) >= self.pairs:
                 self.known.clear()
-            a, b = self.text[x], self.text[y]
-            got = self.known[key] = self.merged(a + b) == [a, b]
+            got = self.known[key] = self._stay_apart(x, y)
         return got
 
     def weight(self, state: int, arc: Arc) -> tuple[float, int]:
@@ -297,6 +345,30 @@ def shortest_path(text: str, lexicon: Lexicon, acceptor, state: int = -1) -> tup
     return total, tuple(k for ids in reversed(out) for k in ids)
 
 
+class Paths(dict):
+    """Ids of parts as bytes, made when they are first asked for, within ``held`` bytes.
+
+    Two generations, so that frequent parts outlive a full cache. A part that is
+    held is found without a call.
+    """
+
+    def __init__(self, path, held: int):
+        self.path, self.old = path, {}
+        self.room = self.half = held // 2
+
+    def __missing__(self, part: str) -> bytes:
+        got = self.old.get(part) or array("i", self.path(part)).tobytes()
+        if len(part) <= 48:
+            # A string, a bytes object and their place in a table.
+            self.room -= 80 + getsizeof(part) + getsizeof(got)
+            if self.room < 0:
+                self.old = dict(self)
+                self.clear()
+                self.room = self.half
+            self[part] = got
+        return got
+
+
 class Transducer:
     """The composition, with a cache of ``held`` bytes for the paths of its parts."""
 
@@ -314,14 +386,20 @@ class Transducer:
         # A character outside all pieces ends a path's part, as no arc spans it.
         inside = set("".join(x.ids))
         loose = "".join(re.escape(c) for c in "\n\t\r" if c not in inside)
-        # Nor does one span a letter and a full stop or comma, if so compiled.
-        stop = "" if any(re.search("[A-Za-zÀ-ÿ][,.]", p) for p in x.ids) else f"{SPACE}*+[A-Za-zÀ-ÿ]++(?=[,.])|"
+        # Nor does one span a letter and any of these characters that no piece has after one.
+        after = {c for p in x.ids for c in re.findall(f"(?<={LETTER})[{re.escape(ENDS)}]", p)}
+        ends = "".join(re.escape(c) for c in ENDS if c not in after)
+        stop = f"{SPACE}*+{LETTER}++(?=[{ends}])|" if ends else ""
         self.parts = re.compile(f"{stop}{SPACE}+[^{SPACE}{loose}]*|[^{SPACE}{loose}]+" + (f"|[{loose}]" if loose else "")).findall
-        #: Two generations, so that frequent parts outlive a full cache.
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.room = self.half = held // 2
-        self.plain = [None if k in (BYTE, CONTROL, UNKNOWN) else p for p, k in zip(self.text, self.kinds)]
+        self.paths = Paths(self.path, held)
+        #: What pieces are read back as; None if that isn't told by the piece alone. A
+        #: byte below 128 is, as it ends any character begun before it.
+        read = lambda p: p.replace(SPACE, " ") if m.escape_spaces else p
+        ascii_byte = lambda p: chr(int(p[3:5], 16)) if int(p[3:5], 16) < 128 else None
+        self.plain = [
+            ascii_byte(p) if k == BYTE else None if k in (CONTROL, UNKNOWN) else read(p) for p, k in zip(self.text, self.kinds)
+        ]
+        self.plain_arrow = pa.array(self.plain, pa.string())
 
     # -- encoding -------------------------------------------------------------
 
@@ -331,29 +409,36 @@ class Transducer:
         A beginning of the word has one such path, too, so a place from which
         none leads to the end is dead for good.
         """
-        get, reach, follows = self.lexicon.ids.get, self.lexicon.reach.get, self.acceptor.follows
-        n, at, state, most = len(word), 0, -1, 1 << 30
+        tree, known, follows = self.lexicon.tree, self.acceptor.known.get, self.acceptor.follows
+        n, at, state, left = len(word), 0, -1, None
         dead, trail = bytearray(n + 1), []
         while at < n:
-            for size in range(min(most, n - at, reach(word[at : at + 2], 1)), 0, -1):
-                k = get(word[at : at + size])
-                if k is None:
-                    if size > 1:
-                        continue
-                    k = -1
-                elif state >= 0 and not follows(state, k):
-                    continue
+            if left is None:
+                node = tree
+                for c in word[at:]:
+                    longer = node.get(c)
+                    if longer is None:
+                        break
+                    node = longer
+                arcs = node[""]
+                left = len(arcs)
+            while left:
+                left -= 1
+                size, k = arcs[left]
                 if dead[at + size]:
                     continue
-                trail.append((at, state, size, k))
-                at, state, most = at + size, k, 1 << 30
+                if state >= 0 and k >= 0:
+                    follow = known(state << 24 | k)
+                    if not (follows(state, k) if follow is None else follow):
+                        continue
+                trail.append((at, state, arcs, left, k))
+                at, state, left = at + size, k, None
                 break
             else:
                 dead[at] = 1
-                at, state, size, _ = trail.pop()
-                most = size - 1
+                at, state, arcs, left, _ = trail.pop()
         out: list[int] = []
-        for at, _, _, k in trail:
+        for at, _, _, _, k in trail:
             if k >= 0:
                 out.append(k)
             else:
@@ -366,8 +451,8 @@ class Transducer:
             return list(shortest_path(part, self.lexicon, self.acceptor, 0)[1])
         word = part.lstrip(SPACE)
         run = len(part) - len(word)
-        if not run:
-            return self._only_path(word)
+        if not run or run == 1 and word:
+            return self._only_path(part)
         # The last space of a run belongs to the word if a merge takes it.
         path = self._only_path(SPACE + word) if word else self._only_path(SPACE)
         if path[0] != self.lexicon.ids.get(SPACE):
@@ -384,21 +469,7 @@ class Transducer:
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids as native 32-bit integers in a row."""
-        young, old, out = self.young, self.old, []
-        for part in self.parts(self.normalise(text)):
-            got = young.get(part)
-            if got is None:
-                got = old.get(part) or array("i", self.path(part)).tobytes()
-                if len(part) <= 48:
-                    # A string, a bytes object and their place in a table.
-                    self.room -= 80 + getsizeof(part) + getsizeof(got)
-                    if self.room < 0:
-                        self.old = old = young
-                        self.young = young = {}
-                        self.room = self.half
-                    young[part] = got
-            out.append(got)
-        return b"".join(out)
+        return b"".join(map(self.paths.__getitem__, self.parts(self.normalise(text))))
 
     def encode(self, text: str) -> list[int]:
         return array("i", self.encode_bytes(text)).tolist()
@@ -408,13 +479,23 @@ class Transducer:
     def decode(self, ids) -> str:
         """The inverse transducer: pieces, runs of bytes, then spaces."""
         out = list(map(self.plain.__getitem__, ids))
-        if None in out:
-            out = self._special(ids)
-        text = "".join(out)
-        if self.model.escape_spaces:
+        text = "".join(self._special(ids) if None in out else out)
+        if self.model.escape_spaces and None in out:
             text = text.replace(SPACE, " ")
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
+    def decode_rows(self, rows: pa.ListArray) -> pa.Array:
+        """``decode`` of each row; one that holds pieces not read back by themselves goes alone."""
+        read = self.plain_arrow.take(rows.values)
+        text = pc.binary_join(pa.ListArray.from_arrays(rows.offsets, read), "")
+        if self.model.dummy_prefix:
+            text = pc.replace_substring_regex(text, r"\A ", "", max_replacements=1)
+        if not text.null_count:
+            return text
+        alone = pc.is_null(text)
+        made = [self.decode(x) for x in rows.filter(alone).to_pylist()]
+        return pc.replace_with_mask(text, alone, pa.array(made, pa.string()))
+
     def _special(self, ids) -> list[str]:
         out, pending = [], bytearray()
         for k in ids:
@@ -472,15 +553,11 @@ def encode_decode(docs: DataFrame, model: str = DEFAULT_MODEL, held: int = 30_00
             for x in raw:
                 offsets.append(offsets[-1] + len(x) // 4)
             values = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(raw))])
-            decoded = [t.decode(array("i", x)) for x in raw]
+            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+            decoded = t.decode_rows(ids)
+            same = pc.equal(decoded, pc.fill_null(b.column("text"), ""))
             yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("doc_id"),
-                    pa.array([len(x) // 4 for x in raw], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values),
-                    pa.array(decoded, pa.string()),
-                    pa.array([x == y for x, y in zip(texts, decoded)], pa.bool_()),
-                ],
+                [b.column("doc_id"), pa.array([len(x) // 4 for x in raw], pa.int64()), ids, decoded, same],
                 ["doc_id", "n_ids", "ids", "decoded", "reversible"],
             )
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -337,6 +338,46 @@ def test_normaliser_with_a_character_map(spark, tmp_path):
     assert (row.decoded, row.reversible) == ("fi x", False)
 
 
+def test_neighbours_are_told_by_each_pieces_merges(monkeypatch):
+    """Work grows with the pieces, not with the pairs of pieces, and words end before
+    signs that no piece has after a letter."""
+    with open(pieces.DEFAULT_MODEL, "rb") as f:
+        t = pieces.Transducer(f.read())
+    merged, calls = t.acceptor.merged, []
+    rng = random.Random(5)
+    words = ["".join(rng.choices(["th", "on", "é", "tion", "a", "sh", "ou", "q", "er", "W", "9", "ly"], k=5)) for _ in range(2000)]
+    with monkeypatch.context() as m:
+        m.setattr(t.acceptor, "merged", lambda text: calls.append(text) or merged(text))
+        for w in words:
+            t.path(w)
+    assert not calls and len(t.acceptor.known) > len(t.acceptor.ends) > 20
+    ids = list(t.lexicon.ids.values())
+    pairs = [(k >> 24, k & 0xFFFFFF) for k in t.acceptor.known] + [tuple(rng.choices(ids, k=2)) for _ in range(3000)]
+    for x, y in pairs:
+        a, b = t.text[x], t.text[y]
+        assert t.acceptor.follows(x, y) == (merged(a + b) == [a, b])
+    assert t.parts("▁word&&&▁it,▁x") == ["▁word", "&&&", "▁it", ",", "▁x"]
+
+
+def test_rows_are_decoded_without_a_call_a_row(monkeypatch, piece_library):
+    """Only rows with bytes of 128 or more, or without a text of their own, go alone."""
+    with open(pieces.DEFAULT_MODEL, "rb") as f:
+        t = pieces.Transducer(f.read())
+    texts = ["", " two  lines\nand \t a tab", "plain", "▁ ", "日本語 \U0001f600\n", "é\r\n", "a  b "]
+    rows = [t.encode(x) for x in texts]
+    rng = random.Random(11)
+    odd = [[rng.randrange(3, 259) if rng.random() < 0.6 else rng.randrange(len(t.text)) for _ in range(rng.randrange(9))] for _ in range(500)]
+    alone, decode = [], t.decode
+    expected = [decode(x) for x in rows + odd]
+    assert expected[: len(rows)] == [piece_library.decode(x) for x in rows]
+    with monkeypatch.context() as m:
+        m.setattr(t, "decode", lambda ids: alone.append(ids) or decode(ids))
+        assert t.decode_rows(pa.array(rows, pa.list_(pa.int32()))).to_pylist() == expected[: len(rows)]
+        assert len(alone) <= 1
+        assert t.decode_rows(pa.array(odd, pa.list_(pa.int32()))).to_pylist() == expected[len(rows) :]
+        assert t.decode_rows(pa.array([], pa.list_(pa.int32()))).to_pylist() == []
+
+
 def test_only_path_is_the_composition_shortest(piece_library):
     rng = random.Random(7)
     with open(pieces.DEFAULT_MODEL, "rb") as f:
