@@ -22,14 +22,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, meet, merged, settled, unused, written
+from .common import cut, looked_up, meet, merged, settled, unused, written
 from .graph import components
 
 BANDS, ROWS = 7, 4
 #: Shingles that one row stands for while minima are taken.
 AT_ONCE = 8
-#: Rounds of representatives before gains are looked up.
-ROUNDS = 4
+#: Rounds of representatives before gains are looked up; more rounds find no more links.
+ROUNDS = 2
 #: Ratio of the sizes that a class of line sizes spans.
 STEP = 1.1
 #: Candidate lines whose 128-bit keys may be broadcast (24 bytes each in memory).
@@ -102,9 +102,13 @@ def _bands(signatures: DataFrame) -> DataFrame:
     return signatures.select(F.monotonically_increasing_id().alias("lid"), "h1", "h2", "weight", F.array(*keys).alias("bands"))
 
 
-def _shingle_set(line: Column, width: int) -> Column:
-    """The distinct shingles, by their 64-bit hashes."""
-    return F.array_distinct(_hashes(line, width))
+def _with_hashes(pairs: DataFrame, width: int) -> DataFrame:
+    """``pairs`` with the hashes of their lines' shingles as sa and sb in place of la and lb.
+    A generator's output, like the rows in ``_signatures``: what follows is compiled and
+    doesn't make them again, while within a lambda each hash would be boxed."""
+    others = [c for c in pairs.columns if c not in ("la", "lb")]
+    both = F.struct(_hashes(F.col("la"), width).alias("sa"), _hashes(F.col("lb"), width).alias("sb"))
+    return pairs.select(*others, F.explode_outer(F.array(both)).alias("s")).select(*others, "s.sa", "s.sb")
 
 
 def _pair_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -118,10 +122,10 @@ def _pair_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """(pairs' columns, na, nb, inner): sizes of the shingle sets and of what they share."""
-    both = F.struct(_shingle_set(F.col("la"), width).alias("a"), _shingle_set(F.col("lb"), width).alias("b"))
-    sizes = _let(both, lambda s: F.struct(F.size(s["a"]).alias("na"), F.size(s["b"]).alias("nb"), F.size(F.array_intersect(s["a"], s["b"])).alias("inner")))
+    both = _with_hashes(_pair_texts(pairs, texts), width)
+    sizes = F.size(F.array_distinct("sa")).alias("na"), F.size(F.array_distinct("sb")).alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("inner")
     # Checkpointed: a filter on it would compute the sets again.
-    return settled(_pair_texts(pairs, texts).select(*pairs.columns, sizes.alias("n"))).select(*pairs.columns, "n.*")
+    return settled(both.select(*pairs.columns, *sizes))
 
 
 def _alike(least: float) -> Column:
@@ -142,7 +146,7 @@ def _rounds(members: DataFrame, texts: DataFrame, width: int, least: float) -> t
         n = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         if not n:
             break
-        against = settled(meet(members, reps, "key", n).filter("lid <> rep"))
+        against = settled(meet(members, reps, "key", n, dealt=looked_up).filter("lid <> rep"))
         pairs = settled(against.select(F.col("rep").alias("a"), F.col("lid").alias("b")).distinct())
         told = _compared(pairs, texts, width)
         found = told.filter(_alike(least)).select("a", "b")
@@ -179,20 +183,19 @@ def _apart(told: DataFrame, against: DataFrame, texts: DataFrame, roots: DataFra
     total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if not total:
         return placed.select("a", "b").limit(0)
-    asked = meet(placed, keys, "key", total).filter(F.col("off") | (F.col("far") >= F.col("nearest") - (1 - least) - 1e-9))
+    asked = meet(placed, keys, "key", total, dealt=looked_up).filter(F.col("off") | (F.col("far") >= F.col("nearest") - (1 - least) - 1e-9))
     asked = asked.select("key", "a", "b", "root", "off", "far", F.col("nb").alias("n"), F.col("inner").alias("i"))
     asked = settled(asked.withColumn("class", _size_class(F.col("n"))).withColumn("member", F.monotonically_increasing_id()))
 
-    both = F.struct(_shingle_set(F.col("la"), width).alias("a"), _shingle_set(F.col("lb"), width).alias("b"))
-    gained = _let(both, lambda s: F.array_except(s["b"], s["a"]))
-    gains = written(_pair_texts(asked.select("a", "b").distinct(), texts).select("a", "b", gained.alias("gains")), "line-gains")
+    both = _with_hashes(_pair_texts(asked.select("a", "b").distinct(), texts), width)
+    gains = written(both.select("a", "b", F.array_except("sb", "sa").alias("gains")), "line-gains")
     # A gain of one band's lines, by a hash: should two meet, more pairs are compared.
     tokens = merged(asked, gains, ["a", "b"]).select("member", "root", "key", F.explode("gains").alias("gain"))
     tokens = written(tokens.select("member", "root", F.xxhash64("key", "gain").alias("token")), "line-tokens")
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     shared = settled(shared.select("token", "n", F.col("n").alias("often")))
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    live = written(meet(tokens.drop("root"), shared, "token", total), "line-shared-tokens")
+    live = written(meet(tokens.drop("root"), shared, "token", total, dealt=looked_up), "line-shared-tokens")
 
     # The classes that a partner can be of, and the gains to share with the least of each.
     reach = math.ceil(math.log(1 / least) / math.log(STEP))
@@ -231,21 +234,22 @@ def line_components(docs: DataFrame, width: int = 8, least: float = 0.8) -> Data
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if not total:
         return bands.select("h1", "h2", F.col("lid").alias("root")).limit(0)
-    members = settled(meet(filed, shared, "key", total))
+    members = settled(meet(filed, shared, "key", total, dealt=looked_up))
     # A line in many large bands is likeliest the one that others vary; of such
     # lines the one with most copies.
-    central = members.groupBy("lid").agg((F.sum("size") * 1000 + F.least(F.first("weight"), F.lit(999))).alias("central"))
-    members = settled(merged(members.select("key", "lid"), central, "lid"))
-    keys = settled(merged(members.select("lid").distinct(), bands.select("lid", "h1", "h2"), "lid"))
-    wanted = F.broadcast(keys) if keys.count() <= BROADCAST_LINES else keys.hint("merge")
+    central = settled(members.groupBy("lid").agg((F.sum("size") * 1000 + F.least(F.first("weight"), F.lit(999))).alias("central")))
+    members = settled(looked_up(members.select("key", "lid"), central, "lid"))
+    keys = settled(looked_up(bands.select("lid", "h1", "h2"), central.select("lid"), "lid"))
+    wanted = F.broadcast(keys) if keys.count() <= BROADCAST_LINES else keys.hint("shuffle_hash")
     texts = written(lines.select("h1", "h2", "line").join(wanted, ["h1", "h2"]).groupBy("lid").agg(F.min("line").alias("line")), "line-texts")
     links, first, _ = _rounds(members, texts, width, least)
     roots = components(links)
     more = settled(_apart(*first, texts, roots, width, least))
     if not more.isEmpty():
         found = _compared(more, texts, width).filter(_alike(least)).select("a", "b")
-        roots = components(links.unionAll(found))
-    return merged(roots.withColumnRenamed("node", "lid"), bands.select("lid", "h1", "h2"), "lid").select("h1", "h2", "root")
+        # The components so far are their own stars.
+        roots = components(roots.toDF("a", "b").unionAll(found))
+    return merged(roots.withColumnRenamed("node", "lid"), keys, "lid").select("h1", "h2", "root")
 
 
 def dedup_lines(docs: DataFrame, width: int = 8, least: float = 0.8) -> DataFrame:
@@ -262,9 +266,11 @@ def dedup_lines(docs: DataFrame, width: int = 8, least: float = 0.8) -> DataFram
     """
     doc, under, cut_out, whole = working = ("_doc", "_th", "_gone", "_lines")
     roots = settled(line_components(docs, width, least))
-    places = _occurrences(docs).select("h1", "h2", "doc_id", "th", "pos", _place(F.col("doc_id"), F.col("th"), F.col("pos")).alias("place"))
+    # Written: three passes read it, and each would cut and hash all texts again.
+    places = written(_occurrences(docs).select("h1", "h2", "doc_id", "th", "pos"), "line-places")
+    places = places.withColumn("place", _place(F.col("doc_id"), F.col("th"), F.col("pos")))
     firsts = places.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count(F.lit(1)).alias("n"))
-    named = settled(merged(firsts, roots, ["h1", "h2"], "left").filter("root is not null or first < last"))
+    named = settled(looked_up(firsts, roots, ["h1", "h2"], "left").filter("root is not null or first < last"))
     near = named.filter("root is not null")
     kept = settled(near.groupBy("root").agg(F.min("first").alias("keep"), F.count(F.lit(1)).alias("n")))
     lines_near = kept.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -273,7 +279,7 @@ def dedup_lines(docs: DataFrame, width: int = 8, least: float = 0.8) -> DataFram
     keep = settled(keep.unionAll(named.filter("root is null").select("h1", "h2", F.col("first").alias("keep"), "n")))
     total = keep.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     gone = cut(
-        meet(places, keep, ["h1", "h2"], total).filter("place <> keep")
+        meet(places, keep, ["h1", "h2"], total, dealt=looked_up).filter("place <> keep")
         .groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"))
         .select(F.col("doc_id").alias(doc), F.col("th").alias(under), F.col("gone").alias(cut_out))
     )

@@ -77,3 +77,20 @@ def test_growing_sides_are_not_broadcast(spark):
     facts = rows.groupBy("key").agg(F.count("id").alias("n")).withColumn("many", F.sequence(F.lit(0), F.lit(50)))
     plan = common.meet(rows, facts, "key", 500)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_line_dedup_takes_few_steps(spark, monkeypatch):
+    """Rounds that find little took jobs, CPU and the driver's memory; small sides need no sort."""
+    base = [f"word{k}" for k in range(30)]
+    texts = [" ".join(base[:k] + [f"other{j}{k}" for j in range(6)] + base[k + 6 :]) for k in range(0, 24, 2)]
+    calls = []
+    compared = lines._compared
+    monkeypatch.setattr(lines, "_compared", lambda *a: calls.append(1) or compared(*a))
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:1])), "doc_id long, text string")
+    assert [r.n_dropped for r in lines.dedup_lines(docs).orderBy("doc_id").collect()] == [0] * 12 + [1]
+    assert len(calls) <= 3
+    rows = spark.range(500).selectExpr("id % 50 AS key", "id")
+    facts = rows.groupBy("key").agg(F.count("id").alias("n"))
+    met = common.meet(rows, facts, "key", 500, dealt=common.looked_up)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan and met.count() == 500
